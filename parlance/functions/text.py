@@ -108,18 +108,30 @@ def short_id(key) -> Column:
     return F.concat(*chars)
 
 
+def _stops_literal(stops: Sequence[Sequence[str]]) -> Column:
+    return F.array(*[F.array(*[F.lit(t) for t in seq]) for seq in stops])
+
+
+def _ends_with(arr: Column, seq: Column) -> Column:
+    n = F.size(seq)
+    return (F.size(arr) >= n) & (F.slice(arr, -n, n) == seq)
+
+
 def ends_with_seq(arr: Column, seq: Sequence[str]) -> Column:
-    n = len(seq)
-    return (F.size(arr) >= n) & (F.slice(arr, -n, n) == F.array(*[F.lit(t) for t in seq]))
+    return _ends_with(arr, F.array(*[F.lit(t) for t in seq]))
+
+
+def ends_with_any(arr: Column, stops: Sequence[Sequence[str]]) -> Column:
+    return F.exists(_stops_literal(stops), lambda s: _ends_with(arr, s))
 
 
 def trim_stop(tokens, stops: Sequence[Sequence[str]]) -> Column:
-    """For each stop sequence in list order, drop it when the array ends with it."""
-    arr = _col(tokens)
-    for seq in stops:
-        n = len(seq)
-        arr = F.when(ends_with_seq(arr, seq), F.slice(arr, 1, F.size(arr) - n)).otherwise(arr)
-    return arr
+    """For each stop sequence in list order, drop it when the array ends with it
+    (so several can be stripped in one pass). One ``aggregate`` over the stop
+    list keeps the expression linear in the number of stops."""
+    return F.aggregate(_stops_literal(stops), _col(tokens),
+                       lambda acc, s: F.when(_ends_with(acc, s), F.slice(acc, 1, F.size(acc) - F.size(s)))
+                       .otherwise(acc))
 
 
 def drop_end_marker(text, marker: str = K.END_MARKER) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import drop_end_marker, ends_with_seq, trim_stop
+from ..functions.text import drop_end_marker, ends_with_any, trim_stop
 from .prefix import prefix_sum, rank_rows
 
 NANO = 1_000_000_000  # nll is summed as integer nano-nats: exact and order-free
@@ -152,16 +152,19 @@ def successor_paths(nxt: DataFrame, fallback: Column, steps: int, domain: DataFr
     if domain is not None:
         toks = toks.union(domain.select(F.col(domain.columns[0]).alias("t")))
     toks = toks.union(nxt.sparkSession.range(1).select(fallback.alias("t"))).distinct()
-    step1 = (toks.join(nxt, toks.t == nxt.ctx, "left")
-             .select(F.col("t").alias("ctx"), F.array(F.coalesce(F.col("next"), fallback)).alias("path")))
-    paths, k = step1, 1
+    # Each round reads the previous paths twice; checkpointing every round (to
+    # the shared checkpoint folder) keeps each plan a two-scan join instead of
+    # a tree that doubles with every round.
+    paths = (toks.join(nxt, toks.t == nxt.ctx, "left")
+             .select(F.col("t").alias("ctx"), F.array(F.coalesce(F.col("next"), fallback)).alias("path"))
+             .checkpoint())
+    k = 1
     while k < steps:
         right = paths.select(F.col("ctx").alias("_c"), F.col("path").alias("_p"))
         paths = (paths.join(right, F.element_at(paths.path, -1) == right._c, "inner")
-                 .select("ctx", F.concat("path", "_p").alias("path")))
+                 .select("ctx", F.concat("path", "_p").alias("path"))
+                 .checkpoint())
         k *= 2
-        if k < steps and k % 4 == 0:
-            paths = paths.checkpoint()   # cut lineage; reliable checkpoint in spark.checkpoint.dir
     return paths.select("ctx", F.slice("path", 1, steps).alias("path"))
 
 
@@ -184,15 +187,13 @@ def batch_generate(prompts: DataFrame, nxt: DataFrame, fallback: Column, max_new
 
     def stopped(jj):
         seq = F.concat(F.when(F.size(F.col(tokens)) >= maxlen, tail).otherwise(F.col(tokens)), F.slice(gen, 1, jj))
-        cond = F.lit(False)
-        for s in stops:
-            cond = cond | ends_with_seq(seq, s)
-        return cond
+        return ends_with_any(seq, stops)
 
     hits = F.transform(F.sequence(F.lit(1), F.lit(max_new)), stopped)
     first = F.array_position(hits, True)
-    gen_cut = F.when(first > 0, F.slice(gen, F.lit(1), first.cast("int"))).otherwise(gen)
-    out = j.withColumn("generated", trim_stop(gen_cut, stops)).drop("_last", "ctx", "path")
+    j = j.withColumn("_gen", gen).withColumn("_first", first)
+    gen_cut = F.when(F.col("_first") > 0, F.slice("_gen", F.lit(1), F.col("_first").cast("int"))).otherwise(F.col("_gen"))
+    out = j.withColumn("generated", trim_stop(gen_cut, stops)).drop("_last", "ctx", "path", "_gen", "_first")
     return out.withColumn("text", drop_end_marker(F.array_join(F.concat(F.col(tokens), F.col("generated")), " ")))
 
 

@@ -110,3 +110,22 @@ def fx_train_docs(spark, sf_dir) -> DataFrame:
 def fx_nll(spark, sf_dir) -> DataFrame:
     from ..operators.scoring import ngram_nll
     return ngram_nll(fx_targets(spark, sf_dir), fx_train_docs(spark, sf_dir), lam=0.7)
+
+
+CTE_TRAIN_STREAM = ("fx_train_stream", "SELECT dataset, pos, token FROM fx_stream WHERE split = 'train'")
+
+
+def md5_int_sql(*parts: str) -> str:
+    """SQL twin of ``corpus.md5_int``: parts are SQL expressions joined with ':'."""
+    key = " || ':' || ".join(parts)
+    return f"('0x' || substr(md5({key}), 1, 12))::BIGINT"
+
+
+def fx_prompts(spark, sf_dir) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return conv.select("conv_id", "turn", tokenize_ws("text").alias("tokens"))
+
+
+CTE_PROMPTS = ("fx_prompts", r"""
+SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS tokens
+FROM conversations WHERE role = 'user'""")
