@@ -279,3 +279,47 @@ FROM conversations""")
 def q_batch_predict(spark, sf_dir):
     conv = X.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return S.batch_predict(conv, stub_predictor, "conv_id long, turn long, n_chars int, n_lines int")
+
+
+# Stop list for the query: the fixed stop words plus one two-token sequence so
+# multi-token trimming and list order are exercised.
+TRIM_STOPS = [[w] for w in S.K.STOP_WORDS] + [["###", "end"]]
+
+
+def _trim_stop_sql() -> str:
+    def arr(seq):
+        return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in seq) + "]"
+    stops = "[" + ", ".join(arr(s) for s in TRIM_STOPS) + "]"
+    n = len(TRIM_STOPS)
+    ctes = [X.CTE_TOKENS, ("ts0", f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN tokens
+                    WHEN doc_id % 3 = 1 THEN list_concat(tokens, {stops}[doc_id % {n} + 1])
+                    ELSE list_concat(list_concat(tokens, {stops}[doc_id % {n} + 1]), {stops}[(doc_id + 1) % {n} + 1]) END AS a
+FROM fx_tokens""")]
+    for k, seq in enumerate(TRIM_STOPS):
+        m = len(seq)
+        ctes.append((f"ts{k + 1}", f"""
+SELECT doc_id, CASE WHEN len(a) >= {m} AND list_slice(a, len(a) - {m} + 1, len(a)) = {arr(seq)}
+                    THEN list_slice(a, 1, len(a) - {m}) ELSE a END AS a FROM ts{k}"""))
+    last = f"ts{n}"
+    return with_ctes(*ctes) + f"""
+SELECT doc_id, CAST(len(a) AS INTEGER) AS n_tokens, array_to_string(list_slice(a, greatest(len(a) - 2, 1), len(a)), ' ') AS tail,
+       md5(CASE WHEN suffix(t, '</s>') THEN left(t, length(t) - 4) ELSE t END) AS text_md5
+FROM (SELECT doc_id, a, array_to_string(a, ' ') AS t FROM {last})"""
+
+
+@query("trim_stop", _trim_stop_sql())
+def q_trim_stop(spark, sf_dir):
+    from ..functions.text import drop_end_marker, trim_stop
+    t = X.fx_tokens(spark, sf_dir)
+    stops = F.array(*[F.array(*[F.lit(x) for x in s]) for s in TRIM_STOPS])
+    n = len(TRIM_STOPS)
+    did = F.col("doc_id")
+    a = (F.when(did % 3 == 0, F.col("tokens"))
+         .when(did % 3 == 1, F.concat("tokens", F.element_at(stops, (did % n + 1).cast("int"))))
+         .otherwise(F.concat("tokens", F.element_at(stops, (did % n + 1).cast("int")),
+                             F.element_at(stops, ((did + 1) % n + 1).cast("int")))))
+    r = t.select("doc_id", trim_stop(a, TRIM_STOPS).alias("a"))
+    return r.select("doc_id", F.size("a").alias("n_tokens"),
+                    F.array_join(F.slice("a", F.greatest(F.size("a") - 2, F.lit(1)), 3), " ").alias("tail"),
+                    F.md5(drop_end_marker(F.array_join("a", " "))).alias("text_md5"))
