@@ -240,3 +240,94 @@ def latency_summary(timings: DataFrame, run: str = "run", seconds: str = "second
             .withColumn("median_s", (F.col("_lo") + F.col("_hi")) / 2)
             .withColumn("mean_s", F.round(F.col("_sum").cast("double") / F.col("n_steps").cast("double"), 6))
             .select(run, "n_steps", "median_s", "mean_s", "max_s", "peak_mem"))
+
+
+MAX_LEVEL = 20   # a context is cut into 2^level slices; level ~ log2(candidates / 4)
+
+
+def sampling_table(cands: DataFrame, top_p: float, T: float) -> DataFrame:
+    """Per context, the cumulative distribution used for sampling.
+
+    Weights are temperature-scaled ``(cnt/total)^(1/T)``; candidates in order
+    (count desc, token) are kept while the scaled mass before them is below
+    ``top_p`` of the context's scaled total (``top_p >= 1`` keeps all); each
+    kept candidate owns ``[lo, lo + w)`` of ``[0, z)``. A context with n kept
+    candidates is cut into ``2^level`` equal slices (level ≈ log2(n/4)) and
+    each candidate is listed under the slices it overlaps, so the table stays
+    about the size of the candidate list and a draw finds its candidate among
+    a handful of rows even for a context with millions of them.
+    Output: ctx, level, bkt, token, lo, z.
+    """
+    c = cands.withColumn("_w", F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T)))
+    c = c.withColumn("_pre", F.substr(F.col("token"), F.lit(1), F.lit(2)))
+    c = prefix_sum(c, "_w", "lo", ["ctx"], [F.col("cnt").desc(), F.col("token").asc()],
+                   ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()])
+    zall = c.groupBy("ctx").agg(F.sum("_w").alias("_zall"))
+    c = c.join(zall, on="ctx")
+    if top_p < 1:
+        c = c.filter(F.col("lo") < F.lit(top_p) * F.col("_zall"))
+    z = c.groupBy("ctx").agg(F.sum("_w").alias("z"), F.count(F.lit(1)).alias("_n"))
+    c = c.join(z, on="ctx")
+    level = F.least(F.greatest(F.ceil(F.log2(F.col("_n") / 4.0)), F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
+    c = c.withColumn("level", level).withColumn("_nb", F.pow(F.lit(2.0), F.col("level")))
+    top = (F.col("_nb") - 1).cast("int")
+    b0 = F.least(F.floor(F.col("lo") * F.col("_nb") / F.col("z")).cast("int"), top)
+    b1 = F.least(F.floor((F.col("lo") + F.col("_w")) * F.col("_nb") / F.col("z")).cast("int"), top)
+    return c.select("ctx", "level", F.explode(F.sequence(b0, b1)).alias("bkt"), "token", "lo", "z")
+
+
+def uniform(seed, *parts) -> Column:
+    """Deterministic uniform in [0, 1) from md5(seed, parts...) (48 bits)."""
+    from .corpus import md5_int
+    return md5_int(seed, *parts).cast("double") / float(2 ** 48)
+
+
+def batch_generate_sampled(prompts: DataFrame, table: DataFrame, fallback: Column, max_new: int, seed: int,
+                           keys=("conv_id", "turn"), tokens: str = "tokens",
+                           stops: Sequence[Sequence[str]] = tuple([w] for w in K.STOP_WORDS)) -> DataFrame:
+    """Sampled generation: at step t each prompt draws ``u = uniform(seed, key, t)``
+    and takes the candidate of its last token whose ``[lo, lo + w)`` holds
+    ``u * z`` (the last candidate starting at or before it, among the rows of
+    the draw's slice). Contexts never seen continue with ``fallback``.
+
+    The per-step state is narrow (keys, last token, generated so far); it is
+    probed once per slice level (equi-join on ctx, level, slice), reduced with a
+    per-prompt ``max_by`` and checkpointed every 4 steps. The candidate table is
+    hash-partitioned by its lookup key once, so steps shuffle only the state.
+    Stop sequences are applied at the end as in greedy decoding."""
+    keys = list(keys)
+    state = prompts.select(*keys, F.try_element_at(tokens, F.lit(-1)).alias("_last"),
+                           F.array().cast("array<string>").alias("generated"))
+    tab = (table.select(F.col("ctx").alias("_last"), F.col("level").alias("_lv"), F.col("bkt").alias("_bkt"),
+                        "token", "lo", "z")
+           .repartition("_last", "_lv", "_bkt").checkpoint())
+    for t in range(max_new):
+        u = uniform(seed, *[F.col(k) for k in keys], t)
+        probe = (state.withColumn("_u", u)
+                 .withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))))
+                 .withColumn("_bkt", F.least(F.floor(F.col("_u") * F.pow(F.lit(2.0), F.col("_lv"))),
+                                             F.pow(F.lit(2.0), F.col("_lv")) - 1).cast("int")))
+        j = probe.join(tab, on=["_last", "_lv", "_bkt"], how="left")
+        j = j.filter(F.col("lo").isNull() | (F.col("lo") <= F.col("_u") * F.col("z")))
+        g = j.groupBy(*keys).agg(F.first("generated").alias("generated"), F.first("_last").alias("_last"),
+                                 F.max_by("token", "lo").alias("_tok"))
+        nxt = F.when(F.col("_last").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_tok"), fallback))
+        state = (g.withColumn("_nxt", nxt)
+                 .withColumn("generated", F.when(F.col("_nxt").isNull(), F.col("generated"))
+                             .otherwise(F.concat("generated", F.array(F.col("_nxt")))))
+                 .withColumn("_last", F.coalesce(F.col("_nxt"), F.col("_last"))).drop("_tok", "_nxt"))
+        if t % 4 == 3:
+            state = state.checkpoint()
+    state = prompts.select(*keys, tokens).join(state.drop("_last"), on=keys, how="left")
+    maxlen = max(len(s) for s in stops)
+    tail = F.slice(F.col(tokens), -maxlen, maxlen)
+    gen = F.coalesce(F.col("generated"), F.array().cast("array<string>"))
+
+    def stopped(jj):
+        seq = F.concat(F.when(F.size(F.col(tokens)) >= maxlen, tail).otherwise(F.col(tokens)), F.slice(gen, 1, jj))
+        return ends_with_any(seq, stops)
+    first = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(F.size(gen), F.lit(1))), stopped), True)
+    state = state.withColumn("generated", gen).withColumn("_first", first)
+    cut = F.when(F.col("_first") > 0, F.slice("generated", F.lit(1), F.col("_first").cast("int"))).otherwise(F.col("generated"))
+    out = state.withColumn("generated", trim_stop(cut, stops)).drop("_first")
+    return out.withColumn("text", drop_end_marker(F.array_join(F.concat(F.col(tokens), F.col("generated")), " ")))

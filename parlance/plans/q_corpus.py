@@ -323,3 +323,45 @@ def q_trim_stop(spark, sf_dir):
     return r.select("doc_id", F.size("a").alias("n_tokens"),
                     F.array_join(F.slice("a", F.greatest(F.size("a") - 2, F.lit(1)), 3), " ").alias("tail"),
                     F.md5(drop_end_marker(F.array_join("a", " "))).alias("text_md5"))
+
+
+_SAMPLE_T, _SAMPLE_P, _SAMPLE_SEED = 0.7, 0.9, 0
+
+
+@query("batch_generate_sampled", with_ctes(
+    X.CTE_TOKENS, X.CTE_PROMPTS, ("g_train", "SELECT tokens FROM fx_tokens WHERE split = 'train'"),
+    ("g_uni", "SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM g_train) GROUP BY token"),
+    ("g_big", """SELECT prev AS ctx, nxt AS token, count(*) AS cnt FROM (
+         SELECT unnest(list_slice(tokens, 1, greatest(len(tokens) - 1, 0))) AS prev,
+                unnest(list_slice(tokens, 2, len(tokens))) AS nxt FROM g_train) GROUP BY prev, nxt"""),
+    ("g_w", f"""SELECT b.ctx, b.token, b.cnt,
+         pow(CAST(b.cnt AS DOUBLE) / CAST(t.total AS DOUBLE), 1.0::DOUBLE / {_SAMPLE_T}::DOUBLE) AS w
+         FROM g_big b JOIN (SELECT ctx, sum(cnt) AS total FROM g_big GROUP BY ctx) t ON t.ctx = b.ctx"""),
+    ("g_cum", """SELECT *, COALESCE(sum(w) OVER (PARTITION BY ctx ORDER BY cnt DESC, token
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS lo,
+                         sum(w) OVER (PARTITION BY ctx) AS zall FROM g_w"""),
+    ("g_keep", f"SELECT * FROM g_cum WHERE lo < {_SAMPLE_P}::DOUBLE * zall"),
+    ("g_tab", "SELECT k.ctx, k.token, k.lo, z.z FROM g_keep k JOIN (SELECT ctx, sum(w) AS z FROM g_keep GROUP BY ctx) z ON z.ctx = k.ctx"),
+    ("g_fb", "SELECT arg_min(token, (-cnt, token)) AS t FROM g_uni")).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+gen(conv_id, turn, step, last, seq) AS (
+  SELECT conv_id, turn, 0, tokens[len(tokens)], []::VARCHAR[] FROM fx_prompts WHERE len(tokens) > 0
+  UNION ALL
+  SELECT g.conv_id, g.turn, g.step + 1, nx, list_append(g.seq, nx) FROM (
+    SELECT g.*, COALESCE((SELECT arg_max(t.token, t.lo) FROM g_tab t
+                          WHERE t.ctx = g.last AND t.lo <= ({X.md5_int_sql(f"'{_SAMPLE_SEED}'", "CAST(g.conv_id AS VARCHAR)", "CAST(g.turn AS VARCHAR)", "CAST(g.step AS VARCHAR)")}::DOUBLE / 281474976710656.0::DOUBLE) * t.z),
+                         (SELECT t FROM g_fb)) AS nx
+    FROM gen g WHERE g.step < {_GEN_STEPS}) g),
+fin AS (
+  SELECT p.conv_id, p.turn, COALESCE(g.seq, []::VARCHAR[]) AS seq
+  FROM fx_prompts p LEFT JOIN (SELECT * FROM gen WHERE step = {_GEN_STEPS}) g ON g.conv_id = p.conv_id AND g.turn = p.turn),
+cut AS (SELECT *, list_position(list_transform(seq, lambda x: x IN ('<unk>', '<s>', '</s>', '�', '!0')), true) AS hit FROM fin)
+SELECT conv_id, turn, CAST(len(gen) AS INTEGER) AS n_new, array_to_string(gen, ' ') AS generated
+FROM (SELECT conv_id, turn, CASE WHEN hit > 0 THEN list_slice(seq, 1, hit - 1) ELSE seq END AS gen FROM cut)""")
+def q_batch_generate_sampled(spark, sf_dir):
+    train = X.fx_train_docs(spark, sf_dir)
+    uni, big, ctx, _ = S.bigram_model(train.withColumn("dataset", F.lit("all")), ("dataset",))
+    cands = S.candidates(big, ctx, ("dataset",)).drop("dataset")
+    table = S.sampling_table(cands, _SAMPLE_P, _SAMPLE_T).checkpoint()
+    fallback = uni.agg(F.min_by("token", F.struct((-F.col("cnt")).alias("n"), F.col("token").alias("t")))).scalar()
+    gen = S.batch_generate_sampled(X.fx_prompts(spark, sf_dir), table, fallback, _GEN_STEPS, _SAMPLE_SEED)
+    return gen.select("conv_id", "turn", F.size("generated").alias("n_new"), F.array_join("generated", " ").alias("generated"))
