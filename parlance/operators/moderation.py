@@ -7,7 +7,6 @@ longer wordlist switches to an Aho-Corasick automaton built once per Python
 worker (pandas UDF) — exact either way.
 """
 
-from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
