@@ -142,11 +142,11 @@ def vocab(tokens: DataFrame, token: str = "token") -> DataFrame:
     """token -> count -> id, ids by (count desc, token).
 
     Counts are a partial aggregation. Ids come from the two-level rank with
-    buckets (count, first two characters) — a coarsening of the order — so a
+    buckets (count, first three characters) — a coarsening of the order — so a
     huge group of rare tokens is still split across tasks.
     """
     counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("cnt"))
-    counts = counts.withColumn("_pre", F.substr(F.col(token), F.lit(1), F.lit(2)))
+    counts = counts.withColumn("_pre", F.substr(F.col(token), F.lit(1), F.lit(3)))
     ranked = rank_rows(counts, "id", [], [F.col("cnt").desc(), F.col(token).asc()],
                        ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()])
     return ranked.select(token, "cnt", "id")

@@ -17,26 +17,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_sum(df: DataFrame, value, out: str, part: Sequence[str], order: Sequence[Column],
+def prefix_sum(df: DataFrame, value, out, part: Sequence[str], order: Sequence[Column],
                buckets: Sequence[str], bucket_order: Sequence[Column] | None = None,
                inclusive: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows before this one (or up to and
-    including it when ``inclusive``) in the total order ``order`` within ``part``."""
+    including it when ``inclusive``) in the total order ``order`` within ``part``.
+
+    ``value``/``out`` may be lists to carry several running sums in one pass."""
+    values = list(value) if isinstance(value, (list, tuple)) else [value]
+    outs = list(out) if isinstance(out, (list, tuple)) else [out]
     part, buckets = list(part), list(buckets)
-    v = F.col(value) if isinstance(value, str) else value
     bucket_order = list(bucket_order) if bucket_order is not None else [F.col(b).asc() for b in buckets]
     w_bucket = Window.partitionBy(*part, *buckets)
     frame_end = Window.currentRow if inclusive else -1
     w_run = w_bucket.orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    inner = (df.withColumn("_pv", v.cast("bigint") if _is_integral(df, v) else v)
-               .withColumn("_in", F.coalesce(F.sum("_pv").over(w_run), F.lit(0)))
-               .withColumn("_bt", F.sum("_pv").over(w_bucket))
-               .withColumn("_rn", F.row_number().over(w_bucket.orderBy(*order))))
-    heads = inner.filter(F.col("_rn") == 1).select(*part, *buckets, "_bt")
     w_off = Window.partitionBy(*part).orderBy(*bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = heads.withColumn("_bo", F.coalesce(F.sum("_bt").over(w_off), F.lit(0))).drop("_bt")
+    inner = df
+    for k, v in enumerate(values):
+        vc = F.col(v) if isinstance(v, str) else v
+        vc = vc.cast("bigint") if _is_integral(df, vc) else vc
+        inner = (inner.withColumn(f"_pv{k}", vc)
+                 .withColumn(f"_in{k}", F.coalesce(F.sum(f"_pv{k}").over(w_run), F.lit(0)))
+                 .withColumn(f"_bt{k}", F.sum(f"_pv{k}").over(w_bucket)))
+    inner = inner.withColumn("_rn", F.row_number().over(w_bucket.orderBy(*order)))
+    n = len(values)
+    heads = inner.filter(F.col("_rn") == 1).select(*part, *buckets, *[f"_bt{k}" for k in range(n)])
+    offsets = heads
+    for k in range(n):
+        offsets = offsets.withColumn(f"_bo{k}", F.coalesce(F.sum(f"_bt{k}").over(w_off), F.lit(0)))
+    offsets = offsets.drop(*[f"_bt{k}" for k in range(n)])
     joined = inner.join(offsets, on=part + buckets, how="inner")
-    return joined.withColumn(out, F.col("_bo") + F.col("_in")).drop("_pv", "_in", "_bt", "_rn", "_bo")
+    for k in range(n):
+        joined = joined.withColumn(outs[k], F.col(f"_bo{k}") + F.col(f"_in{k}"))
+    return joined.drop("_rn", *[f"_{x}{k}" for x in ("pv", "in", "bt", "bo") for k in range(n)])
 
 
 def _is_integral(df: DataFrame, v: Column) -> bool:

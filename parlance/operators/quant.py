@@ -92,12 +92,13 @@ def channel_params(matrix: DataFrame, bits: int, sym: bool, vec: str = "vec", te
 
 
 def tensor_params(matrix: DataFrame, bits: int, sym: bool, vec: str = "vec") -> DataFrame:
-    """One range for the whole matrix (scalar subqueries), repeated on every row."""
-    gmin = matrix.select(F.min(F.array_min(vec))).scalar()
-    gmax = matrix.select(F.max(F.array_max(vec))).scalar()
-    lo, hi = value_range(gmin, gmax, sym)
+    """One range for the whole matrix, repeated on every row: the parameters are
+    computed once in a global aggregate and attached as one scalar subquery."""
+    g = matrix.agg(F.min(F.array_min(vec)).alias("mn"), F.max(F.array_max(vec)).alias("mx"))
+    lo, hi = value_range(F.col("mn"), F.col("mx"), sym)
     s, z = scale_zero(lo, hi, bits, sym)
-    return matrix.withColumn("scale", s).withColumn("zero", z)
+    p = g.select(F.struct(s.alias("s"), z.alias("z")).alias("p")).scalar()
+    return matrix.withColumn("_p", p).withColumn("scale", F.col("_p.s")).withColumn("zero", F.col("_p.z")).drop("_p")
 
 
 def mse_params(matrix: DataFrame, bits: int, sym: bool, norm: float = K.MSE_NORM, grid: int = K.MSE_GRID,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import drop_end_marker, ends_with_any, trim_stop
+from ..session import checkpointed
 from .prefix import prefix_sum, rank_rows
 
 NANO = 1_000_000_000  # nll is summed as integer nano-nats: exact and order-free
@@ -96,8 +97,7 @@ def running_perplexity(nll: DataFrame, part=("dataset",), order: str = "pos",
     """exp(cumulative mean nll) up to each position, two-level prefix sums."""
     part = list(part)
     b = nll.withColumn("_b", F.floor(F.col(order) / bucket)).withColumn("_one", F.lit(1))
-    s = prefix_sum(b, "nll_n", "_cum", part, [F.col(order)], ["_b"], inclusive=True)
-    s = prefix_sum(s, "_one", "_cnt", part, [F.col(order)], ["_b"], inclusive=True)
+    s = prefix_sum(b, ["nll_n", "_one"], ["_cum", "_cnt"], part, [F.col(order)], ["_b"], inclusive=True)
     return (s.withColumn("running_ppl", F.round(F.exp((F.col("_cum").cast("double") / NANO) /
                                                        F.col("_cnt").cast("double")), 6))
             .drop("_b", "_one", "_cum"))
@@ -155,15 +155,13 @@ def successor_paths(nxt: DataFrame, fallback: Column, steps: int, domain: DataFr
     # Each round reads the previous paths twice; checkpointing every round (to
     # the shared checkpoint folder) keeps each plan a two-scan join instead of
     # a tree that doubles with every round.
-    paths = (toks.join(nxt, toks.t == nxt.ctx, "left")
-             .select(F.col("t").alias("ctx"), F.array(F.coalesce(F.col("next"), fallback)).alias("path"))
-             .checkpoint())
+    paths = checkpointed(toks.join(nxt, toks.t == nxt.ctx, "left")
+                         .select(F.col("t").alias("ctx"), F.array(F.coalesce(F.col("next"), fallback)).alias("path")))
     k = 1
     while k < steps:
         right = paths.select(F.col("ctx").alias("_c"), F.col("path").alias("_p"))
-        paths = (paths.join(right, F.element_at(paths.path, -1) == right._c, "inner")
-                 .select("ctx", F.concat("path", "_p").alias("path"))
-                 .checkpoint())
+        paths = checkpointed(paths.join(right, F.element_at(paths.path, -1) == right._c, "inner")
+                             .select("ctx", F.concat("path", "_p").alias("path")))
         k *= 2
     return paths.select("ctx", F.slice("path", 1, steps).alias("path"))
 
@@ -223,21 +221,27 @@ def latency_summary(timings: DataFrame, run: str = "run", seconds: str = "second
                     mem: str = "mem_mib", bucket_width: float = 1.0) -> DataFrame:
     """Per run: steps, exact median (mean of the middle two), mean, max, peak memory.
 
-    The median is a rank selection (two-level ranks bucketed by value), so no
-    run's values are gathered into one task; mean is an exact decimal sum.
-    """
-    t = timings.withColumn("_b", F.floor(F.col(seconds) / bucket_width))
-    ranked = rank_rows(t, "_r", [run], [F.col(seconds)], ["_b"])
+    The median is a rank selection over the *distinct* (run, value) counts (a
+    partial aggregation), positioned with the two-level prefix sum bucketed by
+    value — so neither a run's rows nor its values meet in one task; the mean
+    is an exact decimal sum."""
+    counts = timings.groupBy(run, seconds).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_b", F.floor(F.col(seconds) / bucket_width))
+    ranked = prefix_sum(counts, "_c", "_lo", [run], [F.col(seconds)], ["_b"])
     stats = timings.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.sum(F.col(seconds).cast("decimal(20,4)")).alias("_sum"),
         F.max(seconds).alias("max_s"),
         F.max(mem).alias("peak_mem"))
+    r_lo = F.floor((F.col("n_steps") - 1) / 2)
+    r_hi = F.floor(F.col("n_steps") / 2)
+    holds = lambda r: (F.col("_lo") <= r) & (r < F.col("_lo") + F.col("_c"))
     mid = (ranked.join(stats.select(run, "n_steps"), on=run)
-           .filter((F.col("_r") == F.floor((F.col("n_steps") - 1) / 2)) | (F.col("_r") == F.floor(F.col("n_steps") / 2)))
-           .groupBy(run).agg(F.min(seconds).alias("_lo"), F.max(seconds).alias("_hi")))
+           .filter(holds(r_lo) | holds(r_hi))
+           .groupBy(run).agg(F.max(F.when(holds(r_lo), F.col(seconds))).alias("_a"),
+                             F.max(F.when(holds(r_hi), F.col(seconds))).alias("_z")))
     return (stats.join(mid, on=run)
-            .withColumn("median_s", (F.col("_lo") + F.col("_hi")) / 2)
+            .withColumn("median_s", (F.col("_a") + F.col("_z")) / 2)
             .withColumn("mean_s", F.round(F.col("_sum").cast("double") / F.col("n_steps").cast("double"), 6))
             .select(run, "n_steps", "median_s", "mean_s", "max_s", "peak_mem"))
 
@@ -300,7 +304,8 @@ def batch_generate_sampled(prompts: DataFrame, table: DataFrame, fallback: Colum
                            F.array().cast("array<string>").alias("generated"))
     tab = (table.select(F.col("ctx").alias("_last"), F.col("level").alias("_lv"), F.col("bkt").alias("_bkt"),
                         "token", "lo", "z")
-           .repartition("_last", "_lv", "_bkt").checkpoint())
+           .repartition("_last", "_lv", "_bkt"))
+    tab = checkpointed(tab)
     for t in range(max_new):
         u = uniform(seed, *[F.col(k) for k in keys], t)
         probe = (state.withColumn("_u", u)
@@ -317,7 +322,7 @@ def batch_generate_sampled(prompts: DataFrame, table: DataFrame, fallback: Colum
                              .otherwise(F.concat("generated", F.array(F.col("_nxt")))))
                  .withColumn("_last", F.coalesce(F.col("_nxt"), F.col("_last"))).drop("_tok", "_nxt"))
         if t % 4 == 3:
-            state = state.checkpoint()
+            state = checkpointed(state)
     state = prompts.select(*keys, tokens).join(state.drop("_last"), on=keys, how="left")
     maxlen = max(len(s) for s in stops)
     tail = F.slice(F.col(tokens), -maxlen, maxlen)

@@ -68,3 +68,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+
+
+def checkpointed(df):
+    """Reliable checkpoint into the shared folder (resolved from the session
+    first, so it works in any session the caller hands us)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

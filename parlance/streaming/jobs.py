@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import admission as A
 from ..operators import gram as G
 from ..operators import moderation as M
-from ..session import scratch_path
+from ..session import checkpointed, scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **opts) -> DataFrame:
@@ -91,7 +91,7 @@ def merged_gram(spark: SparkSession, state_path: str) -> DataFrame:
     state = None
     for b in ids:
         state = G.gram_merge(state, deltas.filter(F.col("batch_id") == b).drop("batch_id"))
-        state = state.checkpoint() if len(ids) > 8 else state
+        state = checkpointed(state) if len(ids) > 8 else state
     return state
 
 
