@@ -89,7 +89,7 @@ def sample_windows(stream: DataFrame, nsamples: int, L: int, seed: int = 0,
     part = list(part)
     sizes = stream.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"))
     wins = (sizes.filter(F.col("_N") > L)
-            .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(nsamples - 1))))
+            .withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nsamples - 1).cast("bigint"))))
             .withColumn("start", F.pmod(md5_int(seed, F.col("sample_id")), F.col("_N") - L))
             .withColumn("blk", F.explode(F.array(F.floor(F.col("start") / L), F.floor(F.col("start") / L) + 1)))
             .drop("_N"))
@@ -119,7 +119,7 @@ def sample_doc_windows(docs: DataFrame, nsamples: int, L: int, seed: int = 0,
             .withColumn("_b", F.floor(F.col(key) / DOC_BUCKET)))
     ranked = rank_rows(elig, "_rank", part, [F.col(key)], ["_b"]).drop("_b")
     counts = elig.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"))
-    picks = (counts.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(nsamples - 1))))
+    picks = (counts.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nsamples - 1).cast("bigint"))))
              .withColumn("_rank", F.pmod(md5_int(seed, "d", F.col("sample_id")), F.col("_cnt")))
              .drop("_cnt"))
     chosen = ranked.join(F.broadcast(picks), on=part + ["_rank"])

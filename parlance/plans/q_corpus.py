@@ -189,7 +189,7 @@ _CAND = ("cands", "SELECT b.dataset, b.prev AS ctx, b.next AS token, b.cnt, c.ct
 
 
 @query("top_p_filter", with_ctes(X.CTE_TOKENS, *X.CTE_MODEL, _CAND) + """
-SELECT dataset, ctx, token, cnt, cum_prev FROM (
+SELECT dataset, ctx, token, cnt, CAST(cum_prev AS BIGINT) AS cum_prev FROM (
   SELECT *, COALESCE(sum(cnt) OVER (PARTITION BY dataset, ctx ORDER BY cnt DESC, token
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_prev
   FROM cands) WHERE CAST(cum_prev AS DOUBLE) < 0.9::DOUBLE * CAST(total AS DOUBLE)""")
