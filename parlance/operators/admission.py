@@ -37,11 +37,11 @@ def transition(inflight: list, ts: int, end: int, cap: int) -> tuple[bool, list]
     return False, live
 
 
-def _fold(keys: np.ndarray, ts: np.ndarray, ends: np.ndarray, cap: int, carry: dict) -> np.ndarray:
+def _fold(keys: np.ndarray, segs: np.ndarray, ts: np.ndarray, ends: np.ndarray, cap: int, carry: dict) -> np.ndarray:
     out = np.empty(len(ts), dtype=bool)
     cur, state = carry.get("key"), carry.get("state", [])
     for i in range(len(ts)):
-        k = keys[i]
+        k = (keys[i], segs[i])
         if k != cur:
             cur, state = k, []
         out[i], state = transition(state, int(ts[i]), int(ends[i]), cap)
@@ -49,22 +49,42 @@ def _fold(keys: np.ndarray, ts: np.ndarray, ends: np.ndarray, cap: int, carry: d
     return out
 
 
+def independent_segments(events: DataFrame, key: str, ts: str, end: str, tiebreak: str, out: str = "_seg") -> DataFrame:
+    """Number the stretches of each key's events that can be decided
+    independently. An event with no earlier event of its key in the preceding
+    ``D_max`` (the longest duration in the table) finds nothing in flight, so
+    the fold may restart there; ``_seg`` counts such resets so far. Lag and
+    running count share one JVM window (one sort per key), so a hot key's
+    Python fold is split wherever its timeline has a quiet gap."""
+    dmax = events.select(F.max(F.col(end) - F.col(ts))).scalar()
+    w = Window.partitionBy(key).orderBy(ts, tiebreak)
+    prev = F.lag(ts).over(w)
+    reset = F.when(prev.isNull() | (F.col(ts) - prev >= dmax), 1).otherwise(0)
+    return (events.withColumn("_reset", reset)
+            .withColumn(out, F.sum("_reset").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .drop("_reset"))
+
+
 def admission_control(events: DataFrame, key: str = "user_id", ts: str = "ts_us", end: str = "end_us",
                       allow_queue: bool = False, max_queue: int | None = DEFAULT_MAX_QUEUE,
                       tiebreak: str = "request_id", out: str = "admitted") -> DataFrame:
     """Adds ``admitted`` per event (events must carry ``end``, when an admitted
-    request would leave the queue)."""
+    request would leave the queue). Keys are cut into independent segments
+    first (see ``independent_segments``); each (key, segment) is folded in
+    event order by a streaming ``mapInPandas`` pass over sorted partitions."""
     cap = capacity(allow_queue, max_queue)
     fields = events.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` boolean"
+    cols = [f.name for f in fields]
 
     def run(batches):
         carry: dict = {}
         for pdf in batches:
-            adm = _fold(pdf[key].to_numpy(), pdf[ts].to_numpy(), pdf[end].to_numpy(), cap, carry)
-            yield pdf.assign(**{out: adm})
+            adm = _fold(pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf[ts].to_numpy(), pdf[end].to_numpy(), cap, carry)
+            yield pdf[cols].assign(**{out: adm})
 
-    ordered = events.repartition(key).sortWithinPartitions(key, ts, tiebreak)
+    seg = independent_segments(events, key, ts, end, tiebreak)
+    ordered = seg.repartition(key, "_seg").sortWithinPartitions(key, "_seg", ts, tiebreak)
     return ordered.mapInPandas(run, schema)
 
 
