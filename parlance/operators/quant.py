@@ -245,57 +245,99 @@ def unpack_dequant(df: DataFrame, bits: int, d: int, gs: int, words: str = "word
 
 # ---------------------------------------------------------------- matmul
 
-MAX_BROADCAST_X = 1 << 20   # activation rows x features we accept to broadcast
+MAX_BROADCAST_X = 1 << 20   # values (rows x width) we accept to broadcast for either side
+MATMUL_BLOCK = 2048         # rows per block in the block-replicated product
+
+
+def _unpack_np(words: np.ndarray, scales: np.ndarray, zeros: np.ndarray, bits: int, d: int, gs: int) -> np.ndarray:
+    """Dense weights (rows x d) from packed words with NumPy bit operations."""
+    shifts = np.arange(d, dtype=np.int64) * bits
+    widx, sft = shifts // 32, shifts % 32
+    words = np.concatenate([words, np.zeros((len(words), 1), dtype=np.int64)], axis=1)
+    lo = words[:, widx] >> sft
+    hi = np.where(sft + bits > 32, words[:, widx + 1] << (32 - sft), 0)
+    codes = (lo | hi) & (2 ** bits - 1)
+    g = np.arange(d) // gs
+    return scales[:, g] * (codes - zeros[:, g])
+
+
+def _stack(series, dtype=np.float64) -> np.ndarray:
+    return np.stack(series.map(lambda a: np.asarray(a, dtype=dtype)).to_numpy())
 
 
 def dequant_matmul(x: DataFrame, packed: DataFrame, bits: int, d: int, gs: int, bias: str | None = None,
                    x_id: str = "b", x_vec: str = "x", row: str = "row") -> DataFrame:
     """``y[b, row] = sum_k x[b,k] * W[row,k] (+ bias[row])`` straight from packed words.
 
-    When the activation table is small (row count x width checked against
-    ``MAX_BROADCAST_X``) it is broadcast once and every partition of the packed
-    matrix unpacks and multiplies a batch of rows with NumPy — the matrix is
-    never shuffled or materialised dense. Otherwise a relational plan joins
-    unpacked weights to activations on the input index and sums per (b, row).
+    Plan choice by checked sizes: a small activation table is broadcast and
+    every partition of the packed matrix unpacks a batch of rows and multiplies
+    with NumPy (the matrix is never shuffled or stored dense); otherwise a small
+    packed matrix is broadcast and the activations stream past it; when both
+    are large, rows are grouped into blocks and each (activation block, weight
+    block) pair meets exactly once in a replicated block join.
     Output: b, row, y.
     """
     spark = x.sparkSession
-    n = x.limit(MAX_BROADCAST_X // max(d, 1) + 1).count()
-    if n * d <= MAX_BROADCAST_X:
+    wcols = [row, "words", "scales", "zeros"] + ([bias] if bias else [])
+    cap = MAX_BROADCAST_X // max(d, 1)
+    nx = x.limit(cap + 1).count()
+    if nx <= cap:
         xs = x.select(x_id, x_vec).toPandas()
-        ids = xs[x_id].to_numpy()
-        xm = np.stack(xs[x_vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) if len(xs) else np.zeros((0, d))
-        bx = spark.sparkContext.broadcast((ids, xm))
-        shifts = np.arange(d, dtype=np.int64) * bits
-        widx, sft = shifts // 32, shifts % 32
-        cols = [row, words_col := "words", "scales", "zeros"] + ([bias] if bias else [])
+        bx = spark.sparkContext.broadcast((xs[x_id].to_numpy(), _stack(xs[x_vec]) if len(xs) else np.zeros((0, d))))
 
         def run(batches):
             ids_, xm_ = bx.value
             for pdf in batches:
                 if pdf.empty:
                     continue
-                words = np.stack(pdf[words_col].map(lambda a: np.asarray(a, dtype=np.int64)).to_numpy())
-                words = np.concatenate([words, np.zeros((len(pdf), 1), dtype=np.int64)], axis=1)
-                lo = words[:, widx] >> sft
-                hi = np.where(sft + bits > 32, words[:, widx + 1] << (32 - sft), 0)
-                codes = (lo | hi) & (2 ** bits - 1)
-                sc = np.stack(pdf["scales"].map(np.asarray).to_numpy())[:, np.arange(d) // gs]
-                zr = np.stack(pdf["zeros"].map(np.asarray).to_numpy())[:, np.arange(d) // gs]
-                w = sc * (codes - zr)
-                y = xm_ @ w.T                                   # (B, rows)
+                w = _unpack_np(_stack(pdf["words"], np.int64), _stack(pdf["scales"]), _stack(pdf["zeros"]), bits, d, gs)
+                y = xm_ @ w.T
                 if bias:
                     y = y + pdf[bias].to_numpy()[None, :]
                 rows = pdf[row].to_numpy()
-                yield pd.DataFrame({"b": np.repeat(ids_, len(rows)), "row": np.tile(rows, len(ids_)),
-                                    "y": y.reshape(-1)})
-        return packed.select(*cols).mapInPandas(run, "b long, row long, y double")
-    wl = (unpack_dequant(packed, bits, d, gs).select(row, F.posexplode("w").alias("k", "wv")))
-    xl = x.select(x_id, F.posexplode(x_vec).alias("k", "xv"))
-    out = xl.join(wl, on="k").groupBy(F.col(x_id).alias("b"), F.col(row).alias("row")).agg(F.sum(F.col("xv") * F.col("wv")).alias("y"))
-    if bias:
-        out = out.join(packed.select(F.col(row).alias("row"), bias), on="row").withColumn("y", F.col("y") + F.col(bias)).drop(bias)
-    return out
+                yield pd.DataFrame({"b": np.repeat(ids_, len(rows)), "row": np.tile(rows, len(ids_)), "y": y.reshape(-1)})
+        return packed.select(*wcols).mapInPandas(run, "b long, row long, y double")
+
+    nw = packed.limit(cap + 1).count()
+    if nw <= cap:
+        wp = packed.select(*wcols).toPandas()
+        wm = _unpack_np(_stack(wp["words"], np.int64), _stack(wp["scales"]), _stack(wp["zeros"]), bits, d, gs)
+        bw = spark.sparkContext.broadcast((wp[row].to_numpy(), wm, wp[bias].to_numpy() if bias else None))
+
+        def run_x(batches):
+            rows_, wm_, b_ = bw.value
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                y = _stack(pdf[x_vec]) @ wm_.T
+                if b_ is not None:
+                    y = y + b_[None, :]
+                ids = pdf[x_id].to_numpy()
+                yield pd.DataFrame({"b": np.repeat(ids, len(rows_)), "row": np.tile(rows_, len(ids)), "y": y.reshape(-1)})
+        return x.select(x_id, x_vec).mapInPandas(run_x, "b long, row long, y double")
+
+    n_xb = math.ceil(x.count() / MATMUL_BLOCK)
+    n_wb = math.ceil(packed.count() / MATMUL_BLOCK)
+    xb = (x.select(x_id, x_vec).withColumn("xb", F.pmod(F.xxhash64(x_id), F.lit(n_xb)))
+          .groupBy("xb").agg(F.collect_list(x_id).alias("ids"), F.collect_list(x_vec).alias("xm"))
+          .withColumn("wb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_wb - 1).cast("bigint")))))
+    wb = (packed.select(*wcols).withColumn("wb", F.pmod(F.xxhash64(row), F.lit(n_wb)))
+          .groupBy("wb").agg(*[F.collect_list(c).alias(f"w_{c}") for c in wcols])
+          .withColumn("xb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_xb - 1).cast("bigint")))))
+
+    def run_blocks(batches):
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                xm = np.stack([np.asarray(a, dtype=np.float64) for a in r["xm"]])
+                w = _unpack_np(np.stack([np.asarray(a, dtype=np.int64) for a in r["w_words"]]),
+                               np.stack([np.asarray(a) for a in r["w_scales"]]),
+                               np.stack([np.asarray(a) for a in r["w_zeros"]]), bits, d, gs)
+                y = xm @ w.T
+                if bias:
+                    y = y + np.asarray(r[f"w_{bias}"])[None, :]
+                ids, rows = np.asarray(r["ids"]), np.asarray(r[f"w_{row}"])
+                yield pd.DataFrame({"b": np.repeat(ids, len(rows)), "row": np.tile(rows, len(ids)), "y": y.reshape(-1)})
+    return xb.join(wb, on=["xb", "wb"]).mapInPandas(run_blocks, "b long, row long, y double")
 
 
 def quant_error(a: DataFrame, b: DataFrame, key: str = "row", va: str = "vec", vb: str = "deq") -> DataFrame:

@@ -76,13 +76,18 @@ def test_matmul_paths_agree(spark):
     packed = Q.pack_words(p, 4, 64).select("row", "words", "scales", "zeros", "deq")
     xs = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "b long, x array<double>")
     fast = {(r.b, r.row): r.y for r in Q.dequant_matmul(xs, packed, 4, 64, 32).collect()}
-    old = Q.MAX_BROADCAST_X
-    Q.MAX_BROADCAST_X = 0
+    old, oldb = Q.MAX_BROADCAST_X, Q.MATMUL_BLOCK
     try:
-        rel = {(r.b, r.row): r.y for r in Q.dequant_matmul(xs, packed, 4, 64, 32).collect()}
+        Q.MAX_BROADCAST_X = 64 * 5          # x (3 rows) too big? no: W (12 rows) is -> broadcast W path
+        Q.MAX_BROADCAST_X = 64 * 2
+        wside = {(r.b, r.row): r.y for r in Q.dequant_matmul(xs, packed, 4, 64, 32).collect()}
+        Q.MAX_BROADCAST_X, Q.MATMUL_BLOCK = 0, 4   # neither side broadcast -> block join
+        blocks = {(r.b, r.row): r.y for r in Q.dequant_matmul(xs, packed, 4, 64, 32).collect()}
     finally:
-        Q.MAX_BROADCAST_X = old
+        Q.MAX_BROADCAST_X, Q.MATMUL_BLOCK = old, oldb
     deq = np.array([r.deq for r in sorted(packed.collect(), key=lambda r: r.row)])
     ref = x @ deq.T
+    assert len(fast) == len(wside) == len(blocks) == 36
     for (b, row), y in fast.items():
-        assert abs(y - ref[b, row]) < 1e-9 and abs(rel[(b, row)] - ref[b, row]) < 1e-9
+        for got in (y, wside[(b, row)], blocks[(b, row)]):
+            assert abs(got - ref[b, row]) < 1e-9
