@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mask_labels, tokenize_ws  # noqa: F401  (re-exported)
 from .prefix import prefix_sum, rank_rows
+from .sizing import broadcast_if_small, small_table
 
 DOC_BUCKET = 1024      # documents per prefix-sum bucket (token_stream / doc ranks)
 
@@ -83,18 +84,18 @@ def sample_windows(stream: DataFrame, nsamples: int, L: int, seed: int = 0,
     A range join done as an equi-join: the stream is keyed by ``pos div L``;
     each window touches at most two such blocks, so it is exploded to two
     block keys and the exact range is filtered after the join. The window
-    table has 2·nsamples rows per stream and is broadcast; the stream is not
-    shuffled. Output: part..., sample_id, start, idx, pos, token.
+    table has 2·nsamples rows per stream and is broadcast after a row-count
+    check (so the stream is not shuffled). Output: part..., sample_id, start, idx, pos, token.
     """
     part = list(part)
-    sizes = stream.groupBy(*part).agg(F.count(F.lit(1)).alias("_N"))
+    sizes = small_table(stream.groupBy(*part).agg(F.count(F.lit(1)).alias("_N")))
     wins = (sizes.filter(F.col("_N") > L)
             .withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nsamples - 1).cast("bigint"))))
             .withColumn("start", F.pmod(md5_int(seed, F.col("sample_id")), F.col("_N") - L))
             .withColumn("blk", F.explode(F.array(F.floor(F.col("start") / L), F.floor(F.col("start") / L) + 1)))
             .drop("_N"))
     keyed = stream.withColumn("blk", F.floor(F.col("pos") / L))
-    joined = keyed.join(F.broadcast(wins), on=part + ["blk"])
+    joined = keyed.join(broadcast_if_small(wins), on=part + ["blk"])
     return (joined.filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + L))
             .withColumn("idx", (F.col("pos") - F.col("start")).cast("int"))
             .select(*part, "sample_id", "start", "idx", "pos", "token"))
@@ -118,11 +119,11 @@ def sample_doc_windows(docs: DataFrame, nsamples: int, L: int, seed: int = 0,
             .filter(F.col("_n") > L)
             .withColumn("_b", F.floor(F.col(key) / DOC_BUCKET)))
     ranked = rank_rows(elig, "_rank", part, [F.col(key)], ["_b"]).drop("_b")
-    counts = elig.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = small_table(elig.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt")))
     picks = (counts.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nsamples - 1).cast("bigint"))))
              .withColumn("_rank", F.pmod(md5_int(seed, "d", F.col("sample_id")), F.col("_cnt")))
              .drop("_cnt"))
-    chosen = ranked.join(F.broadcast(picks), on=part + ["_rank"])
+    chosen = ranked.join(broadcast_if_small(picks), on=part + ["_rank"])
     chosen = chosen.withColumn("start", F.pmod(md5_int(seed, "o", F.col("sample_id")), F.col("_n") - L))
     body = docs.select(*part, key, tokens)
     out = chosen.join(body, on=part + [key])
