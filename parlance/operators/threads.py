@@ -20,13 +20,34 @@ def attach_parent(df: DataFrame, key: str = "uid", sid: str = "short_id", parent
     return children.join(par, on=[key, parent], how="inner"), children.join(par, on=[key, parent], how="left_anti")
 
 
-def thread_context(pairs: DataFrame, key: str = "uid", order: str = "turn") -> DataFrame:
-    """Full prompt at every turn of a thread (plain mode): the fold of
-    ``continue_prompt`` over the ancestors, using echo-stripped outputs:
-    ``p0 + ' ' + o0 + '\\n' + p1 + ... + pk``. One window pass per thread
-    (threads are bounded by their number of turns)."""
+def thread_context(pairs: DataFrame, key: str = "uid", order: str = "turn", template: bool = False,
+                   drop_last: bool = True) -> DataFrame:
+    """Full prompt at every turn of a thread: the fold of ``continue_prompt``
+    over the ancestors, using echo-stripped outputs.
+
+    Plain: ``p0 + ' ' + o0 + '\n' + p1 + ... + pk`` (ordered collect over the
+    running frame). Template: every templated prompt ends with the answer
+    marker, so the fold keeps the text up to the thread's first marker, the
+    previous answer (after its last marker, minus the final character) and the
+    newly templated instruction — a closed form needing only ``first`` and
+    ``lag``. One window pass per thread (threads are bounded by their turns).
+    """
+    from ..functions.text import drop_last_char, format_instruction
     w = Window.partitionBy(key).orderBy(order)
     prev_out = F.lag(strip_echo("output", "prompt")).over(w)
+    if template:
+        first_t = F.first(format_instruction("prompt", None, True, False)).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        at = F.locate(K.ANSWER, first_t)
+        head = F.when(at > 0, F.substr(first_t, F.lit(1), at - 1 + len(K.ANSWER))).otherwise(first_t)
+        ans = F.substring_index(F.concat(F.lit(" "), prev_out), K.ANSWER, -1)
+        ans = drop_last_char(ans) if drop_last else ans
+        new = F.col("prompt")
+        templ_new = F.concat(F.lit(K.PREFIX_NO_INPUT + K.INSTRUCT), new, F.lit(K.ANSWER))
+        base = F.concat(head, F.lit("\n"), ans)
+        cont = F.when(new.isNotNull() & (F.length(new) > 0), F.concat(base, F.lit("\n"), templ_new)).otherwise(base)
+        ctx = F.when(prev_out.isNull(), format_instruction("prompt", None, True, False)).otherwise(cont)
+        return pairs.withColumn("context", ctx)
     piece = F.when(prev_out.isNull(), F.col("prompt")).otherwise(F.concat(F.lit(" "), prev_out, F.lit("\n"), F.col("prompt")))
     acc = F.collect_list(F.struct(F.col(order).alias("o"), F.col("_piece").alias("p"))).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -449,3 +449,20 @@ FROM (SELECT uid, short_id, prompt, a,
 def q_first_valid_attempt(spark, sf_dir):
     r = TH.first_valid_attempt(fx_attempts(spark, sf_dir))
     return r.select("uid", "short_id", "answer", F.col("chosen_attempt").cast("bigint").alias("chosen_attempt"))
+
+
+@query("thread_context_template", with_ctes(CTE_PAIRS) + f"""
+SELECT uid, short_id,
+       CASE WHEN po IS NULL THEN {format_sql('prompt', 'NULL')}
+            ELSE hd || chr(10) || (CASE WHEN length(a) > 0 THEN substr(a, 1, length(a) - 1) ELSE '' END)
+                 || CASE WHEN prompt IS NOT NULL AND length(prompt) > 0 THEN chr(10) || {_PNI} || prompt || {_ANS} ELSE '' END
+       END AS context
+FROM (SELECT *, split_part(' ' || po, {_ANS}, -1) AS a,
+             CASE WHEN position({_ANS} IN ft) > 0 THEN substr(ft, 1, position({_ANS} IN ft) - 1 + {len(K.ANSWER)}) ELSE ft END AS hd
+      FROM (SELECT *, lag(CASE WHEN position(prompt IN output) > 0 THEN substr(output, length(prompt) + 1) ELSE output END)
+                      OVER (PARTITION BY uid ORDER BY turn) AS po,
+                   first({format_sql('prompt', 'NULL')}) OVER (PARTITION BY uid ORDER BY turn
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ft
+            FROM fx_pairs))""")
+def q_thread_context_template(spark, sf_dir):
+    return TH.thread_context(fx_pairs(spark, sf_dir), template=True).select("uid", "short_id", "context")

@@ -100,3 +100,23 @@ def test_top_p_at_least_one_keeps_all(spark):
     assert S.top_p_filter(c, 10.0).count() == 3
     # 0.5: keep x (prev mass 0 < 3), stop at y (prev mass 3 >= 3)
     assert [r.token for r in S.top_p_filter(c, 0.5).collect()] == ["x"]
+
+
+def test_template_thread_equals_sequential_fold(spark):
+    from parlance.operators.threads import thread_context
+    turns = [(1, 0, "first question", "answer one"), (1, 2, "second", "answer ### two"),
+             (1, 4, "third", "a3\n### Response:\nlast bit"), (1, 6, "", "z")]
+    df = spark.createDataFrame(turns, "uid long, turn long, prompt string, output string")
+    got = {r.turn: r.context for r in thread_context(df, template=True).collect()}
+    # sequential fold of continue_prompt in template mode
+    prompts = {}
+    prev_prompt = None
+    for uid, turn, p, o in turns:
+        if prev_prompt is None:
+            cur = one(spark, T.format_instruction(F.lit(p), None, True, False))
+        else:
+            po = prev_o[len(prev_p):] if prev_p in prev_o else prev_o
+            cur = one(spark, T.continue_prompt(F.lit(prev_prompt), F.lit(po), F.lit(p), template=True))
+        prompts[turn] = cur
+        prev_prompt, prev_p, prev_o = cur, p, o
+    assert got == prompts
