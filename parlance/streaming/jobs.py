@@ -49,20 +49,19 @@ def timeout_stream(starts: DataFrame, finishes: DataFrame, limit_us: int, key: s
                    ts: str = "ts", ts_us: str = "ts_us", rid: str = "request_id",
                    watermark: str = "1 hour") -> DataFrame:
     """Stream-stream interval join: each start with the finishes of the same key
-    in (start, start + limit]. Both sides are watermarked on event time so join
-    state is dropped once the interval has passed; the exact bound is checked on
-    integer microseconds, the event-time bound (one hour wider on each side) is
-    what lets Spark expire state."""
-    s = starts.withColumn("_ets", F.col(ts).cast("timestamp")).withWatermark("_ets", watermark).alias("s")
-    f = finishes.withColumn("_ets", F.col(ts).cast("timestamp")).withWatermark("_ets", watermark).alias("f")
+    in (start, start + limit]. Both sides are watermarked on event time and the
+    join condition bounds the finish time by the start time, so Spark drops
+    join state once an interval has passed; the exact bound is checked on
+    integer microseconds (the event-time bound is one hour wider)."""
+    def side(df, p):
+        return (df.select(F.col(key).alias(f"{p}_key"), F.col(rid).alias(f"{p}_id"), F.col(ts_us).alias(f"{p}_us"),
+                          F.col(ts).cast("timestamp").alias(f"{p}_ets"))
+                .withWatermark(f"{p}_ets", watermark))
     hours = limit_us // 3_600_000_000 + 1
-    cond = ((F.col(f"s.{key}") == F.col(f"f.{key}"))
-            & (F.col("f._ets") >= F.col("s._ets") - F.expr("INTERVAL 1 HOUR"))
-            & (F.col("f._ets") <= F.col("s._ets") + F.expr(f"INTERVAL {hours} HOURS"))
-            & (F.col(f"f.{ts_us}") > F.col(f"s.{ts_us}"))
-            & (F.col(f"f.{ts_us}") <= F.col(f"s.{ts_us}") + F.lit(limit_us)))
-    return s.join(f, cond, "inner").select(F.col(f"s.{rid}").alias(rid), F.col(f"f.{rid}").alias("finish_id"),
-                                           F.col(f"f.{ts_us}").alias("finish_ts"))
+    cond = F.expr(f"s_key = f_key AND f_ets >= s_ets AND f_ets <= s_ets + interval {hours} hours "
+                  f"AND f_us > s_us AND f_us <= s_us + {int(limit_us)}")
+    return side(starts, "s").join(side(finishes, "f"), cond, "inner").select(
+        F.col("s_id").alias(rid), F.col("f_id").alias("finish_id"), F.col("f_us").alias("finish_ts"))
 
 
 def first_finish(starts: DataFrame, matches: DataFrame, rid: str = "request_id") -> DataFrame:
