@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 DEFAULT_MAX_QUEUE = 9999
 
 
@@ -67,12 +69,27 @@ def independent_segments(events: DataFrame, key: str, ts: str, end: str, tiebrea
 
 def admission_control(events: DataFrame, key: str = "user_id", ts: str = "ts_us", end: str = "end_us",
                       allow_queue: bool = False, max_queue: int | None = DEFAULT_MAX_QUEUE,
-                      tiebreak: str = "request_id", out: str = "admitted") -> DataFrame:
+                      tiebreak: str = "request_id", out: str = "admitted", method: str = "auto") -> DataFrame:
     """Adds ``admitted`` per event (events must carry ``end``, when an admitted
     request would leave the queue). Keys are cut into independent segments
     first (see ``independent_segments``); each (key, segment) is folded in
-    event order by a streaming ``mapInPandas`` pass over sorted partitions."""
+    event order by a streaming ``mapInPandas`` pass over sorted partitions.
+
+    In single mode, keys with more than ``HOT_KEY_EVENTS`` events (or all keys
+    with ``method="jump"``) take ``admission_single_jump`` instead, which has
+    no per-key task at all."""
     cap = capacity(allow_queue, max_queue)
+    if cap == 1 and method in ("auto", "jump") and tiebreak == "request_id":
+        if method == "jump":
+            return admission_single_jump(events, key, ts, end, tiebreak, out)
+        from .sizing import broadcast_if_small
+        hot = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_KEY_EVENTS).select(key)
+        hot = checkpointed(hot)
+        if hot.limit(1).count() > 0:
+            hb = broadcast_if_small(hot)
+            cold = admission_control(events.join(hb, on=key, how="left_anti"), key, ts, end, allow_queue, max_queue,
+                                     tiebreak, out, method="fold")
+            return cold.unionByName(admission_single_jump(events.join(hb, on=key, how="left_semi"), key, ts, end, tiebreak, out))
     fields = events.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` boolean"
     cols = [f.name for f in fields]
@@ -144,3 +161,69 @@ def request_timeout(starts: DataFrame, finishes: DataFrame, limit: int, key: str
     the first later finish of the same key; unmatched or late starts fail."""
     m = first_after(starts, finishes, key, ts, rid, limit, "finish_ts", "finish_id")
     return m.withColumn("finished", F.col("finish_id").isNotNull())
+
+
+# ------------------------------------------------------------------ pointer jumping (single mode)
+
+HOT_KEY_EVENTS = 1_000_000   # keys with more events than this take the parallel single-mode path
+
+
+def first_at_or_after(queries: DataFrame, events: DataFrame, key: str, qcol: str, ts: str, rid: str,
+                      width: int, out: str = "nxt") -> DataFrame:
+    """As-of lookup with no distance limit: for each query row (key, qcol), the
+    first event (by ts, then rid) of the same key with ``ts >= qcol``.
+
+    Time is cut into buckets of ``width``. Inside a (key, bucket) window a
+    descending running min finds the answer when it lies in the query's bucket;
+    otherwise it is the first event of the next bucket that has one, read from
+    a running min over the (much smaller) per-bucket table. Adds ``out``
+    (struct<t, i> or null)."""
+    q = queries.withColumn("_b", F.floor(F.col(qcol) / width))
+    e = events.select(key, F.col(ts).alias("_t"), F.col(rid).cast("bigint").alias("_i")).withColumn("_b", F.floor(F.col("_t") / width))
+    qc = q.columns
+    u = (q.withColumn("_kind", F.lit(0)).withColumn("_t", F.col(qcol)).withColumn("_i", F.lit(None).cast("bigint"))
+         .unionByName(e.withColumn("_kind", F.lit(1)), allowMissingColumns=True))
+    w = (Window.partitionBy(key, "_b").orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_i").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ev = F.when(F.col("_kind") == 1, F.struct(F.col("_t").alias("t"), F.col("_i").alias("i")))
+    inb = u.withColumn("_in", F.min(ev).over(w)).filter(F.col("_kind") == 0)
+    heads = e.groupBy(key, "_b").agg(F.min(F.struct(F.col("_t").alias("t"), F.col("_i").alias("i"))).alias("_h"))
+    qb = q.select(key, "_b").distinct().withColumn("_h", F.lit(None).cast(heads.schema["_h"].dataType))
+    bt = heads.unionByName(qb).groupBy(key, "_b").agg(F.min("_h").alias("_h"))   # one row per bucket
+    wb = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = bt.withColumn("_later", F.min("_h").over(wb)).select(key, "_b", "_later")
+    j = inb.join(later, on=[key, "_b"], how="left")
+    return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_later"))).select(*[c for c in qc if c != "_b"], out)
+
+
+def admission_single_jump(events: DataFrame, key: str = "user_id", ts: str = "ts_us", end: str = "end_us",
+                          rid: str = "request_id", out: str = "admitted") -> DataFrame:
+    """Single mode (one request in flight) without a per-key fold.
+
+    With nothing else in flight, an admitted request at ts blocks until its end;
+    the next admitted one is the first later event at or after that end. So the
+    admitted set is the chain ``root, nxt(root), nxt(nxt(root)), ...`` from each
+    key's first event. ``nxt`` is an as-of lookup; the chain is found by
+    pointer jumping: P_{k+1} = P_k ∘ P_k (log2(chain length) self-joins on the
+    event id), then the set {nxt^m(root) : m < 2^K} is assembled from the
+    roots with one join per level. Every join is keyed by event id, so a hot
+    key is spread over all tasks. Requires end > ts."""
+    dmax = events.select(F.max(F.col(end) - F.col(ts))).first()[0]
+    width = max(int(dmax or 1), 1)
+    nodes = first_at_or_after(events.select(key, rid, end), events, key, end, ts, rid, width, "nxt")
+    p = checkpointed(nodes.select(F.col(rid).cast("bigint").alias("node"), F.col("nxt.i").alias("to")))
+    levels = [p]
+    while p.filter(F.col("to").isNotNull()).limit(1).count() > 0:
+        if len(levels) > 64:
+            raise ValueError("successor chain does not end: every request needs end > ts")
+        r = p.select(F.col("node").alias("to"), F.col("to").alias("to2"))
+        p = checkpointed(p.join(r, on="to", how="left").select("node", F.col("to2").alias("to")))
+        levels.append(p)
+    roots = events.groupBy(key).agg(F.min(F.struct(F.col(ts), F.col(rid).cast("bigint").alias("i"))).alias("_r"))
+    chain = checkpointed(roots.select(F.col("_r.i").alias("node")))
+    for lv in reversed(levels):
+        step = chain.join(lv, on="node").filter(F.col("to").isNotNull()).select(F.col("to").alias("node"))
+        chain = checkpointed(chain.unionByName(step).distinct())
+    flag = chain.select(F.col("node").alias("_n"), F.lit(True).alias("_adm"))
+    return (events.join(flag, events[rid].cast("bigint") == flag["_n"], "left")
+            .withColumn(out, F.coalesce(F.col("_adm"), F.lit(False))).drop("_n", "_adm"))

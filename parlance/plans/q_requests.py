@@ -145,6 +145,14 @@ def q_admission_control(spark, sf_dir):
     return _admission(spark, sf_dir, False, None).select("request_id", "user_id", "admitted")
 
 
+@query("admission_control_jump", with_ctes(CTE_REQ, *admission_sql("fx_requests", 1, "admj")) + """
+SELECT request_id, user_id, admitted FROM admj""")
+def q_admission_control_jump(spark, sf_dir):
+    r = fx_requests(spark, sf_dir).select("request_id", "user_id", "ts_us")
+    r = r.withColumn("end_us", F.col("ts_us") + 6 * HOUR_US)
+    return A.admission_control(r, method="jump").select("request_id", "user_id", "admitted")
+
+
 @query("admission_control_queue", with_ctes(CTE_REQ, *admission_sql("fx_requests", 2, "admq")) + """
 SELECT request_id, user_id, admitted FROM admq""")
 def q_admission_control_queue(spark, sf_dir):

@@ -86,3 +86,19 @@ def test_prefix_sum_hot_key(spark):
     for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
         assert got[(k, o)] == run.get(k, 0)
         run[k] = run.get(k, 0) + v
+
+
+def test_single_mode_pointer_jumping_matches_brute_force(spark):
+    for seed in (0, 5):
+        ev = sample_events(300, seed=seed)
+        df = spark.createDataFrame(ev, "request_id long, user_id long, ts_us long, end_us long")
+        got = {r.request_id: r.admitted for r in A.admission_single_jump(df).collect()}
+        assert got == brute(ev, 1)
+
+
+def test_auto_routes_hot_keys_to_pointer_jumping(spark, monkeypatch):
+    ev = sample_events(400, seed=2)            # user 0 holds about half of the events
+    monkeypatch.setattr(A, "HOT_KEY_EVENTS", 50)
+    df = spark.createDataFrame(ev, "request_id long, user_id long, ts_us long, end_us long")
+    got = {r.request_id: r.admitted for r in A.admission_control(df).collect()}
+    assert got == brute(ev, 1)
