@@ -61,13 +61,16 @@ def stream_sizes(stream: DataFrame, part=("dataset", "split")) -> DataFrame:
 
 
 def eval_segments(stream: DataFrame, L: int, part=("dataset",)) -> DataFrame:
-    """Non-overlapping length-L segments ``seg = pos div L``; the tail is dropped."""
+    """Non-overlapping length-L segments ``seg = pos div L``; the tail is dropped.
+
+    Positions are contiguous from 0, so a segment is whole exactly when it holds
+    L tokens: a count over the (dataset, seg) window (at most L rows each, the
+    same partitioning the shifted targets use) — no global size join."""
     part = list(part)
-    sizes = stream.groupBy(*part).agg(F.max("pos").alias("_maxpos"))
+    w = Window.partitionBy(*part, "seg")
     return (stream.withColumn("seg", F.floor(F.col("pos") / L))
-            .join(sizes, on=part)
-            .filter(F.col("seg") < F.floor((F.col("_maxpos") + 1) / L))
-            .drop("_maxpos"))
+            .withColumn("_n", F.count(F.lit(1)).over(w))
+            .filter(F.col("_n") == L).drop("_n"))
 
 
 def md5_int(*parts) -> Column:

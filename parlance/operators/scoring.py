@@ -11,6 +11,7 @@ from .. import constants as K
 from ..functions.text import drop_end_marker, ends_with_any, trim_stop
 from ..session import checkpointed
 from .prefix import prefix_sum, rank_rows
+from .sizing import broadcast_if_small
 
 NANO = 1_000_000_000  # nll is summed as integer nano-nats: exact and order-free
 
@@ -69,7 +70,7 @@ def ngram_nll(targets: DataFrame, train_docs: DataFrame, lam: float = 0.7, part=
                 on=part + ["token"], how="left")
           .join(uni.select(*part, F.col("token").alias("target"), F.col("cnt").alias("c_b")),
                 on=part + ["target"], how="left")
-          .join(stats, on=part, how="left"))
+          .join(stats, on=part, how="left"))   # one row per dataset: AQE broadcasts it at runtime
     p_uni = (F.coalesce(F.col("c_b"), F.lit(0)) + 1).cast("double") / (F.col("total") + F.col("v") + 1).cast("double")
     p_bi = F.coalesce(F.col("c_ab"), F.lit(0)).cast("double") / F.col("c_a").cast("double")
     p = F.when(F.col("c_a").isNull(), p_uni).otherwise(F.lit(lam) * p_bi + F.lit(mu) * p_uni)
@@ -228,11 +229,11 @@ def latency_summary(timings: DataFrame, run: str = "run", seconds: str = "second
     counts = timings.groupBy(run, seconds).agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.withColumn("_b", F.floor(F.col(seconds) / bucket_width))
     ranked = prefix_sum(counts, "_c", "_lo", [run], [F.col(seconds)], ["_b"])
-    stats = timings.groupBy(run).agg(
+    stats = broadcast_if_small(checkpointed(timings.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.sum(F.col(seconds).cast("decimal(20,4)")).alias("_sum"),
         F.max(seconds).alias("max_s"),
-        F.max(mem).alias("peak_mem"))
+        F.max(mem).alias("peak_mem"))))
     r_lo = F.floor((F.col("n_steps") - 1) / 2)
     r_hi = F.floor(F.col("n_steps") / 2)
     holds = lambda r: (F.col("_lo") <= r) & (r < F.col("_lo") + F.col("_c"))
