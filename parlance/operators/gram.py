@@ -2,8 +2,9 @@
 and error-compensated quantization of weight rows.
 
 ``gram_matrix`` never sends per-row outer products through a shuffle: each
-partition reduces its rows to a partial d x d sum with NumPy, emitting d rows
-(i, array of d), and a grouped element-wise sum merges the partials.
+partition reduces its rows to a partial d x d sum with NumPy and emits it in
+column blocks (i, jb, array); a grouped element-wise sum per (i, jb) merges the
+partials, so a group holds one block per partition.
 """
 
 from __future__ import annotations
@@ -18,8 +19,14 @@ from .. import constants as K
 MAX_DENSE_D = 16384   # d x d doubles the solver step may hold (2 GiB at the cap)
 
 
-def partial_grams(df: DataFrame, vec: str, d: int) -> DataFrame:
-    """Per partition: (i, s array<double>[d], n) with s = sum over rows x_i * x."""
+GRAM_BLOCK = 128      # columns per reduced block: a group holds partitions x GRAM_BLOCK doubles
+
+
+def partial_grams(df: DataFrame, vec: str, d: int, block: int = GRAM_BLOCK) -> DataFrame:
+    """Per partition: (i, jb, s array<double>, n) with s = Σ over rows of
+    x_i * x[jb*block : (jb+1)*block] — the partial d x d sum cut into row blocks."""
+    nb = (d + block - 1) // block
+
     def run(batches):
         acc, cnt = np.zeros((d, d)), 0
         for pdf in batches:
@@ -29,26 +36,36 @@ def partial_grams(df: DataFrame, vec: str, d: int) -> DataFrame:
             acc += x.T @ x
             cnt += len(pdf)
         if cnt:
-            yield pd.DataFrame({"i": np.arange(d, dtype=np.int32), "s": list(acc), "n": np.full(d, cnt, dtype=np.int64)})
-    return df.select(vec).mapInPandas(run, "i int, s array<double>, n long")
+            ii = np.repeat(np.arange(d, dtype=np.int32), nb)
+            jb = np.tile(np.arange(nb, dtype=np.int32), d)
+            parts = [acc[i, b * block:(b + 1) * block] for i in range(d) for b in range(nb)]
+            yield pd.DataFrame({"i": ii, "jb": jb, "s": parts, "n": np.full(d * nb, cnt, dtype=np.int64)})
+    return df.select(vec).mapInPandas(run, "i int, jb int, s array<double>, n long")
 
 
-def _sum_arrays(col: str, d: int):
-    return F.aggregate(F.collect_list(col), F.array_repeat(F.lit(0.0), d),
+def _sum_arrays(col: str, width: int):
+    return F.aggregate(F.collect_list(col), F.array_repeat(F.lit(0.0), width),
                        lambda acc, a: F.zip_with(acc, a, lambda x, y: x + y))
 
 
-def gram_sums(df: DataFrame, vec: str, d: int) -> DataFrame:
-    """(i, s array, n): the merged sums Σ x xᵀ over all rows, and the row count."""
-    return partial_grams(df, vec, d).groupBy("i").agg(_sum_arrays("s", d).alias("s"), F.sum("n").alias("n"))
+def gram_sums(df: DataFrame, vec: str, d: int, block: int = GRAM_BLOCK) -> DataFrame:
+    """(i, jb, s array, n): merged sums Σ x xᵀ by (row, column block), and the
+    row count. A group holds one block from each partition — bounded by the
+    partition count times ``block``, never by d or the row count."""
+    return (partial_grams(df, vec, d, block).groupBy("i", "jb")
+            .agg(_sum_arrays("s", block).alias("s"), F.sum("n").alias("n")))
+
+
+def _long(g: DataFrame, block: int) -> DataFrame:
+    return (g.select("i", "jb", F.posexplode("s").alias("k", "s"), "n")
+            .select("i", (F.col("jb") * block + F.col("k")).cast("int").alias("j"), "s", "n"))
 
 
 def gram_matrix(df: DataFrame, vec: str, d: int, n: int | None = None) -> DataFrame:
     """H = (2/N) Σ x xᵀ in long form (i, j, h); N defaults to the row count."""
-    g = gram_sums(df, vec, d)
+    g = _long(gram_sums(df, vec, d), GRAM_BLOCK).filter(F.col("j") < d)
     nn = F.col("n").cast("double") if n is None else F.lit(float(n))
-    return (g.select("i", F.posexplode("s").alias("j", "s"), nn.alias("_n"))
-            .select("i", "j", (F.lit(2.0) * F.col("s") / F.col("_n")).alias("h")))
+    return g.select("i", "j", (F.lit(2.0) * F.col("s") / nn).alias("h"))
 
 
 def gram_merge(state: DataFrame | None, delta: DataFrame) -> DataFrame:
@@ -66,7 +83,8 @@ def gram_merge(state: DataFrame | None, delta: DataFrame) -> DataFrame:
 
 def gram_delta(df: DataFrame, vec: str, d: int) -> DataFrame:
     """A batch's contribution in long form (i, j, s, m)."""
-    return gram_sums(df, vec, d).select("i", F.posexplode("s").alias("j", "s"), F.col("n").alias("m"))
+    g = _long(gram_sums(df, vec, d), GRAM_BLOCK).filter(F.col("j") < d)
+    return g.select("i", "j", "s", F.col("n").alias("m"))
 
 
 def gram_condition(gram: DataFrame, percdamp: float = K.GPTQ_PERCDAMP) -> DataFrame:
