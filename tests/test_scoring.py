@@ -30,3 +30,35 @@ def test_greedy_paths_follow_successor_function(spark):
     paths = {r.ctx: r.path for r in S.successor_paths(nxt, F.lit("a"), 5).collect()}
     assert paths["a"] == ["b", "c", "a", "b", "c"]
     assert paths["c"] == ["a", "b", "c", "a", "b"]
+
+
+def test_pluggable_tokenizer(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from parlance.operators.corpus import tokenize
+
+    @pandas_udf("array<string>")
+    def chars(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [c for c in t if not c.isspace()])
+
+    df = spark.createDataFrame([(1, "ab c"), (2, "")], "id int, text string")
+    got = {r.id: r.tokens for r in tokenize(df, "text", tokenizer=chars).collect()}
+    assert got == {1: ["a", "b", "c"], 2: []}
+    assert {r.id: r.tokens for r in tokenize(df, "text").collect()} == {1: ["ab", "c"], 2: []}
+
+
+def test_batch_predict_builds_predictor_once_per_worker(spark):
+    def counting_factory():
+        def predict(pdf):
+            import pandas as pd
+
+            from parlance.operators import scoring as S2
+            mine = sum(1 for k in S2._PREDICTORS if "counting_factory" in k[1])
+            return pd.DataFrame({"id": pdf["id"], "cached": mine})
+        return predict
+
+    df = spark.range(0, 2000, numPartitions=8).selectExpr("CAST(id AS INT) AS id")
+    out = S.batch_predict(df, counting_factory, "id int, cached int")
+    vals = {r.cached for r in out.collect()}
+    assert vals == {1}      # one cached predictor per Python worker, reused across batches and tasks
