@@ -148,7 +148,7 @@ def truncate_context(tokens, n: int = K.MAX_TOKEN_WINDOW) -> Column:
 def mask_labels(tokens, ignore: int = K.LABEL_IGNORE) -> Column:
     """Labels for a calibration window: every position but the last set to ``ignore``."""
     arr = _col(tokens)
-    return F.transform(arr, lambda x, i: F.when(i == F.size(arr) - 1, x).otherwise(F.lit(ignore)))
+    return F.when(F.size(arr) > 0, F.concat(F.array_repeat(F.lit(ignore), F.size(arr) - 1), F.slice(arr, -1, 1))).otherwise(arr)
 
 
 def tokenize_ws(text) -> Column:
@@ -157,8 +157,10 @@ def tokenize_ws(text) -> Column:
 
 
 def cross_entropy(logits, label) -> Column:
-    """logsumexp(logits) - logits[label] with a max shift for stability."""
+    """logsumexp(logits) - logits[label] with a max shift for stability (the max
+    is evaluated once per row and handed to the element lambda by zip)."""
     l = _col(logits)
     m = F.array_max(l)
-    lse = m + F.log(F.aggregate(l, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m)))
+    shifted = F.zip_with(l, F.array_repeat(m, F.size(l)), lambda x, mm: F.exp(x - mm))
+    lse = m + F.log(F.aggregate(shifted, F.lit(0.0).cast("double"), lambda acc, e: acc + e))
     return lse - F.element_at(l, _col(label) + 1)

@@ -143,7 +143,11 @@ def _elements(params: DataFrame, vec: str, gs: int | None, d: int | None):
         d = d or _dim(params, vec)
         return F.arrays_zip(F.col(vec).alias("x"), expand_groups(F.col("scales"), gs, d).alias("s"),
                             expand_groups(F.col("zeros"), gs, d).alias("z"))
-    return F.transform(F.col(vec), lambda x: F.struct(x.alias("x"), F.col("scale").alias("s"), F.col("zero").alias("z")))
+    v = F.col(vec)
+    # array_repeat evaluates the row's scale / zero once (a lambda reading the
+    # columns directly would recompute them for every element)
+    return F.arrays_zip(v.alias("x"), F.array_repeat(F.col("scale"), F.size(v)).alias("s"),
+                        F.array_repeat(F.col("zero"), F.size(v)).alias("z"))
 
 
 def rtn_quantize(params: DataFrame, bits: int, gs: int | None = None, vec: str = "vec",
