@@ -49,7 +49,8 @@ def token_stream(docs: DataFrame, part=("dataset", "split"), order: str = "doc_i
     counted = (docs.select(*part, order, tokens)
                .withColumn("_n", F.size(tokens).cast("bigint"))
                .withColumn("_b", F.floor(F.col(order) / bucket)))
-    with_off = prefix_sum(counted, "_n", "_off", part, [F.col(order)], ["_b"])
+    with_off = prefix_sum(counted, "_n", "_off", part, [F.col(order)], ["_b"],
+                          coarse={"_c": F.floor(F.col("_b") / bucket)})
     return (with_off.select(*part, order, "_off", F.posexplode(tokens).alias("idx", "token"))
             .withColumn("pos", F.col("_off") + F.col("idx"))
             .drop("_off"))
@@ -121,7 +122,8 @@ def sample_doc_windows(docs: DataFrame, nsamples: int, L: int, seed: int = 0,
     elig = (docs.select(*part, key, F.size(tokens).alias("_n"))
             .filter(F.col("_n") > L)
             .withColumn("_b", F.floor(F.col(key) / DOC_BUCKET)))
-    ranked = rank_rows(elig, "_rank", part, [F.col(key)], ["_b"]).drop("_b")
+    ranked = rank_rows(elig, "_rank", part, [F.col(key)], ["_b"],
+                       coarse={"_c": F.floor(F.col("_b") / DOC_BUCKET)}).drop("_b")
     counts = small_table(elig.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt")))
     picks = (counts.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nsamples - 1).cast("bigint"))))
              .withColumn("_rank", F.pmod(md5_int(seed, "d", F.col("sample_id")), F.col("_cnt")))
@@ -152,5 +154,6 @@ def vocab(tokens: DataFrame, token: str = "token") -> DataFrame:
     counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("cnt"))
     counts = counts.withColumn("_pre", F.substr(F.col(token), F.lit(1), F.lit(3)))
     ranked = rank_rows(counts, "id", [], [F.col("cnt").desc(), F.col(token).asc()],
-                       ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()])
+                       ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()],
+                       coarse={"_cc": F.col("cnt")}, coarse_order=[F.col("_cc").desc()])
     return ranked.select(token, "cnt", "id")

@@ -19,11 +19,16 @@ from pyspark.sql import functions as F
 
 def prefix_sum(df: DataFrame, value, out, part: Sequence[str], order: Sequence[Column],
                buckets: Sequence[str], bucket_order: Sequence[Column] | None = None,
-               inclusive: bool = False) -> DataFrame:
+               inclusive: bool = False, coarse: dict | None = None,
+               coarse_order: Sequence[Column] | None = None, _lvl: int = 0) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows before this one (or up to and
     including it when ``inclusive``) in the total order ``order`` within ``part``.
 
-    ``value``/``out`` may be lists to carry several running sums in one pass."""
+    ``value``/``out`` may be lists to carry several running sums in one pass.
+    ``coarse`` ({name: Column over the bucket columns}, a coarsening of the
+    bucket order) adds a third level: the per-bucket totals are themselves
+    prefix-summed with this helper, so not even the bucket table of one huge
+    key meets in a single window partition."""
     values = list(value) if isinstance(value, (list, tuple)) else [value]
     outs = list(out) if isinstance(out, (list, tuple)) else [out]
     part, buckets = list(part), list(buckets)
@@ -36,20 +41,28 @@ def prefix_sum(df: DataFrame, value, out, part: Sequence[str], order: Sequence[C
     for k, v in enumerate(values):
         vc = F.col(v) if isinstance(v, str) else v
         vc = vc.cast("bigint") if _is_integral(df, vc) else vc
-        inner = (inner.withColumn(f"_pv{k}", vc)
-                 .withColumn(f"_in{k}", F.coalesce(F.sum(f"_pv{k}").over(w_run), F.lit(0)))
-                 .withColumn(f"_bt{k}", F.sum(f"_pv{k}").over(w_bucket)))
-    inner = inner.withColumn("_rn", F.row_number().over(w_bucket.orderBy(*order)))
+        inner = (inner.withColumn(f"_pv{_lvl}_{k}", vc)
+                 .withColumn(f"_in{_lvl}_{k}", F.coalesce(F.sum(f"_pv{_lvl}_{k}").over(w_run), F.lit(0)))
+                 .withColumn(f"_bt{_lvl}_{k}", F.sum(f"_pv{_lvl}_{k}").over(w_bucket)))
+    inner = inner.withColumn(f"_rn{_lvl}", F.row_number().over(w_bucket.orderBy(*order)))
     n = len(values)
-    heads = inner.filter(F.col("_rn") == 1).select(*part, *buckets, *[f"_bt{k}" for k in range(n)])
-    offsets = heads
-    for k in range(n):
-        offsets = offsets.withColumn(f"_bo{k}", F.coalesce(F.sum(f"_bt{k}").over(w_off), F.lit(0)))
-    offsets = offsets.drop(*[f"_bt{k}" for k in range(n)])
+    heads = inner.filter(F.col(f"_rn{_lvl}") == 1).select(*part, *buckets, *[f"_bt{_lvl}_{k}" for k in range(n)])
+    if coarse:
+        hc = heads
+        for name, expr in coarse.items():
+            hc = hc.withColumn(name, expr)
+        offsets = prefix_sum(hc, [f"_bt{_lvl}_{k}" for k in range(n)], [f"_bo{_lvl}_{k}" for k in range(n)], part,
+                             bucket_order, list(coarse), coarse_order, _lvl=_lvl + 1)
+        offsets = offsets.drop(*[f"_bt{_lvl}_{k}" for k in range(n)], *[c for c in coarse if c not in buckets])
+    else:
+        offsets = heads
+        for k in range(n):
+            offsets = offsets.withColumn(f"_bo{_lvl}_{k}", F.coalesce(F.sum(f"_bt{_lvl}_{k}").over(w_off), F.lit(0)))
+        offsets = offsets.drop(*[f"_bt{_lvl}_{k}" for k in range(n)])
     joined = inner.join(offsets, on=part + buckets, how="inner")
     for k in range(n):
-        joined = joined.withColumn(outs[k], F.col(f"_bo{k}") + F.col(f"_in{k}"))
-    return joined.drop("_rn", *[f"_{x}{k}" for x in ("pv", "in", "bt", "bo") for k in range(n)])
+        joined = joined.withColumn(outs[k], F.col(f"_bo{_lvl}_{k}") + F.col(f"_in{_lvl}_{k}"))
+    return joined.drop(f"_rn{_lvl}", *[f"_{x}{_lvl}_{k}" for x in ("pv", "in", "bt", "bo") for k in range(n)])
 
 
 def _is_integral(df: DataFrame, v: Column) -> bool:
@@ -61,7 +74,8 @@ def _is_integral(df: DataFrame, v: Column) -> bool:
 
 
 def rank_rows(df: DataFrame, out: str, part: Sequence[str], order: Sequence[Column],
-              buckets: Sequence[str], bucket_order: Sequence[Column] | None = None) -> DataFrame:
+              buckets: Sequence[str], bucket_order: Sequence[Column] | None = None,
+              coarse: dict | None = None, coarse_order: Sequence[Column] | None = None) -> DataFrame:
     """0-based position of each row in ``order`` within ``part`` (a row_number - 1)."""
     return prefix_sum(df.withColumn("_one", F.lit(1)), "_one", out, part, order, buckets,
-                      bucket_order).drop("_one")
+                      bucket_order, coarse=coarse, coarse_order=coarse_order).drop("_one")

@@ -98,7 +98,8 @@ def running_perplexity(nll: DataFrame, part=("dataset",), order: str = "pos",
     """exp(cumulative mean nll) up to each position, two-level prefix sums."""
     part = list(part)
     b = nll.withColumn("_b", F.floor(F.col(order) / bucket)).withColumn("_one", F.lit(1))
-    s = prefix_sum(b, ["nll_n", "_one"], ["_cum", "_cnt"], part, [F.col(order)], ["_b"], inclusive=True)
+    s = prefix_sum(b, ["nll_n", "_one"], ["_cum", "_cnt"], part, [F.col(order)], ["_b"], inclusive=True,
+                   coarse={"_c": F.floor(F.col("_b") / bucket)})
     return (s.withColumn("running_ppl", F.round(F.exp((F.col("_cum").cast("double") / NANO) /
                                                        F.col("_cnt").cast("double")), 6))
             .drop("_b", "_one", "_cum"))

@@ -102,3 +102,17 @@ def test_auto_routes_hot_keys_to_pointer_jumping(spark, monkeypatch):
     df = spark.createDataFrame(ev, "request_id long, user_id long, ts_us long, end_us long")
     got = {r.request_id: r.admitted for r in A.admission_control(df).collect()}
     assert got == brute(ev, 1)
+
+
+def test_prefix_sum_three_levels(spark):
+    rnd = random.Random(9)
+    rows = [(("hot" if rnd.random() < 0.7 else f"k{rnd.randrange(3)}"), i, rnd.randrange(10)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o long, v long").withColumn("b", F.floor(F.col("o") / 7))
+    out = prefix_sum(df, ["v", F.lit(1)], ["cum", "cnt"], ["k"], [F.col("o")], ["b"], inclusive=True,
+                     coarse={"c": F.floor(F.col("b") / 5)})
+    got = {(r.k, r.o): (r.cum, r.cnt) for r in out.collect()}
+    run, cnt = {}, {}
+    for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        run[k] = run.get(k, 0) + v
+        cnt[k] = cnt.get(k, 0) + 1
+        assert got[(k, o)] == (run[k], cnt[k])
