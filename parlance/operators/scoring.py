@@ -122,7 +122,8 @@ def top_p_filter(cands: DataFrame, top_p: float, part=("dataset",)) -> DataFrame
         return cands.withColumn("cum_prev", F.lit(None).cast("bigint"))
     c = cands.withColumn("_pre", F.substr(F.col("token"), F.lit(1), F.lit(2)))
     c = prefix_sum(c, "cnt", "cum_prev", part, [F.col("cnt").desc(), F.col("token").asc()],
-                   ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()])
+                   ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()],
+                   coarse={"_cc": F.col("cnt")}, coarse_order=[F.col("_cc").desc()])
     return c.filter(F.col("cum_prev") < F.lit(top_p) * F.col("total")).drop("_pre")
 
 
@@ -229,7 +230,8 @@ def latency_summary(timings: DataFrame, run: str = "run", seconds: str = "second
     is an exact decimal sum."""
     counts = timings.groupBy(run, seconds).agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.withColumn("_b", F.floor(F.col(seconds) / bucket_width))
-    ranked = prefix_sum(counts, "_c", "_lo", [run], [F.col(seconds)], ["_b"])
+    ranked = prefix_sum(counts, "_c", "_lo", [run], [F.col(seconds)], ["_b"],
+                        coarse={"_cb": F.floor(F.col("_b") / 1024)})
     stats = broadcast_if_small(checkpointed(timings.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.sum(F.col(seconds).cast("decimal(20,4)")).alias("_sum"),
@@ -267,7 +269,8 @@ def sampling_table(cands: DataFrame, top_p: float, T: float) -> DataFrame:
     c = cands.withColumn("_w", F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T)))
     c = c.withColumn("_pre", F.substr(F.col("token"), F.lit(1), F.lit(2)))
     c = prefix_sum(c, "_w", "lo", ["ctx"], [F.col("cnt").desc(), F.col("token").asc()],
-                   ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()])
+                   ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()],
+                   coarse={"_cc": F.col("cnt")}, coarse_order=[F.col("_cc").desc()])
     zall = c.groupBy("ctx").agg(F.sum("_w").alias("_zall"))
     c = c.join(zall, on="ctx")
     if top_p < 1:
