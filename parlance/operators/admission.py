@@ -53,18 +53,28 @@ def _fold(keys: np.ndarray, segs: np.ndarray, ts: np.ndarray, ends: np.ndarray,
 
 def independent_segments(events: DataFrame, key: str, ts: str, end: str, tiebreak: str, out: str = "_seg") -> DataFrame:
     """Number the stretches of each key's events that can be decided
-    independently. An event with no earlier event of its key in the preceding
-    ``D_max`` (the longest duration in the table) finds nothing in flight, so
-    the fold may restart there; ``_seg`` counts such resets so far. Lag and
-    running count share one JVM window (one sort per key), so a hot key's
-    Python fold is split wherever its timeline has a quiet gap."""
-    dmax = events.select(F.max(F.col(end) - F.col(ts))).scalar()
-    w = Window.partitionBy(key).orderBy(ts, tiebreak)
-    prev = F.lag(ts).over(w)
-    reset = F.when(prev.isNull() | (F.col(ts) - prev >= dmax), 1).otherwise(0)
-    return (events.withColumn("_reset", reset)
-            .withColumn(out, F.sum("_reset").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .drop("_reset"))
+    independently. An event with no earlier event of its key within ``D_max``
+    (the longest duration in the table) finds nothing in flight, so the fold
+    may restart there; ``_seg`` counts such resets so far.
+
+    Time is cut into buckets of width ``D_max``: an event's predecessor within
+    ``D_max`` is either in its own bucket (a lag over the (key, bucket) window)
+    or the last event of the previous bucket (a per-bucket max joined on
+    bucket + 1). The reset count is a three-level prefix sum over the buckets,
+    so a hot key is spread over its buckets at every step."""
+    from .prefix import prefix_sum
+    dmax = events.select(F.max(F.col(end) - F.col(ts))).first()[0]
+    width = max(int(dmax or 1), 1)
+    e = events.withColumn("_tb", F.floor(F.col(ts) / width))
+    w = Window.partitionBy(key, "_tb").orderBy(ts, tiebreak)
+    last_prev = (e.groupBy(key, "_tb").agg(F.max(ts).alias("_lastb"))
+                 .withColumn("_tb", F.col("_tb") + 1))
+    e = e.withColumn("_prev", F.lag(ts).over(w)).join(last_prev, on=[key, "_tb"], how="left")
+    prev = F.coalesce(F.col("_prev"), F.col("_lastb"))
+    e = e.withColumn("_reset", F.when(prev.isNull() | (F.col(ts) - prev >= F.lit(width)), 1).otherwise(0))
+    e = prefix_sum(e, "_reset", out, [key], [F.col(ts), F.col(tiebreak)], ["_tb"], inclusive=True,
+                   coarse={"_tc": F.floor(F.col("_tb") / 1024)})
+    return e.drop("_tb", "_prev", "_lastb", "_reset")
 
 
 def admission_control(events: DataFrame, key: str = "user_id", ts: str = "ts_us", end: str = "end_us",
