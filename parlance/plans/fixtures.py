@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import short_id, tokenize_ws
+from ..functions.text import tokenize_ws
 from ..operators.corpus import corpus_split
 
 L_WINDOW = 128          # window / segment length (the reference uses 2048)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gram as G
-from . import fixtures as X
 from .q_quant import CTE_LONG, CTE_MATRIX, D, fx_matrix
 from .registry import query, with_ctes
 
