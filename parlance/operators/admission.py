@@ -118,12 +118,15 @@ def admission_control(events: DataFrame, key: str = "user_id", ts: str = "ts_us"
 def admission_state_fn(key_col: str, ts: str, end: str, id_col: str, cap: int):
     """``applyInPandasWithState`` function: same transition, state = in-flight ends.
     Events of a micro-batch are applied in time order; an event older than the
-    user's last applied event is applied on arrival (no reordering across batches)."""
+    user's last applied event is applied on arrival (no reordering across
+    batches). The state times out at the user's last in-flight end (event
+    time), so idle users leave the state store once the watermark passes it."""
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         inflight = list(state.get[0]) if state.exists else []
-        parts = []
-        for pdf in pdfs:
-            parts.append(pdf)
+        parts = [pdf for pdf in pdfs]
         if not parts:
             return
         pdf = pd.concat(parts).sort_values([ts, id_col], kind="stable")
@@ -132,6 +135,8 @@ def admission_state_fn(key_col: str, ts: str, end: str, id_col: str, cap: int):
             a, inflight = transition(inflight, int(t), int(e), cap)
             adm.append(a)
         state.update((inflight,))
+        if inflight:
+            state.setTimeoutTimestamp(int(max(inflight)) // 1000)   # ms, same epoch as the watermark
         yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key_col: pdf[key_col].to_numpy(), "admitted": adm})
     return fn
 

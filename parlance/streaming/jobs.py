@@ -95,10 +95,15 @@ def merged_gram(spark: SparkSession, state_path: str) -> DataFrame:
 
 
 def admission_stream(events: DataFrame, key: str = "user_id", ts: str = "ts_us", end: str = "end_us",
-                     rid: str = "request_id", allow_queue: bool = False, max_queue: int | None = None) -> DataFrame:
+                     rid: str = "request_id", allow_queue: bool = False, max_queue: int | None = None,
+                     watermark: str = "1 hour") -> DataFrame:
     """Per-user admission over a stream with ``applyInPandasWithState``; the state
-    is the user's in-flight end times, the transition the batch one."""
+    is the user's in-flight end times, the transition the batch one. Event time
+    comes from the integer microseconds (time-zone free) and is watermarked;
+    a user's state expires (event-time timeout) once its last in-flight request
+    has ended, so the state store holds only users with work in flight."""
     cap = A.capacity(allow_queue, max_queue)
     fn = A.admission_state_fn(key, ts, end, rid, cap)
-    return events.groupBy(key).applyInPandasWithState(
-        fn, f"{rid} long, {key} long, admitted boolean", "inflight array<bigint>", "append", "NoTimeout")
+    ev = events.withColumn("_ets", F.timestamp_micros(F.col(ts))).withWatermark("_ets", watermark)
+    return ev.groupBy(key).applyInPandasWithState(
+        fn, f"{rid} long, {key} long, admitted boolean", "inflight array<bigint>", "append", "EventTimeTimeout")

@@ -116,3 +116,19 @@ def test_prefix_sum_three_levels(spark):
         run[k] = run.get(k, 0) + v
         cnt[k] = cnt.get(k, 0) + 1
         assert got[(k, o)] == (run[k], cnt[k])
+
+
+def test_stream_state_expiry_across_batches(spark, tmp_path):
+    from parlance.streaming import jobs as J
+    minute = 60_000_000
+    ev = [(rid, u, ts * minute, end * minute) for rid, u, ts, end in sample_events(300, seed=4)]
+    ev.sort(key=lambda e: e[2])
+    src = tmp_path / "src"
+    schema = "request_id long, user_id long, ts_us long, end_us long"
+    for part in range(3):                       # time-ordered files: nothing arrives behind the watermark
+        chunk = ev[part * 100:(part + 1) * 100]
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = J.admission_stream(stream, allow_queue=True, max_queue=2)
+    got = {r.request_id: r.admitted for r in spark.read.parquet(J.run_available(out, "t_adm_multi")).collect()}
+    assert got == brute(ev, 2)
