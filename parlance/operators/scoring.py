@@ -311,10 +311,13 @@ def batch_generate_sampled(prompts: DataFrame, table: DataFrame, fallback: Colum
                         "token", "lo", "z")
            .repartition("_last", "_lv", "_bkt"))
     tab = checkpointed(tab)
+    # probe only the slice levels the table uses (one small aggregate)
+    top_level = tab.agg(F.max("_lv")).first()[0]
+    top_level = MAX_LEVEL if top_level is None else int(top_level)
     for t in range(max_new):
         u = uniform(seed, *[F.col(k) for k in keys], t)
         probe = (state.withColumn("_u", u)
-                 .withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))))
+                 .withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(top_level))))
                  .withColumn("_bkt", F.least(F.floor(F.col("_u") * F.pow(F.lit(2.0), F.col("_lv"))),
                                              F.pow(F.lit(2.0), F.col("_lv")) - 1).cast("int")))
         j = probe.join(tab, on=["_last", "_lv", "_bkt"], how="left")
