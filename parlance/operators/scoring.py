@@ -176,12 +176,31 @@ def batch_generate(prompts: DataFrame, nxt: DataFrame, fallback: Column, max_new
     the first step where the sequence ends with a stop sequence; stop
     sequences are then trimmed and a trailing end marker dropped from the text.
 
+    A next-token table under the broadcast bound (counted after it is
+    checkpointed) is broadcast and each step is a hash join on the prompt
+    table; a larger one goes through successor-path doubling.
+
     Adds ``generated`` (array<string>) and ``text``.
     """
-    paths = successor_paths(nxt, fallback, max_new,
-                            domain=prompts.select(F.element_at(tokens, -1).alias("t")).filter(F.col("t").isNotNull()))
-    j = prompts.withColumn("_last", F.element_at(tokens, -1)).join(
-        paths, F.col("_last") == paths.ctx, "left")
+    from .sizing import MAX_BROADCAST_ROWS
+    nxt = checkpointed(nxt.select("ctx", "next"))
+    if nxt.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        # next-token table under the broadcast bound: step every prompt with a
+        # broadcast hash join per token (no shuffle at all)
+        nb = F.broadcast(nxt.select(F.col("ctx").alias("_c"), F.col("next").alias("_nx")))
+        j = (prompts.withColumn("_last", F.try_element_at(tokens, F.lit(-1)))
+             .withColumn("path", F.when(F.col("_last").isNotNull(), F.array().cast("array<string>"))))
+        for _ in range(max_new):
+            j = j.join(nb, F.col("_last") == F.col("_c"), "left")
+            step = F.when(F.col("_last").isNotNull(), F.coalesce(F.col("_nx"), fallback))
+            j = (j.withColumn("path", F.concat("path", F.array(step)))
+                 .withColumn("_last", step).drop("_c", "_nx"))
+        j = j.withColumn("ctx", F.lit(None).cast("string"))
+    else:
+        paths = successor_paths(nxt, fallback, max_new,
+                                domain=prompts.select(F.try_element_at(tokens, F.lit(-1)).alias("t")).filter(F.col("t").isNotNull()))
+        j = prompts.withColumn("_last", F.try_element_at(tokens, F.lit(-1))).join(
+            paths, F.col("_last") == paths.ctx, "left")
     gen = F.coalesce(F.col("path"), F.array().cast("array<string>"))
     maxlen = max(len(s) for s in stops)
     tail = F.slice(F.col(tokens), -maxlen, maxlen)

@@ -62,3 +62,15 @@ def test_batch_predict_builds_predictor_once_per_worker(spark):
     out = S.batch_predict(df, counting_factory, "id int, cached int")
     vals = {r.cached for r in out.collect()}
     assert vals == {1}      # one cached predictor per Python worker, reused across batches and tasks
+
+
+def test_greedy_generation_paths_agree(spark, monkeypatch):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    from parlance.operators import sizing
+    q = E.queries()["batch_generate"]
+    bcast = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)     # force successor-path doubling
+    doubling = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    assert bcast == doubling and len(bcast) > 0
