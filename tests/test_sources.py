@@ -31,3 +31,30 @@ def test_view_log_appends_nested_items(spark):
         logs.write_view_log(df, path)
     got = logs.read_view_log(spark, path).select("message_id", F.col("items")[0]["custom_id"].alias("c")).collect()
     assert sorted((r.message_id, r.c) for r in got) == [(1, "c1"), (2, "c2")]
+
+
+def test_read_corpus_formats(spark, tmp_path):
+    import gzip
+    import json
+
+    from parlance.operators.corpus import corpus_split
+    from parlance.sources.corpus import read_corpus
+    docs = [{"text": f"doc number {i}"} for i in range(25)]
+    jdir = tmp_path / "json"
+    jdir.mkdir()
+    for part in range(2):
+        with gzip.open(jdir / f"part-{part}.json.gz", "wt") as fh:
+            for d in docs[part * 13:(part + 1) * 13]:
+                fh.write(json.dumps(d) + "\n")
+    j = read_corpus(spark, str(jdir), "json", schema="text string")
+    rows = sorted((r.doc_id, r.text) for r in j.collect())
+    assert [r[0] for r in rows] == list(range(25))
+    assert sorted(r[1] for r in rows) == sorted(d["text"] for d in docs)
+    again = sorted((r.doc_id, r.text) for r in read_corpus(spark, str(jdir), "json", schema="text string").collect())
+    assert again == rows                                   # stable ids on rerun
+    tdir = tmp_path / "text"
+    tdir.mkdir()
+    (tdir / "a.txt").write_text("first line\nsecond line\n")
+    t = read_corpus(spark, str(tdir), "text")
+    assert sorted((r.doc_id, r.text) for r in t.collect()) == [(0, "first line"), (1, "second line")]
+    assert corpus_split(t).filter("split = 'train'").count() == 2
