@@ -58,3 +58,15 @@ def test_read_corpus_formats(spark, tmp_path):
     t = read_corpus(spark, str(tdir), "text")
     assert sorted((r.doc_id, r.text) for r in t.collect()) == [(0, "first line"), (1, "second line")]
     assert corpus_split(t).filter("split = 'train'").count() == 2
+
+
+def test_read_wordlist(spark, tmp_path):
+    from parlance.operators import moderation as M
+    from parlance.sources.rules import read_wordlist
+    (tmp_path / "w.txt").write_text("Bad\n\nr/^Start/\nbad\n")
+    rules = read_wordlist(spark, str(tmp_path / "w.txt"))
+    assert sorted((r.rule_id, r.kind, r.pattern) for r in rules.collect()) == [
+        (0, "word", "bad"), (2, "regex", "^Start"), (3, "word", "bad")]
+    df = spark.createDataFrame([(1, "Start here"), (2, "so BAD")], "id int, text string")
+    got = {r.id: r.reason for r in M.moderate(df, rules, "text", scores=None).collect()}
+    assert got == {1: "regex:^Start", 2: "word:bad"}
