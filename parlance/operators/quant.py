@@ -352,6 +352,14 @@ def quant_error(a: DataFrame, b: DataFrame, key: str = "row", va: str = "vec", v
                     F.array_max(F.transform(diff, lambda e: F.abs(e))).alias("max_abs"))
 
 
+def verify_packed(unpacked: DataFrame, tol: float = 1e-12, got: str = "w", want: str = "deq") -> DataFrame:
+    """Packed result equals the dense one within ``tol``: one row with the
+    largest absolute difference over all elements and the verdict (a global
+    max, combined map-side)."""
+    diff = F.array_max(F.zip_with(got, want, lambda p, q: F.abs(p - q)))
+    return unpacked.agg(F.max(diff).alias("max_abs_diff")).withColumn("ok", F.col("max_abs_diff") <= tol)
+
+
 def footprint(catalog: DataFrame, bits_list=(2, 3, 4, 8), groupsizes=(-1, 32)) -> DataFrame:
     """Bytes of packed words, packed zeros, fp16 scales and bias per matrix,
     bit width and group size, against a 16-bit dense copy. ``catalog`` has

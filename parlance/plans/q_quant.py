@@ -241,9 +241,7 @@ def q_verify_packed(spark, sf_dir):
     frames = []
     for b in BITS:
         u = Q.unpack_dequant(_packed(spark, sf_dir, b, GS), b, D, GS)
-        diff = F.array_max(F.zip_with("w", "deq", lambda p, q: F.abs(p - q)))
-        frames.append(u.agg(F.max(diff).alias("max_abs_diff")).select(F.lit(b).alias("bits"), "max_abs_diff",
-                                                                        (F.col("max_abs_diff") <= 1e-12).alias("ok")))
+        frames.append(Q.verify_packed(u, 1e-12).select(F.lit(b).alias("bits"), "max_abs_diff", "ok"))
     return _union(frames)
 
 
