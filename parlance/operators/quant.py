@@ -352,6 +352,12 @@ def quant_error(a: DataFrame, b: DataFrame, key: str = "row", va: str = "vec", v
                     F.array_max(F.transform(diff, lambda e: F.abs(e))).alias("max_abs"))
 
 
+def quant_error_total(per_row: DataFrame) -> DataFrame:
+    """Matrix totals of ``quant_error``: rows, total squared error, largest abs diff."""
+    return per_row.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sq_err").alias("total_sq_err"),
+                       F.max("max_abs").alias("max_abs"))
+
+
 def verify_packed(unpacked: DataFrame, tol: float = 1e-12, got: str = "w", want: str = "deq") -> DataFrame:
     """Packed result equals the dense one within ``tol``: one row with the
     largest absolute difference over all elements and the verdict (a global

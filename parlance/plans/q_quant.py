@@ -262,6 +262,15 @@ def q_quant_error(spark, sf_dir):
     return e.select("row", F.round("sq_err", 9).alias("sq_err"), "max_abs")
 
 
+@query("quant_error_total", with_ctes(*_G4) + """
+SELECT count(*) AS n_rows, round(sum(e), 9) AS total_sq_err, max(m) AS max_abs
+FROM (SELECT row, sum((x - deq) * (x - deq)) AS e, max(abs(x - deq)) AS m FROM gq4 GROUP BY row)""")
+def q_quant_error_total(spark, sf_dir):
+    r = Q.rtn_quantize(_gparams(spark, sf_dir, 4, False, GS), 4, GS)
+    t = Q.quant_error_total(Q.quant_error(fx_matrix(spark, sf_dir), r.select("row", "deq")))
+    return t.select("n_rows", F.round("total_sq_err", 9).alias("total_sq_err"), "max_abs")
+
+
 @query("footprint", """
 WITH cat AS (SELECT label AS matrix_id, count(*) AS rows, 64 AS cols FROM embeddings GROUP BY label),
 c AS (SELECT *, CASE WHEN gs = -1 THEN cols ELSE gs END AS g FROM cat, (VALUES (2), (3), (4), (8)) b(bits), (VALUES (-1), (32)) s(gs))
