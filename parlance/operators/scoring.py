@@ -272,35 +272,41 @@ def latency_summary(timings: DataFrame, run: str = "run", seconds: str = "second
 MAX_LEVEL = 20   # a context is cut into 2^level slices; level ~ log2(candidates / 4)
 
 
-def sampling_table(cands: DataFrame, top_p: float, T: float) -> DataFrame:
+def sampling_cdf(cands: DataFrame, top_p: float, T: float) -> DataFrame:
     """Per context, the cumulative distribution used for sampling.
 
     Weights are temperature-scaled ``(cnt/total)^(1/T)``; candidates in order
     (count desc, token) are kept while the scaled mass before them is below
     ``top_p`` of the context's scaled total (``top_p >= 1`` keeps all); each
-    kept candidate owns ``[lo, lo + w)`` of ``[0, z)``. A context with n kept
-    candidates is cut into ``2^level`` equal slices (level ≈ log2(n/4)) and
-    each candidate is listed under the slices it overlaps, so the table stays
-    about the size of the candidate list and a draw finds its candidate among
-    a handful of rows even for a context with millions of them.
-    Output: ctx, level, bkt, token, lo, z.
-    """
-    c = cands.withColumn("_w", F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T)))
+    kept candidate owns ``[lo, lo + w)`` of ``[0, z)``.
+    Output: ctx, token, lo, w, z."""
+    c = cands.withColumn("w", F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T)))
     c = c.withColumn("_pre", F.substr(F.col("token"), F.lit(1), F.lit(2)))
-    c = prefix_sum(c, "_w", "lo", ["ctx"], [F.col("cnt").desc(), F.col("token").asc()],
+    c = prefix_sum(c, "w", "lo", ["ctx"], [F.col("cnt").desc(), F.col("token").asc()],
                    ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()],
                    coarse={"_cc": F.col("cnt")}, coarse_order=[F.col("_cc").desc()])
-    zall = c.groupBy("ctx").agg(F.sum("_w").alias("_zall"))
+    zall = c.groupBy("ctx").agg(F.sum("w").alias("_zall"))
     c = c.join(zall, on="ctx")
     if top_p < 1:
         c = c.filter(F.col("lo") < F.lit(top_p) * F.col("_zall"))
-    z = c.groupBy("ctx").agg(F.sum("_w").alias("z"), F.count(F.lit(1)).alias("_n"))
-    c = c.join(z, on="ctx")
+    z = c.groupBy("ctx").agg(F.sum("w").alias("z"))
+    return c.join(z, on="ctx").select("ctx", "token", "lo", "w", "z")
+
+
+def sampling_table(cdf: DataFrame) -> DataFrame:
+    """The distribution cut into slices for equi-join lookups: a context with n
+    kept candidates is cut into ``2^level`` equal slices (level ≈ log2(n/4))
+    and each candidate is listed under the slices it overlaps, so the table
+    stays about the size of the candidate list and a draw finds its candidate
+    among a handful of rows even for a context with millions of them.
+    Output: ctx, level, bkt, token, lo, z."""
+    n = cdf.groupBy("ctx").agg(F.count(F.lit(1)).alias("_n"))
+    c = cdf.join(n, on="ctx")
     level = F.least(F.greatest(F.ceil(F.log2(F.col("_n") / 4.0)), F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
     c = c.withColumn("level", level).withColumn("_nb", F.pow(F.lit(2.0), F.col("level")))
     top = (F.col("_nb") - 1).cast("int")
     b0 = F.least(F.floor(F.col("lo") * F.col("_nb") / F.col("z")).cast("int"), top)
-    b1 = F.least(F.floor((F.col("lo") + F.col("_w")) * F.col("_nb") / F.col("z")).cast("int"), top)
+    b1 = F.least(F.floor((F.col("lo") + F.col("w")) * F.col("_nb") / F.col("z")).cast("int"), top)
     return c.select("ctx", "level", F.explode(F.sequence(b0, b1)).alias("bkt"), "token", "lo", "z")
 
 
@@ -310,7 +316,7 @@ def uniform(seed, *parts) -> Column:
     return md5_int(seed, *parts).cast("double") / float(2 ** 48)
 
 
-def batch_generate_sampled(prompts: DataFrame, table: DataFrame, fallback: Column, max_new: int, seed: int,
+def batch_generate_sampled(prompts: DataFrame, cdf: DataFrame, fallback: Column, max_new: int, seed: int,
                            keys=("conv_id", "turn"), tokens: str = "tokens",
                            stops: Sequence[Sequence[str]] = tuple([w] for w in K.STOP_WORDS)) -> DataFrame:
     """Sampled generation: at step t each prompt draws ``u = uniform(seed, key, t)``
@@ -324,9 +330,15 @@ def batch_generate_sampled(prompts: DataFrame, table: DataFrame, fallback: Colum
     hash-partitioned by its lookup key once, so steps shuffle only the state.
     Stop sequences are applied at the end as in greedy decoding."""
     keys = list(keys)
+    from .sizing import MAX_BROADCAST_ROWS
+    cdf = checkpointed(cdf.select("ctx", "token", "lo", "w", "z"))
+    if cdf.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        gen_df = _sample_in_tasks(prompts, cdf, fallback, max_new, seed, keys, tokens)
+        return _finish_generation(prompts.select(*keys, tokens).join(gen_df, on=keys, how="left"), tokens, stops)
+    keys = list(keys)
     state = prompts.select(*keys, F.try_element_at(tokens, F.lit(-1)).alias("_last"),
                            F.array().cast("array<string>").alias("generated"))
-    tab = (table.select(F.col("ctx").alias("_last"), F.col("level").alias("_lv"), F.col("bkt").alias("_bkt"),
+    tab = (sampling_table(cdf).select(F.col("ctx").alias("_last"), F.col("level").alias("_lv"), F.col("bkt").alias("_bkt"),
                         "token", "lo", "z")
            .repartition("_last", "_lv", "_bkt"))
     tab = checkpointed(tab)
@@ -351,7 +363,14 @@ def batch_generate_sampled(prompts: DataFrame, table: DataFrame, fallback: Colum
         if t % 4 == 3:
             state = checkpointed(state)
     state = prompts.select(*keys, tokens).join(state.drop("_last"), on=keys, how="left")
-    maxlen = max(len(s) for s in stops)
+    return _finish_generation(state, tokens, stops)
+
+
+
+def _finish_generation(state: DataFrame, tokens: str, stops) -> DataFrame:
+    """Stop at the first step whose sequence ends with a stop sequence, trim stop
+    sequences, join the text and drop a trailing end marker."""
+    maxlen = max(len(x) for x in stops)
     tail = F.slice(F.col(tokens), -maxlen, maxlen)
     gen = F.coalesce(F.col("generated"), F.array().cast("array<string>"))
 
@@ -363,3 +382,52 @@ def batch_generate_sampled(prompts: DataFrame, table: DataFrame, fallback: Colum
     cut = F.when(F.col("_first") > 0, F.slice("generated", F.lit(1), F.col("_first").cast("int"))).otherwise(F.col("generated"))
     out = state.withColumn("generated", trim_stop(cut, stops)).drop("_first")
     return out.withColumn("text", drop_end_marker(F.array_join(F.concat(F.col(tokens), F.col("generated")), " ")))
+
+
+def _sample_in_tasks(prompts: DataFrame, cdf: DataFrame, fallback: Column, max_new: int, seed: int,
+                     keys, tokens: str) -> DataFrame:
+    """Sampled steps inside tasks: the (size-checked) candidate distribution is
+    broadcast as sorted arrays, prompts stay partitioned by Spark, and each draw
+    is a ``searchsorted`` for the last candidate starting at or before ``u * z``
+    with the same md5 uniforms as the join path."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+    spark = prompts.sparkSession
+    fb = spark.range(1).select(fallback.alias("f")).first()["f"]
+    pdf = cdf.select("ctx", "token", "lo", "z").toPandas().sort_values(["ctx", "lo"], kind="stable")
+    ctx = pdf["ctx"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else np.array([], dtype=int)
+    ends = np.r_[starts[1:], len(ctx)] if len(ctx) else np.array([], dtype=int)
+    index = {c: (int(a), int(b)) for c, a, b in zip(ctx[starts], starts, ends)}
+    bc = spark.sparkContext.broadcast((index, pdf["token"].to_numpy(), pdf["lo"].to_numpy(), pdf["z"].to_numpy()))
+
+    def u_of(*parts):
+        h = hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()
+        return int(h[:12], 16) / float(2 ** 48)
+
+    def run(batches):
+        idx, toks, lo, z = bc.value
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                arr = getattr(row, tokens)
+                last = arr[-1] if arr is not None and len(arr) else None
+                gen = []
+                if last is not None:
+                    kv = [getattr(row, k) for k in keys]
+                    for t in range(max_new):
+                        se = idx.get(last)
+                        if se is None:
+                            nxt = fb
+                        else:
+                            s0, s1 = se
+                            x = u_of(seed, *kv, t) * z[s0]
+                            nxt = toks[s0 + max(int(np.searchsorted(lo[s0:s1], x, side="right")) - 1, 0)]
+                        gen.append(nxt)
+                        last = nxt
+                out.append(gen)
+            yield pd.DataFrame({**{k: b[k] for k in keys}, "generated": out})
+    schema = ", ".join(f"{k} {dict(prompts.dtypes)[k]}" for k in keys) + ", generated array<string>"
+    return prompts.select(*keys, tokens).mapInPandas(run, schema)

@@ -361,7 +361,7 @@ def q_batch_generate_sampled(spark, sf_dir):
     train = X.fx_train_docs(spark, sf_dir)
     uni, big, ctx, _ = S.bigram_model(train.withColumn("dataset", F.lit("all")), ("dataset",))
     cands = S.candidates(big, ctx, ("dataset",)).drop("dataset")
-    table = S.sampling_table(cands, _SAMPLE_P, _SAMPLE_T)
+    cdf = S.sampling_cdf(cands, _SAMPLE_P, _SAMPLE_T)
     fallback = uni.agg(F.min_by("token", F.struct((-F.col("cnt")).alias("n"), F.col("token").alias("t")))).scalar()
-    gen = S.batch_generate_sampled(X.fx_prompts(spark, sf_dir), table, fallback, _GEN_STEPS, _SAMPLE_SEED)
+    gen = S.batch_generate_sampled(X.fx_prompts(spark, sf_dir), cdf, fallback, _GEN_STEPS, _SAMPLE_SEED)
     return gen.select("conv_id", "turn", F.size("generated").alias("n_new"), F.array_join("generated", " ").alias("generated"))

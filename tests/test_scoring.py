@@ -74,3 +74,15 @@ def test_greedy_generation_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)     # force successor-path doubling
     doubling = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
     assert bcast == doubling and len(bcast) > 0
+
+
+def test_sampled_generation_paths_agree(spark, monkeypatch):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    from parlance.operators import sizing
+    q = E.queries()["batch_generate_sampled"]
+    local = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)     # force the join-per-step path
+    joined = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    assert local == joined and len(local) > 0
