@@ -321,14 +321,17 @@ def batch_generate_sampled(prompts: DataFrame, cdf: DataFrame, fallback: Column,
                            stops: Sequence[Sequence[str]] = tuple([w] for w in K.STOP_WORDS)) -> DataFrame:
     """Sampled generation: at step t each prompt draws ``u = uniform(seed, key, t)``
     and takes the candidate of its last token whose ``[lo, lo + w)`` holds
-    ``u * z`` (the last candidate starting at or before it, among the rows of
-    the draw's slice). Contexts never seen continue with ``fallback``.
-
-    The per-step state is narrow (keys, last token, generated so far); it is
-    probed once per slice level (equi-join on ctx, level, slice), reduced with a
-    per-prompt ``max_by`` and checkpointed every 4 steps. The candidate table is
-    hash-partitioned by its lookup key once, so steps shuffle only the state.
-    Stop sequences are applied at the end as in greedy decoding."""
+    ``u * z`` (the last candidate starting at or before it). Contexts never
+    seen continue with ``fallback``.
+
+    Under the checked broadcast bound the distribution is broadcast as sorted
+    arrays and all steps run inside one ``mapInPandas`` pass over the
+    Spark-partitioned prompts (a ``searchsorted`` per draw). Beyond it, each
+    step probes the slice table (equi-join on ctx, level, slice) with the
+    narrow prompt state, reduces with a per-prompt ``max_by`` and checkpoints;
+    the slice table is hash-partitioned by its lookup key once. Both paths
+    pick the same tokens. Stop sequences are applied at the end as in greedy
+    decoding."""
     keys = list(keys)
     from .sizing import MAX_BROADCAST_ROWS
     cdf = checkpointed(cdf.select("ctx", "token", "lo", "w", "z"))
