@@ -75,3 +75,23 @@ def checkpointed(df):
     first, so it works in any session the caller hands us)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``parlance`` importable in Python workers (as ``--py-files`` would):
+    zip the package once per SparkContext and ``addPyFile`` it, so functions
+    pickled by reference (mapInPandas, pandas UDFs) resolve on every executor."""
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="parlance-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "parlance"), "zip", root_dir=root, base_dir="parlance")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
