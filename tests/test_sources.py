@@ -70,3 +70,14 @@ def test_read_wordlist(spark, tmp_path):
     df = spark.createDataFrame([(1, "Start here"), (2, "so BAD")], "id int, text string")
     got = {r.id: r.reason for r in M.moderate(df, rules, "text", scores=None).collect()}
     assert got == {1: "regex:^Start", 2: "word:bad"}
+
+
+def test_queries_ship_package_once(spark):
+    import __spark_entry__ as E
+    from parlance import session as S
+    qs = E.queries()
+    assert all(hasattr(fn, "__wrapped__") for fn in qs.values())
+    S.ship_package(spark)
+    n = len(S._SHIPPED)
+    S.ship_package(spark)
+    assert len(S._SHIPPED) == n and spark.sparkContext.applicationId in S._SHIPPED
