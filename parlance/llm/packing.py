@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import bpe_encoder, saved, slices, vocabulary_path
 
 WINDOW, UNITS, DEPTH = 2048, 64, 4
+BROADCAST_ROWS = 500_000             # rows of two ints and a long
 _PIECES = ("doc_id long, doc_tokens long, start long, length long, bucket int, part int, rank long, ids binary")
 
 
@@ -138,7 +139,7 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW, units: int = UNITS
     for each of ``units`` combinations) are all that the driver sees or sends.
     """
     spark = pieces.sparkSession
-    sizes = pieces.groupBy("part", "bucket").agg(F.count("*").alias("n"))
+    sizes = saved(pieces.groupBy("part", "bucket").agg(F.count("*").alias("n")), "sizes")
     histogram = np.zeros(units + 1, np.int64)
     for r in sizes.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         histogram[r.bucket] = r.n
@@ -154,6 +155,8 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW, units: int = UNITS
         sequences += times
     by_part = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", "bucket", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("base"))
+    if sizes.count() <= BROADCAST_ROWS:                 # else a shuffle join; the rows are the same
+        bases = F.broadcast(bases)
     table = spark.createDataFrame(slots, "s_bucket int, s_from long, s_to long, s_sequence long, s_offset long")
     at = F.col("rank") + F.col("base")
     placed = (pieces.join(bases, ["part", "bucket"])
