@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_main, idpack, packing, quality, simhash_bk, token_counts, topk_pivot
+from . import chat_format, decontaminate, html_main, idpack, katz, packing, quality, simhash_bk, token_counts, topk_pivot
 from .common import table, vocabulary_path
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +79,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES: dict[str, tuple] = {
     "op1_chat_format": (op1_chat_format, None),
     "op2_packing": (op2_packing, None),
+    "op3_katz": (op3_katz, None),
     "op4_decontaminate": (op4_decontaminate, None),
     "op5_quality": (op5_quality, None),
     "op6_id_pack": (op6_id_pack, None),
