@@ -26,11 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _Memo, saved, slices, words_of
+from .common import _Memo, hand_back, saved, slices, words_of
 from .quality import doc_remainder
 
+ROW_POSTINGS = 32_768                      # postings in a row of the stored table
 LEAST_BIGRAM, DISCOUNTED = 2, 5            # bigrams seen once back off; counts to 5 are discounted
-BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 2_000_000, 24 << 20, 1_000, 32
+BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 1_000_000, 8 << 20, 1_000, 32
 _PACKED = "bucket int, base long, sizes array<long>, data binary"
 _TABLE = ("bucket int, docs binary, counts array<long>, u_x binary, u_c binary, u_n binary, u_d binary, u_t binary, "
           "b_h binary, b_w binary, b_c binary, b_n binary, b_d binary, b_t binary, b_heavy binary")
@@ -47,7 +48,7 @@ def marks() -> tuple[int, int]:
     return token_hash(b" start"), token_hash(b" end")
 
 
-_HASHES = _Memo(token_hash, 500_000)
+_HASHES = _Memo(token_hash, 300_000)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -187,6 +188,9 @@ def _pack(buckets: int, heavy: dict[int, int]):
                     tokens, numbers, infos, held, block = [], [], [], 0, block + 1
         if infos:
             yield flush()
+        tokens, numbers, infos = [], [], []
+        _HASHES.clear()
+        hand_back()
 
     return pack
 
@@ -206,7 +210,7 @@ def _unpack(base: int, sizes, data: bytes):
     return h, np.repeat(w, w_posts), d.astype(np.int64) + base, times.astype(np.int64)
 
 
-def _count(heavy: dict[int, int]):
+def _count(heavy: dict[int, int], row_postings: int):
     heavy_x = np.array(sorted(heavy), np.uint64)
 
     def row(bucket, blocks, docs):
@@ -232,6 +236,7 @@ def _count(heavy: dict[int, int]):
             times = np.add.reduceat(t, at)
             h, d = h[at], d[at]
             words = _starts(h)
+            # a word spread over buckets has its count in the model
             out |= {"u_x": h[words], "u_c": np.add.reduceat(times * (d & 1), words), "u_n": _lengths(words, len(h)).astype(np.uint32), "u_d": d, "u_t": times.astype(np.uint32)}
         return out
 
@@ -246,6 +251,24 @@ def _count(heavy: dict[int, int]):
             cols += [pa.array([_planes(found[n]) if n in found else b""], pa.binary()) for n in names[3:]]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
+        def rows_of(found):
+            """The postings of a bucket in rows of bounded size. An entry cut by a
+            row's end goes on in the next row, its count negative."""
+            most = max(len(found.get("u_d", ())), len(found.get("b_d", ())))
+            for at in range(0, max(1, most), row_postings):
+                one = {"bucket": found["bucket"], "docs": found["docs"], "counts": found["counts"] if not at else []}
+                for kind, own in (("u", ("x",)), ("b", ("h", "w", "heavy"))):
+                    n = found.get(f"{kind}_n", np.empty(0, np.uint32)).astype(np.int64)
+                    ends = np.cumsum(n)
+                    low, high = np.maximum(ends - n, at), np.minimum(ends, at + row_postings)
+                    here = np.flatnonzero(high > low)
+                    if len(here):
+                        one |= {f"{kind}_{c}": found[f"{kind}_{c}"][here] for c in own}
+                        one[f"{kind}_c"] = np.where((ends - n)[here] >= at, 1, -1) * found[f"{kind}_c"][here]
+                        one[f"{kind}_n"] = (high - low)[here].astype(np.uint32)
+                        one |= {f"{kind}_{c}": found[f"{kind}_{c}"][at:at + row_postings] for c in ("d", "t")}
+                yield batch_of(one)
+
         bucket, blocks = None, []
         for batch in slices(batches, 16):
             for r in batch.to_pylist():
@@ -256,11 +279,13 @@ def _count(heavy: dict[int, int]):
                     continue
                 if r["bucket"] != bucket:
                     if blocks:
-                        yield batch_of(row(bucket, blocks, b""))
+                        yield from rows_of(row(bucket, blocks, b""))
+                        hand_back()
                     bucket, blocks = r["bucket"], []
                 blocks.append(_unpack(r["base"], r["sizes"], r["data"]))
         if blocks:
-            yield batch_of(row(bucket, blocks, b""))
+            yield from rows_of(row(bucket, blocks, b""))
+        hand_back()
 
     return count
 
@@ -284,7 +309,7 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucket_bytes: int = BUCKET_BYTES, row_postings: int = ROW_POSTINGS) -> DataFrame:
     """Scores of every row's whole text, learnt from the rows whose crc32 of the id,
     modulo ``modulus``, is not ``held_out``: ``doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score``.
@@ -297,10 +322,10 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> Da
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    buckets = max(12, -(-size // BUCKET_BYTES))
+    buckets = max(12, -(-size // bucket_bytes))
     heavy = heavy_contexts(docs, buckets)
     table = saved(docs.select("doc_id", (doc_remainder(F.col("doc_id"), modulus) != held_out).alias("train"), "text").mapInArrow(_pack(buckets, heavy), _PACKED)
-                  .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(heavy), _TABLE), "postings")
+                  .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(heavy, row_postings), _TABLE), "postings")
     _release(spark)
 
     info = (table.filter("bucket < 0").select(F.explode(F.expr("transform(sequence(0, cast(length(docs) / 32 as int) - 1), i -> substring(docs, 32 * i + 1, 32))")).alias("r"))
@@ -318,7 +343,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> Da
     pairs = packed.select("b_h", "b_w", "b_c", "b_heavy").mapInArrow(
         _explode([("h", "<u8", "int64"), ("w", "<u8", "int64"), ("c", "<i8", "int64"), ("heavy", "u1", "int32")]), "h long, w long, c long, heavy int")
     spread = pairs.filter("heavy = 1 and c > 0").groupBy("h", "w").agg(F.sum("c").alias("c"))
-    bigrams = saved(pairs.filter("heavy = 0").select("h", "w", "c", F.lit(False).alias("heavy")).unionByName(spread.withColumn("heavy", F.lit(True))), "bigrams")
+    bigrams = saved(pairs.filter("heavy = 0 and c > 0").select("h", "w", "c", F.lit(False).alias("heavy")).unionByName(spread.withColumn("heavy", F.lit(True))), "bigrams")
 
     total = unigrams.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
@@ -344,21 +369,25 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> Da
                .withColumn("of", F.when(F.col("mass") >= F.col("c_h") * (1 - 1e-12), F.col("c_h") + 1.0).otherwise(F.col("c_h").cast("double")))
                .select("h", "of", F.log10((1 - F.col("mass") / F.col("of")) / (1 - F.col("covered"))).alias("a")))
     weights = saved(weights, "weights")
+    _release(spark)
     ratio = F.log10(F.col("dc") / F.col("of")) - F.col("a") - F.log10("p_w")
-    two_rows = held.join(weights, "h").select(F.col("h").alias("x"), "w", F.lit(1).alias("kind"), ratio.alias("v"), F.lit(0).cast("long").alias("c"))
-    one_rows = (p1.join(weights.select(F.col("h").alias("x"), "a"), "x", "left")
-                .select("x", F.lit(0).cast("long").alias("w"), F.lit(0).alias("kind"), (F.log10("p") + F.coalesce("a", F.lit(0.0))).alias("v"), "c"))
+    two_rows = held.join(weights, "h").select(F.col("h").alias("x"), "w", ratio.alias("v"), F.lit(None).cast("long").alias("c"))
+    # other words have their whole count beside their postings, and weight 1
+    spread_of = F.broadcast(heavy_s)                     # HEAVY_MOST rows at most
+    one_rows = (p1.join(weights.select(F.col("h").alias("x"), "a"), "x", "left").join(spread_of, "x", "left").filter("a is not null or spread is not null")
+                .select("x", F.lit(0).cast("long").alias("w"), (F.log10("p") + F.coalesce("a", F.lit(0.0))).alias("v"), "c"))
+    first = weights.filter(F.col("h") == start).select("h", "a").first()
+    last = p1.filter(F.col("x") == end).first()
     top = F.expr(f"shiftrightunsigned(x, 32) * {buckets}L")
-    model = (two_rows.unionByName(one_rows).join(F.broadcast(heavy_s), "x", "left")          # HEAVY_MOST rows at most
+    model = (two_rows.unionByName(one_rows).join(spread_of, "x", "left")
              .withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)))
-             .withColumn("bucket", F.pmod(F.shiftrightunsigned(top, 32) + F.col("s"), F.lit(buckets)).cast("int")).select("bucket", "x", "w", "kind", "v", "c"))
+             .withColumn("bucket", F.pmod(F.shiftrightunsigned(top, 32) + F.col("s"), F.lit(buckets)).cast("int")).select("bucket", "x", "w", "v", "c"))
     model = saved(model, "model")
+    _release(spark)
 
     cells = "d long, score double, base double, known long"
-    parts = packed.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_look_up(start, math.log10(unknown)), cells)
+    parts = packed.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_look_up(start, math.log10(unknown), {r: r * x for r, x in d1.items()}, float(whole or 1)), cells)
     sums = parts.groupBy("d").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
-    first = weights.filter(F.col("h") == start).first()
-    last = p1.filter(F.col("x") == end).first()
     always = (first.a if first else 0.0) + math.log10(last.p if last else unknown)
     every = math.log10(n + 0.1 * (v + 1))
     return (info.join(sums, "d", "left").select(
@@ -377,48 +406,72 @@ def _doc_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(info[:, 0]), ids, pa.array(info[:, 3])], names=["d", "doc_id", "n_tokens"])
 
 
-def _look_up(start: int, unknown: float):
-    """Per document of a bucket: sums over its postings of what the model says."""
+def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: float):
+    """Per document of a bucket: sums over its postings of what the model says. A
+    word that the model does not name has its whole count beside its postings."""
     def look_up(left, right):
         import pyarrow as pa
 
-        x, w, kind, v, c = (right.column(n).to_numpy() for n in ("x", "w", "kind", "v", "c"))
+        if not left.num_rows:
+            return pa.table({"d": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "base": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
+        x, w, v = (right.column(n).to_numpy() for n in ("x", "w", "v"))
         x, w = x.view(np.uint64), w.view(np.uint64)
-        one, two = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        is_one = right.column("c").is_valid().to_numpy()
+        c = right.column("c").fill_null(0).to_numpy()
+        one, two = np.flatnonzero(is_one), np.flatnonzero(~is_one)
         one = one[np.argsort(x[one])]
+        one_x, one_v, one_c = x[one], v[one], c[one]
         two = two[np.lexsort((w[two], x[two]))]
-        docs, scores, bases, knowns = [], [], [], []
-        for r in left.to_pylist():
+        two_x, two_w, two_v = x[two], w[two], v[two]
+        pieces = []
+        for k in range(left.num_rows):
+            r = {n: left.column(n)[k].as_py() for n in ("u_x", "u_c", "u_n", "u_d", "u_t", "b_h", "b_w", "b_n", "b_d", "b_t")}
             ux, un, ud, ut = _array(r["u_x"], "<u8"), _array(r["u_n"], "<u4"), _array(r["u_d"], "<i8"), _array(r["u_t"], "<u4").astype(np.float64)
-            value, count = np.full(len(ux), unknown), np.zeros(len(ux))
-            if len(one) and len(ux):
-                i = np.minimum(np.searchsorted(x[one], ux), len(one) - 1)
-                hit = x[one][i] == ux
-                value[hit], count[hit] = v[one][i[hit]], c[one][i[hit]]
-            base = np.log10(count + 0.1)
-            opens = ux == np.uint64(start % (1 << 64))      # the start is a context, not a token
-            value[opens] = base[opens] = count[opens] = 0.0
-            docs.append(ud)
-            scores.append(np.repeat(value, un) * ut)
-            bases.append(np.repeat(base, un) * ut)
-            knowns.append(np.repeat((count > 0).astype(np.float64), un) * ut)
+            docs, sums = [], []
+            if len(ux):
+                count = np.abs(_array(r["u_c"], "<i8")).astype(np.float64)
+                mass = count.copy()
+                for times, left_of in discounted.items():
+                    mass[count == times] = left_of
+                value = np.full(len(ux), unknown)
+                value[count > 0] = np.log10(mass[count > 0] / whole)
+                if len(one_x):
+                    i = np.minimum(np.searchsorted(one_x, ux), len(one_x) - 1)
+                    hit = one_x[i] == ux
+                    value[hit], count[hit] = one_v[i[hit]], one_c[i[hit]]
+                base, known = np.log10(count + 0.1), (count > 0).astype(np.float64)
+                opens = ux == np.uint64(start % (1 << 64))      # the start is a context, not a token
+                value[opens] = base[opens] = known[opens] = 0.0
+                docs.append(ud)
+                sums.append([np.repeat(a, un) * ut for a in (value, base, known)])
             bh, bw, bn = _array(r["b_h"], "<u8"), _array(r["b_w"], "<u8"), _array(r["b_n"], "<u4")
-            if len(bh) and len(two):
+            if len(bh) and len(two_x):
                 gain = np.zeros(len(bh))
-                # both sides sorted by (h, w): rank the model's pairs among ours
-                keys = np.empty(len(bh) + len(two), [("h", "<u8"), ("w", "<u8")])
-                keys["h"], keys["w"] = np.append(bh, x[two]), np.append(bw, w[two])
-                order = np.lexsort((keys["w"], keys["h"]))
-                same = np.flatnonzero((keys["h"][order][1:] == keys["h"][order][:-1]) & (keys["w"][order][1:] == keys["w"][order][:-1]))
-                ours, theirs = order[same], order[same + 1] - len(bh)
-                gain[ours] = v[two][theirs]
+                # the model's pairs of the contexts at hand, ranked among ours
+                a, b = np.searchsorted(two_x, bh[0]), np.searchsorted(two_x, bh[-1], side="right")
+                h, ww = np.append(bh, two_x[a:b]), np.append(bw, two_w[a:b])
+                order = np.lexsort((ww, h))
+                h, ww = h[order], ww[order]
+                same = np.flatnonzero((h[1:] == h[:-1]) & (ww[1:] == ww[:-1]))
+                gain[order[same]] = two_v[a:b][order[same + 1] - len(bh)]
                 docs.append(_array(r["b_d"], "<i8"))
-                scores.append(np.repeat(gain, bn) * _array(r["b_t"], "<u4"))
-                bases.append(np.zeros(len(docs[-1])))
-                knowns.append(np.zeros(len(docs[-1])))
-        d, at = np.unique(np.concatenate(docs), return_inverse=True) if docs else (np.empty(0, np.int64), np.empty(0, np.int64))
-        add = (lambda a: np.bincount(at, weights=np.concatenate(a), minlength=len(d))) if docs else (lambda a: np.empty(0))
-        return pa.table({"d": pa.array(d, pa.int64()), "score": pa.array(add(scores), pa.float64()), "base": pa.array(add(bases), pa.float64()),
-                         "known": pa.array(np.rint(add(knowns)).astype(np.int64), pa.int64())})
+                score = np.repeat(gain, bn) * _array(r["b_t"], "<u4")
+                sums.append([score, np.zeros(len(score)), np.zeros(len(score))])
+            if docs:
+                pieces.append(_by_document(np.concatenate(docs), [np.concatenate(s) for s in zip(*sums, strict=True)]))
+            if len(pieces) == 16:
+                pieces = [_merged(pieces)]
+        d, (score, base, known) = _merged(pieces) if pieces else (np.empty(0, np.int64), [np.empty(0)] * 3)
+        return pa.table({"d": pa.array(d, pa.int64()), "score": pa.array(score, pa.float64()), "base": pa.array(base, pa.float64()),
+                         "known": pa.array(np.rint(known).astype(np.int64), pa.int64())})
 
     return look_up
+
+
+def _by_document(d: np.ndarray, sums: list[np.ndarray]):
+    one, at = np.unique(d, return_inverse=True)
+    return one, [np.bincount(at, weights=a, minlength=len(one)) for a in sums]
+
+
+def _merged(pieces):
+    return _by_document(np.concatenate([d for d, _ in pieces]), [np.concatenate(a) for a in zip(*(s for _, s in pieces), strict=True)])
