@@ -62,7 +62,7 @@ def probability(weights: np.ndarray, text: str | None) -> float:
     return 1.0 / (1.0 + np.exp(-min(max(z, -35.0), 35.0)))
 
 
-def ftrl_train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
+def ftrl_train(rows, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
     """Weights of follow-the-regularised-leader (proximal, per coordinate, L1 and
     L2) over (feature hashes, label) rows, in a new random order each epoch."""
     size = (1 << BITS) + 1
@@ -76,7 +76,7 @@ def ftrl_train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: i
     data = []
     for grams, label in rows:
         at, counts = np.unique(grams, return_counts=True)
-        data.append((np.append(at, bias).astype(np.int64), np.append(SCALE * counts / max(1, len(grams)), 1.0), label))
+        data.append((np.append(at, bias).astype(np.int32), np.append(SCALE * counts / max(1, len(grams)), 1.0).astype(np.float32), label))
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in draw.permutation(len(data)):
@@ -105,7 +105,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .filter("quality in (0, 1) and doc_id is not null").filter(doc_remainder(F.col("doc_id"), folds) != held_out)
               .orderBy(spread, "doc_id", "quality").limit(max_train))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")      # max_train rows at most
 
     def hashed(batches):
         import pyarrow as pa
@@ -117,7 +117,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     def train(batches):
         import pyarrow as pa
 
-        data = [(np.frombuffer(g, np.uint32), q) for b in batches for q, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        data = ((np.frombuffer(g, np.uint32), q) for b in batches for q, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([ftrl_train(data).tobytes()], pa.binary())], names=["weights"])
 
     learnt = (rows.select("doc_id", "text", "quality").mapInArrow(hashed, "doc_id long, quality int, grams binary")
