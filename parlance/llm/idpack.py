@@ -15,9 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bpe_encoder, slices, vocabulary_path
+from .common import bpe_encoder, saved, slices, vocabulary_path
 
 BLOCK_IDS = 65_536
+BROADCAST_ROWS = 500_000             # shards: rows of an int and a long
 _BLOCKS = ("shard int, block long, start long, n_ids long, bits int, doc_ids array<long>, lengths array<long>, payload binary")
 
 
@@ -109,7 +110,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     task may read any block."""
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)       # a row per shard
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sizes = saved(blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")), "shards")
+    shards = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if sizes.count() <= BROADCAST_ROWS:                 # else a shuffle join; the rows are the same
+        shards = F.broadcast(shards)
 
     def decode(batches):
         import pyarrow as pa
