@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-EDIT_SHARE, GROUP_BYTES = 16, 32 << 20
+EDIT_SHARE, GROUP_BYTES = 12, 32 << 20
 _WORDS = re.compile(r"\S+")
 _MATCHES = "doc_id long, item_id long, distance int, budget int, start long, stop long"
 
