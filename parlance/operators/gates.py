@@ -53,10 +53,11 @@ def tenure_hours(joined_us, now_us) -> Column:
 
 
 def gate_tenure(joined_us, now_us, hours) -> Column:
-    """Pass when ``now - joined_at >= hours`` (0 or null hours disables the gate)."""
+    """Pass when ``now - joined_at >= hours`` (0 or null hours disables the gate;
+    hours may be fractional)."""
     h = F.lit(hours) if hours is None or isinstance(hours, (int, float)) else _col(hours)
     off = h.isNull() | (h == 0)
-    return off | ((_col(now_us) - _col(joined_us)) >= h.cast("bigint") * US_PER_HOUR)
+    return off | ((_col(now_us) - _col(joined_us)) >= h.cast("double") * US_PER_HOUR)
 
 
 def gate_chain(df: DataFrame, gates: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -70,9 +71,9 @@ def gate_chain(df: DataFrame, gates: Sequence[tuple[str, Column]]) -> DataFrame:
 def restore_views(views: DataFrame, now, horizon_s: int, known_labels: Sequence[str]):
     """Views to reload after a restart: those with ``time >= now - horizon``
     whose item labels are all known. Returns (kept, skipped); skipped rows are
-    in the horizon but carry an unknown label or no items."""
+    in the horizon but carry an unknown label or no items, or have no time."""
     now_c = F.lit(now) if isinstance(now, int) else now
-    recent = views.filter(F.col("time") >= now_c - F.lit(horizon_s))
+    recent = views.filter(F.col("time").isNull() | (F.col("time") >= now_c - F.lit(horizon_s)))
     known = F.array(*[F.lit(x) for x in known_labels])
-    ok = F.coalesce(F.forall("items", lambda it: F.array_contains(known, it["label"])), F.lit(False))
+    ok = F.coalesce(F.forall("items", lambda it: F.array_contains(known, it["label"])), F.lit(False)) & F.col("time").isNotNull()
     return recent.filter(ok), recent.filter(~ok)

@@ -361,9 +361,12 @@ def quant_error_total(per_row: DataFrame) -> DataFrame:
 def verify_packed(unpacked: DataFrame, tol: float = 1e-12, got: str = "w", want: str = "deq") -> DataFrame:
     """Packed result equals the dense one within ``tol``: one row with the
     largest absolute difference over all elements and the verdict (a global
-    max, combined map-side)."""
-    diff = F.array_max(F.zip_with(got, want, lambda p, q: F.abs(p - q)))
-    return unpacked.agg(F.max(diff).alias("max_abs_diff")).withColumn("ok", F.col("max_abs_diff") <= tol)
+    max, combined map-side). A missing element, array or value is an infinite
+    difference; a table without rows is not ok."""
+    gap = F.zip_with(got, want, lambda p, q: F.coalesce(F.abs(p - q), F.lit(float("inf"))))
+    diff = F.coalesce(F.when(F.size(got) == F.size(want), F.coalesce(F.array_max(gap), F.lit(0.0))), F.lit(float("inf")))
+    return (unpacked.agg(F.max(diff).alias("max_abs_diff"))
+            .withColumn("ok", F.coalesce(F.col("max_abs_diff") <= tol, F.lit(False))))
 
 
 def footprint(catalog: DataFrame, bits_list=(2, 3, 4, 8), groupsizes=(-1, 32)) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,8 +222,7 @@ def batch_generate(prompts: DataFrame, nxt: DataFrame, fallback: Column, max_new
 _PREDICTORS: dict = {}
 
 
-def _cached_predictor(factory: Callable):
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
+def _cached_predictor(key: str, factory: Callable):
     if key not in _PREDICTORS:
         _PREDICTORS[key] = factory()
     return _PREDICTORS[key]
@@ -231,9 +232,12 @@ def batch_predict(df: DataFrame, predictor_factory: Callable, schema: str) -> Da
     """Run a user predictor over every partition; the predictor is built once
     per Python worker process (``predictor_factory()``) and then reused, as a
     model would be loaded once and kept. The predictor maps a pandas DataFrame
-    batch to a pandas DataFrame with ``schema``."""
+    batch to a pandas DataFrame with ``schema``. Workers tell factories apart by
+    their pickled form, so closures over different settings do not mix."""
+    key = hashlib.sha256(cloudpickle.dumps(predictor_factory)).hexdigest()
+
     def run(batches):
-        pred = _cached_predictor(predictor_factory)
+        pred = _cached_predictor(key, predictor_factory)
         for pdf in batches:
             yield pred(pdf)
     return df.mapInPandas(run, schema)
@@ -253,7 +257,7 @@ def latency_summary(timings: DataFrame, run: str = "run", seconds: str = "second
                         coarse={"_cb": F.floor(F.col("_b") / 1024)})
     stats = broadcast_if_small(checkpointed(timings.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_steps"),
-        F.sum(F.col(seconds).cast("decimal(20,4)")).alias("_sum"),
+        F.sum(F.col(seconds).cast("decimal(30,12)")).alias("_sum"),
         F.max(seconds).alias("max_s"),
         F.max(mem).alias("peak_mem"))))
     r_lo = F.floor((F.col("n_steps") - 1) / 2)

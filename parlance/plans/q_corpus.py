@@ -252,7 +252,7 @@ def q_cross_entropy(spark, sf_dir):
 
 @query("latency_summary", """
 SELECT event_type AS run, count(*) AS n_steps, median(value) AS median_s,
-       round(CAST(sum(CAST(value AS DECIMAL(20, 4))) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS mean_s,
+       round(CAST(sum(CAST(value AS DECIMAL(30, 12))) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS mean_s,
        max(value) AS max_s, max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS peak_mem
 FROM events GROUP BY event_type""")
 def q_latency_summary(spark, sf_dir):

@@ -59,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return path
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="parlance-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

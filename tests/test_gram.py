@@ -99,4 +99,4 @@ def test_dead_column_zeroed(spark):
     assert np.allclose(diag, raw + 0.01 * raw.mean())
     got = G.gptq_quantize(mat(spark, w), gram, 4, d=6).collect()
     for r in got:
-        assert abs(r.q[2]) <= 1e-12 or True   # dead inputs are quantized from zero
+        assert abs(r.q[2]) <= 1e-9            # dead inputs are quantized from zero
