@@ -21,20 +21,23 @@ from __future__ import annotations
 
 import gc
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import _Memo, hand_back, saved, slices, words_of
 from .quality import doc_remainder
 
-ROW_POSTINGS = 32_768                      # postings in a row of the stored table
+ROW_POSTINGS = 8_192                       # postings in a row of the stored table: rows of about 300 KB
 LEAST_BIGRAM, DISCOUNTED = 2, 5            # bigrams seen once back off; counts to 5 are discounted
-BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 1_000_000, 8 << 20, 1_000, 32
+BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 1_000_000, 4 << 20, 1_000, 32
 _PACKED = "bucket int, base long, sizes array<long>, data binary"
 _TABLE = ("bucket int, docs binary, counts array<long>, u_x binary, u_c binary, u_n binary, u_d binary, u_t binary, "
           "b_h binary, b_w binary, b_c binary, b_n binary, b_d binary, b_t binary, b_heavy binary")
+_POSTED = ("u_x", "u_c", "u_n", "u_d", "u_t", "b_h", "b_w", "b_n", "b_d", "b_t")        # what the second pass reads
 
 
 def token_hash(word: bytes) -> int:
@@ -120,6 +123,8 @@ def heavy_contexts(docs: DataFrame, buckets: int) -> dict[int, int]:
             if len(seen) > 200_000:
                 seen = Counter(dict(seen.most_common(50_000)))
         top = seen.most_common(HEAVY_MOST)
+        seen = None
+        hand_back()
         yield pa.RecordBatch.from_arrays([pa.array([b"", *(w for w, _ in top)], pa.binary()), pa.array([n, *(c for _, c in top)], pa.int64())], names=["word", "n"])
 
     found = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tally, "word binary, n long")
@@ -207,7 +212,7 @@ def _unpack(base: int, sizes, data: bytes):
         at += size
     h, h_pairs, w, w_posts, d, times = out
     h = np.repeat(np.repeat(h, h_pairs), w_posts)
-    return h, np.repeat(w, w_posts), d.astype(np.int64) + base, times.astype(np.int64)
+    return h, np.repeat(w, w_posts), d.astype(np.int64) + base, times
 
 
 def _count(heavy: dict[int, int], row_postings: int):
@@ -216,24 +221,32 @@ def _count(heavy: dict[int, int], row_postings: int):
     def row(bucket, blocks, docs):
         out = {"bucket": bucket, "docs": docs, "counts": []}
         if blocks:
-            h, w, d, t = (np.concatenate(c) for c in zip(*blocks, strict=True))
+            columns = [list(c) for c in zip(*blocks, strict=True)]
             blocks.clear()
+            h, w, d, t = (np.concatenate(columns.pop(0)) for _ in range(4))
             order = np.lexsort((w, h))
-            h, w, d, t = h[order], w[order], d[order], t[order]
-            trained = t * (d & 1)
+            h = h[order]                            # one at a time: the unsorted go as they are replaced
+            w = w[order]
+            d = d[order]
+            t = t[order]
+            del order
             pairs = _starts(h, w)
-            c = np.add.reduceat(trained, pairs)
+            c = np.add.reduceat(np.where(d & 1, t, 0), pairs, dtype=np.int64)
             hot = np.isin(h[pairs], heavy_x)
             out["counts"] = np.bincount(np.minimum(c[~hot], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1:DISCOUNTED + 2].tolist()
             kept = hot | (c >= LEAST_BIGRAM)
             n = _lengths(pairs, len(h))
             post = np.repeat(kept, n)
-            out |= {"b_h": h[pairs][kept], "b_w": w[pairs][kept], "b_c": c[kept], "b_n": n[kept].astype(np.uint32), "b_d": d[post], "b_t": t[post].astype(np.uint32),
+            out |= {"b_h": h[pairs][kept], "b_w": w[pairs][kept], "b_c": c[kept], "b_n": n[kept].astype(np.uint32), "b_d": d[post], "b_t": t[post],
                     "b_heavy": hot[kept].astype(np.uint8)}
+            del w, pairs, post, n, kept, hot, c
             order = np.lexsort((d, h))
-            h, d, t = h[order], d[order], t[order]
+            h = h[order]
+            d = d[order]
+            t = t[order]
+            del order
             at = _starts(h, d)
-            times = np.add.reduceat(t, at)
+            times = np.add.reduceat(t, at, dtype=np.int64)
             h, d = h[at], d[at]
             words = _starts(h)
             # a word spread over buckets has its count in the model
@@ -299,10 +312,25 @@ def _explode(names_and_types: list[tuple[str, str, str]]):
             cols = [pa.array(_array(batch.column(i)[0].as_py(), dtype).astype(to)) for i, (_, dtype, to) in enumerate(names_and_types)]
             whole = pa.RecordBatch.from_arrays(cols, names=[n for n, _, _ in names_and_types])
             yield from (whole.slice(at, 65_536) for at in range(0, max(1, whole.num_rows), 65_536))
+            cols = whole = None
+        hand_back()
 
     return explode
 
 
+def _saved_by_bucket(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` written below the shared checkpoint folder as a table bucketed on
+    ``bucket``, so that the second pass reads the postings where they lie and only
+    the much smaller model is shuffled to them. The catalog's entry goes at once;
+    the files, which the frame read back names, stay."""
+    spark = df.sparkSession
+    name = f"postings_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, "bucket").option("compression", "zstd").option("path", scratch_path(spark, "postings")).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def _release(spark) -> None:
     """Let the driver's cleaner drop the shuffle files of frames that are gone."""
     gc.collect()
@@ -324,8 +352,9 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucke
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(12, -(-size // bucket_bytes))
     heavy = heavy_contexts(docs, buckets)
-    table = saved(docs.select("doc_id", (doc_remainder(F.col("doc_id"), modulus) != held_out).alias("train"), "text").mapInArrow(_pack(buckets, heavy), _PACKED)
-                  .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(heavy, row_postings), _TABLE), "postings")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = _saved_by_bucket(docs.select("doc_id", (doc_remainder(F.col("doc_id"), modulus) != held_out).alias("train"), "text").mapInArrow(_pack(buckets, heavy), _PACKED)
+                             .repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(heavy, row_postings), _TABLE), parts)
     _release(spark)
 
     info = (table.filter("bucket < 0").select(F.explode(F.expr("transform(sequence(0, cast(length(docs) / 32 as int) - 1), i -> substring(docs, 32 * i + 1, 32))")).alias("r"))
@@ -386,8 +415,9 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucke
     _release(spark)
 
     cells = "d long, score double, base double, known long"
-    parts = packed.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_look_up(start, math.log10(unknown), {r: r * x for r, x in d1.items()}, float(whole or 1)), cells)
-    sums = parts.groupBy("d").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
+    posted = packed.select("bucket", *_POSTED)
+    cells_of = posted.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_look_up(start, math.log10(unknown), {r: r * x for r, x in d1.items()}, float(whole or 1)), cells)
+    sums = cells_of.groupBy("d").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
     always = (first.a if first else 0.0) + math.log10(last.p if last else unknown)
     every = math.log10(n + 0.1 * (v + 1))
     return (info.join(sums, "d", "left").select(
@@ -425,7 +455,7 @@ def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: fl
         two_x, two_w, two_v = x[two], w[two], v[two]
         pieces = []
         for k in range(left.num_rows):
-            r = {n: left.column(n)[k].as_py() for n in ("u_x", "u_c", "u_n", "u_d", "u_t", "b_h", "b_w", "b_n", "b_d", "b_t")}
+            r = {n: left.column(n)[k].as_py() for n in _POSTED}
             ux, un, ud, ut = _array(r["u_x"], "<u8"), _array(r["u_n"], "<u4"), _array(r["u_d"], "<i8"), _array(r["u_t"], "<u4").astype(np.float64)
             docs, sums = [], []
             if len(ux):
@@ -465,7 +495,12 @@ def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: fl
         return pa.table({"d": pa.array(d, pa.int64()), "score": pa.array(score, pa.float64()), "base": pa.array(base, pa.float64()),
                          "known": pa.array(np.rint(known).astype(np.int64), pa.int64())})
 
-    return look_up
+    def group(left, right):
+        found = look_up(left, right)
+        hand_back()
+        return found
+
+    return group
 
 
 def _by_document(d: np.ndarray, sums: list[np.ndarray]):
