@@ -9,6 +9,8 @@ partials, so a group holds one block per partition.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -108,76 +110,74 @@ def act_order(gram: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ error-compensated quantization
 
-def _np_params(x: np.ndarray, bits: int, sym: bool):
-    """Per-row (scale, zero) over the given columns (same rule as quant.value_range)."""
-    lo = np.minimum(x.min(axis=1), 0.0)
-    hi = np.maximum(x.max(axis=1), 0.0)
+@dataclass
+class Quantized:
+    """A quantized matrix, columns in processing order: value = scale * (code - zero)
+    with the scale and zero of the column's group."""
+    codes: np.ndarray        # (rows, d)
+    scales: np.ndarray       # (rows, groups)
+    zeros: np.ndarray        # (rows, groups)
+    group: np.ndarray        # (d,) group of each column
+    loss: np.ndarray         # (rows,) squared errors over twice the squared pivots
+
+    def values(self) -> np.ndarray:
+        return self.scales[:, self.group] * (self.codes - self.zeros[:, self.group])
+
+
+def range_params(x: np.ndarray, bits: int, sym: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Per-row (scale, zero) over the given columns (the rule of quant.value_range)."""
+    low, high = x.min(axis=1, initial=0.0), x.max(axis=1, initial=0.0)
     if sym:
-        hi = np.maximum(np.abs(lo), hi)
-        lo = np.where(lo < 0, -hi, lo)
-    both0 = (lo == 0) & (hi == 0)
-    lo, hi = np.where(both0, -1.0, lo), np.where(both0, 1.0, hi)
-    mq = 2 ** bits - 1
-    scale = (hi - lo) / mq
-    zero = np.full_like(scale, (mq + 1) / 2) if sym else np.rint(-lo / scale) + 0.0
-    return scale, zero
-
-
-def _np_quant(w, scale, zero, bits):
-    q = np.clip(np.rint(w / scale) + zero, 0, 2 ** bits - 1)
-    return scale * (q - zero)
-
-
-def hinv_upper(h: np.ndarray, percdamp: float):
-    """Condition H (dead columns, damping) and return (upper Cholesky factor of
-    H⁻¹, dead mask)."""
-    h = h.copy()
-    dead = np.diag(h) == 0
-    h[dead, dead] = 1.0
-    h[np.diag_indices_from(h)] += percdamp * np.mean(np.diag(h))
-    inv = np.linalg.inv(h)
-    inv = (inv + inv.T) / 2
-    return np.linalg.cholesky(inv).T, dead
-
-
-def gptq_block(w: np.ndarray, u: np.ndarray, bits: int, sym: bool, groupsize: int, blocksize: int,
-               params0=None, group_of: np.ndarray | None = None):
-    """Quantize rows of w (r x d, columns already in processing order, dead ones
-    zeroed) left to right, pushing each column's error onto the columns not yet
-    quantized through the upper factor u of H⁻¹. Updates inside a block of
-    ``blocksize`` columns are immediate; the block's accumulated error reaches
-    later columns once the block ends. A new group's parameters are read from
-    the matrix as it stands at that point (later blocks' updates not yet
-    applied to columns of the current block).
-
-    Returns (q, losses, group params list of (scale, zero))."""
-    w = w.copy()
-    r, d = w.shape
-    q = np.zeros_like(w)
-    losses = np.zeros_like(w)
-    scale, zero = params0 if params0 is not None else (None, None)
-    groups = []
-    for b0 in range(0, d, blocksize):
-        b1 = min(b0 + blocksize, d)
-        wb = w[:, b0:b1].copy()
-        errs = np.zeros_like(wb)
-        for k in range(b1 - b0):
-            c = b0 + k
-            if groupsize != -1 and c % groupsize == 0:
-                scale, zero = _np_params(w[:, c:c + groupsize], bits, sym)
-                groups.append((scale, zero))
-            col = wb[:, k]
-            qc = _np_quant(col, scale, zero, bits)
-            dkk = u[c, c]
-            q[:, c] = qc
-            losses[:, c] = (col - qc) ** 2 / dkk ** 2 / 2
-            e = (col - qc) / dkk
-            wb[:, k:] -= np.outer(e, u[c, c:b1])
-            errs[:, k] = e
-        w[:, b1:] -= errs @ u[b0:b1, b1:]
-    if not groups:
-        groups.append((scale, zero))
-    return q, losses, groups
+        high = np.maximum(-low, high)
+        low = np.where(low < 0, -high, low)
+    flat = (low == 0) & (high == 0)
+    low[flat], high[flat] = -1.0, 1.0
+    top = (1 << bits) - 1
+    scale = (high - low) / top
+    return scale, np.full(len(x), (top + 1) / 2) if sym else np.rint(-low / scale) + 0.0
+
+
+def inverse_factor(h: np.ndarray, percdamp: float) -> np.ndarray:
+    """Upper U with (H + damping)^-1 = U'U; columns without input count as 1. From
+    the Cholesky factor L of H turned upside down: U is L^-1 turned back."""
+    diagonal = np.where(np.diag(h) == 0, 1.0, np.diag(h))
+    full = h + np.diag(diagonal - np.diag(h) + percdamp * diagonal.mean())
+    lower = np.linalg.cholesky(full[::-1, ::-1])
+    return np.linalg.solve(lower, np.eye(len(h)))[::-1, ::-1]
+
+
+def compensated_codes(w: np.ndarray, u: np.ndarray, bits: int, sym: bool, groupsize: int, blocksize: int,
+                      whole: tuple[np.ndarray, np.ndarray] | None = None) -> Quantized:
+    """Solve, column by column, for the codes of ``w`` (rows x d, processing order):
+
+        v_c = w_c - sum over k < c of e_k u_kc,    e_c = (v_c - value(code_c)) / u_cc
+
+    ``w`` itself never changes: a block of ``blocksize`` columns first takes off, in
+    one product, the errors of all blocks before it, and inside the block each
+    column takes off those of the columns since. A group's parameters (``whole``
+    where groupsize is -1) are those of its columns less the errors of the blocks
+    before the one in which the group begins.
+    """
+    rows, d = w.shape
+    top, each = (1 << bits) - 1, d if groupsize == -1 else groupsize
+    group = np.arange(d) // each
+    params = np.empty((2, rows, group[-1] + 1))
+    if groupsize == -1:
+        params[:, :, 0] = whole if whole is not None else range_params(w, bits, sym)
+    errors, codes = np.empty((rows, d)), np.empty((rows, d), np.int64)
+    for begin in range(0, d, blocksize):
+        def less_before(columns, begin=begin):
+            return w[:, columns] - errors[:, :begin] @ u[:begin, columns]
+
+        block = less_before(slice(begin, begin + blocksize))
+        for c in range(begin, begin + block.shape[1]):
+            if groupsize != -1 and c % each == 0:
+                params[:, :, group[c]] = range_params(less_before(slice(c, c + each)), bits, sym)
+            scale, zero = params[:, :, group[c]]
+            v = block[:, c - begin] - errors[:, begin:c] @ u[begin:c, c]
+            codes[:, c] = np.clip(np.rint(v / scale) + zero, 0, top)
+            errors[:, c] = (v - scale * (codes[:, c] - zero)) / u[c, c]
+    return Quantized(codes, *params, group, (errors ** 2).sum(axis=1) / 2)
 
 
 def collect_dense(gram: DataFrame, d: int) -> np.ndarray:
@@ -195,28 +195,39 @@ def gptq_quantize(matrix: DataFrame, gram: DataFrame, bits: int, sym: bool = Fal
                   blocksize: int = K.GPTQ_BLOCKSIZE, percdamp: float = K.GPTQ_PERCDAMP, act_order: bool = False,
                   vec: str = "vec", row: str = "row", d: int | None = None) -> DataFrame:
     """Error-compensated quantization of every row of ``matrix`` given the Gram
-    ``gram`` (long form). Rows are independent once H⁻¹ is known: the factor
-    is computed once, broadcast, and each partition quantizes its rows as one
-    NumPy block. Output: row, q (dequantized array), loss (row total)."""
+    ``gram`` (long form). Rows are independent once H^-1 is known: the factor
+    is computed once, broadcast, and each partition quantizes its rows as NumPy
+    blocks.
+
+    Output, columns in their original order: row, q (dequantized array), loss (row
+    total), codes, scales and zeros (an entry per group) and col_group (the group of
+    each column; runs of ``groupsize`` unless ``act_order``). ``codes`` go straight to
+    ``quant.pack_words``, ``zeros`` to ``quant.pack_zeros``; ``dequant_by_group`` reads
+    them back.
+    """
     spark = matrix.sparkSession
     d = d or int(matrix.select(F.size(vec)).first()[0])
     h = collect_dense(gram, d)
-    dead = np.diag(h) == 0
-    perm = np.argsort(-np.diag(h), kind="stable") if act_order else np.arange(d)
-    inv = np.argsort(perm)
-    u_p, _ = hinv_upper(h[np.ix_(perm, perm)], percdamp)
-    b = spark.sparkContext.broadcast((u_p, dead, perm, inv))
+    order = np.argsort(-np.diag(h), kind="stable") if act_order else np.arange(d)
+    shared = spark.sparkContext.broadcast((inverse_factor(h[np.ix_(order, order)], percdamp), np.diag(h) == 0, order, np.argsort(order)))
 
-    def run(batches):
-        u_, dead_, perm_, inv_ = b.value
+    def solve(batches):
+        u, dead, order, back = shared.value
         for pdf in batches:
             if pdf.empty:
                 continue
-            w = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            params0 = _np_params(w, bits, sym) if groupsize == -1 else None
-            w = w.copy()
-            w[:, dead_] = 0.0
-            qp, lp, _groups = gptq_block(w[:, perm_], u_, bits, sym, groupsize, blocksize, params0)
-            q = qp[:, inv_]
-            yield pd.DataFrame({row: pdf[row].to_numpy(), "q": list(q), "loss": lp.sum(axis=1)})
-    return matrix.select(row, vec).mapInPandas(run, f"{row} long, q array<double>, loss double")
+            w = np.array(pdf[vec].tolist(), dtype=np.float64)
+            whole = range_params(w, bits, sym) if groupsize == -1 else None
+            w[:, dead] = 0.0
+            found = compensated_codes(w[:, order], u, bits, sym, groupsize, blocksize, whole)
+            yield pd.DataFrame({row: pdf[row].to_numpy(), "q": list(found.values()[:, back]), "loss": found.loss,
+                                "codes": list(found.codes[:, back].astype(np.int32)), "scales": list(found.scales), "zeros": list(found.zeros),
+                                "col_group": [found.group[back].astype(np.int32)] * len(pdf)})
+    return matrix.select(row, vec).mapInPandas(
+        solve, f"{row} long, q array<double>, loss double, codes array<int>, scales array<double>, zeros array<double>, col_group array<int>")
+
+
+def dequant_by_group(df: DataFrame, codes: str = "codes", out: str = "w") -> DataFrame:
+    """``scale * (code - zero)`` with the group that ``col_group`` names for each column."""
+    cells = F.arrays_zip(F.col(codes).alias("c"), F.col("col_group").alias("g"))
+    return df.withColumn(out, F.transform(cells, lambda e: F.get("scales", e["g"]) * (e["c"] - F.get("zeros", e["g"]))))
