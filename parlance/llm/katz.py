@@ -33,7 +33,7 @@ from .quality import doc_remainder
 
 ROW_POSTINGS = 8_192                       # postings in a row of the stored table: rows of about 300 KB
 LEAST_BIGRAM, DISCOUNTED = 2, 5            # bigrams seen once back off; counts to 5 are discounted
-BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 1_000_000, 4 << 20, 1_000, 32
+BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 500_000, 4 << 20, 1_000, 32
 _PACKED = "bucket int, base long, sizes array<long>, data binary"
 _TABLE = ("bucket int, docs binary, counts array<long>, u_x binary, u_c binary, u_n binary, u_d binary, u_t binary, "
           "b_h binary, b_w binary, b_c binary, b_n binary, b_d binary, b_t binary, b_heavy binary")
@@ -51,7 +51,7 @@ def marks() -> tuple[int, int]:
     return token_hash(b" start"), token_hash(b" end")
 
 
-_HASHES = _Memo(token_hash, 300_000)
+_HASHES = _Memo(token_hash, 65_536)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -157,11 +157,15 @@ def _pack(buckets: int, heavy: dict[int, int]):
                 h = np.concatenate([np.concatenate([start, t]) for t in tokens])
                 w = np.concatenate([np.concatenate([t, end]) for t in tokens])
                 d = np.concatenate([np.full(len(t) + 1, k, np.uint32) for t, k in zip(tokens, numbers, strict=True)])
+                tokens.clear()
                 order = np.lexsort((w, h))                  # stable: documents stay in order
-                h, w, d = h[order], w[order], d[order]
+                h = h[order]
+                w = w[order]
+                d = d[order]
                 at = _starts(h, w, d)
                 times = _lengths(at, len(h)).astype(np.uint32)
                 h, w, d = h[at], w[at], d[at]
+                del order, at
                 where = bucket_of(h, buckets)
                 if len(heavy_x):
                     i = np.minimum(np.searchsorted(heavy_x, h), len(heavy_x) - 1)
