@@ -341,8 +341,7 @@ def batch_generate_sampled(prompts: DataFrame, cdf: DataFrame, fallback: Column,
     cdf = checkpointed(cdf.select("ctx", "token", "lo", "w", "z"))
     if cdf.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         gen_df = _sample_in_tasks(prompts, cdf, fallback, max_new, seed, keys, tokens)
-        return _finish_generation(prompts.select(*keys, tokens).join(gen_df, on=keys, how="left"), tokens, stops)
-    keys = list(keys)
+        return _finish_generation(_beside(prompts.select(*keys, tokens), gen_df, keys), tokens, stops)
     state = prompts.select(*keys, F.try_element_at(tokens, F.lit(-1)).alias("_last"),
                            F.array().cast("array<string>").alias("generated"))
     tab = (sampling_table(cdf).select(F.col("ctx").alias("_last"), F.col("level").alias("_lv"), F.col("bkt").alias("_bkt"),
@@ -369,9 +368,15 @@ def batch_generate_sampled(prompts: DataFrame, cdf: DataFrame, fallback: Column,
                  .withColumn("_last", F.coalesce(F.col("_nxt"), F.col("_last"))).drop("_tok", "_nxt"))
         if t % 4 == 3:
             state = checkpointed(state)
-    state = prompts.select(*keys, tokens).join(state.drop("_last"), on=keys, how="left")
-    return _finish_generation(state, tokens, stops)
+    return _finish_generation(_beside(prompts.select(*keys, tokens), state.select(*[F.col(k).cast("string").alias(k) for k in keys], "generated"), keys), tokens, stops)
+
 
+def _beside(prompts: DataFrame, generated: DataFrame, keys) -> DataFrame:
+    """Prompts with what was generated for their keys (there as strings); a null key
+    is a key like any other."""
+    found = generated.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "generated")
+    same = [F.col(k).cast("string").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return prompts.join(found, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def _finish_generation(state: DataFrame, tokens: str, stops) -> DataFrame:
@@ -411,7 +416,7 @@ def _sample_in_tasks(prompts: DataFrame, cdf: DataFrame, fallback: Column, max_n
     bc = spark.sparkContext.broadcast((index, pdf["token"].to_numpy(), pdf["lo"].to_numpy(), pdf["z"].to_numpy()))
 
     def u_of(*parts):
-        h = hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()
+        h = hashlib.md5(":".join(str(p) for p in parts if p is not None).encode()).hexdigest()
         return int(h[:12], 16) / float(2 ** 48)
 
     def run(batches):
@@ -436,5 +441,6 @@ def _sample_in_tasks(prompts: DataFrame, cdf: DataFrame, fallback: Column, max_n
                         last = nxt
                 out.append(gen)
             yield pd.DataFrame({**{k: b[k] for k in keys}, "generated": out})
-    schema = ", ".join(f"{k} {dict(prompts.dtypes)[k]}" for k in keys) + ", generated array<string>"
-    return prompts.select(*keys, tokens).mapInPandas(run, schema)
+    # keys travel as strings: pandas would turn a whole number beside nulls into a float
+    schema = ", ".join(f"{k} string" for k in keys) + ", generated array<string>"
+    return prompts.select(*[F.col(k).cast("string").alias(k) for k in keys], tokens).mapInPandas(run, schema)

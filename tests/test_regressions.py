@@ -47,3 +47,18 @@ def test_verify_sees_missing_values(spark):
     assert ok([([1.0, 2.0], [1.0, 2.0]), ([], [])])
     assert not ok([([1.0, 2.0], [1.0, 2.0, 3.0])])
     assert not ok([([1.0, None], [1.0, 2.0])]) and not ok([(None, [1.0])]) and not ok([])
+
+
+def test_sampled_generation_of_null_and_large_keys(spark, monkeypatch):
+    from parlance.operators import sizing
+
+    cdf = spark.createDataFrame([(c, w, lo, 1.0, 3.0) for c in "abc" for w, lo in zip("abc", (0.0, 1.0, 2.0), strict=True)],
+                                "ctx string, token string, lo double, w double, z double")
+    prompts = spark.createDataFrame([(1, 0, ["a"]), (None, 0, ["b"]), (2**53 + 1, 1, ["c"])], "conv_id long, turn int, tokens array<string>")
+    found = []
+    for bound in (1_000, 0):
+        monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", bound)
+        rows = scoring.batch_generate_sampled(prompts, cdf, F.lit("a"), 5, 7).collect()
+        found.append({r.conv_id: r.generated for r in rows})
+    assert found[0] == found[1] and found[0].keys() == {1, None, 2**53 + 1}
+    assert all(len(g) == 5 for g in found[0].values())
