@@ -222,7 +222,7 @@ def batch_generate(prompts: DataFrame, nxt: DataFrame, fallback: Column, max_new
 _PREDICTORS: dict = {}
 
 
-def _cached_predictor(key: str, factory: Callable):
+def _cached_predictor(key: tuple[str, str], factory: Callable):
     if key not in _PREDICTORS:
         _PREDICTORS[key] = factory()
     return _PREDICTORS[key]
@@ -234,7 +234,7 @@ def batch_predict(df: DataFrame, predictor_factory: Callable, schema: str) -> Da
     model would be loaded once and kept. The predictor maps a pandas DataFrame
     batch to a pandas DataFrame with ``schema``. Workers tell factories apart by
     their pickled form, so closures over different settings do not mix."""
-    key = hashlib.sha256(cloudpickle.dumps(predictor_factory)).hexdigest()
+    key = (hashlib.sha256(cloudpickle.dumps(predictor_factory)).hexdigest(), getattr(predictor_factory, "__qualname__", ""))
 
     def run(batches):
         pred = _cached_predictor(key, predictor_factory)
