@@ -6,7 +6,9 @@ shuffled is a few bytes a token; contexts of more than their share of a bucket a
 spread over several. One pass over the buckets counts unigrams and bigrams of the
 training documents and keeps the postings of what the model holds. Good-Turing
 discounts come from the counts of counts (a few numbers), back-off weights from
-joins of the count tables, and a second pass looks every posting up:
+joins of the count tables, and a second pass looks every posting up and sums by
+document; the partial sums of a bucket travel packed, thousands of documents a row,
+as fixed-point integers, so totals do not depend on the order they arrive in:
 
     log P(w | h) = log d c(h w) / c(h)            where the model has (h, w)
                  = log a(h) + log P(w)            else, and likewise P(w) falls
@@ -37,6 +39,8 @@ BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 500_000, 4 << 20, 1_000, 32
 _PACKED = "bucket int, base long, sizes array<long>, data binary"
 _TABLE = ("bucket int, docs binary, counts array<long>, u_x binary, u_c binary, u_n binary, u_d binary, u_t binary, "
           "b_h binary, b_w binary, b_c binary, b_n binary, b_d binary, b_t binary, b_heavy binary")
+GROUP_BITS, FRACTION = 15, 31              # documents that share a row of partial sums: half of 2 ** 15; binary places of a sum (sums to 4e9)
+_PARTIAL = "g long, n long, data binary"
 _POSTED = ("u_x", "u_c", "u_n", "u_d", "u_t", "b_h", "b_w", "b_n", "b_d", "b_t")        # what the second pass reads
 
 
@@ -418,10 +422,9 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucke
     model = saved(model, "model")
     _release(spark)
 
-    cells = "d long, score double, base double, known long"
     posted = packed.select("bucket", *_POSTED)
-    cells_of = posted.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_look_up(start, math.log10(unknown), {r: r * x for r, x in d1.items()}, float(whole or 1)), cells)
-    sums = cells_of.groupBy("d").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
+    partial = posted.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_look_up(start, math.log10(unknown), {r: r * x for r, x in d1.items()}, float(whole or 1)), _PARTIAL)
+    sums = partial.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_add_up, "d long, score double, base double, known long")
     always = (first.a if first else 0.0) + math.log10(last.p if last else unknown)
     every = math.log10(n + 0.1 * (v + 1))
     return (info.join(sums, "d", "left").select(
@@ -444,10 +447,8 @@ def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: fl
     """Per document of a bucket: sums over its postings of what the model says. A
     word that the model does not name has its whole count beside its postings."""
     def look_up(left, right):
-        import pyarrow as pa
-
         if not left.num_rows:
-            return pa.table({"d": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "base": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
+            return _packed_sums(np.empty(0, np.int64), [np.empty(0)] * 3)
         x, w, v = (right.column(n).to_numpy() for n in ("x", "w", "v"))
         x, w = x.view(np.uint64), w.view(np.uint64)
         is_one = right.column("c").is_valid().to_numpy()
@@ -495,9 +496,7 @@ def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: fl
                 pieces.append(_by_document(np.concatenate(docs), [np.concatenate(s) for s in zip(*sums, strict=True)]))
             if len(pieces) == 16:
                 pieces = [_merged(pieces)]
-        d, (score, base, known) = _merged(pieces) if pieces else (np.empty(0, np.int64), [np.empty(0)] * 3)
-        return pa.table({"d": pa.array(d, pa.int64()), "score": pa.array(score, pa.float64()), "base": pa.array(base, pa.float64()),
-                         "known": pa.array(np.rint(known).astype(np.int64), pa.int64())})
+        return _packed_sums(*_merged(pieces)) if pieces else _packed_sums(np.empty(0, np.int64), [np.empty(0)] * 3)
 
     def group(left, right):
         found = look_up(left, right)
@@ -507,6 +506,55 @@ def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: fl
     return group
 
 
+def _packed_sums(d: np.ndarray, sums: list[np.ndarray]):
+    """A row for each group of neighbouring documents: steps from one document to
+    the next, sums as integers of 2 ** -FRACTION. ``d`` ascends."""
+    import pyarrow as pa
+    import zstandard
+
+    zip_ = zstandard.ZstdCompressor(level=1)
+    score, base, known = sums
+    whole = [np.rint(score * 2.0 ** FRACTION).astype(np.int64), np.rint(base * 2.0 ** FRACTION).astype(np.int64), np.rint(known).astype(np.int64)]
+    g = d >> GROUP_BITS
+    at = _starts(g)
+    rows = []
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(d)], strict=False):
+        inside = (d[a:b] & ((1 << GROUP_BITS) - 1)).astype(np.uint16)
+        rows.append(zip_.compress(b"".join(map(_planes, [np.diff(inside, prepend=np.uint16(0)), *(x[a:b] for x in whole)]))))
+    return pa.table({"g": pa.array(g[at], pa.int64()), "n": pa.array(_lengths(at, len(d)), pa.int64()), "data": pa.array(rows, pa.binary())})
+
+
+def _add_up(batches):
+    """Sums by document over rows of :func:`_packed_sums` that come sorted by group:
+    one array of a group's documents is held."""
+    import pyarrow as pa
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    group, total, met = None, None, None
+
+    def whole():
+        at = np.flatnonzero(met)
+        score, base, known = (total[k][at] for k in range(3))
+        cols = [at + (group << GROUP_BITS), score / 2.0 ** FRACTION, base / 2.0 ** FRACTION, known]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "score", "base", "known"])
+
+    for batch in slices(batches, 16):
+        for r in batch.to_pylist():
+            if r["g"] != group:
+                if group is not None:
+                    yield whole()
+                group, total, met = r["g"], np.zeros((3, 1 << GROUP_BITS), np.int64), np.zeros(1 << GROUP_BITS, bool)
+            n, raw = r["n"], memoryview(unzip.decompress(r["data"]))
+            at = np.cumsum(_array(raw[:2 * n], "<u2"), dtype=np.int64)
+            met[at] = True
+            for k in range(3):
+                total[k][at] += _array(raw[2 * n + 8 * n * k:2 * n + 8 * n * (k + 1)], "<i8")      # a document once a row
+    if group is not None:
+        yield whole()
+    hand_back()
+
+
 def _by_document(d: np.ndarray, sums: list[np.ndarray]):
     one, at = np.unique(d, return_inverse=True)
     return one, [np.bincount(at, weights=a, minlength=len(one)) for a in sums]
