@@ -68,6 +68,19 @@ def _array(data, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
+def _zipped(a: np.ndarray) -> bytes:
+    """As stored in the table of postings: small wherever Spark sorts or sends it."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(_planes(a)) if len(a) else b""
+
+
+def _unzipped(data: bytes, dtype) -> np.ndarray:
+    import zstandard
+
+    return _array(zstandard.ZstdDecompressor().decompress(data) if data else b"", dtype)
+
+
 def _starts(*keys: np.ndarray) -> np.ndarray:
     """Where a run of equal keys begins, in sorted arrays."""
     if not len(keys[0]):
@@ -269,7 +282,7 @@ def _count(heavy: dict[int, int], row_postings: int):
 
         def batch_of(found):
             cols = [pa.array([found["bucket"]], pa.int32()), pa.array([found["docs"]], pa.binary()), pa.array([found["counts"]], pa.list_(pa.int64()))]
-            cols += [pa.array([_planes(found[n]) if n in found else b""], pa.binary()) for n in names[3:]]
+            cols += [pa.array([_zipped(found[n]) if n in found else b""], pa.binary()) for n in names[3:]]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         def rows_of(found):
@@ -317,7 +330,7 @@ def _explode(names_and_types: list[tuple[str, str, str]]):
         import pyarrow as pa
 
         for batch in slices(batches, 1):
-            cols = [pa.array(_array(batch.column(i)[0].as_py(), dtype).astype(to)) for i, (_, dtype, to) in enumerate(names_and_types)]
+            cols = [pa.array(_unzipped(batch.column(i)[0].as_py(), dtype).astype(to)) for i, (_, dtype, to) in enumerate(names_and_types)]
             whole = pa.RecordBatch.from_arrays(cols, names=[n for n, _, _ in names_and_types])
             yield from (whole.slice(at, 65_536) for at in range(0, max(1, whole.num_rows), 65_536))
             cols = whole = None
@@ -461,10 +474,10 @@ def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: fl
         pieces = []
         for k in range(left.num_rows):
             r = {n: left.column(n)[k].as_py() for n in _POSTED}
-            ux, un, ud, ut = _array(r["u_x"], "<u8"), _array(r["u_n"], "<u4"), _array(r["u_d"], "<i8"), _array(r["u_t"], "<u4").astype(np.float64)
+            ux, un, ud, ut = _unzipped(r["u_x"], "<u8"), _unzipped(r["u_n"], "<u4"), _unzipped(r["u_d"], "<i8"), _unzipped(r["u_t"], "<u4").astype(np.float64)
             docs, sums = [], []
             if len(ux):
-                count = np.abs(_array(r["u_c"], "<i8")).astype(np.float64)
+                count = np.abs(_unzipped(r["u_c"], "<i8")).astype(np.float64)
                 mass = count.copy()
                 for times, left_of in discounted.items():
                     mass[count == times] = left_of
@@ -479,7 +492,7 @@ def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: fl
                 value[opens] = base[opens] = known[opens] = 0.0
                 docs.append(ud)
                 sums.append([np.repeat(a, un) * ut for a in (value, base, known)])
-            bh, bw, bn = _array(r["b_h"], "<u8"), _array(r["b_w"], "<u8"), _array(r["b_n"], "<u4")
+            bh, bw, bn = _unzipped(r["b_h"], "<u8"), _unzipped(r["b_w"], "<u8"), _unzipped(r["b_n"], "<u4")
             if len(bh) and len(two_x):
                 gain = np.zeros(len(bh))
                 # the model's pairs of the contexts at hand, ranked among ours
@@ -489,8 +502,8 @@ def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: fl
                 h, ww = h[order], ww[order]
                 same = np.flatnonzero((h[1:] == h[:-1]) & (ww[1:] == ww[:-1]))
                 gain[order[same]] = two_v[a:b][order[same + 1] - len(bh)]
-                docs.append(_array(r["b_d"], "<i8"))
-                score = np.repeat(gain, bn) * _array(r["b_t"], "<u4")
+                docs.append(_unzipped(r["b_d"], "<i8"))
+                score = np.repeat(gain, bn) * _unzipped(r["b_t"], "<u4")
                 sums.append([score, np.zeros(len(score)), np.zeros(len(score))])
             if docs:
                 pieces.append(_by_document(np.concatenate(docs), [np.concatenate(s) for s in zip(*sums, strict=True)]))
