@@ -1,12 +1,13 @@
 """Prompt moderation: score thresholds, substring wordlists, anchored regexes.
 
 Rules are a small table (``rule_table``). Its size is checked before use:
-up to ``EXPR_RULES`` rules become one JVM expression (CASE over ``contains``
-/ ``rlike``), which keeps the scan in whole-stage codegen with no join; a
-longer wordlist switches to an Aho-Corasick automaton built once per Python
-worker (pandas UDF) — exact either way.
+regexes, and up to ``EXPR_RULES`` words, become one flat JVM expression (its
+depth does not follow the number of rules) with no join; a longer wordlist
+switches to an Aho-Corasick automaton built once per Python worker (pandas
+UDF) — exact either way.
 """
 
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +59,9 @@ def word_hit(text, words: list[str]) -> Column:
     """First word (in rule order) that is a substring of lower(text), else null."""
     low = F.lower(text if isinstance(text, Column) else F.col(text))
     if len(words) <= EXPR_RULES:
-        hit = F.lit(None).cast("string")
-        for w in reversed(words):
-            hit = F.when(low.contains(w), F.lit(w)).otherwise(hit)
-        return hit
+        rules = F.from_json(F.lit(json.dumps(words)), "array<string>")    # one folded literal
+        # the text is bound once, so it is not lower-cased again for every word
+        return F.get(F.transform(F.array(low), lambda t: F.get(F.filter(rules, lambda w: t.contains(w)), F.lit(0))), F.lit(0))
     return _ac_first_hit(words)(low)
 
 
@@ -98,10 +98,7 @@ def _ac_first_hit(words: list[str]):
 def regex_hit(text, patterns: list[str]) -> Column:
     """First regex (in rule order) matching at the start of the raw text."""
     t = text if isinstance(text, Column) else F.col(text)
-    hit = F.lit(None).cast("string")
-    for p in reversed(patterns):
-        hit = F.when(t.rlike("^(?:" + p + ")"), F.lit(p)).otherwise(hit)
-    return hit
+    return F.coalesce(*(F.when(t.rlike("^(?:" + p + ")"), F.lit(p)) for p in patterns), F.lit(None).cast("string"))
 
 
 def moderate_words(df: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Results that were wrong outside the driver's data."""
 from pyspark.sql import functions as F
 
-from parlance.operators import corpus, gates, quant, scoring
+from parlance.operators import corpus, gates, moderation, quant, scoring
 
 
 def test_split_takes_any_percentage(spark):
@@ -62,3 +62,14 @@ def test_sampled_generation_of_null_and_large_keys(spark, monkeypatch):
         found.append({r.conv_id: r.generated for r in rows})
     assert found[0] == found[1] and found[0].keys() == {1, None, 2**53 + 1}
     assert all(len(g) == 5 for g in found[0].values())
+
+
+def test_hundreds_of_rules_stay_flat(spark):
+    df = spark.createDataFrame([(0, "has W450x and w7x"), (1, "clean"), (2, None), (3, ""), (4, "p599 first")], "id long, text string")
+    words = [f"w{i}x" for i in range(512)]
+    patterns = [f"p{i}\\b" for i in range(600)]
+    got = df.select("id", moderation.word_hit("text", words).alias("w"), moderation.regex_hit("text", patterns).alias("r")).orderBy("id").collect()
+    assert [r.w for r in got] == ["w7x", None, None, None, None]
+    assert [r.r for r in got] == [None, None, None, None, "p599\\b"]
+    none = df.select(moderation.word_hit("text", []).alias("w"), moderation.regex_hit("text", []).alias("r")).collect()
+    assert all(r.w is None and r.r is None for r in none)
