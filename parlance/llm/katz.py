@@ -22,6 +22,7 @@ tokens and one unknown token sums to 1.
 from __future__ import annotations
 
 import gc
+import itertools
 import math
 import uuid
 
@@ -101,19 +102,42 @@ def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def good_turing(counts: dict[int, int]) -> dict[int, float]:
-    """Katz's discounts d_1 .. d_5 from counts of counts; where these do not give
-    falling factors in (0, 1], absolute discounting by n1 / (n1 + 2 n2)."""
-    n = [0] + [counts.get(r, 0) for r in range(1, DISCOUNTED + 2)]
-    if all(n[1:]):
-        a = (DISCOUNTED + 1) * n[DISCOUNTED + 1] / n[1]
-        if a < 1:
-            d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, DISCOUNTED + 1)}
-            if all(0 < x < 1 for x in d.values()):
-                return d
+    """Katz's discounts d_1 .. d_5 from counts of counts. Where the plain ones do not
+    all lie in (0, 1) and rise, as where groups of copies bend the counts, all five come from
+    counts of counts smoothed by Gale's log-linear fit: with a slope below -1 it
+    always gives rising factors in (0, 1). Only without such a slope (a handful of
+    words, or more seen twice than once) absolute discounting by n1 / (n1 + 2 n2)."""
+    n = {r: float(counts.get(r, 0)) for r in range(1, DISCOUNTED + 2)}
+    d = _katz(n) if all(n.values()) else {}
+    if d and all(a < b for a, b in itertools.pairwise([0, *d.values(), 1])):
+        return d
+    slope = _slope({r: m for r, m in n.items() if m})
+    if slope < -1 - 1e-9:
+        return _katz({r: r ** slope for r in n})
     cut = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
     return {r: (r - cut) / r for r in range(1, DISCOUNTED + 1)}
 
 
+def _katz(n: dict[int, float]) -> dict[int, float]:
+    """(r* / r - a) / (1 - a) with Turing's r* = (r + 1) n_(r+1) / n_r: counts over
+    five stay whole, and what the others lose is n1 in all (of the ``n`` given)."""
+    a = (DISCOUNTED + 1) * n[DISCOUNTED + 1] / n[1]
+    return {r: ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, DISCOUNTED + 1)} if a < 1 else {}
+
+
+def _slope(n: dict[int, float]) -> float:
+    """Of log n_r over log r by least squares, each n_r first spread over the gap
+    between its neighbours that occur (Gale's averaging transform)."""
+    rs = sorted(n)
+    if len(rs) < 2:
+        return 0.0
+    below, above = [0, *rs[:-1]], [*rs[1:], 2 * rs[-1] - rs[-2]]
+    y = np.log([2 * n[r] / (b - a) for r, a, b in zip(rs, below, above, strict=True)])
+    x = np.log(rs)
+    x = x - x.mean()
+    return float(x @ y / (x @ x))
+
+
 def _discount(d: dict[int, float]):
     """Discounted count as a column of the count ``c``."""
     c = F.col("c").cast("double")
