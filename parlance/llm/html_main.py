@@ -2,10 +2,12 @@
 
 A page is cut into blocks at block-level tags, in one scan per page. Elements that
 never hold main text (scripts, menus, forms, ...) are left out by their tag, role
-or class. Pass one decides blocks by length, link density and stop-word density;
-short blocks of neither kind stay open, and pass two gives them the label of the
-nearest decided neighbour. Where the page marks its article, only blocks inside it
-are looked at and the ones of plain text are kept: dropping asks for evidence.
+or class. Pass one decides blocks by length, link density and stop-word density, on every
+page and wherever the block lies; pass two gives the open ones (short, or of few
+stop words) the label of their nearest decided neighbours. The tags article and
+main are evidence, not a decision: inside them more links are allowed, and open
+blocks ask neighbours on their own side of the tag first. Blocks outside go
+through the same rules. Dropping asks for evidence.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_PARTS = re.compile(r"[^a-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
-LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_MOST, LINKS_MOST_INSIDE, LIST_SHORT = 70, 200, 0.30, 0.32, 0.2, 0.8, 140
+LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_MOST, LINKS_MOST_INSIDE, LIST_SHORT = 70, 200, 0.10, 0.15, 0.2, 0.8, 140
+_WEAK = "weak"                             # open, and of too few stop words to follow one neighbour
 
 
 class _Block:
@@ -163,22 +167,35 @@ def page_blocks(page: str) -> list[_Block]:
     return blocks
 
 
-def _decide(b: _Block) -> bool | None:
-    """Pass one: main text, not main text, or open."""
+def _decide(b: _Block) -> bool | str | None:
+    """Pass one: main text, not main text, or open (None or weak)."""
     length, density = len(b.text), b.linked / len(b.text)
     if b.inside:
         if density > LINKS_MOST_INSIDE and (b.links > 1 or length < LENGTH_LOW) and length < LIST_SHORT:
             return False
-        return True if length >= LENGTH_LOW or density == 0 and b.heading else None
-    if density > LINKS_MOST:
+        if b.heading:
+            return True if length >= LENGTH_LOW or density == 0 else None
+    elif density > LINKS_MOST:
         return False
     if length < LENGTH_LOW or b.heading:
-        return False if density > 0 and not b.heading else None
-    words = b.text.lower().split()
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
-    if stops >= STOP_HIGH and length > LENGTH_HIGH:
+        return False if density > 0 and not b.heading and not b.inside else None
+    words = _LETTERS.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if stops >= (STOP_LOW if length > LENGTH_HIGH else STOP_HIGH):
         return True
-    return None if stops >= STOP_LOW else False
+    return None if stops >= STOP_LOW or b.inside else _WEAK
+
+
+def _nearest(labels: list[bool | None]) -> list[tuple[tuple[int, bool | None], tuple[int, bool | None]]]:
+    """The decided neighbours before and after each place: how far, and their label."""
+    far, sides = len(labels) + 1, []
+    for places in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        last, side = None, [(far, None)] * len(labels)
+        for i in places:
+            last = i if labels[i] is not None else last
+            side[i] = (abs(i - last), labels[last]) if last is not None else (far, None)
+        sides.append(side)
+    return list(zip(*sides, strict=True))
 
 
 def main_text(page: str | None) -> str:
@@ -186,30 +203,30 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = page_blocks(page)
-    if any(b.inside for b in blocks):
-        blocks = [b for b in blocks if b.inside]
-    decided = [_decide(b) for b in blocks]
+    found = [_decide(b) for b in blocks]
+    if not any(x is True for x in found):              # stop words say nothing here (another language, a table): length and links decide
+        found = [True if x in (None, _WEAK) and len(b.text) >= LENGTH_LOW and not b.heading else x for b, x in zip(blocks, found, strict=True)]
+    decided = [None if x is _WEAK else x for x in found]
     # pass two: the nearest decided neighbours on either side, and how far away
-    n, far = len(blocks), len(blocks) + 1
-    before, last = [(far, None)] * n, None
-    for i in range(n):
-        last = i if decided[i] is not None else last
-        before[i] = (i - last, decided[last]) if last is not None else (far, None)
-    after, last = None, None
-    kept = [False] * n
-    for i in range(n - 1, -1, -1):
-        last = i if decided[i] is not None else last
-        after = (last - i, decided[last]) if last is not None else (far, None)
+    every = _nearest(decided)
+    own = {side: _nearest([x if b.inside == side else None for b, x in zip(blocks, decided, strict=True)]) for side in {b.inside for b in blocks}}
+    kept = [False] * len(blocks)
+    for i, b in enumerate(blocks):
+        before, after = every[i]
         if decided[i] is not None:
             kept[i] = decided[i]
-        elif before[i][1] is None and after[1] is None:
-            kept[i] = blocks[i].inside
-        elif blocks[i].heading:
+        elif before[1] is None and after[1] is None:
+            kept[i] = b.inside
+        elif b.heading:
             kept[i] = bool(after[1])                    # a heading belongs to what follows
-        elif before[i][0] == after[0]:
-            kept[i] = bool(before[i][1] or after[1])
+        elif found[i] is _WEAK:
+            kept[i] = bool(before[1] and after[1])
         else:
-            kept[i] = bool(min(before[i], after, key=lambda x: x[0])[1])
+            if own[b.inside][i] != ((len(blocks) + 1, None),) * 2:
+                before, after = own[b.inside][i]
+            elif b.inside:                              # nothing decided inside: the tag is all there is
+                before = after = (0, True)
+            kept[i] = bool(before[1] or after[1]) if before[0] == after[0] else bool(min(before, after, key=lambda x: x[0])[1])
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 

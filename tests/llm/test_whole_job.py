@@ -1,7 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 import pytest
 
-from parlance.llm import katz
+from parlance.llm import html_main, katz
 
 
 def test_good_turing_with_a_bump_of_copies():
@@ -20,3 +20,25 @@ def test_good_turing_with_a_bump_of_copies():
     assert katz._slope(law) == pytest.approx(-2.5, abs=0.2)
     for few in ({}, {1: 3}, {1: 1, 2: 5, 3: 9}):
         assert all(0 < x < 1 for x in katz.good_turing(few).values())
+
+
+PROSE = {
+    "en": "Thnterble the onthing erly of handed inre, thation to erentes shan and oneringly wheth thounder erhaat is thedor.",
+    "de": "Enungber die chteein schung der tzstzu, erbenge und verlichkeit zu heitzust einßge nicht stieer enkeit ist ietzst.",
+    "fr": "Oumentvi le tionêre ouchment de lareaux, et enleouoi les aieronaux pour érementé queon est mentouvi ouaireier.",
+    "es": "Ciónento el mentarue de arociónta, y osllesó que erramente los doñado para ciónllos por queciónte aosuela."}
+
+
+@pytest.mark.parametrize("lang", PROSE)
+def test_main_text_without_article(lang):
+    one, menu = PROSE[lang], "<div><a href=1>Aaa bbb</a> <a href=2>Ccc ddd</a></div>"
+    two = f"{one} {one}"
+    body = f"<div><h2>Xyz</h2><p>{two}</p><p>{one}</p></div>"
+    want = "\n".join(["Xyz", two, one])
+    assert html_main.main_text(f"<body>{menu}{body}{menu}</body>") == want
+    # a teaser that the page marks does not hide the body
+    assert html_main.main_text(f"<body>{menu}{body}<article><p>{two}</p></article>{menu}</body>") == f"{want}\n{two}"
+    # few stop words: dropped beside the menu, kept in the midst of prose
+    names = " ".join(f"Qxw{c}zz" for c in "abcdefghijklmnopqrst")
+    assert html_main.main_text(f"<body>{body}<p>{names}</p>{menu}</body>") == want
+    assert html_main.main_text(f"<body><p>{two}</p><p>{names}</p><p>{two}</p></body>") == "\n".join([two, names, two])
