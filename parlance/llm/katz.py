@@ -35,7 +35,7 @@ from .common import _Memo, hand_back, saved, slices, words_of
 from .quality import doc_remainder
 
 ROW_POSTINGS = 8_192                       # postings in a row of the stored table: rows of about 300 KB
-LEAST_BIGRAM, DISCOUNTED = 2, 5            # bigrams seen once back off; counts to 5 are discounted
+LEAST_BIGRAM, DISCOUNTED = 2, 5            # op3_katz keeps bigrams seen once (least_bigram = 1); counts to 5 are discounted
 BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 500_000, 4 << 20, 1_000, 32
 _PACKED = "bucket int, base long, sizes array<long>, data binary"
 _TABLE = ("bucket int, docs binary, counts array<long>, u_x binary, u_c binary, u_n binary, u_d binary, u_t binary, "
@@ -260,7 +260,7 @@ def _unpack(base: int, sizes, data: bytes):
     return h, np.repeat(w, w_posts), d.astype(np.int64) + base, times
 
 
-def _count(heavy: dict[int, int], row_postings: int):
+def _count(heavy: dict[int, int], row_postings: int, least_bigram: int):
     heavy_x = np.array(sorted(heavy), np.uint64)
 
     def row(bucket, blocks, docs):
@@ -279,7 +279,7 @@ def _count(heavy: dict[int, int], row_postings: int):
             c = np.add.reduceat(np.where(d & 1, t, 0), pairs, dtype=np.int64)
             hot = np.isin(h[pairs], heavy_x)
             out["counts"] = np.bincount(np.minimum(c[~hot], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1:DISCOUNTED + 2].tolist()
-            kept = hot | (c >= LEAST_BIGRAM)
+            kept = hot | (c >= least_bigram)
             n = _lengths(pairs, len(h))
             post = np.repeat(kept, n)
             out |= {"b_h": h[pairs][kept], "b_w": w[pairs][kept], "b_c": c[kept], "b_n": n[kept].astype(np.uint32), "b_d": d[post], "b_t": t[post],
@@ -382,11 +382,15 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucket_bytes: int = BUCKET_BYTES, row_postings: int = ROW_POSTINGS) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucket_bytes: int = BUCKET_BYTES, row_postings: int = ROW_POSTINGS,
+                    least_bigram: int = LEAST_BIGRAM) -> DataFrame:
     """Scores of every row's whole text, learnt from the rows whose crc32 of the id,
     modulo ``modulus``, is not ``held_out``: ``doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score``.
 
+    Bigrams seen fewer than ``least_bigram`` times back off; with 1 every bigram of
+    the training rows is in the model, those seen once with Katz's d_1.
+
     Null, empty and blank texts are the end token alone; a null ``doc_id`` counts
     as the empty id and stays null; repeated rows are counted and scored each;
     other columns are not read; an empty table gives no rows. Without training
@@ -399,7 +403,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucke
     heavy = heavy_contexts(docs, buckets)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = _saved_by_bucket(docs.select("doc_id", (doc_remainder(F.col("doc_id"), modulus) != held_out).alias("train"), "text").mapInArrow(_pack(buckets, heavy), _PACKED)
-                             .repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(heavy, row_postings), _TABLE), parts)
+                             .repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(heavy, row_postings, least_bigram), _TABLE), parts)
     _release(spark)
 
     info = (table.filter("bucket < 0").select(F.explode(F.expr("transform(sequence(0, cast(length(docs) / 32 as int) - 1), i -> substring(docs, 32 * i + 1, 32))")).alias("r"))
@@ -435,7 +439,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucke
 
     # probabilities and back-off weights
     p1 = unigrams.select("x", "c", (_discount(d1) / F.lit(float(whole or 1))).alias("p"))
-    held = bigrams.filter(F.col("c") >= LEAST_BIGRAM).withColumn("dc", _discount(d2))
+    held = bigrams.filter(F.col("c") >= least_bigram).withColumn("dc", _discount(d2))
     held = held.join(p1.select(F.col("x").alias("w"), F.col("p").alias("p_w")), "w")
     contexts = unigrams.filter(F.col("x") != end).unionByName(spark.createDataFrame([(start, trained)], "x long, c long"))
     weights = (held.groupBy("h").agg(F.sum("dc").alias("mass"), F.sum("p_w").alias("covered"))

@@ -26,7 +26,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(table(spark, sf_dir, "documents"))
+    return katz.score_documents(table(spark, sf_dir, "documents"), least_bigram=1)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
+import collections
+import math
+import random
+import zlib
+
 import pytest
 
 from parlance.llm import html_main, katz
@@ -22,6 +27,43 @@ def test_good_turing_with_a_bump_of_copies():
         assert all(0 < x < 1 for x in katz.good_turing(few).values())
 
 
+def test_katz_keeps_bigrams_seen_once(spark, monkeypatch, tmp_path):
+    from parlance.llm import plans
+
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(draw.choices(vocabulary, weights=[1 / (k + 1) for k in range(60)], k=draw.randint(0, 60)))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(katz, "heavy_contexts", lambda d, b: {katz.token_hash(b"w0"): 3})
+    got = {r.doc_id: r.score for r in plans.op3_katz(spark, str(tmp_path)).collect()}
+    words = {i: [*t.split(), "<e>"] for i, t in rows}
+    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, w in words.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            one.update(w)
+            context.update(["<s>", *w[:-1]])
+            two.update(zip(["<s>", *w[:-1]], w, strict=True))
+    d1, d2 = (katz.good_turing(collections.Counter(c.values())) for c in (one, two))
+    n, lost = sum(one.values()), sum(c * (1 - d1[c]) for c in one.values() if c in d1)
+    whole = n + (lost == 0)
+    p1 = {w: d1.get(c, 1) * c / whole for w, c in one.items()}
+    unknown = (whole - n + lost) / whole
+    mass, covered = collections.Counter(), collections.Counter()
+    for (h, w), c in two.items():
+        mass[h] += d2.get(c, 1) * c
+        covered[h] += p1[w]
+    of = {h: context[h] + (m >= context[h] * (1 - 1e-12)) for h, m in mass.items()}
+
+    def p2(h, w):
+        if two[h, w]:
+            return d2.get(two[h, w], 1) * two[h, w] / of[h]
+        return ((1 - mass[h] / of[h]) / (1 - covered[h]) if h in of else 1) * p1.get(w, unknown)
+
+    assert sum(c == 1 for c in two.values()) > 100 and set(got) == set(words)
+    for i, w in words.items():
+        assert got[i] == pytest.approx(sum(math.log10(p2(h, x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True)), rel=1e-9)
+
+
 PROSE = {
     "en": "Thnterble the onthing erly of handed inre, thation to erentes shan and oneringly wheth thounder erhaat is thedor.",
     "de": "Enungber die chteein schung der tzstzu, erbenge und verlichkeit zu heitzust einßge nicht stieer enkeit ist ietzst.",
