@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import saved, table, vocabulary_path
-from parlance.llm.decontaminate import find_contaminated
+from parlance.llm.decontaminate import without_contaminated
 from parlance.llm.packing import pack_documents
 from parlance.llm.quality import score_quality, train_quality
-from parlance.llm.simhash_bk import near_duplicates
+from parlance.llm.simhash_bk import near_groups
 from parlance.session import ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,22 +29,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of every SimHash component; of repeated
-    rows of that id, one. Rows without an id stay where they have no component of
-    a row with one."""
+    """Keep one row of every SimHash component, with or without ids: of its smallest
+    id (of those without one, if it has none) the text of smallest MD5, once.
+    Rows are told apart by id and text, so rows without an id, and different texts
+    of one id, stay or go by their own component, alike on a rerun."""
     ship_package(spark)
-    groups = near_duplicates(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    alone = groups.filter("component_id is null").select(F.lit(None).cast("long").alias("doc_id")).distinct()
-    rows = docs.select(*COLUMNS).join(kept.unionByName(alone).withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return rows.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.concat_ws(":", F.md5("text"), F.col("doc_id").cast("string")).alias("key"))     # never null
+    groups = near_groups(rows, keep=("key",))
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("key").alias("key")).select("key")
+    # rows of one key meet as the join deals them: texts are shuffled once
+    one = rows.join(kept, "key").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return one.select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item within its edit budget."""
+    """Drop the rows whose own text holds a benchmark item within its edit budget."""
     ship_package(spark)
-    leaks = find_contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    return without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

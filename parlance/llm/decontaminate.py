@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import hand_back, saved, slices
 
 EDIT_SHARE, GROUP_BYTES = 12, 32 << 20
 _WORDS = re.compile(r"\S+")
@@ -167,23 +167,54 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, group_bytes: int =
     ``doc_id, item_id, distance, budget, start, stop`` (the best passage of each).
 
     Null or empty texts match nothing, nor do empty items; items of equal text are
-    all reported; repeated document rows give their matches each; other columns
-    are not read; empty tables give no rows. Items go out in groups of at most
-    ``group_bytes`` (their size is summed first), each scanned over all documents.
+    all reported, also those of null id; repeated document rows give their matches
+    each; other columns are not read; empty tables give no rows. Items go out in
+    groups of at most ``group_bytes`` (their size is summed first), each scanned
+    over all documents.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("length(text) > 0")
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    groups = max(1, -(-size * 2 // group_bytes))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for g in range(groups):
-        part = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        shared = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, normalised(r.text)) for r in part.collect() if r.item_id is not None))
+    for shared in _shared_items(benchmark, group_bytes):
         matches = docs.mapInArrow(_matcher(shared), _MATCHES)
         found = matches if found is None else found.unionByName(matches)
     return found
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text holds no item within its
+    edit budget: ids play no part. The rows left by a group of items are written
+    before the next, so that a worker holds one group."""
+    last = None
+    for shared in _shared_items(benchmark, group_bytes):
+        if last is not None:
+            docs = saved(last, "clean")
+        last = docs.mapInArrow(_cleaner(shared, docs.columns.index("text")), docs.schema)
+    return last
+
+
+def _shared_items(benchmark: DataFrame, group_bytes: int):
+    """Groups of (item_id, normalised text), broadcast one by one."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("length(text) > 0")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    groups = max(1, -(-size * 2 // group_bytes))
+    for g in range(groups):
+        part = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted(((r.item_id, normalised(r.text)) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+
+
+def _cleaner(shared, text: int):
+    def clean(batches):
+        import pyarrow as pa
+
+        matcher = ItemMatcher(shared.value)
+        for batch in slices(batches):
+            yield batch.filter(pa.array([next(matcher.matches(t), None) is None for t in batch.column(text).to_pylist()], pa.bool_()))
+        matcher = None
+        hand_back()
+
+    return clean
+
+
 def _matcher(shared):
     def scan(batches):
         import pyarrow as pa

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, words_of
+from .common import hand_back, saved, slices, words_of
 
 SHINGLE, RADIUS, SEED, SHARD = 3, 2, 42, 1024
 _ONES = (1 << 64) - 1
@@ -100,16 +100,18 @@ def shard_links(nodes: list[tuple[int, int]], radius: int) -> list[tuple[int, in
     return [(nodes[i][0], nodes[root(i)][0]) for i in range(len(nodes)) if root(i) != i]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long) of every row's whole text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint as a signed long) of every row's whole text,
+    and the string columns to ``keep``."""
     def make(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
             values = np.array([simhash(words_of(t), shingle) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *keep])
+        hand_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(make, ", ".join(["doc_id long", "fp long", *(f"{k} string" for k in keep)]))
 
 
 def _blocks(count: int) -> list[tuple[int, int]]:
@@ -195,18 +197,26 @@ def components(links: DataFrame) -> DataFrame:
         mark = (r.n, r.h)
 
 
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp``, the columns to ``keep``, ``group`` (the smallest fingerprint
+    reachable) and ``component_id`` (the group's smallest ``doc_id``, null where no
+    row of it has one) of every row. Fingerprints are the nodes, so rows link and
+    bridge whatever their ids: none, or one id on different texts."""
+    prints = saved(fingerprints(docs, shingle, keep), "fingerprints")
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "group").select("fp", "group", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits) and ``component_id`` of every row:
     the smallest ``doc_id`` reachable over fingerprints at most ``radius`` bits apart.
 
     Null, empty and blank texts have fingerprint zero and link like any other;
-    repeated rows are rows of one component; a row of null ``doc_id`` never is the
-    smallest but where its fingerprint has no other, then its component is null;
+    repeated rows are rows of one component; rows of null ``doc_id`` link like any
+    other but are never the smallest: where a component has no id, it is null;
     other columns are not read; an empty table gives no rows.
     """
-    prints = saved(fingerprints(docs, shingle), "fingerprints")
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(near_links(nodes.filter("node is not null"), radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return (prints.join(named, "fp")
-            .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+    return near_groups(docs, shingle, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from parlance.llm import html_main, katz
+from parlance.llm import html_main, katz, simhash_bk
 
 
 def test_good_turing_with_a_bump_of_copies():
@@ -84,3 +84,40 @@ def test_main_text_without_article(lang):
     names = " ".join(f"Qxw{c}zz" for c in "abcdefghijklmnopqrst")
     assert html_main.main_text(f"<body>{body}<p>{names}</p>{menu}</body>") == want
     assert html_main.main_text(f"<body><p>{two}</p><p>{names}</p><p>{two}</p></body>") == "\n".join([two, names, two])
+
+
+def test_stages_of_rows_without_an_id_or_of_one_id(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(4)
+    text = lambda n=80: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n))
+    t, item = [text() for _ in range(8)], text(20)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = [(None, t[0]), (None, t[1]), (None, t[1]), (None, t[2]), (3, t[2]), (5, t[3]), (5, t[4]), (5, t[4]), (6, t[5]), (9, t[5]), (None, ""), (None, None)]
+    frame = spark.createDataFrame([(i, x, "en", "web", len(x or "")) for i, x in docs], schema).repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()
+    first = lambda r: (r[0] or 0, r[1] or "")
+    got = sorted(((r.doc_id, r.text) for r in got), key=first)
+    assert got[0] in [(None, ""), (None, None)]
+    assert got[1:] == sorted([(None, t[0]), (None, t[1]), (3, t[2]), (5, t[3]), (5, t[4]), (6, t[5])], key=first)
+    spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(None, t[0]), (None, f"{t[1]} {item}"), (5, t[2]), (5, f"{t[3]} {item}"), (6, None)]
+    frame = spark.createDataFrame([(i, x, "en", "web", 0) for i, x in docs], schema)
+    got = corpus_pipeline.decontamination_stage(spark, frame, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=first) == sorted([(None, t[0]), (5, t[2]), (6, None)], key=first)
+
+
+def test_rows_without_an_id_bridge(spark):
+    draw = random.Random(2)
+    base = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(400)]
+    found = {}
+    for _ in range(400):
+        w = list(base)
+        for _ in range(3):
+            w[draw.randrange(400)] = "zzz" + draw.choice("abcdef")
+        found[simhash_bk.simhash([x.encode() for x in w])] = " ".join(w)
+    near = lambda a, b: (a ^ b).bit_count() <= 2
+    a, m, b = next((a, m, b) for m in found for a in found for b in found if a != m != b and near(a, m) and near(m, b) and not near(a, b))
+    rows = [(8, found[a]), (None, found[m]), (4, found[b])]
+    got = simhash_bk.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.component_id for r in got] == [4, 4, 4]
