@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_main, idpack, katz, packing, quality, simhash_bk, token_counts, topk_pivot
+from . import align, chat_format, decontaminate, html_main, idpack, katz, packing, prefix_trie, quality, simhash_bk, token_counts, topk_pivot
 from .common import table, vocabulary_path
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -65,6 +65,14 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_report(table(spark, sf_dir, "documents"), vocabulary_path(BPE), vocabulary_path(PIECES))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 TOPK_SQL = """
 WITH w AS (
   SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -87,4 +95,6 @@ QUERIES: dict[str, tuple] = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_topk_pivot": (op9_topk_pivot, TOPK_SQL),
     "op10_html_main": (op10_html_main, None),
+    "op12_align": (op12_align, None),
+    "op13_prefix_trie": (op13_prefix_trie, None),
 }
