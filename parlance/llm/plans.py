@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat_format, decontaminate, html_main, idpack, katz, packing, prefix_trie, quality, simhash_bk, token_counts, topk_pivot
+from . import align, chat_format, decontaminate, hash_forest, html_main, idpack, katz, packing, prefix_trie, quality, simhash_bk, token_counts, topk_pivot
 from .common import table, vocabulary_path
 
 BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -65,6 +65,10 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_report(table(spark, sf_dir, "documents"), vocabulary_path(BPE), vocabulary_path(PIECES))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, tuple] = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_topk_pivot": (op9_topk_pivot, TOPK_SQL),
     "op10_html_main": (op10_html_main, None),
+    "op11_hash_forest": (op11_hash_forest, None),
     "op12_align": (op12_align, None),
     "op13_prefix_trie": (op13_prefix_trie, None),
 }
