@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_labels, tokenize_ws  # noqa: F401  (re-exported)
-from .prefix import prefix_sum, rank_rows
+from .scan import positions, running_sums
 from .sizing import broadcast_if_small, small_table
 
-DOC_BUCKET = 1024      # documents per prefix-sum bucket (token_stream / doc ranks)
-
 
 def corpus_split(df: DataFrame, key: str = "doc_id", train_pct: int = 80, out: str = "split") -> DataFrame:
     """Deterministic train / eval split of ``train_pct`` percent: by the last two
@@ -40,30 +38,22 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "tokens",
 
 
 def token_stream(docs: DataFrame, part=("dataset", "split"), order: str = "doc_id",
-                 tokens: str = "tokens", bucket: int = DOC_BUCKET) -> DataFrame:
+                 tokens: str = "tokens") -> DataFrame:
     """Each (dataset, split) corpus as one ordered stream of tokens.
 
-    Documents follow each other in ``order``; ``pos`` is the token's global
-    position in its stream. Offsets come from a two-level prefix sum over
-    per-document token counts (documents bucketed by ``order div bucket``).
+    Documents follow each other in ``order`` (ids of any kind, however spread); ``pos``
+    is the token's global position in its stream. Offsets are running sums of
+    per-document token counts over ranges of the order. Null tokens count as none.
     Output: part..., doc_id, idx, pos, token.
     """
     part = list(part)
-    counted = (docs.select(*part, order, tokens)
-               .withColumn("_n", F.size(tokens).cast("bigint"))
-               .withColumn("_b", F.floor(F.col(order) / bucket)))
-    with_off = prefix_sum(counted, "_n", "_off", part, [F.col(order)], ["_b"],
-                          coarse={"_c": F.floor(F.col("_b") / bucket)})
+    counted = docs.select(*part, order, tokens).withColumn("_n", F.coalesce(F.greatest(F.size(tokens), F.lit(0)), F.lit(0)).cast("bigint"))
+    with_off = running_sums(counted, part, [order], {"_off": "_n"}, inclusive=False)
     return (with_off.select(*part, order, "_off", F.posexplode(tokens).alias("idx", "token"))
             .withColumn("pos", F.col("_off") + F.col("idx"))
             .drop("_off"))
 
 
-def stream_sizes(stream: DataFrame, part=("dataset", "split")) -> DataFrame:
-    """Tokens per stream (partial aggregation before the shuffle)."""
-    return stream.groupBy(*part).agg(F.count(F.lit(1)).alias("n_tokens"))
-
-
 def eval_segments(stream: DataFrame, L: int, part=("dataset",)) -> DataFrame:
     """Non-overlapping length-L segments ``seg = pos div L``; the tail is dropped.
 
@@ -108,25 +98,18 @@ def sample_windows(stream: DataFrame, nsamples: int, L: int, seed: int = 0,
             .select(*part, "sample_id", "start", "idx", "pos", "token"))
 
 
-def doc_token_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return docs.withColumn("n_tokens", F.size(tokens))
-
-
 def sample_doc_windows(docs: DataFrame, nsamples: int, L: int, seed: int = 0,
                        part=("dataset",), key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """Draw documents uniformly with replacement among those with more than L
     tokens, then a window of L tokens inside each at an offset in [0, n-L-1].
 
-    Eligible documents are ranked by key with the two-level rank (no global
-    window); the pick for sample k is rank ``md5int(seed,'d',k) mod count``.
+    Eligible documents are ranked by key over ranges (no global window); the pick for sample k is rank ``md5int(seed,'d',k) mod count``.
     Output: part..., sample_id, doc_id, start, tokens (array of L).
     """
     part = list(part)
     elig = (docs.select(*part, key, F.size(tokens).alias("_n"))
-            .filter(F.col("_n") > L)
-            .withColumn("_b", F.floor(F.col(key) / DOC_BUCKET)))
-    ranked = rank_rows(elig, "_rank", part, [F.col(key)], ["_b"],
-                       coarse={"_c": F.floor(F.col("_b") / DOC_BUCKET)}).drop("_b")
+            .filter(F.col("_n") > L))
+    ranked = positions(elig, part, [key], "_rank")
     counts = small_table(elig.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt")))
     picks = (counts.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nsamples - 1).cast("bigint"))))
              .withColumn("_rank", F.pmod(md5_int(seed, "d", F.col("sample_id")), F.col("_cnt")))
@@ -150,13 +133,8 @@ def pack_windows(windows: DataFrame, L: int, part=("dataset",)) -> DataFrame:
 def vocab(tokens: DataFrame, token: str = "token") -> DataFrame:
     """token -> count -> id, ids by (count desc, token).
 
-    Counts are a partial aggregation. Ids come from the two-level rank with
-    buckets (count, first three characters) — a coarsening of the order — so a
-    huge group of rare tokens is still split across tasks.
+    Counts are a partial aggregation. Ids are places in ranges of the order itself, so
+    neither a huge group of rare tokens nor one of a common prefix meets in a task.
     """
     counts = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("cnt"))
-    counts = counts.withColumn("_pre", F.substr(F.col(token), F.lit(1), F.lit(3)))
-    ranked = rank_rows(counts, "id", [], [F.col("cnt").desc(), F.col(token).asc()],
-                       ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()],
-                       coarse={"_cc": F.col("cnt")}, coarse_order=[F.col("_cc").desc()])
-    return ranked.select(token, "cnt", "id")
+    return positions(counts, [], [F.col("cnt").desc(), F.col(token).asc()], "id").select(token, "cnt", "id")

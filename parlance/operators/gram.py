@@ -1,73 +1,133 @@
-"""Gram (Hessian) matrices of activation tables, conditioning, column order,
-and error-compensated quantization of weight rows.
+"""Gram (Hessian) matrices of activation tables, conditioning and column order.
 
 ``gram_matrix`` never sends per-row outer products through a shuffle: each
-partition reduces its rows to a partial d x d sum with NumPy and emits it in
-column blocks (i, jb, array); a grouped element-wise sum per (i, jb) merges the
-partials, so a group holds one block per partition.
+task sums its rows into tiles of ``TILE`` columns and emits the partial tiles,
+which are added up in two rounds of streamed sums (by slot, then by tile), so a
+task holds one tile however many partitions there were. Where the matrix is wider
+than ``CELLS`` allows, its tile rows are cut into stripes and the input is read
+once a stripe: no task holds a whole wide matrix. With ``key`` a table holds many
+matrices of one width.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .gptq import dequant_by_group, gptq_quantize  # noqa: F401  (re-exported)
 
-MAX_DENSE_D = 16384   # d x d doubles the solver step may hold (2 GiB at the cap)
+TILE, CELLS, SLOTS = 256, 1 << 24, 64      # columns of a tile; doubles a task may sum into; partial sums of a tile
 
 
-GRAM_BLOCK = 128      # columns per reduced block: a group holds partitions x GRAM_BLOCK doubles
-
-
-def partial_grams(df: DataFrame, vec: str, d: int, block: int = GRAM_BLOCK) -> DataFrame:
-    """Per partition: (i, jb, s array<double>, n) with s = Σ over rows of
-    x_i * x[jb*block : (jb+1)*block] — the partial d x d sum cut into row blocks."""
-    nb = (d + block - 1) // block
+def _partial_tiles(df: DataFrame, vec: str, d: int, key: str, first: int, last: int) -> DataFrame:
+    """``key, bi, bj, slot, data, n``: each task's sums of x_i x_j over its rows, the upper
+    tiles of tile rows first .. last - 1. Sums are given out early when the keys
+    that met in the task fill ``CELLS``."""
+    edges = list(range(0, d + TILE, TILE))
+    width = (min(edges[last], d) - edges[first]) * d
 
     def run(batches):
-        acc, cnt = np.zeros((d, d)), 0
-        for pdf in batches:
-            if pdf.empty:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        slot, sums, counts = TaskContext.get().partitionId() % SLOTS, {}, {}
+
+        def out():
+            for k, acc in sums.items():
+                for bi in range(first, last):
+                    for bj in range(bi, len(edges) - 1):
+                        x = acc[edges[bi] - edges[first]:edges[bi + 1] - edges[first], edges[bj]:edges[bj + 1]]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([k], kind), pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), pa.array([slot], pa.int32()),
+                            pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), pa.array([counts[k]], pa.int64())], names=[key, "bi", "bj", "slot", "data", "n"])
+            sums.clear()
+            counts.clear()
+
+        kind = None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            acc += x.T @ x
-            cnt += len(pdf)
-        if cnt:
-            ii = np.repeat(np.arange(d, dtype=np.int32), nb)
-            jb = np.tile(np.arange(nb, dtype=np.int32), d)
-            parts = [acc[i, b * block:(b + 1) * block] for i in range(d) for b in range(nb)]
-            yield pd.DataFrame({"i": ii, "jb": jb, "s": parts, "n": np.full(d * nb, cnt, dtype=np.int64)})
-    return df.select(vec).mapInPandas(run, "i int, jb int, s array<double>, n long")
-
-
-def _sum_arrays(col: str, width: int):
-    return F.aggregate(F.collect_list(col), F.array_repeat(F.lit(0.0), width),
-                       lambda acc, a: F.zip_with(acc, a, lambda x, y: x + y))
-
-
-def gram_sums(df: DataFrame, vec: str, d: int, block: int = GRAM_BLOCK) -> DataFrame:
-    """(i, jb, s array, n): merged sums Σ x xᵀ by (row, column block), and the
-    row count. A group holds one block from each partition — bounded by the
-    partition count times ``block``, never by d or the row count."""
-    return (partial_grams(df, vec, d, block).groupBy("i", "jb")
-            .agg(_sum_arrays("s", block).alias("s"), F.sum("n").alias("n")))
-
-
-def _long(g: DataFrame, block: int) -> DataFrame:
-    return (g.select("i", "jb", F.posexplode("s").alias("k", "s"), "n")
-            .select("i", (F.col("jb") * block + F.col("k")).cast("int").alias("j"), "s", "n"))
-
-
-def gram_matrix(df: DataFrame, vec: str, d: int, n: int | None = None) -> DataFrame:
-    """H = (2/N) Σ x xᵀ in long form (i, j, h); N defaults to the row count."""
-    g = _long(gram_sums(df, vec, d), GRAM_BLOCK).filter(F.col("j") < d)
+            kind = b.column(0).type
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+            keys = np.array(b.column(0).to_pylist(), object)
+            for k in dict.fromkeys(keys.tolist()):
+                mine = x[keys == k]
+                if k not in sums:
+                    if sums and (len(sums) + 1) * width > CELLS:
+                        yield from out()
+                    sums[k], counts[k] = np.zeros((width // d, d)), 0
+                sums[k] += mine[:, edges[first]:edges[last]].T @ mine
+                counts[k] += len(mine)
+        yield from out()
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(run, f"{key} {kind}, bi int, bj int, slot int, data binary, n long")
+
+
+def _summed(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Partial tiles added up by ``by``, streamed: a task holds one tile."""
+    def run(batches):
+        import pyarrow as pa
+
+        def out():
+            return pa.RecordBatch.from_arrays([*held, pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=[*by, "data", "n"])
+
+        now, held, total, n = None, None, None, 0
+        for b in batches:
+            for at in range(b.num_rows):
+                here = tuple(b.column(i)[at].as_py() for i in range(len(by)))
+                x = np.frombuffer(b.column(len(by))[at].as_py())
+                if here != now:
+                    if held:
+                        yield out()
+                    now, held, total, n = here, [b.column(i).slice(at, 1) for i in range(len(by))], np.zeros(len(x)), 0
+                total += x
+                n += b.column(len(by) + 1)[at].as_py()
+        if held:
+            yield out()
+
+    kinds = dict(parts.dtypes)
+    return (parts.select(*by, "data", "n").repartition(*by).sortWithinPartitions(*by)
+            .mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "data binary", "n long"])))
+
+
+def gram_sums(df: DataFrame, vec: str, d: int, key: str | None = None) -> DataFrame:
+    """``(key,) i, j, s, n``: the sums of x_i x_j over all rows and the row count."""
+    one = key is None
+    if one:
+        key, df = "_matrix", df.withColumn("_matrix", F.lit(0))
+    blocks = -(-d // TILE)
+    each = max(1, CELLS // (d * TILE))
+    parts = reduce(DataFrame.unionByName, [_partial_tiles(df, vec, d, key, a, min(a + each, blocks)) for a in range(0, blocks, each)])
+    tiles = _summed(_summed(parts, [key, "bi", "bj", "slot"]), [key, "bi", "bj"])
+
+    def cells(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(b.num_rows):
+                bi, bj = b.column(1)[at].as_py(), b.column(2)[at].as_py()
+                x = np.frombuffer(b.column(3)[at].as_py()).reshape(min(TILE, d - bi * TILE), -1)
+                for i, j, part in [(bi, bj, x)] + ([(bj, bi, x.T)] if bi != bj else []):
+                    n, m = part.shape
+                    yield pa.RecordBatch.from_arrays([
+                        b.column(0).take(pa.array([at] * (n * m))), pa.array(np.repeat(np.arange(n, dtype=np.int32) + i * TILE, m)),
+                        pa.array(np.tile(np.arange(m, dtype=np.int32) + j * TILE, n)), pa.array(np.ascontiguousarray(part).ravel()),
+                        b.column(4).take(pa.array([at] * (n * m)))], names=[key, "i", "j", "s", "n"])
+
+    out = tiles.mapInArrow(cells, f"{key} {dict(df.dtypes)[key]}, i int, j int, s double, n long")
+    return out.drop(key) if one else out
+
+
+def gram_matrix(df: DataFrame, vec: str, d: int, n: int | None = None, key: str | None = None) -> DataFrame:
+    """H = (2/N) Σ x xᵀ in long form ((key,) i, j, h); N defaults to the row count. An
+    empty table gives no rows."""
     nn = F.col("n").cast("double") if n is None else F.lit(float(n))
-    return g.select("i", "j", (F.lit(2.0) * F.col("s") / nn).alias("h"))
+    return gram_sums(df, vec, d, key).withColumn("h", F.lit(2.0) * F.col("s") / nn).drop("s", "n")
 
 
 def gram_merge(state: DataFrame | None, delta: DataFrame) -> DataFrame:
@@ -85,8 +145,7 @@ def gram_merge(state: DataFrame | None, delta: DataFrame) -> DataFrame:
 
 def gram_delta(df: DataFrame, vec: str, d: int) -> DataFrame:
     """A batch's contribution in long form (i, j, s, m)."""
-    g = _long(gram_sums(df, vec, d), GRAM_BLOCK).filter(F.col("j") < d)
-    return g.select("i", "j", "s", F.col("n").alias("m"))
+    return gram_sums(df, vec, d).select("i", "j", "s", F.col("n").alias("m"))
 
 
 def gram_condition(gram: DataFrame, percdamp: float = K.GPTQ_PERCDAMP) -> DataFrame:
@@ -106,128 +165,3 @@ def act_order(gram: DataFrame) -> DataFrame:
     diag = gram.filter(F.col("i") == F.col("j")).select(F.col("i").alias("col"), F.col("h").alias("diag"))
     w = Window.orderBy(F.col("diag").desc(), F.col("col"))
     return diag.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-
-
-# ------------------------------------------------------------ error-compensated quantization
-
-@dataclass
-class Quantized:
-    """A quantized matrix, columns in processing order: value = scale * (code - zero)
-    with the scale and zero of the column's group."""
-    codes: np.ndarray        # (rows, d)
-    scales: np.ndarray       # (rows, groups)
-    zeros: np.ndarray        # (rows, groups)
-    group: np.ndarray        # (d,) group of each column
-    loss: np.ndarray         # (rows,) squared errors over twice the squared pivots
-
-    def values(self) -> np.ndarray:
-        return self.scales[:, self.group] * (self.codes - self.zeros[:, self.group])
-
-
-def range_params(x: np.ndarray, bits: int, sym: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Per-row (scale, zero) over the given columns (the rule of quant.value_range)."""
-    low, high = x.min(axis=1, initial=0.0), x.max(axis=1, initial=0.0)
-    if sym:
-        high = np.maximum(-low, high)
-        low = np.where(low < 0, -high, low)
-    flat = (low == 0) & (high == 0)
-    low[flat], high[flat] = -1.0, 1.0
-    top = (1 << bits) - 1
-    scale = (high - low) / top
-    return scale, np.full(len(x), (top + 1) / 2) if sym else np.rint(-low / scale) + 0.0
-
-
-def inverse_factor(h: np.ndarray, percdamp: float) -> np.ndarray:
-    """Upper U with (H + damping)^-1 = U'U; columns without input count as 1. From
-    the Cholesky factor L of H turned upside down: U is L^-1 turned back."""
-    diagonal = np.where(np.diag(h) == 0, 1.0, np.diag(h))
-    full = h + np.diag(diagonal - np.diag(h) + percdamp * diagonal.mean())
-    lower = np.linalg.cholesky(full[::-1, ::-1])
-    return np.linalg.solve(lower, np.eye(len(h)))[::-1, ::-1]
-
-
-def compensated_codes(w: np.ndarray, u: np.ndarray, bits: int, sym: bool, groupsize: int, blocksize: int,
-                      whole: tuple[np.ndarray, np.ndarray] | None = None) -> Quantized:
-    """Solve, column by column, for the codes of ``w`` (rows x d, processing order):
-
-        v_c = w_c - sum over k < c of e_k u_kc,    e_c = (v_c - value(code_c)) / u_cc
-
-    ``w`` itself never changes: a block of ``blocksize`` columns first takes off, in
-    one product, the errors of all blocks before it, and inside the block each
-    column takes off those of the columns since. A group's parameters (``whole``
-    where groupsize is -1) are those of its columns less the errors of the blocks
-    before the one in which the group begins.
-    """
-    rows, d = w.shape
-    top, each = (1 << bits) - 1, d if groupsize == -1 else groupsize
-    group = np.arange(d) // each
-    params = np.empty((2, rows, group[-1] + 1))
-    if groupsize == -1:
-        params[:, :, 0] = whole if whole is not None else range_params(w, bits, sym)
-    errors, codes = np.empty((rows, d)), np.empty((rows, d), np.int64)
-    for begin in range(0, d, blocksize):
-        def less_before(columns, begin=begin):
-            return w[:, columns] - errors[:, :begin] @ u[:begin, columns]
-
-        block = less_before(slice(begin, begin + blocksize))
-        for c in range(begin, begin + block.shape[1]):
-            if groupsize != -1 and c % each == 0:
-                params[:, :, group[c]] = range_params(less_before(slice(c, c + each)), bits, sym)
-            scale, zero = params[:, :, group[c]]
-            v = block[:, c - begin] - errors[:, begin:c] @ u[begin:c, c]
-            codes[:, c] = np.clip(np.rint(v / scale) + zero, 0, top)
-            errors[:, c] = (v - scale * (codes[:, c] - zero)) / u[c, c]
-    return Quantized(codes, *params, group, (errors ** 2).sum(axis=1) / 2)
-
-
-def collect_dense(gram: DataFrame, d: int) -> np.ndarray:
-    """The d x d Gram on the driver for the solver step — its size depends on the
-    width d only (checked against MAX_DENSE_D), never on the number of rows."""
-    if d > MAX_DENSE_D:
-        raise ValueError(f"d={d} exceeds MAX_DENSE_D={MAX_DENSE_D}")
-    pdf = gram.select("i", "j", "h").toPandas()
-    h = np.zeros((d, d))
-    h[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["h"].to_numpy()
-    return h
-
-
-def gptq_quantize(matrix: DataFrame, gram: DataFrame, bits: int, sym: bool = False, groupsize: int = -1,
-                  blocksize: int = K.GPTQ_BLOCKSIZE, percdamp: float = K.GPTQ_PERCDAMP, act_order: bool = False,
-                  vec: str = "vec", row: str = "row", d: int | None = None) -> DataFrame:
-    """Error-compensated quantization of every row of ``matrix`` given the Gram
-    ``gram`` (long form). Rows are independent once H^-1 is known: the factor
-    is computed once, broadcast, and each partition quantizes its rows as NumPy
-    blocks.
-
-    Output, columns in their original order: row, q (dequantized array), loss (row
-    total), codes, scales and zeros (an entry per group) and col_group (the group of
-    each column; runs of ``groupsize`` unless ``act_order``). ``codes`` go straight to
-    ``quant.pack_words``, ``zeros`` to ``quant.pack_zeros``; ``dequant_by_group`` reads
-    them back.
-    """
-    spark = matrix.sparkSession
-    d = d or int(matrix.select(F.size(vec)).first()[0])
-    h = collect_dense(gram, d)
-    order = np.argsort(-np.diag(h), kind="stable") if act_order else np.arange(d)
-    shared = spark.sparkContext.broadcast((inverse_factor(h[np.ix_(order, order)], percdamp), np.diag(h) == 0, order, np.argsort(order)))
-
-    def solve(batches):
-        u, dead, order, back = shared.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            w = np.array(pdf[vec].tolist(), dtype=np.float64)
-            whole = range_params(w, bits, sym) if groupsize == -1 else None
-            w[:, dead] = 0.0
-            found = compensated_codes(w[:, order], u, bits, sym, groupsize, blocksize, whole)
-            yield pd.DataFrame({row: pdf[row].to_numpy(), "q": list(found.values()[:, back]), "loss": found.loss,
-                                "codes": list(found.codes[:, back].astype(np.int32)), "scales": list(found.scales), "zeros": list(found.zeros),
-                                "col_group": [found.group[back].astype(np.int32)] * len(pdf)})
-    return matrix.select(row, vec).mapInPandas(
-        solve, f"{row} long, q array<double>, loss double, codes array<int>, scales array<double>, zeros array<double>, col_group array<int>")
-
-
-def dequant_by_group(df: DataFrame, codes: str = "codes", out: str = "w") -> DataFrame:
-    """``scale * (code - zero)`` with the group that ``col_group`` names for each column."""
-    cells = F.arrays_zip(F.col(codes).alias("c"), F.col("col_group").alias("g"))
-    return df.withColumn(out, F.transform(cells, lambda e: F.get("scales", e["g"]) * (e["c"] - F.get("zeros", e["g"]))))

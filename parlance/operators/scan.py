@@ -56,12 +56,15 @@ def _scan(keys: list[int], values: list[int], inclusive: bool):
             sums = []
             for i, v in enumerate(values):
                 x = batch.column(v).to_numpy(zero_copy_only=False)
-                total = np.empty(n, x.dtype)
+                total, before = np.empty(n, x.dtype), np.empty(n, x.dtype)
                 for a, b in zip(starts, ends, strict=True):
                     np.cumsum(x[a:b], out=total[a:b])
+                    before[a] = 0
                     if a == 0:
-                        total[:b] += x.dtype.type(carry[i])
-                sums.append(total if inclusive else total - x)
+                        before[0] = carry[i]
+                        total[:b] += before[0]
+                    before[a + 1:b] = total[a:b - 1]
+                sums.append(total if inclusive else before)
                 carry[i] = total[-1].item()
             opened = np.zeros(n, bool)
             if opening:
@@ -84,8 +87,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     Whole-number columns are summed as long, others as double; null values count as
     zero; null keys are a key of their own. Rows that tie in ``order`` stay in one
     range, so an order that many rows may share should end in something that tells
-    them apart. Exclusive sums of doubles are taken as the inclusive one less the
-    row's own value. An empty table gives no rows.
+    them apart. An empty table gives no rows.
     """
     keys, outs = list(keys), list(sums)
     spark, kinds = df.sparkSession, dict(df.dtypes)

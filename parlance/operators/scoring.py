@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.text import drop_end_marker, ends_with_any, trim_stop
 from ..session import checkpointed
-from .prefix import prefix_sum
+from .scan import running_sums
 from .sizing import broadcast_if_small
 
 NANO = 1_000_000_000  # nll is summed as integer nano-nats: exact and order-free
@@ -95,16 +95,13 @@ def perplexity(nll: DataFrame, L: int, part=("dataset",), seg: str = "seg") -> D
             .drop("_t"))
 
 
-def running_perplexity(nll: DataFrame, part=("dataset",), order: str = "pos",
-                       bucket: int = 4096) -> DataFrame:
-    """exp(cumulative mean nll) up to each position, two-level prefix sums."""
+def running_perplexity(nll: DataFrame, part=("dataset",), order: str = "pos") -> DataFrame:
+    """exp(cumulative mean nll) up to each position, running sums over ranges of it."""
     part = list(part)
-    b = nll.withColumn("_b", F.floor(F.col(order) / bucket)).withColumn("_one", F.lit(1))
-    s = prefix_sum(b, ["nll_n", "_one"], ["_cum", "_cnt"], part, [F.col(order)], ["_b"], inclusive=True,
-                   coarse={"_c": F.floor(F.col("_b") / bucket)})
+    s = running_sums(nll.withColumn("_one", F.lit(1)), part, [order], {"_cum": "nll_n", "_cnt": "_one"})
     return (s.withColumn("running_ppl", F.round(F.exp((F.col("_cum").cast("double") / NANO) /
                                                        F.col("_cnt").cast("double")), 6))
-            .drop("_b", "_one", "_cum"))
+            .drop("_one", "_cum"))
 
 
 def candidates(big: DataFrame, ctx: DataFrame, part=("dataset",)) -> DataFrame:
@@ -122,11 +119,8 @@ def top_p_filter(cands: DataFrame, top_p: float, part=("dataset",)) -> DataFrame
     part = list(part) + ["ctx"]
     if top_p >= 1:
         return cands.withColumn("cum_prev", F.lit(None).cast("bigint"))
-    c = cands.withColumn("_pre", F.substr(F.col("token"), F.lit(1), F.lit(2)))
-    c = prefix_sum(c, "cnt", "cum_prev", part, [F.col("cnt").desc(), F.col("token").asc()],
-                   ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()],
-                   coarse={"_cc": F.col("cnt")}, coarse_order=[F.col("_cc").desc()])
-    return c.filter(F.col("cum_prev") < F.lit(top_p) * F.col("total")).drop("_pre")
+    c = running_sums(cands, part, [F.col("cnt").desc(), F.col("token").asc()], {"cum_prev": "cnt"}, inclusive=False)
+    return c.filter(F.col("cum_prev") < F.lit(top_p) * F.col("total"))
 
 
 def temperature_scale(cands: DataFrame, T: float, part=("dataset",)) -> DataFrame:
@@ -244,17 +238,15 @@ def batch_predict(df: DataFrame, predictor_factory: Callable, schema: str) -> Da
 
 
 def latency_summary(timings: DataFrame, run: str = "run", seconds: str = "seconds",
-                    mem: str = "mem_mib", bucket_width: float = 1.0) -> DataFrame:
+                    mem: str = "mem_mib") -> DataFrame:
     """Per run: steps, exact median (mean of the middle two), mean, max, peak memory.
 
     The median is a rank selection over the *distinct* (run, value) counts (a
-    partial aggregation), positioned with the two-level prefix sum bucketed by
-    value — so neither a run's rows nor its values meet in one task; the mean
-    is an exact decimal sum."""
+    partial aggregation), positioned by running sums over ranges of the values, so
+    neither a run's rows nor its values meet in one task and no bucket width has to
+    suit them; the mean is an exact decimal sum."""
     counts = timings.groupBy(run, seconds).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_b", F.floor(F.col(seconds) / bucket_width))
-    ranked = prefix_sum(counts, "_c", "_lo", [run], [F.col(seconds)], ["_b"],
-                        coarse={"_cb": F.floor(F.col("_b") / 1024)})
+    ranked = running_sums(counts, [run], [seconds], {"_lo": "_c"}, inclusive=False)
     stats = broadcast_if_small(checkpointed(timings.groupBy(run).agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.sum(F.col(seconds).cast("decimal(30,12)")).alias("_sum"),
@@ -285,10 +277,7 @@ def sampling_cdf(cands: DataFrame, top_p: float, T: float) -> DataFrame:
     kept candidate owns ``[lo, lo + w)`` of ``[0, z)``.
     Output: ctx, token, lo, w, z."""
     c = cands.withColumn("w", F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T)))
-    c = c.withColumn("_pre", F.substr(F.col("token"), F.lit(1), F.lit(2)))
-    c = prefix_sum(c, "w", "lo", ["ctx"], [F.col("cnt").desc(), F.col("token").asc()],
-                   ["cnt", "_pre"], [F.col("cnt").desc(), F.col("_pre").asc()],
-                   coarse={"_cc": F.col("cnt")}, coarse_order=[F.col("_cc").desc()])
+    c = running_sums(c, ["ctx"], [F.col("cnt").desc(), F.col("token").asc()], {"lo": "w"}, inclusive=False)
     zall = c.groupBy("ctx").agg(F.sum("w").alias("_zall"))
     c = c.join(zall, on="ctx")
     if top_p < 1:

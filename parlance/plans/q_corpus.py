@@ -259,7 +259,7 @@ def q_latency_summary(spark, sf_dir):
     ev = X.table(spark, sf_dir, "events")
     timings = ev.select(F.col("event_type").alias("run"), F.col("value").alias("seconds"),
                         F.get_json_object("props", "$.k").cast("int").alias("mem_mib"))
-    return S.latency_summary(timings, bucket_width=10.0)
+    return S.latency_summary(timings)
 
 
 def stub_predictor():

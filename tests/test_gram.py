@@ -118,6 +118,8 @@ def sequential_reference(w, h, bits, sym, groupsize, blocksize, order, percdamp=
         if sym:
             hi = np.maximum(abs(lo), hi)
             lo = np.where(lo < 0, -hi, lo)
+        flat = (lo == 0) & (hi == 0)                # nothing but zeros: the range is -1 .. 1
+        lo, hi = np.where(flat, -1, lo), np.where(flat, 1, hi)
         s = (hi - lo) / top
         return s, np.full(len(x), (top + 1) / 2) if sym else np.rint(-lo / s)
 
@@ -165,3 +167,67 @@ def test_gptq_result_packs_and_unpacks(spark):
         assert np.allclose(r.w, r.q)
     zeros = {(r.row, r.grp): r.zero for r in Q.unpack_zeros(Q.pack_zeros(out, 4), 4, 9).collect()}
     assert all(zeros[r.row, g] == z for r in out.collect() for g, z in enumerate(r.zeros))
+
+
+def test_gram_tiles_of_many_keys(spark, monkeypatch):
+    """Stripes, early sums and both rounds of adding up; keys of other types and null."""
+    monkeypatch.setattr(G, "TILE", 4)
+    monkeypatch.setattr(G, "CELLS", 50)
+    monkeypatch.setattr(G, "SLOTS", 2)
+    rng = np.random.default_rng(8)
+    rows = [(["a", "b", None][i % 3], x) for i, x in enumerate(rng.normal(size=(60, 10)).tolist())]
+    df = spark.createDataFrame(rows, "matrix_id string, vec array<double>").repartition(5)
+    got = {}
+    for r in G.gram_matrix(df, "vec", 10, key="matrix_id").collect():
+        got.setdefault(r.matrix_id, np.full((10, 10), np.nan))[r.i, r.j] = r.h
+    for k in ("a", "b", None):
+        x = np.array([v for m, v in rows if m == k])
+        assert np.allclose(got[k], 2 * x.T @ x / len(x))
+    assert G.gram_matrix(df.limit(0), "vec", 10).count() == 0
+
+
+@pytest.mark.parametrize("sym,groupsize,act,blocksize", [(False, -1, False, 4), (True, 3, True, 2), (False, 4, True, 4)])
+def test_gptq_over_tiles_and_matrices(spark, monkeypatch, sym, groupsize, act, blocksize):
+    """Three matrices of different widths in one job, each over several tiles and row blocks,
+    against the sequential version; a matrix without a Gram matrix is left out."""
+    from parlance.operators import gptq
+
+    monkeypatch.setattr(gptq, "TILE", 8)
+    monkeypatch.setattr(gptq, "CELLS", 200)
+    rng = np.random.default_rng(9)
+    widths, rows, grams, want = {"m1": 40, "m2": 8, "m3": 13}, [], [], {}
+    for name, d in widths.items():
+        x, w = rng.normal(size=(120, d)) * np.linspace(1, 3, d)[rng.permutation(d)], rng.normal(size=(17, d))
+        x[:, d // 2] = 0
+        if sym:
+            w = rng.uniform(-0.1, 1, size=(17, d))      # a group's negative extreme lies on a rounding tie
+        h = 2 * x.T @ x / 120
+        rows += [(name, i, r) for i, r in enumerate(w.tolist())]
+        grams += [(name, i, j, float(h[i, j])) for i in range(d) for j in range(d)]
+        order = np.argsort(-np.diag(h), kind="stable") if act else np.arange(d)
+        want[name] = sequential_reference(w, h, 3, sym, groupsize, blocksize, order)
+    rows.append(("alone", 0, [1.0, 2.0]))
+    matrix = spark.createDataFrame(rows, "matrix_id string, row long, vec array<double>").repartition(3)
+    gram = spark.createDataFrame(grams, "matrix_id string, i int, j int, h double").repartition(3)
+    out = G.dequant_by_group(G.gptq_quantize(matrix, gram, 3, sym=sym, groupsize=groupsize, blocksize=blocksize, act_order=act, key="matrix_id")).collect()
+    assert len(out) == 17 * 3
+    for name in widths:
+        mine = sorted((r for r in out if r.matrix_id == name), key=lambda r: r.row)
+        q, loss = want[name]
+        assert np.allclose([r.q for r in mine], q, atol=1e-8) and np.allclose([r.w for r in mine], q, atol=1e-8)
+        assert np.allclose([r.loss for r in mine], loss)
+
+
+def test_inverse_factor_over_tiles(spark):
+    """U'U of the joined tiles is the inverse, however many tiles there are."""
+    from parlance.operators import gptq
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(90, 22))
+    h = 2 * x.T @ x / 90
+    gram = spark.createDataFrame([(0, i, j, float(h[i, j])) for i in range(22) for j in range(22)], "mid int, i int, j int, h double")
+    columns = gptq.column_order(gram, 0.01, False, "mid")
+    u = np.zeros((22, 22))
+    for r in gptq.factor_tiles(gram, columns, 5, 5, "mid").collect():
+        u[r.bi * 5:r.bi * 5 + r.n, r.bj * 5:r.bj * 5 + r.m] = np.frombuffer(bytes(r.data)).reshape(r.n, r.m)
+    assert np.allclose(u, np.triu(u)) and np.allclose(u.T @ u, np.linalg.inv(h + 0.01 * np.mean(np.diag(h)) * np.eye(22)))

@@ -20,7 +20,7 @@ def test_running_perplexity_last_value(spark):
     vals = [0.5, 1.5, 2.0, 3.0, 0.25]
     df = spark.createDataFrame([("d", i, v) for i, v in enumerate(vals)], "dataset string, pos long, nll double")
     df = df.withColumn("nll_n", F.floor(F.col("nll") * S.NANO).cast("bigint"))
-    got = [r.running_ppl for r in S.running_perplexity(df, bucket=2).orderBy("pos").collect()]
+    got = [r.running_ppl for r in S.running_perplexity(df).orderBy("pos").collect()]
     for k in range(len(vals)):
         assert abs(got[k] - round(math.exp(sum(vals[:k + 1]) / (k + 1)), 6)) < 1e-9
 
