@@ -1,23 +1,26 @@
 """Per-user admission control and request timeouts.
 
 Admission is order dependent: whether a request is admitted depends on which
-earlier ones were. It is therefore a fold per user over events in time order.
-The batch job hash-partitions by user, sorts within partitions, and streams
-each partition through the transition function with ``mapInPandas``; state is
-the user's in-flight end times (at most ``max_queue`` of them), so a hot user
-costs time linear in its events but memory bounded by the queue, never its
-group size. The streaming job runs the same transition function inside
-``applyInPandasWithState``.
+earlier ones were, a fold per user over events in time order. The batch job cuts
+the order (user, time) into ranges and folds all of them at once, each from a guess:
+nothing in flight. A range that goes on with a user whose earlier range leaves
+requests in flight is folded again from those, and so on until no range's carry-in
+changes. Busy users spread over as many ranges as their events fill. State is the
+user's in-flight end times (at most ``max_queue`` of them). The streaming job runs the
+same transition inside ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import checkpointed
+from ..session import checkpointed, scratch_path
 
 DEFAULT_MAX_QUEUE = 9999
 
@@ -39,80 +42,130 @@ def transition(inflight: list, ts: int, end: int, cap: int) -> tuple[bool, list]
     return False, live
 
 
-def _fold(keys: np.ndarray, segs: np.ndarray, ts: np.ndarray, ends: np.ndarray, cap: int, carry: dict) -> np.ndarray:
-    out = np.empty(len(ts), dtype=bool)
-    cur, state = carry.get("key"), carry.get("state", [])
-    for i in range(len(ts)):
-        k = (keys[i], segs[i])
-        if k != cur:
-            cur, state = k, []
-        out[i], state = transition(state, int(ts[i]), int(ends[i]), cap)
-    carry["key"], carry["state"] = cur, state
-    return out
-
-
-def independent_segments(events: DataFrame, key: str, ts: str, end: str, tiebreak: str, out: str = "_seg") -> DataFrame:
-    """Number the stretches of each key's events that can be decided
-    independently. An event with no earlier event of its key within ``D_max``
-    (the longest duration in the table) finds nothing in flight, so the fold
-    may restart there; ``_seg`` counts such resets so far.
-
-    Time is cut into buckets of width ``D_max``: an event's predecessor within
-    ``D_max`` is either in its own bucket (a lag over the (key, bucket) window)
-    or the last event of the previous bucket (a per-bucket max joined on
-    bucket + 1). The reset count is a three-level prefix sum over the buckets,
-    so a hot key is spread over its buckets at every step."""
-    from .prefix import prefix_sum
-    dmax = events.select(F.max(F.col(end) - F.col(ts))).first()[0]
-    width = max(int(dmax or 1), 1)
-    e = events.withColumn("_tb", F.floor(F.col(ts) / width))
-    w = Window.partitionBy(key, "_tb").orderBy(ts, tiebreak)
-    last_prev = (e.groupBy(key, "_tb").agg(F.max(ts).alias("_lastb"))
-                 .withColumn("_tb", F.col("_tb") + 1))
-    e = e.withColumn("_prev", F.lag(ts).over(w)).join(last_prev, on=[key, "_tb"], how="left")
-    prev = F.coalesce(F.col("_prev"), F.col("_lastb"))
-    e = e.withColumn("_reset", F.when(prev.isNull() | (F.col(ts) - prev >= F.lit(width)), 1).otherwise(0))
-    e = prefix_sum(e, "_reset", out, [key], [F.col(ts), F.col(tiebreak)], ["_tb"], inclusive=True,
-                   coarse={"_tc": F.floor(F.col("_tb") / 1024)})
-    return e.drop("_tb", "_prev", "_lastb", "_reset")
+def _fold_ranges(cap: int, kind):
+    """A mapInArrow function over ranges (``_range, _step, _key, _ts, _end, _carry, _row``, sorted):
+    rows of step 0 bring in what is in flight, rows of step 1 are events. Gives
+    every event with its decision, and a row for each range (step 2): its first key
+    and time, its last key and what that one leaves in flight."""
+    def run(batches):
+        from heapq import heapify, heappop, heappush
+
+        import pyarrow as pa
+
+        at, first, key, live, brought = None, None, None, [], []
+
+        def trailer(rows):
+            return pa.RecordBatch.from_arrays([
+                pa.array([at], pa.int32()), pa.array([2], pa.int32()), pa.nulls(1, rows), pa.nulls(1, pa.bool_()),
+                pa.array([first[0]], kind), pa.array([first[1]], pa.int64()), pa.array([key], kind), pa.array([sorted(live)], pa.list_(pa.int64()))],
+                names=names)
+
+        names, rows = ["_range", "_step", "_row", "_admitted", "_first", "_first_ts", "_last", "_live"], None
+        for b in batches:
+            rows = b.schema.field(6).type
+            admitted = []
+            ranges, steps, keys, times, ends = (b.column(i).to_pylist() for i in range(5))
+            for i, (r, step, k, ts, end) in enumerate(zip(ranges, steps, keys, times, ends, strict=True)):
+                if r != at:
+                    if first is not None:
+                        yield trailer(rows)
+                    at, first, brought = r, None, []
+                if step == 0:
+                    brought = b.column(5)[i].as_py()
+                    admitted.append(None)
+                    continue
+                if first is None:
+                    first, key, live = (k, ts), k, list(brought)
+                    heapify(live)
+                elif k != key:
+                    key, live = k, []
+                while live and live[0] <= ts:           # completions leave first
+                    heappop(live)
+                ok = len(live) < cap
+                if ok:
+                    heappush(live, end)
+                admitted.append(ok)
+            n = b.num_rows
+            if n:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6), pa.array(admitted, pa.bool_()), pa.nulls(n, kind),
+                                                  pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        if first is not None:
+            yield trailer(rows)
+
+    return run
 
 
 def admission_control(events: DataFrame, key: str = "user_id", ts: str = "ts_us", end: str = "end_us",
                       allow_queue: bool = False, max_queue: int | None = DEFAULT_MAX_QUEUE,
-                      tiebreak: str = "request_id", out: str = "admitted", method: str = "auto") -> DataFrame:
+                      tiebreak: str = "request_id", out: str = "admitted", method: str = "fold") -> DataFrame:
     """Adds ``admitted`` per event (events must carry ``end``, when an admitted
-    request would leave the queue). Keys are cut into independent segments
-    first (see ``independent_segments``); each (key, segment) is folded in
-    event order by a streaming ``mapInPandas`` pass over sorted partitions.
+    request would leave the queue; at or before ``ts``: it leaves nothing behind).
 
-    In single mode, keys with more than ``HOT_KEY_EVENTS`` events (or all keys
-    with ``method="jump"``) take ``admission_single_jump`` instead, which has
-    no per-key task at all."""
+    Speculative folds over ranges of (key, ts, tiebreak), see the module; one way for
+    single and queue mode and for keys of any size. A repair folds again only the
+    ranges whose carry-in differs from the one they were folded with; the driver
+    sees a hash a range. A null key is a key of its own. ``method="jump"`` takes
+    ``admission_single_jump`` for single mode instead."""
     cap = capacity(allow_queue, max_queue)
-    if cap == 1 and method in ("auto", "jump") and tiebreak == "request_id":
-        if method == "jump":
-            return admission_single_jump(events, key, ts, end, tiebreak, out)
-        from .sizing import broadcast_if_small
-        hot = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_KEY_EVENTS).select(key)
-        hot = checkpointed(hot)
-        if hot.limit(1).count() > 0:
-            hb = broadcast_if_small(hot)
-            cold = admission_control(events.join(hb, on=key, how="left_anti"), key, ts, end, allow_queue, max_queue,
-                                     tiebreak, out, method="fold")
-            return cold.unionByName(admission_single_jump(events.join(hb, on=key, how="left_semi"), key, ts, end, tiebreak, out))
-    fields = events.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` boolean"
-    cols = [f.name for f in fields]
-
-    def run(batches):
-        carry: dict = {}
-        for pdf in batches:
-            adm = _fold(pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf[ts].to_numpy(), pdf[end].to_numpy(), cap, carry)
-            yield pdf[cols].assign(**{out: adm})
-
-    seg = independent_segments(events, key, ts, end, tiebreak)
-    ordered = seg.repartition(key, "_seg").sortWithinPartitions(key, "_seg", ts, tiebreak)
-    return ordered.mapInPandas(run, schema)
+    if method == "jump" and cap == 1:
+        return admission_single_jump(events, key, ts, end, tiebreak, out)
+    spark = events.sparkSession
+    kind = events.schema[key].dataType
+    row = T.StructType([T.StructField("_range", T.IntegerType()), T.StructField("_step", T.IntegerType()),
+                        T.StructField("_row", T.StructType(events.schema.fields)), T.StructField("_admitted", T.BooleanType()),
+                        T.StructField("_first", kind), T.StructField("_first_ts", T.LongType()), T.StructField("_last", kind),
+                        T.StructField("_live", T.ArrayType(T.LongType()))])
+    fold = _fold_ranges(cap, to_arrow_type(kind))
+
+    def folded(ranges: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "admission")
+        ranges.mapInArrow(fold, row).write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(row).parquet(path)
+
+    whole = F.struct(*events.columns)
+    none = F.array().cast("array<bigint>")
+    sliced = (events.select(F.lit(1).alias("_step"), F.col(key).alias("_key"), F.col(ts).cast("long").alias("_ts"), F.col(end).cast("long").alias("_end"),
+                            none.alias("_carry"), whole.alias("_row"), F.col(tiebreak).alias("_tie"))
+              .repartitionByRange("_key", "_ts", "_tie").sortWithinPartitions("_key", "_ts", "_tie").withColumn("_range", F.spark_partition_id()))
+    order = ["_range", "_step", "_key", "_ts", "_end", "_carry", "_row"]
+    versions = [folded(sliced.select(*order))]
+    latest: dict[int, int] = {}                         # range -> the fold that holds its last word
+    used: dict[int, int | None] = {}
+    while True:
+        trailers = versions[-1].filter("_step = 2").select("_range", "_first", "_first_ts", "_last", "_live")
+        ends = _saved_trailers(trailers if len(versions) == 1 else trailers.unionByName(
+            ends.join(trailers.select("_range"), "_range", "left_anti")))
+        follows = Window.orderBy("_range")              # a row a range
+        carries = (ends.withColumns({"_before": F.lag("_last").over(follows), "_carry": F.lag("_live").over(follows), "_at": F.lag("_range").over(follows)})
+                   .filter(F.col("_at").isNotNull() & F.col("_before").eqNullSafe(F.col("_first")))
+                   .select("_range", F.col("_first").alias("_key"), F.array_sort(F.filter("_carry", lambda e: e > F.col("_first_ts"))).alias("_carry")))
+        now = {r["_range"]: r["h"] for r in carries.select("_range", F.when(F.size("_carry") > 0, F.xxhash64("_carry")).alias("h")).collect()}
+        changed = [r for r, h in now.items() if used.get(r) != h]
+        if not changed:
+            break
+        used |= {r: now[r] for r in changed}
+        events_of = versions[0].filter("_step = 1").filter(F.col("_range").isin(changed))
+        cells = events_of.select("_range", "_step", F.col(f"_row.{key}").alias("_key"), F.col(f"_row.{ts}").cast("long").alias("_ts"), F.col(f"_row.{end}").cast("long").alias("_end"),
+                                 none.alias("_carry"), "_row", F.col(f"_row.{tiebreak}").alias("_tie"))
+        heads = carries.filter(F.col("_range").isin(changed)).select(
+            "_range", F.lit(0).alias("_step"), "_key", F.lit(None).cast("long").alias("_ts"), F.lit(None).cast("long").alias("_end"), "_carry",
+            F.lit(None).cast(row["_row"].dataType).alias("_row"), F.lit(None).cast(events.schema[tiebreak].dataType).alias("_tie"))
+        again = cells.unionByName(heads).repartition("_range").sortWithinPartitions("_range", "_step", "_key", "_ts", "_tie")
+        latest |= dict.fromkeys(changed, len(versions))
+        versions.append(folded(again.select(*order)))
+
+    parts = []
+    for i, v in enumerate(versions):
+        mine = [r for r, at in latest.items() if at == i]
+        events_of = v.filter("_step = 1")
+        parts.append(events_of.filter(~F.col("_range").isin(list(latest))) if i == 0 and latest else events_of if i == 0 else events_of.filter(F.col("_range").isin(mine)))
+    return reduce(DataFrame.unionByName, parts).select("_row.*", F.col("_admitted").alias(out))
+
+
+def _saved_trailers(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "ranges")
+    df.coalesce(1).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def admission_state_fn(key_col: str, ts: str, end: str, id_col: str, cap: int):
@@ -180,13 +233,11 @@ def request_timeout(starts: DataFrame, finishes: DataFrame, limit: int, key: str
 
 # ------------------------------------------------------------------ pointer jumping (single mode)
 
-HOT_KEY_EVENTS = 1_000_000   # keys with more events than this take the parallel single-mode path
-
-
 def first_at_or_after(queries: DataFrame, events: DataFrame, key: str, qcol: str, ts: str, rid: str,
                       width: int, out: str = "nxt") -> DataFrame:
     """As-of lookup with no distance limit: for each query row (key, qcol), the
-    first event (by ts, then rid) of the same key with ``ts >= qcol``.
+    first event (by ts, then rid) of the same key with ``ts >= qcol``; where the query
+    row has an ``_after``, of those at ``qcol`` only ids above it.
 
     Time is cut into buckets of ``width``. Inside a (key, bucket) window a
     descending running min finds the answer when it lies in the query's bucket;
@@ -196,9 +247,9 @@ def first_at_or_after(queries: DataFrame, events: DataFrame, key: str, qcol: str
     q = queries.withColumn("_b", F.floor(F.col(qcol) / width))
     e = events.select(key, F.col(ts).alias("_t"), F.col(rid).cast("bigint").alias("_i")).withColumn("_b", F.floor(F.col("_t") / width))
     qc = q.columns
-    u = (q.withColumn("_kind", F.lit(0)).withColumn("_t", F.col(qcol)).withColumn("_i", F.lit(None).cast("bigint"))
+    u = (q.withColumn("_kind", F.lit(0)).withColumn("_t", F.col(qcol)).withColumn("_i", F.col("_after") if "_after" in qc else F.lit(None).cast("bigint"))
          .unionByName(e.withColumn("_kind", F.lit(1)), allowMissingColumns=True))
-    w = (Window.partitionBy(key, "_b").orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_i").desc())
+    w = (Window.partitionBy(key, "_b").orderBy(F.col("_t").desc(), F.col("_i").desc_nulls_last(), F.col("_kind"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ev = F.when(F.col("_kind") == 1, F.struct(F.col("_t").alias("t"), F.col("_i").alias("i")))
     inb = u.withColumn("_in", F.min(ev).over(w)).filter(F.col("_kind") == 0)
@@ -222,15 +273,17 @@ def admission_single_jump(events: DataFrame, key: str = "user_id", ts: str = "ts
     pointer jumping: P_{k+1} = P_k ∘ P_k (log2(chain length) self-joins on the
     event id), then the set {nxt^m(root) : m < 2^K} is assembled from the
     roots with one join per level. Every join is keyed by event id, so a hot
-    key is spread over all tasks. Requires end > ts."""
+    key is spread over all tasks. A request that ends by its own ``ts`` leaves
+    nothing in flight: the next admitted one is the next event."""
     dmax = events.select(F.max(F.col(end) - F.col(ts))).first()[0]
     width = max(int(dmax or 1), 1)
-    nodes = first_at_or_after(events.select(key, rid, end), events, key, end, ts, rid, width, "nxt")
+    asked = events.select(key, rid, F.greatest(end, ts).alias("_free"), F.when(F.col(end) <= F.col(ts), F.col(rid).cast("bigint")).alias("_after"))
+    nodes = first_at_or_after(asked, events, key, "_free", ts, rid, width, "nxt")
     p = checkpointed(nodes.select(F.col(rid).cast("bigint").alias("node"), F.col("nxt.i").alias("to")))
     levels = [p]
     while p.filter(F.col("to").isNotNull()).limit(1).count() > 0:
         if len(levels) > 64:
-            raise ValueError("successor chain does not end: every request needs end > ts")
+            raise ValueError("successor chain does not end: ids repeat within a key")
         r = p.select(F.col("node").alias("to"), F.col("to").alias("to2"))
         p = checkpointed(p.join(r, on="to", how="left").select("node", F.col("to2").alias("to")))
         levels.append(p)

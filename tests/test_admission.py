@@ -1,13 +1,14 @@
 """Admission control: transition rule, batch vs brute force, stream vs batch;
-timeouts vs brute force; prefix sums with a hot key."""
+timeouts vs brute force; running sums with a hot key."""
 
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.operators import admission as A
-from parlance.operators.prefix import prefix_sum
+from parlance.operators.scan import running_sums
 
 
 def brute(events, cap):
@@ -77,15 +78,15 @@ def test_first_after_matches_brute_force(spark):
         assert got[rid] == want, rid
 
 
-def test_prefix_sum_hot_key(spark):
+def test_running_sum_hot_key(spark):
     rnd = random.Random(4)
     rows = [(("hot" if rnd.random() < 0.7 else f"k{rnd.randrange(5)}"), i, rnd.randrange(10)) for i in range(2000)]
-    df = spark.createDataFrame(rows, "k string, o long, v long").withColumn("b", F.floor(F.col("o") / 37))
-    got = {(r.k, r.o): r.cum for r in prefix_sum(df, "v", "cum", ["k"], [F.col("o")], ["b"]).collect()}
-    run = {}
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    got = {(r.k, r.o): (r.cum, r.cnt) for r in running_sums(df.withColumn("one", F.lit(1)), ["k"], ["o"], {"cum": "v", "cnt": "one"}, inclusive=False).collect()}
+    run, cnt = {}, {}
     for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
-        assert got[(k, o)] == run.get(k, 0)
-        run[k] = run.get(k, 0) + v
+        assert got[(k, o)] == (run.get(k, 0), cnt.get(k, 0))
+        run[k], cnt[k] = run.get(k, 0) + v, cnt.get(k, 0) + 1
 
 
 def test_single_mode_pointer_jumping_matches_brute_force(spark):
@@ -96,21 +97,50 @@ def test_single_mode_pointer_jumping_matches_brute_force(spark):
         assert got == brute(ev, 1)
 
 
-def test_auto_routes_hot_keys_to_pointer_jumping(spark, monkeypatch):
-    ev = sample_events(400, seed=2)            # user 0 holds about half of the events
-    monkeypatch.setattr(A, "HOT_KEY_EVENTS", 50)
-    df = spark.createDataFrame(ev, "request_id long, user_id long, ts_us long, end_us long")
-    got = {r.request_id: r.admitted for r in A.admission_control(df).collect()}
-    assert got == brute(ev, 1)
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables would otherwise be coalesced to one range."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("cap", [1, 2, 7])
+def test_one_user_without_a_gap_over_many_ranges(spark, many_ranges, cap):
+    """Long overlapping requests of one user: what a range leaves in flight decides the
+    next one's admissions, over all ranges."""
+    rnd = random.Random(cap)
+    ev = [(i, 0, ts := rnd.randrange(0, 3000), ts + rnd.choice([0, 1, 40, 700])) for i in range(900)]
+    ev += [(1000 + i, rnd.randrange(1, 30), ts := rnd.randrange(0, 3000), ts + rnd.randrange(0, 900)) for i in range(300)]
+    df = spark.createDataFrame(ev, "request_id long, user_id long, ts_us long, end_us long").repartition(4)
+    got = A.admission_control(df, allow_queue=cap > 1, max_queue=cap)
+    assert {r.request_id: r.admitted for r in got.collect()} == brute(ev, cap)
+    assert got.columns == ["request_id", "user_id", "ts_us", "end_us", "admitted"]
+
+
+def test_requests_that_end_when_they_start(spark, many_ranges):
+    """end == ts, ties in time and a null user: both methods agree with the plain fold."""
+    rnd = random.Random(6)
+    ev = [(i, rnd.choice([0, 0, 1, None]), ts := rnd.randrange(0, 60), ts + rnd.choice([0, 0, 0, 5, 20])) for i in range(300)]
+    df = spark.createDataFrame(ev, "request_id long, user_id long, ts_us long, end_us long").repartition(3)
+    fixed = [(r, -1 if u is None else u, t, e) for r, u, t, e in ev]
+    assert {r.request_id: r.admitted for r in A.admission_control(df).collect()} == brute(fixed, 1)
+    some = df.filter("user_id is not null")
+    want = {r: a for r, a in brute(fixed, 1).items() if ev[r][1] is not None}
+    assert {r.request_id: r.admitted for r in A.admission_single_jump(some).collect()} == want
+
+
+def test_admission_of_no_events(spark):
+    assert A.admission_control(spark.createDataFrame([], "request_id long, user_id long, ts_us long, end_us long")).collect() == []
 
 
-def test_prefix_sum_three_levels(spark):
+def test_running_sums_up_to_and_including(spark):
     rnd = random.Random(9)
     rows = [(("hot" if rnd.random() < 0.7 else f"k{rnd.randrange(3)}"), i, rnd.randrange(10)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k string, o long, v long").withColumn("b", F.floor(F.col("o") / 7))
-    out = prefix_sum(df, ["v", F.lit(1)], ["cum", "cnt"], ["k"], [F.col("o")], ["b"], inclusive=True,
-                     coarse={"c": F.floor(F.col("b") / 5)})
-    got = {(r.k, r.o): (r.cum, r.cnt) for r in out.collect()}
+    df = spark.createDataFrame(rows, "k string, o long, v long").withColumn("one", F.lit(1))
+    got = {(r.k, r.o): (r.cum, r.cnt) for r in running_sums(df, ["k"], ["o"], {"cum": "v", "cnt": "one"}).collect()}
     run, cnt = {}, {}
     for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
         run[k] = run.get(k, 0) + v
