@@ -474,3 +474,48 @@ FROM (SELECT *, split_part(' ' || po, {_ANS}, -1) AS a,
             FROM fx_pairs))""")
 def q_thread_context_template(spark, sf_dir):
     return TH.thread_context(fx_pairs(spark, sf_dir), template=True).select("uid", "short_id", "context")
+
+
+# ------------------------------------------------------------------ branching threads
+
+def fx_tree(spark, sf_dir):
+    """The pairs of a conversation as a binary tree (turn n answers turn n div 2); every
+    thirteenth user's second turn has lost its parent."""
+    p = fx_pairs(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy("turn")))
+    up = p.select("uid", (F.col("n")).alias("up"), F.col("short_id").alias("up_id"))
+    j = p.withColumn("up", F.floor(F.col("n") / 2).cast("int")).join(up, ["uid", "up"], "left")
+    gone = (F.col("uid") % 13 == 0) & (F.col("n") == 2)
+    return j.select("uid", "short_id", F.when(gone, F.lit("gone")).otherwise(F.col("up_id")).alias("short_id_parent"), "prompt", "output")
+
+
+_STRIPPED = "CASE WHEN position({0}prompt IN {0}output) > 0 THEN substr({0}output, length({0}prompt) + 1) ELSE {0}output END"
+_TREE_CTE = [CTE_PAIRS, ("numbered", "SELECT *, row_number() OVER (PARTITION BY uid ORDER BY turn) AS n FROM fx_pairs"), ("tree", """
+SELECT c.uid, c.short_id, CASE WHEN c.uid % 13 = 0 AND c.n = 2 THEN 'gone' ELSE p.short_id END AS parent, c.prompt, c.output
+FROM numbered c LEFT JOIN numbered p ON p.uid = c.uid AND p.n = c.n // 2"""), ("paths", f"""
+SELECT * FROM (WITH RECURSIVE r(uid, short_id, depth, context, root_prompt, po, prompt, output) AS (
+  SELECT uid, short_id, 0::BIGINT, prompt, prompt, CAST(NULL AS VARCHAR), prompt, output FROM tree WHERE parent IS NULL
+  UNION ALL
+  SELECT t.uid, t.short_id, r.depth + 1, r.context || ' ' || {_STRIPPED.format('r.')} || chr(10) || t.prompt, r.root_prompt, {_STRIPPED.format('r.')}, t.prompt, t.output
+  FROM r JOIN tree t ON t.uid = r.uid AND t.parent = r.short_id)
+SELECT uid, short_id, depth, context, root_prompt, po FROM r)""")]
+
+
+@query("thread_forest", with_ctes(*_TREE_CTE) + """
+SELECT t.uid, t.short_id, p.depth, p.depth IS NULL AS orphan, p.context
+FROM tree t LEFT JOIN paths p ON p.uid = t.uid AND p.short_id = t.short_id""")
+def q_thread_forest(spark, sf_dir):
+    return TH.thread_forest(fx_tree(spark, sf_dir)).select("uid", "short_id", "depth", "orphan", "context")
+
+
+@query("thread_forest_template", with_ctes(*_TREE_CTE) + f"""
+SELECT uid, short_id, depth, depth IS NULL AS orphan,
+       CASE WHEN depth IS NULL THEN NULL WHEN po IS NULL THEN {format_sql('prompt', 'NULL')}
+            ELSE hd || chr(10) || (CASE WHEN length(a) > 0 THEN substr(a, 1, length(a) - 1) ELSE '' END)
+                 || CASE WHEN prompt IS NOT NULL AND length(prompt) > 0 THEN chr(10) || {_PNI} || prompt || {_ANS} ELSE '' END
+       END AS context
+FROM (SELECT *, split_part(' ' || po, {_ANS}, -1) AS a,
+             CASE WHEN position({_ANS} IN ft) > 0 THEN substr(ft, 1, position({_ANS} IN ft) - 1 + {len(K.ANSWER)}) ELSE ft END AS hd
+      FROM (SELECT t.uid, t.short_id, t.prompt, p.depth, p.po, {format_sql('p.root_prompt', 'NULL')} AS ft
+            FROM tree t LEFT JOIN paths p ON p.uid = t.uid AND p.short_id = t.short_id))""")
+def q_thread_forest_template(spark, sf_dir):
+    return TH.thread_forest(fx_tree(spark, sf_dir), template=True).select("uid", "short_id", "depth", "orphan", "context")

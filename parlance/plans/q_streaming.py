@@ -42,10 +42,12 @@ def q_timeout_stream(spark, sf_dir):
     def side(kind):
         ev = _stream_table(spark, sf_dir, "events").filter(F.col("event_type") == kind)
         return ev.select(F.col("event_id").alias("request_id"), "user_id", "ts", X.epoch_us(F.col("ts")).alias("ts_us"))
-    matches = J.timeout_stream(side("click"), side("purchase"), 6 * HOUR_US)
-    got = spark.read.parquet(J.run_available(matches, "timeout_stream"))
-    starts = X.table(spark, sf_dir, "events").filter(F.col("event_type") == "click").select(F.col("event_id").alias("request_id"))
-    return J.first_finish(starts, got).select("request_id", "finish_id", "finished")
+    # a clock a day past the last event and its limit closes the stream
+    path = scratch_path(spark, "clock")
+    last = X.table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY 6 HOURS")).alias("ts"))
+    last.write.parquet(path)
+    answers = J.timeout_stream(side("click"), side("purchase"), 6 * HOUR_US, clock=J.read_stream(spark, path, last.schema))
+    return spark.read.parquet(J.run_available(answers, "timeout_stream")).select("request_id", "finish_id", "finished")
 
 
 @query("gram_stream", QUERIES["gram_matrix"][1])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import admission as A
 from ..operators import gram as G
 from ..operators import moderation as M
-from ..session import checkpointed, scratch_path
+from ..session import scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **opts) -> DataFrame:
@@ -25,11 +25,12 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **
     return r.load(path)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", foreach=None) -> str:
+def run_available(stream: DataFrame, name: str, mode: str = "append", foreach=None, base: str | None = None) -> str:
     """Run a streaming query over everything available, then stop; returns the
-    sink folder (parquet) below the shared checkpoint folder."""
+    sink folder (parquet) below the shared checkpoint folder. With ``base``, a folder of
+    an earlier run, the query goes on where that one stopped."""
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     w = stream.writeStream.option("checkpointLocation", os.path.join(base, "_checkpoint")).outputMode(mode)
     if foreach is not None:
         q = w.foreachBatch(foreach).trigger(availableNow=True).start()
@@ -47,28 +48,67 @@ def moderate_stream(stream: DataFrame, rules: DataFrame, text: str = "text", sco
 
 def timeout_stream(starts: DataFrame, finishes: DataFrame, limit_us: int, key: str = "user_id",
                    ts: str = "ts", ts_us: str = "ts_us", rid: str = "request_id",
-                   watermark: str = "1 hour") -> DataFrame:
-    """Stream-stream interval join: each start with the finishes of the same key
-    in (start, start + limit]. Both sides are watermarked on event time and the
-    join condition bounds the finish time by the start time, so Spark drops
-    join state once an interval has passed; the exact bound is checked on
-    integer microseconds (the event-time bound is one hour wider)."""
-    def side(df, p):
-        return (df.select(F.col(key).alias(f"{p}_key"), F.col(rid).alias(f"{p}_id"), F.col(ts_us).alias(f"{p}_us"),
-                          F.col(ts).cast("timestamp").alias(f"{p}_ets"))
-                .withWatermark(f"{p}_ets", watermark))
-    hours = limit_us // 3_600_000_000 + 1
-    cond = F.expr(f"s_key = f_key AND f_ets >= s_ets AND f_ets <= s_ets + interval {hours} hours "
-                  f"AND f_us > s_us AND f_us <= s_us + {int(limit_us)}")
-    return side(starts, "s").join(side(finishes, "f"), cond, "inner").select(
-        F.col("s_id").alias(rid), F.col("f_id").alias("finish_id"), F.col("f_us").alias("finish_ts"))
-
-
-def first_finish(starts: DataFrame, matches: DataFrame, rid: str = "request_id") -> DataFrame:
-    """Close the intervals: the earliest match per start; starts without one failed."""
-    first = matches.groupBy(rid).agg(F.min_by("finish_id", F.struct("finish_ts", "finish_id")).alias("finish_id"))
-    return (starts.select(rid).join(first, on=rid, how="left")
-            .withColumn("finished", F.col("finish_id").isNotNull()))
+                   watermark: str = "1 hour", clock: DataFrame | None = None) -> DataFrame:
+    """One row per start, ``request_id, finish_id, finished``: its first finish of the same key
+    in (start, start + limit], or a failure, told by the stream itself.
+
+    The three inputs share one watermark, and a key's state holds its starts without an
+    answer and the finishes that may still be one. A start is answered when the
+    watermark has passed its first finish (no earlier one can come) or its limit; an
+    event-time timer wakes a key that gets no more rows. Starts that are still open
+    when a run ends stay in the state for the next run. ``clock`` (``ts``) tells the time
+    without belonging to a key, to close what is open when no more events come. Ties in
+    time go to the smaller finish id; rows behind the watermark are dropped by Spark.
+    """
+    def side(df, kind):
+        return df.select(F.col(key).cast("long").alias("_key"), F.col(rid).cast("long").alias("_id"), F.col(ts_us).cast("long").alias("_us"),
+                         F.col(ts).cast("timestamp").alias("_ets"), F.lit(kind).alias("_kind"))
+
+    rows = side(starts, 0).unionByName(side(finishes, 1))
+    if clock is not None:
+        rows = rows.unionByName(clock.select(F.lit(None).cast("long").alias("_key"), F.lit(None).cast("long").alias("_id"),
+                                             F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(ts).cast("timestamp").alias("_ets"), F.lit(2).alias("_kind")))
+
+    def answer(_key, pdfs, state):
+        from bisect import bisect_right
+
+        import pandas as pd
+
+        open_at, open_id, done_at, done_id = state.get if state.exists else ((), (), (), ())
+        pending, done = list(zip(open_at, open_id)), list(zip(done_at, done_id))
+        for pdf in pdfs:
+            for us, i, kind in zip(pdf["_us"].tolist(), pdf["_id"], pdf["_kind"].tolist()):
+                if kind < 2:
+                    (done if kind else pending).append((int(us), int(i)))
+        now = state.getCurrentWatermarkMs() * 1000
+        pending.sort()
+        done.sort()
+        out, left, wake = [], [], None
+        for at, i in pending:
+            place = bisect_right(done, (at, float("inf")))
+            found = done[place] if place < len(done) and done[place][0] <= at + limit_us else None
+            known = found[0] if found else at + limit_us
+            if known < now:
+                out.append((i, found[1] if found else None, found is not None))
+            else:
+                left.append((at, i))
+                wake = known if wake is None else min(wake, known)
+        least = min(left[0][0], now) if left else now           # a start to come lies at the watermark or later
+        done = [f for f in done if f[0] > least]
+        if not left and not done:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(list(c) for c in (zip(*left) if left else ((), ()))) + tuple(list(c) for c in (zip(*done) if done else ((), ()))))
+            wake = done[-1][0] if wake is None else wake
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            ids, finish, ok = zip(*out)
+            yield pd.DataFrame({rid: list(ids), "finish_id": pd.array(finish, "Int64"), "finished": list(ok)})
+
+    return (rows.withWatermark("_ets", watermark).groupBy("_key")
+            .applyInPandasWithState(answer, f"{rid} long, finish_id long, finished boolean",
+                                    "open_at array<bigint>, open_id array<bigint>, done_at array<bigint>, done_id array<bigint>", "append", "EventTimeTimeout"))
 
 
 def gram_stream(stream: DataFrame, vec: str, d: int, state_path: str):
