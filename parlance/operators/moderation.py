@@ -101,23 +101,40 @@ def regex_hit(text, patterns: list[str]) -> Column:
     return F.coalesce(*(F.when(t.rlike("^(?:" + p + ")"), F.lit(p)) for p in patterns), F.lit(None).cast("string"))
 
 
-def moderate_words(df: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+def _hits(df: DataFrame, rules: DataFrame, text: str, key: str) -> DataFrame:
+    from .rule_index import rule_hits
+    return df.join(rule_hits(df, rules, key, text), key)
+
+
+def moderate_words(df: DataFrame, rules: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """Adds ``word_hit``. With ``key`` (a column that tells rows apart) rules are looked up in
+    ``rule_index``, for wordlists of any size; else they are one expression."""
+    if key:
+        return _hits(df, rules, text, key).drop("regex_hit")
     return df.withColumn("word_hit", word_hit(text, _ordered_rules(rules, "word")))
 
 
-def moderate_regex(df: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+def moderate_regex(df: DataFrame, rules: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """Adds ``regex_hit``; ``key`` as in ``moderate_words``."""
+    if key:
+        return _hits(df, rules, text, key).drop("word_hit")
     return df.withColumn("regex_hit", regex_hit(text, _ordered_rules(rules, "regex")))
 
 
-def moderate(df: DataFrame, rules: DataFrame, text: str = "text", scores: dict | None = K.THRESHOLDS) -> DataFrame:
+def moderate(df: DataFrame, rules: DataFrame, text: str = "text", scores: dict | None = K.THRESHOLDS, key: str | None = None) -> DataFrame:
     """Null text is never flagged. Scores first, then regexes, then words;
-    adds ``flagged`` and ``reason`` (``score`` / ``regex:<p>`` / ``word:<p>``)."""
+    adds ``flagged`` and ``reason`` (``score`` / ``regex:<p>`` / ``word:<p>``); ``key`` as in
+    ``moderate_words``."""
     t = F.col(text)
     by_score = moderate_scores(scores) if scores else F.lit(False)
-    rh = regex_hit(text, _ordered_rules(rules, "regex"))
-    wh = word_hit(text, _ordered_rules(rules, "word"))
+    if key:
+        df, rh, wh = _hits(df, rules, text, key), F.col("regex_hit"), F.col("word_hit")
+    else:
+        rh = regex_hit(text, _ordered_rules(rules, "regex"))
+        wh = word_hit(text, _ordered_rules(rules, "word"))
     reason = (F.when(t.isNull(), F.lit(None).cast("string"))
               .when(by_score, F.lit("score"))
               .when(rh.isNotNull(), F.concat(F.lit("regex:"), rh))
               .when(wh.isNotNull(), F.concat(F.lit("word:"), wh)))
-    return df.withColumn("reason", reason).withColumn("flagged", F.col("reason").isNotNull())
+    out = df.withColumn("reason", reason).withColumn("flagged", F.col("reason").isNotNull())
+    return out.drop("word_hit", "regex_hit") if key else out

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import moderation as M
+from ..operators import rule_index as RI
 from . import fixtures as X
 from .registry import query, with_ctes
 
@@ -133,3 +134,34 @@ SELECT s.doc_id, reason, reason IS NOT NULL AS flagged FROM (
   FROM fx_scores s JOIN word_hits w ON w.doc_id = s.doc_id JOIN regex_hits r ON r.doc_id = s.doc_id) s""")
 def q_moderate(spark, sf_dir):
     return M.moderate(fx_scores(spark, sf_dir), fx_rules(spark), "text").select("doc_id", "reason", "flagged")
+
+
+# ------------------------------------------------------------------ a wordlist of real size
+
+# every long word of the benchmark, and for each of its items a regex: the first word,
+# any one word, the third word
+_BIG_LINES = r"""
+SELECT item_id * 1000 + pos AS rule_id, 'word' AS kind, lower(w) AS pattern FROM (
+  SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{7,}') AS ws FROM benchmark))
+UNION ALL
+SELECT item_id * 1000 AS rule_id, 'regex' AS kind, ws[1] || ' \S+ ' || ws[3] || '( |,)' AS pattern
+FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM benchmark) WHERE len(ws) >= 3"""
+
+
+def fx_big_rules(spark, sf_dir):
+    items = X.table(spark, sf_dir, "benchmark")
+    long = items.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]{7,})"), 1)).alias("pos", "w"))
+    ws = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)
+    regexes = items.select("item_id", ws.alias("ws")).filter(F.size("ws") >= 3)
+    return (long.select((F.col("item_id") * 1000 + F.col("pos") + 1).alias("rule_id"), F.lit("word").alias("kind"), F.lower("w").alias("pattern"))
+            .unionByName(regexes.select((F.col("item_id") * 1000).alias("rule_id"), F.lit("regex").alias("kind"),
+                                        F.concat(F.get("ws", F.lit(0)), F.lit(" \\S+ "), F.get("ws", F.lit(2)), F.lit("( |,)")).alias("pattern"))))
+
+
+@query("moderate_index", with_ctes(("big", _BIG_LINES), ("big_rules", "SELECT kind, pattern, min(rule_id) AS o FROM big GROUP BY kind, pattern")) + """
+SELECT d.doc_id, arg_min(r.pattern, r.o) FILTER (WHERE r.kind = 'word') AS word_hit, arg_min(r.pattern, r.o) FILTER (WHERE r.kind = 'regex') AS regex_hit
+FROM documents d LEFT JOIN big_rules r ON CASE WHEN r.kind = 'word' THEN contains(lower(d.text), r.pattern) ELSE regexp_matches(d.text, '^(?:' || r.pattern || ')') END
+GROUP BY d.doc_id""")
+def q_moderate_index(spark, sf_dir):
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return RI.rule_hits(docs, fx_big_rules(spark, sf_dir), "doc_id").select("doc_id", "word_hit", "regex_hit")
