@@ -22,41 +22,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LIBRARY_ONLY, _PRETOKENS, _byte_symbols, bpe_encoder, hand_back, saved, slices
+from .common import _L, _LIBRARY_ONLY, _PRETOKENS, _byte_symbols, bpe_encoder, hand_back, saved, slices
 from .token_counts import PieceCounter
 
 UNITS, LONGEST, TALLY, COMMON = 150_000, 48, 500_000, 1 << 20
 _SPACE = "▁"                                            # fixed value: the vocabulary's mark for a space
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_WORDS = re.compile(rf"[ \n]*[{_L}]+(?=[,.;:!?])|[ \n]*[^ \n]+|[ \n]+")      # words also cut before a mark
+_MIXED = re.compile(rf"[{_L}][,.;:!?]")
+_PLAIN = re.compile(rf" [{_L}]+\Z")
 _PIECES = re.compile(r" *[^ \n]+|\n| +")
 _OTHER = re.compile(f"[^\\S \\n]|[{_SPACE}\x1c-\x1f]")   # white space beside space and line feed, and the mark itself
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
-def align(long_a: list[int], long_b: list[int]) -> list[tuple[int, int, int, int, list[tuple[int, int]]]]:
-    """Groups ``a0, a1, b0, b1, links`` of two tokenizations of the same bytes, whose
-    tokens have these lengths (all over 0): where both end at one byte, a group ends.
-    Links are the places of overlapping tokens, at most one fewer than a group's tokens."""
-    groups, links, i, j, a0, b0, end_a, end_b = [], [], 0, 0, 0, 0, 0, 0
-    while i < len(long_a):
-        end_a += long_a[i]
-        end_b += long_b[j]
-        links.append((i, j))
-        while end_a != end_b:
-            if end_a < end_b:
-                i += 1
-                end_a += long_a[i]
-            else:
-                j += 1
-                end_b += long_b[j]
-            links.append((i, j))
-        i += 1
-        j += 1
-        groups.append((a0, i, b0, j, links))
-        a0, b0, links = i, j, []
-    return groups
-
-
 class _Units(dict):
     """What units come to, in two generations: when the young one is full it becomes
     the old one, so what is asked for again and again is never computed again."""
@@ -68,12 +47,13 @@ class _Units(dict):
     def __missing__(self, unit):
         if len(unit) > LONGEST:
             return self.fn(unit)
+        found = self.old.get(unit)
+        return self.keep(unit, self.fn(unit) if found is None else found)
+
+    def keep(self, unit, found):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        found = self.old.get(unit)
-        if found is None:
-            found = self.fn(unit)
         self[unit] = found
         return found
 
@@ -102,12 +82,18 @@ class Aligner:
         self.one = [f"{a}|{b}" for a, b in enumerate(self.b_id)]
         self.same = [a.to_bytes(4, "little") for a in range(self.a.size)]
         self.memo = _Units(self._unit, UNITS)
+        # A never joins a letter and a mark; where no piece of B does, words are cut there
+        pieces = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+        self.units = (_UNIT if any(map(_MIXED.search, pieces)) else _WORDS).findall
+        self.spelt = {i: chr(i).encode().decode("latin-1").translate(self.a._symbols) for i in range(0x250)}
 
     def _a_ids(self, text: str) -> list[int]:
         a = self.a
+        tokenize, symbols = a._model.tokenize, a._symbols
+        if a.joined and not a.specials and len(text) <= LONGEST and _PLAIN.match(text):
+            return [t.id for t in tokenize(text.translate(self.spelt))]
         if not a.joined or len(text) > LONGEST or _LIBRARY_ONLY.search(text) or any(s in text for s in a.specials):
             return np.frombuffer(a.encode_bytes(text), "<u4").tolist()
-        tokenize, symbols = a._model.tokenize, a._symbols
         return [t.id for p in _PRETOKENS.findall(text) for t in tokenize(p.encode().decode("latin-1").translate(symbols))]
 
     def _b_ids(self, unit: str) -> list[int]:
@@ -123,22 +109,59 @@ class Aligner:
         parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(parts_a) != target or b"".join(parts_b) != target:
             return None
-        if len(a) == 1 and len(b) == 1 and self.b_id[a[0]] == b[0]:
-            return 1, 1, 1, self.same[a[0]], b"", self.one[a[0]]
-        groups = align(list(map(len, parts_a)), list(map(len, parts_b)))
-        same, pairs, shown = [], [], []
-        for a0, a1, b0, b1, links in groups:
-            if len(links) == 1 and self.b_id[a[a0]] == b[b0]:
-                same.append(self.same[a[a0]])
-                shown.append(self.one[a[a0]])
+        b_id, one = self.b_id, self.one
+        if len(a) == 1 and len(b) == 1 and b_id[a[0]] == b[0]:
+            return 1, 1, 1, self.same[a[0]], b"", one[a[0]]
+        same, pairs, shown, i, j, n = [], [], [], 0, 0, len(a)
+        long_a, long_b = list(map(len, parts_a)), list(map(len, parts_b))
+        while i < n:
+            x, y = a[i], b[j]
+            end_a, end_b = long_a[i], long_b[j]
+            if end_a == end_b and b_id[x] == y:
+                same.append(self.same[x])
+                shown.append(one[x])
             else:
-                pairs += [a[i] << 32 | b[j] for i, j in links]
-                shown.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
-        return len(a), len(b), len(groups), b"".join(same), struct.pack(f"<{len(pairs)}Q", *pairs), ";".join(shown)
+                own_a, own_b = str(x), str(y)
+                pairs.append(x << 32 | y)
+                while end_a != end_b:                   # the one that ends first goes on; what it meets overlaps it
+                    if end_a < end_b:
+                        i += 1
+                        x = a[i]
+                        end_a += long_a[i]
+                        own_a += f",{x}"
+                    else:
+                        j += 1
+                        y = b[j]
+                        end_b += long_b[j]
+                        own_b += f",{y}"
+                    pairs.append(x << 32 | y)
+                shown.append(f"{own_a}|{own_b}")
+            i += 1
+            j += 1
+        return n, len(b), len(shown), b"".join(same), struct.pack(f"<{len(pairs)}Q", *pairs), ";".join(shown)
 
     def _unit(self, unit: str):
         return self.ids(self._a_ids(unit), self._b_ids(unit), unit.encode())
 
+    def learn(self, units: set[str]) -> None:
+        """Align the units not met before, their B ids in one call."""
+        memo = self.memo
+        fresh = [u for u in units if u not in memo and u not in memo.old and len(u) <= LONGEST]
+        pieces = [_PIECES.findall(u) for u in fresh]
+        ids = iter(self.b.library.encode(["\n" + p for own in pieces for p in own], num_threads=1))
+        lead = self.b.lead
+        for unit, own in zip(fresh, pieces, strict=True):
+            b = next(ids)[lead:]
+            for _ in own[1:]:
+                b = b + next(ids)[lead:]
+            memo.keep(unit, self.ids(self._a_ids(unit), b, unit.encode()))
+
+    def texts(self, texts: list[str]) -> list:
+        """``text`` of each; texts of a few units are worth asking for together."""
+        cut = [self.units(" " + t) if t and self.b.exact and not _OTHER.search(t) else None for t in texts]
+        self.learn(set().union(*[c for c in cut if c]))
+        return [self.joined(c) if c else self.text(t) for t, c in zip(texts, cut, strict=True)]
+
     def text(self, text: str):
         """What ``ids`` gives for space + text by A and text by B; None without tokens."""
         if not text:
@@ -146,7 +169,11 @@ class Aligner:
         spaced = " " + text
         if not self.b.exact or _OTHER.search(spaced):
             return self.ids(self._a_ids(spaced), self.b.library.encode(text), spaced.encode())
-        found = list(map(self.memo.__getitem__, _UNIT.findall(spaced)))
+        return self.joined(self.units(spaced))
+
+    def joined(self, units: list[str]):
+        """The alignments of a text's units, one after another."""
+        found = list(map(self.memo.__getitem__, units))
         if None in found:
             return None
         n_a, n_b, groups, same, pairs, shown = zip(*found, strict=True)
@@ -213,12 +240,14 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     ``tally_n``: pairs as a << 32 | b and their counts in the task's irregular groups;
     identity groups as a << 32 | 2 ** 32 - 1)."""
     def run(batches):
+        import gc
         import hashlib
 
         import pyarrow as pa
 
         aligner = _aligner(a_path, b_path)
         vector, tally = np.zeros(aligner.a.size, np.int64), _Tally()
+        gc.disable()                                    # no cycles here, and scans of the memo cost more than the work
         names = [c.split()[0] for c in _ROWS.split(", ")]
         kinds = [pa.int64()] * 5 + [pa.string()] + [pa.binary()] * 4
 
@@ -232,8 +261,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         for batch in slices(batches, 128):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = aligner.text(text or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, found in zip(batch.column(0).to_pylist(), aligner.texts(texts), strict=True):
                 if found is None:
                     rows.append((doc_id, 0, 0, 0, 0, "", b"", b"", None, None))
                     continue
@@ -250,6 +279,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         yield from told(*tally.merged())
         ids = np.flatnonzero(vector)
         yield from told(ids.astype(np.uint64) << np.uint64(32) | np.uint64(2**32 - 1), vector[ids])
+        gc.enable()
         hand_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROWS).withColumn("row", F.monotonically_increasing_id())
