@@ -20,29 +20,39 @@ from pyspark.sql import functions as F
 from .common import saved
 
 PIVOTS, ANNULI, BLOCK, QUERY_BLOCK, SLACK = 16, 24, 16_384, 4_096, 1e-6
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "query_id long, vec_id long, score long, size double"      # score null: beyond a long; size orders all
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
-    """``vec_id, v``: floor(256 x) of every component, x as double. Vectors that are
-    null or hold null or non-finite components are left out, as are rows of null
-    id; of rows with one id the least vector stays."""
-    x = F.transform("embedding", lambda c: c.cast("double"))
-    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float(2**44))))
-    return (rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id is not null and x is not null").filter(fine)
-            .select("vec_id", F.transform("x", lambda c: F.floor(c * 256).cast("long")).alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+    """``vec_id, v``: floor(256 x) of every component, x as double, as doubles that hold whole
+    numbers. Rows are left out whose id or vector is null, or whose vector holds null
+    or non-finite components; all others stay, repeated ids and rows too."""
+    x = F.transform("embedding", lambda c: c.cast("double") * 256.0)
+    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    # from 2 ** 52 on a double is a whole number
+    whole = F.transform("x", lambda c: F.when(F.abs(c) < F.lit(float(2**52)), F.floor(F.when(F.abs(c) < F.lit(float(2**52)), c).otherwise(0.0)).cast("double")).otherwise(c))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id is not null and x is not null").filter(fine).select("vec_id", whole.alias("v"))
 
 
 def _matrix(data, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(data), "<i8").reshape(-1, dim)
-
-
-def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products: by floats while every partial sum is below 2 ** 53."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53:
-        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
+    return np.frombuffer(b"".join(data), "<f8").reshape(-1, dim)
+
+
+def _products(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+    """Inner products of one query with rows of whole numbers: as doubles, exact while
+    every partial sum is below 2 ** 53, and as exact integers by place for the others."""
+    top = np.abs(q).max(initial=0.0) * np.abs(x).max(axis=1, initial=0.0) * q.size
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = x @ q
+    exact, whole = {}, None
+    for i in np.flatnonzero(~(top < 2.0**53)).tolist():
+        whole = whole or [int(c) for c in q.tolist()]
+        exact[i] = sum(a * int(b) for a, b in zip(whole, x[i].tolist(), strict=True))
+        try:
+            scores[i] = float(exact[i])
+        except OverflowError:
+            scores[i] = np.inf if exact[i] > 0 else -np.inf
+    return scores, exact
 
 
 class PivotIndex:
@@ -90,18 +100,21 @@ class PivotIndex:
 
 def build_index(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> tuple[PivotIndex | None, DataFrame]:
     """The index of all vectors, and its rows ``pivot, annulus, block, vec_id, v``.
-    Of equal vectors only the k + 1 smallest ids can be in any result, so no more
-    are kept. Pivots are the ``pivots`` vectors with the smallest hash."""
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    kept = saved(vectors.withColumn("r", rank).filter(F.col("r") <= k + 1).drop("r"), "vectors")
+    Of equal vectors only rows of the k + 1 smallest ids, k of one id, can be in any
+    result, so no more are kept. Pivots are the ``pivots`` vectors with the smallest hash."""
+    # first k rows of an id and vector, then ids by rank: both limits are pushed below the shuffle
+    same = F.row_number().over(Window.partitionBy("v", "vec_id").orderBy(F.lit(1)))
+    few = vectors.withColumn("r", same).filter(F.col("r") <= k).drop("r")
+    ids = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    kept = saved(few.withColumn("r", ids).filter(F.col("r") <= k + 1).drop("r"), "vectors")
     size = kept.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))).alias("norm2")).first()
     if not size.dim:
         return None, kept
     dim = int(size.dim)
     # vectors of fewer components count as ending in zeros
-    padded = kept.select("vec_id", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))).alias("v"))
+    padded = kept.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))).alias("v"))
     chosen = [r.v for r in padded.orderBy(F.xxhash64("v"), "vec_id").limit(pivots).collect()]
-    index = PivotIndex(np.array(chosen, np.int64), float(size.norm2), dim)
+    index = PivotIndex(np.array(chosen, np.float64), float(size.norm2), dim)
     shared = kept.sparkSession.sparkContext.broadcast(index)
 
     def place(batches):
@@ -115,7 +128,7 @@ def build_index(vectors: DataFrame, k: int, pivots: int = PIVOTS) -> tuple[Pivot
             near = d[np.arange(len(d)), p]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(p.astype(np.int32)), pa.array((near / index.width).astype(np.int32)), pa.array(near),
-                pa.array([r.tobytes() for r in x.astype("<i8")], pa.binary())], names=["vec_id", "pivot", "annulus", "d", "v"])
+                pa.array([r.tobytes() for r in np.ascontiguousarray(x, "<f8")], pa.binary())], names=["vec_id", "pivot", "annulus", "d", "v"])
 
     rows = saved(padded.mapInArrow(place, "vec_id long, pivot int, annulus int, d double, v binary"), "index")
     cells = rows.groupBy("pivot", "annulus").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
@@ -140,24 +153,21 @@ def _hits(rows: DataFrame, asked: DataFrame, index: PivotIndex, k: int, query_bl
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": pd.array([], "Int64"), "size": np.zeros(0)})
         left = left.sort_values("vec_id")
         ids, x = left["vec_id"].to_numpy(), _matrix(left["v"], dim)
         out = []
-        for at in range(0, len(right), 256):
-            some = right.iloc[at:at + 256]
-            scores = _products(_matrix(some["v"], dim), x)
-            for query, row in zip(some["query_id"].tolist(), scores, strict=True):
-                own = ids != query
-                s, who = row[own], ids[own]
-                if len(s) > k:                          # all that tie with the k-th, ids ascending
-                    edge = np.partition(s, len(s) - k)[len(s) - k]
-                    near = np.flatnonzero(s >= edge)
-                    near = near[np.argsort(-s[near], kind="stable")][:k]
-                    s, who = s[near], who[near]
-                out.append((np.full(len(s), query, np.int64), who, s))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+        for query, q in zip(right["query_id"].tolist(), _matrix(right["v"], dim), strict=True):
+            scores, exact = _products(q, x)
+            own = np.flatnonzero(ids != query)
+            if len(own) > k:                            # all that tie with the k-th
+                edge = np.partition(scores[own], len(own) - k)[len(own) - k]
+                own = own[scores[own] >= edge]
+            value = lambda i: exact[i] if i in exact else int(scores[i])  # noqa: B023, E731
+            near = sorted(own.tolist(), key=lambda i: (-value(i), i))[:k]         # noqa: B023
+            out += [(query, int(ids[i]), v if -2**63 <= (v := value(i)) < 2**63 else None, float(scores[i])) for i in near]
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pd.DataFrame({"query_id": np.array(cols[0], np.int64), "vec_id": np.array(cols[1], np.int64), "score": pd.array(cols[2], "Int64"), "size": np.array(cols[3], np.float64)})
 
     key = ["pivot", "annulus", "block", "part"]
     return have.groupBy(*key).cogroup(want.groupBy(*key)).applyInPandas(lambda a, b: best(a, b), _HITS)
@@ -168,9 +178,12 @@ def exact_top_k(vectors: DataFrame, query_ids, k: int = 5, pivots: int = PIVOTS)
     product with each query, ties to the smaller id (all rows, if fewer).
 
     ``vectors`` has ``vec_id, embedding``; ``query_ids`` is a condition on
-    ``vec_id``. See ``whole_vectors`` for rows that take no part; vectors of
+    ``vec_id``. See ``whole_vectors`` for rows that take no part. Rows of one id are
+    candidates each for themselves, none of them for a query of that id; a query id
+    of several rows has one list, of the best pairs of any of them. Vectors of
     different length are compared as if padded by zeros; rows of equal vectors all
-    compete; other columns are not read; an empty table gives no rows.
+    compete; other columns are not read; an empty table gives no rows. Scores are
+    exact; one in the result that a long cannot hold is an error.
     """
     spark = vectors.sparkSession
     whole = saved(whole_vectors(vectors), "whole")
@@ -201,7 +214,7 @@ def exact_top_k(vectors: DataFrame, query_ids, k: int = 5, pivots: int = PIVOTS)
                         seen = set(first)
                         floor = -np.inf if least[i] is None else float(least[i])
                         mine = [c for c in index.cells_in_play(d[i], float(norms[i]), floor) if c not in seen]
-                    data = x[i].astype("<i8").tobytes()
+                    data = np.ascontiguousarray(x[i], "<f8").tobytes()
                     rows += [(query, p, a, data) for p, a in mine]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)],
@@ -211,8 +224,9 @@ def exact_top_k(vectors: DataFrame, query_ids, k: int = 5, pivots: int = PIVOTS)
 
     kinds = "query_id long, pivot int, annulus int, v binary"
     near = saved(_hits(rows, asked_of.mapInArrow(cells(False), kinds), index, k, query_blocks), "hits")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    least = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("score"), "vec_id")
+    least = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", F.col("size").alias("least"))
     rest = asked_of.join(least, "query_id", "left").select("query_id", "v", "least").mapInArrow(cells(True), kinds)
     found = near.unionByName(_hits(rows, rest, index, k, query_blocks))
-    return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    score = F.coalesce("score", F.raise_error(F.lit("a score does not fit a long")).cast("long"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
