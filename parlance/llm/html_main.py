@@ -1,8 +1,10 @@
 """Main text of web pages by two passes over their blocks.
 
 A page is cut into blocks at block-level tags, in one scan per page. Elements that
-never hold main text (scripts, menus, forms, ...) are left out by their tag, role
-or class. Pass one decides blocks by length, link density and stop-word density, on every
+never hold main text (scripts, menus, forms, ...) are left out by their tag or role. A
+class or id that speaks of what surrounds an article is evidence only: such an element
+is left out unless it holds most of the page's text (nearly all, if the word is the
+whole class name). Pass one decides blocks by length, link density and stop-word density, on every
 page and wherever the block lies; pass two gives the open ones (short, or of few
 stop words) the label of their nearest decided neighbours. The tags article and
 main are evidence, not a decision: inside them more links are allowed, and open
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import slices
 
 # fixed values: HTML's tags by what they do to the text
-_RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|button|title|math|audio|video"
+_RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|audio|video"
+_SOFT_RAW = "textarea|select|button|title"         # left open, they end where one of these begins:
+_SOFT_ENDS = "p|h[1-6]|article|main|section|body|table|ul|ol|nav|footer|header|form"
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,41 +46,50 @@ STOP_WORDS = frozenset(
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<soft>{_SOFT_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:(?!<(?:{_SOFT_ENDS})\b|</(?P=soft)\b).)*(?:</(?P=soft)\s*>|(?=<)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_PARTS = re.compile(r"[^a-z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_MOST, LINKS_MOST_INSIDE, LIST_SHORT = 70, 200, 0.10, 0.15, 0.2, 0.8, 140
+_BELIEVED = {"named": 0.9, "aside": 0.5, "header": 0.5}      # up to which share of the text a class is believed
 _WEAK = "weak"                             # open, and of too few stop words to follow one neighbour
 
 
 class _Block:
-    __slots__ = ("text", "linked", "links", "inside", "heading", "label")
+    __slots__ = ("doubts", "heading", "inside", "label", "linked", "links", "text")
 
-    def __init__(self, text, linked, links, inside, heading):
-        self.text, self.linked, self.links, self.inside, self.heading, self.label = text, linked, links, inside, heading, None
+    def __init__(self, text, linked, links, inside, heading, doubts):
+        self.text, self.linked, self.links, self.inside, self.heading, self.doubts, self.label = text, linked, links, inside, heading, doubts, None
 
 
-def _is_aside(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(never main text, a header): by tag, role, class, id or being hidden."""
+def _is_aside(tag: str, attrs: str) -> tuple[bool, bool, str]:
+    """(never main text, a header, what its class or id says): by tag, role or being hidden."""
     if tag in _ASIDE_TAGS:
-        return True, False
+        return True, False, ""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False, tag == "header"
+        return False, tag == "header", ""
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attrs)}
     if found.get("role") in _ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True, False
+        return True, False, ""
     if tag in ("html", "body", "main", "article"):
-        return tag == "article" and any(w.startswith("comment") for w in _NAME_PARTS.split(found.get("class", ""))), False
-    parts = set(_NAME_PARTS.split(found.get("class", "") + " " + found.get("id", "")))
-    return bool(parts & _ASIDE_WORDS), tag == "header" or "header" in parts
+        return tag == "article" and any(w.startswith("comment") for w in _NAME_PARTS.split(found.get("class", ""))), False, ""
+    names = (found.get("class", "") + " " + found.get("id", "")).split()
+    parts = {w for n in names for w in _NAME_PARTS.split(n)}
+    said = "named" if _ASIDE_WORDS.intersection(names) else "aside" if parts & _ASIDE_WORDS else "header" if "header" in parts else ""
+    if said in ("named", "aside") and tag not in _BLOCK:
+        return True, tag == "header", ""                # inside a line of text: an advert, a share link
+    return False, tag == "header", "" if tag == "header" and said == "header" else said
 
 
 def page_blocks(page: str) -> list[_Block]:
     """The blocks of a page in order, without those of surrounding elements."""
     blocks: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []           # open elements: tag, never main text, a header
+    stack: list[tuple[str, bool, bool, str]] = []      # open elements: tag, never main text, a header, what its class says
+    opened: Counter[str] = Counter()                   # how many of each tag are open
+    doubts: tuple[tuple[int, str], ...] = ()           # open elements whose class says something, by number
+    number = 0
     aside = inside = headers = anchors = heading = 0
     pieces: list[str] = []
     linked = links = breaks = 0
@@ -85,7 +99,7 @@ def page_blocks(page: str) -> list[_Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text and not (headers and not (inside and heading)):
-                blocks.append(_Block(text, linked, links, bool(inside), bool(heading)))
+                blocks.append(_Block(text, linked, links, bool(inside), bool(heading), doubts))
         pieces, linked, links, breaks = [], 0, 0, 0
 
     def text_from(raw: str):
@@ -98,8 +112,10 @@ def page_blocks(page: str) -> list[_Block]:
                 linked += len(" ".join(html.unescape(raw).split()))
 
     def leave(k: int):
-        nonlocal aside, inside, headers, anchors, heading
-        for tag, was_aside, was_header in stack[k:]:
+        nonlocal aside, inside, headers, anchors, heading, doubts
+        for tag, was_aside, was_header, said in stack[k:]:
+            opened[tag] -= 1
+            doubts = doubts[:-1] if said else doubts
             aside -= was_aside
             headers -= was_header
             inside -= tag in ("article", "main")
@@ -113,9 +129,7 @@ def page_blocks(page: str) -> list[_Block]:
         at = m.end()
         tag = m["tag"]
         if tag is None:                                # a comment, a declaration or an element of raw text
-            if m["raw"] and m["raw"].lower() == "title":
-                continue
-            if m["raw"]:
+            if m["raw"] or m["soft"] and m["soft"].lower() != "title":
                 text_from(" ")
             continue
         tag = tag.lower()
@@ -128,8 +142,10 @@ def page_blocks(page: str) -> list[_Block]:
             continue
         block = tag in _BLOCK
         if m["end"]:
-            if any(t[0] == tag for t in stack):
-                k = max(i for i, t in enumerate(stack) if t[0] == tag)
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
                 # an inline end tag does not leave the blocks opened after it
                 if block or not any(t[0] in _BLOCK for t in stack[k + 1:]):
                     if block:
@@ -137,12 +153,16 @@ def page_blocks(page: str) -> list[_Block]:
                     leave(k)
                 else:
                     anchors -= tag == "a"
+                    aside -= stack[k][1]
+                    opened[tag] -= 1
                     del stack[k]
             elif block:
                 close()
             continue
         if block:
             close()
+            if tag == "body" and opened["head"]:        # its end tag may be left out
+                leave(next(k for k, t in enumerate(stack) if t[0] == "head"))
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag in _HEADINGS:
                 # these end an open paragraph or a sibling of their own kind
                 for k in range(len(stack) - 1, -1, -1):
@@ -153,8 +173,14 @@ def page_blocks(page: str) -> list[_Block]:
                         break
         if tag in _VOID or m["attrs"].endswith("/") and not block:
             continue
-        was_aside, was_header = _is_aside(tag, m["attrs"])
-        stack.append((tag, was_aside, was_header))
+        was_aside, was_header, said = _is_aside(tag, m["attrs"])
+        if said and tag not in _BLOCK:
+            said = ""
+        stack.append((tag, was_aside, was_header, said))
+        opened[tag] += 1
+        if said:
+            number += 1
+            doubts = (*doubts, (number, said))
         aside += was_aside
         headers += was_header
         inside += tag in ("article", "main")
@@ -164,7 +190,12 @@ def page_blocks(page: str) -> list[_Block]:
             links += not aside
     text_from(page[at:])
     close()
-    return blocks
+    # a class is believed unless its element holds most of the text; nearly all of it,
+    # where the word is the whole name
+    held, total = Counter(), sum(len(b.text) for b in blocks)
+    for b in blocks:
+        held.update(dict.fromkeys((d for d, _ in b.doubts), len(b.text)))
+    return [b for b in blocks if not any(held[d] <= _BELIEVED[said] * total and (said != "header" or not (b.inside and b.heading)) for d, said in b.doubts)]
 
 
 def _decide(b: _Block) -> bool | str | None:
