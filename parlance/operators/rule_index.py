@@ -1,6 +1,6 @@
 """Moderation by wordlists of any size: a rare-gram index.
 
-Every rule is filed under one gram of up to three characters that a text must hold for
+Every rule is filed under one gram of up to ``GRAM`` characters that a text must hold for
 the rule to hit: the rarest (in a bounded sample of texts) of a word, or of the
 longest literal run that a regex requires. Texts give their distinct grams, which
 meet the rules in an equi-join, and only the pairs that meet are verified. A regex
@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .sizing import broadcast_if_small
+from .sizing import MAX_BROADCAST_ROWS
 
-GRAM = 3
-SAMPLE = 20_000          # texts that say how rare a gram is; they only decide where a rule is filed
+GRAM = 5
+SAMPLE = 2_000           # texts that say how rare a gram is; they only decide where a rule is filed
 
 
 def required_literal(pattern: str) -> str:
@@ -106,10 +106,14 @@ def rule_hits(df: DataFrame, rules: DataFrame, key: str, text: str = "text", ord
     for kind, sizes in used.items():
         if sizes:
             own = F.when(F.col("kind") == kind, _all_grams(F.col("seen"), sizes)).otherwise(own)
-    met = (texts.select("_id", "kind", F.explode(own).alias("gram"))
-           .join(broadcast_if_small(index), ["kind", "gram"]).select("_id", "kind", "pattern", "at"))
-    sure = met.join(texts, ["_id", "kind"]).filter(F.when(F.col("kind") == "word", F.contains("seen", "pattern"))
-                                                   .otherwise(F.regexp_like("seen", F.concat(F.lit("^(?:"), "pattern", F.lit(")")))))
+    hit = (F.when(F.col("kind") == "word", F.contains("seen", "pattern"))
+           .otherwise(F.regexp_like("seen", F.concat(F.lit("^(?:"), "pattern", F.lit(")")))))
+    if index.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        # verified where the text is read: nothing but hits is shuffled
+        sure = texts.withColumn("gram", F.explode(own)).join(F.broadcast(index), ["kind", "gram"]).filter(hit)
+    else:
+        met = texts.select("_id", "kind", F.explode(own).alias("gram")).join(index, ["kind", "gram"]).select("_id", "kind", "pattern", "at")
+        sure = met.join(texts, ["_id", "kind"]).filter(hit)
     first = lambda kind: F.min_by("pattern", F.when(F.col("kind") == kind, F.col("at")))
     hits = sure.groupBy("_id").agg(first("word").alias("word_hit"), first("regex").alias("regex_hit"))
     return df.select(F.col(key).alias("_id")).join(hits, "_id", "left").withColumnRenamed("_id", key)

@@ -25,7 +25,10 @@ def test_grams(spark):
             assert want <= set(found) and ("\U0001f600" in text or want == set(found))
 
 
-def test_hits_match_brute_force(spark):
+@pytest.mark.parametrize("most", [RI.MAX_BROADCAST_ROWS, 3])
+def test_hits_match_brute_force(spark, monkeypatch, most):
+    """Also with more rules than are broadcast."""
+    monkeypatch.setattr(RI, "MAX_BROADCAST_ROWS", most)
     draw = random.Random(3)
     letters = "abcdE é.\n"
     texts = [None, ""] + ["".join(draw.choices(letters, k=draw.randint(0, 40))) for _ in range(150)]
