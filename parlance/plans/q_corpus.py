@@ -79,7 +79,8 @@ SELECT dataset, pos,
        round(exp((CAST(sum(nll_n) OVER w AS DOUBLE) / 1000000000) / CAST(count(*) OVER w AS DOUBLE)), 6) AS running_ppl
 FROM fx_nll WINDOW w AS (PARTITION BY dataset ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_running_perplexity(spark, sf_dir):
-    return S.running_perplexity(X.fx_nll(spark, sf_dir), ("dataset",), "pos").select("dataset", "pos", "running_ppl")
+    nll = X.fx_nll(spark, sf_dir).select("dataset", "pos", "nll_n")       # no other column goes through the scan
+    return S.running_perplexity(nll, ("dataset",), "pos").select("dataset", "pos", "running_ppl")
 
 
 @query("vocab", with_ctes(X.CTE_TOKENS) + """
