@@ -1,48 +1,50 @@
-"""Language-model scores by a Katz back-off bigram model of the corpus itself.
-
-Tokens stand as 64-bit hashes. Every task turns its texts into postings
-(context, token, document, times), packed by bucket of the context, so what is
-shuffled is a few bytes a token; contexts of more than their share of a bucket are
-spread over several. One pass over the buckets counts unigrams and bigrams of the
-training documents and keeps the postings of what the model holds. Good-Turing
-discounts come from the counts of counts (a few numbers), back-off weights from
-joins of the count tables, and a second pass looks every posting up and sums by
-document; the partial sums of a bucket travel packed, thousands of documents a row,
-as fixed-point integers, so totals do not depend on the order they arrive in:
-
-    log P(w | h) = log d c(h w) / c(h)            where the model has (h, w)
-                 = log a(h) + log P(w)            else, and likewise P(w) falls
-                                                  back to the unknown token's mass
-
-so a document's score is the sum over its tokens of the second line plus, where
-the first holds, the difference. Every conditional distribution over the known
-tokens and one unknown token sums to 1.
+"""Language-model scores by a Katz back-off model of the corpus itself, of any order.
+
+Tokens stand as 64-bit hashes. One pass over the texts writes them as chunks: about
+``CHUNK_BYTES`` of text as ids into the chunk's own word list. From there on a chunk
+asks the tables of counts for what it holds and nothing else moves. Level by level,
+from single tokens up, every chunk sends each different n-gram that it holds once, packed
+by bucket of the n-gram's context: context, token, times seen in training documents,
+and what the level below says of the token, which that level has just answered. So a
+bucket holds all there is to know of its contexts. It adds up the counts of its
+n-grams, and writes them as a row of the level's table; the counts of counts of all
+rows (six numbers) give the Good-Turing discounts, and a pass over the rows gives
+
+    P(w | h) = d c(h w) / c(h)           where the training documents have (h, w)
+             = a(h) P(w | shorter h)     else; a(h) makes the sum over all w one
+
+with a(h) = 1 where h was never seen, back to the chunks that asked, in the order
+they asked in. The last answers are summed by document. No join meets a single n-gram.
+
+Contexts of more than their share of a bucket are spread over several by the hash of
+the token. They are known exactly from the level below, where they were counted, and what
+c(h) and a(h) need of them (a row a bucket and context) is added up before the pass.
+Every conditional distribution over the known tokens and one unknown token sums to 1.
 """
 
 from __future__ import annotations
 
-import gc
 import itertools
 import math
-import uuid
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import _Memo, hand_back, saved, slices, words_of
+from .common import hand_back, saved, slices
 from .quality import doc_remainder
 
-ROW_POSTINGS = 8_192                       # postings in a row of the stored table: rows of about 300 KB
-LEAST_BIGRAM, DISCOUNTED = 2, 5            # op3_katz keeps bigrams seen once (least_bigram = 1); counts to 5 are discounted
-BLOCK_TOKENS, BUCKET_BYTES, HEAVY_MOST, SAMPLE = 500_000, 4 << 20, 1_000, 32
-_PACKED = "bucket int, base long, sizes array<long>, data binary"
-_TABLE = ("bucket int, docs binary, counts array<long>, u_x binary, u_c binary, u_n binary, u_d binary, u_t binary, "
-          "b_h binary, b_w binary, b_c binary, b_n binary, b_d binary, b_t binary, b_heavy binary")
-GROUP_BITS, FRACTION = 15, 31              # documents that share a row of partial sums: half of 2 ** 15; binary places of a sum (sums to 4e9)
-_PARTIAL = "g long, n long, data binary"
-_POSTED = ("u_x", "u_c", "u_n", "u_d", "u_t", "b_h", "b_w", "b_n", "b_d", "b_t")        # what the second pass reads
+DISCOUNTED = 5                              # counts to 5 are discounted
+CHUNK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20   # text in a chunk; of a long text read at once
+BUCKET_TOKENS, LEAST_BUCKETS, MOST_TASKS = 2_000_000, 12, 10_000
+_CHUNK = "chunk long, rows long, tokens long, docs binary, words binary, counts binary, ids binary"
+_ASKED = "bucket int, chunk long, n long, data binary"
+_MERGED = ("bucket int, chunks binary, at binary, contexts binary, c binary, lower binary, counts binary, tokens long, types long, "
+           "heavy_x binary, heavy_t binary, spread_x binary, spread_sums binary")
+_ANSWER = "chunk long, level int, bucket int, data binary"
+_DOCS = np.dtype([("row", "<i8"), ("doc_id", "<i8"), ("flags", "<i8"), ("n", "<i8")])    # flags: 1 training, 2 null id
+_SUMS = "row long, doc_id long, train boolean, n long, known long, base double, score double"
 
 
 def token_hash(word: bytes) -> int:
@@ -53,33 +55,40 @@ def token_hash(word: bytes) -> int:
 
 def marks() -> tuple[int, int]:
     """Hashes of the start and the end of a text: no word holds a space."""
-    return token_hash(b" start"), token_hash(b" end")
+    return token_hash(_START), token_hash(_END)
 
 
-_HASHES = _Memo(token_hash, 65_536)
-
-
-def _planes(a: np.ndarray) -> bytes:
-    """The bytes of an array, first bytes first: like bytes lie together."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() if len(a) else b""
-
-
-def _array(data, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+_START, _END = b" start", b" end"
 
 
 def _zipped(a: np.ndarray) -> bytes:
-    """As stored in the table of postings: small wherever Spark sorts or sends it."""
+    """Compressed with the first bytes of all items first: like bytes lie together."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(_planes(a)) if len(a) else b""
+    if not len(a):
+        return b""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
 
 
 def _unzipped(data: bytes, dtype) -> np.ndarray:
     import zstandard
 
-    return _array(zstandard.ZstdDecompressor().decompress(data) if data else b"", dtype)
+    dtype = np.dtype(dtype)
+    if not data:
+        return np.empty(0, dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+
+
+def _framed(*parts: bytes) -> bytes:
+    """Parts one after another, their lengths before them."""
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+
+
+def _parts(data: bytes) -> list[bytes]:
+    k = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<i8", k, 8)) + 8 * (k + 1)
+    return [data[a:b] for a, b in zip([8 * (k + 1), *ends.tolist()], ends.tolist(), strict=False)]
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -97,8 +106,31 @@ def _lengths(starts: np.ndarray, total: int) -> np.ndarray:
     return np.diff(np.append(starts, total))
 
 
-def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
-    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from those of its context and token."""
+    x = h * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def start_context(length: int) -> int:
+    """The hash of ``length`` start marks in a row."""
+    h = s = np.array([marks()[0]], np.uint64)
+    for _ in range(length - 1):
+        h = _mixed(h, s)
+    return int(h[0])
+
+
+def bucket_of(h: np.ndarray, w: np.ndarray, buckets: int, heavy: dict[int, int]) -> np.ndarray:
+    """By the hash of the context; for contexts in ``heavy``, over as many buckets as it says."""
+    b = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    if heavy:
+        x = np.sort(np.array(list(heavy), np.uint64))
+        spread = np.array([heavy[int(k)] for k in x], np.int64)
+        i = np.minimum(np.searchsorted(x, h), len(x) - 1)
+        s = np.where(x[i] == h, spread[i], 1)
+        b = (b + ((w >> np.uint64(16)) % s.astype(np.uint64)).astype(np.int64)) % buckets
+    return b
 
 
 def good_turing(counts: dict[int, int]) -> dict[int, float]:
@@ -138,468 +170,392 @@ def _slope(n: dict[int, float]) -> float:
     return float(x @ y / (x @ x))
 
 
-def _discount(d: dict[int, float]):
-    """Discounted count as a column of the count ``c``."""
-    c = F.col("c").cast("double")
-    out = c
-    for r, x in d.items():
-        out = F.when(F.col("c") == r, F.lit(x * r)).otherwise(out)
-    return out
-
+class _Ids(dict):
+    """Numbers words in the order they come in."""
 
-def heavy_contexts(docs: DataFrame, buckets: int) -> dict[int, int]:
-    """Over how many buckets a common context is spread. A hint from one row in
-    ``SAMPLE`` that only deals out work: scores do not depend on it."""
-    def tally(batches):
-        from collections import Counter
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
 
-        import pyarrow as pa
 
-        seen, n = Counter(), 0
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                seen.update(words)
-                n += len(words)
-            if len(seen) > 200_000:
-                seen = Counter(dict(seen.most_common(50_000)))
-        top = seen.most_common(HEAVY_MOST)
-        seen = None
-        hand_back()
-        yield pa.RecordBatch.from_arrays([pa.array([b"", *(w for w, _ in top)], pa.binary()), pa.array([n, *(c for _, c in top)], pa.int64())], names=["word", "n"])
-
-    found = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tally, "word binary, n long")
-    top = {bytes(r.word): r.n for r in found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(HEAVY_MOST).collect()}
-    total = max(1, top.pop(b"", 0))
-    spread = {token_hash(w): min(buckets, math.ceil(2 * n * buckets / total)) for w, n in top.items()}
-    return {x: s for x, s in spread.items() if s > 2}
+def _segments(raw: bytes):
+    """The words of a long text in pieces that end between words."""
+    at, space = 0, re.compile(rb"[\x09-\x0d\x20]")
+    while len(raw) - at > PIECE_BYTES:
+        m = space.search(raw, at + PIECE_BYTES)
+        if not m:
+            break
+        yield raw[at:m.start()].split()
+        at = m.end()
+    yield raw[at:].split()
 
 
-def _pack(buckets: int, heavy: dict[int, int]):
-    def pack(batches):
+def _chunks(order: int, chunk_bytes: int):
+    """Texts as rows of ``_CHUNK``. A document stands as order - 1 marks (or, where it goes
+    on in a new chunk, the tokens before), its words and its end."""
+    def run(batches):
         import pyarrow as pa
-        import zstandard
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
-        start, end = (np.array([m], np.uint64) for m in marks())
-        zip_ = zstandard.ZstdCompressor(level=1)
-        names = [c.split()[0] for c in _PACKED.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        tokens, numbers, infos, docs, held = [], [], [], 0, 0
-        heavy_x = np.array(sorted(heavy), np.uint64)
-        heavy_s = np.array([heavy[int(x)] for x in heavy_x], np.int64)
+        base = TaskContext.get().partitionId() << 40
+        made, row, ids, docs, parts, size = 0, 0, _Ids(), [], [], 0
+        pad = [_START] * (order - 1)
 
         def flush():
-            base = (part << 40) + 2 * (docs - len(infos))
-            info = np.array(infos, np.int64).reshape(-1, 4)
-            rows = [(-1 - (part + block) % buckets, base, [len(info)], zip_.compress(info.tobytes()))]
-            if tokens:
-                h = np.concatenate([np.concatenate([start, t]) for t in tokens])
-                w = np.concatenate([np.concatenate([t, end]) for t in tokens])
-                d = np.concatenate([np.full(len(t) + 1, k, np.uint32) for t, k in zip(tokens, numbers, strict=True)])
-                tokens.clear()
-                order = np.lexsort((w, h))                  # stable: documents stay in order
-                h = h[order]
-                w = w[order]
-                d = d[order]
-                at = _starts(h, w, d)
-                times = _lengths(at, len(h)).astype(np.uint32)
-                h, w, d = h[at], w[at], d[at]
-                del order, at
-                where = bucket_of(h, buckets)
-                if len(heavy_x):
-                    i = np.minimum(np.searchsorted(heavy_x, h), len(heavy_x) - 1)
-                    hot = heavy_x[i] == h
-                    where[hot] = (where[hot] + (part + block) % heavy_s[i[hot]]) % buckets
-                    order = np.argsort(where, kind="stable")
-                    h, w, d, times, where = h[order], w[order], d[order], times[order], where[order]
-                cuts = np.append(_starts(where), len(where))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    hh, ww = h[a:b], w[a:b]
-                    pairs, contexts = _starts(hh, ww), _starts(hh)
-                    pair_h = _starts(hh[pairs])
-                    parts = [hh[contexts], _lengths(pair_h, len(pairs)).astype(np.uint32), ww[pairs], _lengths(pairs, b - a).astype(np.uint32), d[a:b], times[a:b]]
-                    rows.append((int(where[a]), base, [len(contexts), len(pairs), b - a], zip_.compress(b"".join(map(_planes, parts)))))
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            nonlocal made, ids, docs, parts, size
+            info, at = np.array(docs, _DOCS), np.concatenate(parts)
+            train = np.repeat(info["flags"] & 1 > 0, info["n"] + len(pad)) & ~_pads(info["n"], len(pad))
+            words = np.fromiter(map(token_hash, ids), np.uint64, len(ids))
+            counts = np.bincount(at[train], minlength=len(ids))
+            cols = [base + made, len({d[0] for d in docs}), int(info["n"].sum()), _zipped(info), _zipped(words), _zipped(counts.astype(np.uint32)), _zipped(at.astype(np.uint32))]
+            made, ids, docs, parts, size = made + 1, _Ids(), [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([c]) for c in cols], names=["chunk", "rows", "tokens", "docs", "words", "counts", "ids"])
 
         for batch in slices(batches):
-            for doc, train, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = words_of(text)
-                t = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-                infos.append((2 * len(infos) + int(train), -1 if doc is None else doc, doc is None, len(words) + 1))
-                tokens.append(t)
-                numbers.append(infos[-1][0])
-                docs += 1
-                held += len(t) + 1
-                if held >= BLOCK_TOKENS:
-                    yield flush()
-                    tokens, numbers, infos, held, block = [], [], [], 0, block + 1
-        if infos:
+            for doc_id, train, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before, flags, n = pad, int(bool(train)) + 2 * (doc_id is None), 0
+                for words in itertools.chain(_segments((text or "").encode("utf-8").lower()), [None]):
+                    last = words is None
+                    words = [_END] if last else words
+                    if not words:
+                        continue
+                    if n == 0:
+                        parts.append(np.fromiter(map(ids.__getitem__, before), np.int32, len(before)))
+                    parts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+                    n, size = n + len(words), size + sum(map(len, words)) + len(words)
+                    before = [*before, *words[-order:]][len(before) + len(words[-order:]) - len(pad):]
+                    if size >= chunk_bytes or last:
+                        docs.append((base + row, doc_id or 0, flags, n))
+                        n = 0
+                    if size >= chunk_bytes:
+                        yield flush()
+                row += 1
+        if docs:
             yield flush()
-        tokens, numbers, infos = [], [], []
-        _HASHES.clear()
         hand_back()
 
-    return pack
+    return run
 
 
-def _unpack(base: int, sizes, data: bytes):
-    import zstandard
+def _pads(n: np.ndarray, pads: int) -> np.ndarray:
+    """Which places of a chunk hold marks before a document's tokens."""
+    out = np.zeros(int(n.sum()) + pads * len(n), bool)
+    first = np.cumsum(n + pads) - (n + pads)
+    for k in range(pads):
+        out[first + k] = True
+    return out
+
+
+class _Chunk:
+    """A chunk read back: ``rank(k)`` gives its different n-grams of k tokens."""
+
+    def __init__(self, row: dict, order: int, buckets: int, heavy: dict[int, dict[int, int]]):
+        self.info = _unzipped(row["docs"], _DOCS)
+        self.words, self.ids = _unzipped(row["words"], "<u8"), _unzipped(row["ids"], "<u4").astype(np.int64)
+        self.counts = _unzipped(row["counts"], "<u4").astype(np.int64)
+        self.targets = np.flatnonzero(~_pads(self.info["n"], order - 1))
+        self.train = np.repeat(self.info["flags"] & 1 > 0, self.info["n"])
+        self.buckets, self.heavy, self.found = buckets, heavy, {}
+
+    def _grams(self, k: int):
+        """(n-gram of k tokens that ends at every place, hashes of context and token)."""
+        if k == 1:
+            return self.ids, np.zeros(len(self.words), np.uint64), self.words
+        if k not in self.found:
+            below, h, w = self._grams(k - 1)
+            keys = self.ids.copy()
+            keys[1:] |= below[:-1] << 32
+            one, at = np.unique(keys, return_inverse=True)
+            whole = self.words if k == 2 else _mixed(h, w)
+            self.found[k] = at, whole[one >> 32], self.words[one & 0xFFFFFFFF]
+        return self.found[k]
+
+    def asks(self, k: int):
+        """The n-grams that end at a token, in the order they are asked in, with the
+        buckets' bounds: contexts, tokens, times (in training, in all), and for every token its place."""
+        at, h, w = self._grams(k)
+        if k == 1:
+            b = bucket_of(w, w, self.buckets, {})
+            order = np.lexsort((w, b))
+        else:
+            b = bucket_of(h, w, self.buckets, self.heavy.get(k, {}))
+            order = np.lexsort((w, h, b))
+        at = at[self.targets]
+        times = np.bincount(at, minlength=len(h))
+        seen = self.counts if k == 1 else np.bincount(at[self.train], minlength=len(h))
+        order = order[times[order] > 0]            # n-grams over the border of two documents end at no token
+        place = np.empty(len(h), np.int64)
+        place[order] = np.arange(len(order))
+        bounds = np.searchsorted(b[order], np.arange(self.buckets + 1))
+        return h[order], w[order], seen[order], times[order], place[at], bounds
+
+
+def _answers(rows: list[dict], n: int, bounds: np.ndarray) -> np.ndarray:
+    out = np.empty(n)
+    for r in rows:
+        out[bounds[r["bucket"]]:bounds[r["bucket"] + 1]] = _unzipped(r["data"], "<f8")
+    return out
+
+
+def _ask(level: int, order: int, buckets: int, heavy: dict[int, dict[int, int]]):
+    """Chunks, beside what the level below answered, to rows of ``_ASKED``."""
+    def run(batches):
+        import pyarrow as pa
+
+        for row, answers in _grouped(batches):
+            chunk = _Chunk(row, order, buckets, heavy)
+            lower = None
+            if level > 1:
+                *_, below, bounds = chunk.asks(level - 1)
+                told = _answers(answers, bounds[-1], bounds)
+            h, w, seen, times, place, bounds = chunk.asks(level)
+            if level > 1:
+                lower = np.empty(len(h))
+                lower[place] = told[below]          # one value an n-gram: the token and shorter context are its own
+            out = []
+            for b in np.flatnonzero(np.diff(bounds)).tolist():
+                s = slice(int(bounds[b]), int(bounds[b + 1]))
+                first = _starts(h[s])
+                parts = [h[s][first], _lengths(first, s.stop - s.start).astype(np.uint32), w[s], seen[s].astype(np.uint32)]
+                parts += [times[s].astype(np.uint32)] if level < order else [np.empty(0, np.uint32)]
+                parts += [lower[s]] if level > 1 else []
+                out.append((b, s.stop - s.start, _framed(*map(_zipped, parts))))
+            chunk = lower = h = w = None
+            for at in range(0, len(out), 64):
+                b, n, data = zip(*out[at:at + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([row["chunk"]] * len(b), pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())],
+                                                 names=["bucket", "chunk", "n", "data"])
+        hand_back()
+
+    return run
 
-    n_h, n_p, n = sizes
-    raw = memoryview(zstandard.ZstdDecompressor().decompress(data))
-    out, at = [], 0
-    for count, dtype in ((n_h, "<u8"), (n_h, "<u4"), (n_p, "<u8"), (n_p, "<u4"), (n, "<u4"), (n, "<u4")):
-        size = count * np.dtype(dtype).itemsize
-        out.append(_array(raw[at:at + size], dtype))
-        at += size
-    h, h_pairs, w, w_posts, d, times = out
-    h = np.repeat(np.repeat(h, h_pairs), w_posts)
-    return h, np.repeat(w, w_posts), d.astype(np.int64) + base, times
-
-
-def _count(heavy: dict[int, int], row_postings: int, least_bigram: int):
-    heavy_x = np.array(sorted(heavy), np.uint64)
-
-    def row(bucket, blocks, docs):
-        out = {"bucket": bucket, "docs": docs, "counts": []}
-        if blocks:
-            columns = [list(c) for c in zip(*blocks, strict=True)]
-            blocks.clear()
-            h, w, d, t = (np.concatenate(columns.pop(0)) for _ in range(4))
-            order = np.lexsort((w, h))
-            h = h[order]                            # one at a time: the unsorted go as they are replaced
-            w = w[order]
-            d = d[order]
-            t = t[order]
-            del order
-            pairs = _starts(h, w)
-            c = np.add.reduceat(np.where(d & 1, t, 0), pairs, dtype=np.int64)
-            hot = np.isin(h[pairs], heavy_x)
-            out["counts"] = np.bincount(np.minimum(c[~hot], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1:DISCOUNTED + 2].tolist()
-            kept = hot | (c >= least_bigram)
-            n = _lengths(pairs, len(h))
-            post = np.repeat(kept, n)
-            out |= {"b_h": h[pairs][kept], "b_w": w[pairs][kept], "b_c": c[kept], "b_n": n[kept].astype(np.uint32), "b_d": d[post], "b_t": t[post],
-                    "b_heavy": hot[kept].astype(np.uint8)}
-            del w, pairs, post, n, kept, hot, c
-            order = np.lexsort((d, h))
-            h = h[order]
-            d = d[order]
-            t = t[order]
-            del order
-            at = _starts(h, d)
-            times = np.add.reduceat(t, at, dtype=np.int64)
-            h, d = h[at], d[at]
-            words = _starts(h)
-            # a word spread over buckets has its count in the model
-            out |= {"u_x": h[words], "u_c": np.add.reduceat(times * (d & 1), words), "u_n": _lengths(words, len(h)).astype(np.uint32), "u_d": d, "u_t": times.astype(np.uint32)}
-        return out
-
-    def count(batches):
+
+def _grouped(batches):
+    """(chunk, its answers) from rows that come sorted by chunk, the chunk itself first."""
+    row, answers = None, []
+    for batch in slices(batches, 64):
+        for r in batch.to_pylist():
+            if r["level"] == 0:
+                if row is not None:
+                    yield row, answers
+                row, answers = r, []
+            else:
+                answers.append(r)
+    if row is not None:
+        yield row, answers
+
+
+def _merge(level: int, order: int, heavy: dict[int, int], share: int, value):
+    """Rows of ``_ASKED`` that come sorted by bucket, a bucket to a row of ``_MERGED``."""
+    spread = np.sort(np.array(list(heavy), np.uint64))
+    kinds = {"int": "int32", "long": "int64", "binary": "binary"}
+
+    def merged(bucket: int, rows: list[dict]) -> dict:
+        asked = [_parts(r["data"]) for r in rows]
+        column = lambda i, t: np.concatenate([_unzipped(p[i], t) for p in asked])
+        h, w = np.repeat(column(0, "<u8"), column(1, "<u4")), column(2, "<u8")
+        perm = np.lexsort((w, h))
+        h, w = h[perm], w[perm]
+        first = _starts(h, w)
+        at = np.empty(len(perm), np.uint32)
+        at[perm] = np.repeat(np.arange(len(first), dtype=np.uint32), _lengths(first, len(h)))
+        h, w = h[first], w[first]
+        c = np.add.reduceat(column(3, "<u4").astype(np.int64)[perm], first)
+        lower = column(5, "<f8")[perm[first]] if level > 1 else np.empty(0)
+        few = np.bincount(c[c <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
+        heavy_x, heavy_t = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if level < order:
+            t = np.add.reduceat(column(4, "<u4").astype(np.int64)[perm], first)
+            big = np.flatnonzero(t >= share)
+            heavy_x, heavy_t = (w if level == 1 else _mixed(h, w))[big], t[big]
+        runs = _starts(h)
+        length, open_ = _lengths(runs, len(h)), np.isin(h[runs], spread)
+        beyond = []                                  # contexts that other buckets hold too
+        for a, n in zip(runs[open_].tolist(), length[open_].tolist(), strict=True):
+            own = c[a:a + n]
+            beyond.append((own.sum(), value(lower[a:a + n][own > 0]).sum(), *np.bincount(own[own <= DISCOUNTED], minlength=DISCOUNTED + 1)[1:]))
+        return {"bucket": bucket, "chunks": np.array([(r["chunk"], r["n"]) for r in rows], "<i8").tobytes(), "at": _zipped(at),
+                "contexts": _framed(_zipped(length.astype(np.uint32)), h[runs[open_]].tobytes(), _zipped(open_.astype(np.uint8))),
+                "c": _zipped(c), "lower": _zipped(lower), "counts": few[1:].tobytes(), "tokens": int(c.sum()), "types": int((c > 0).sum()),
+                "heavy_x": heavy_x.tobytes(), "heavy_t": heavy_t.tobytes(), "spread_x": h[runs[open_]].tobytes(), "spread_sums": np.array(beyond, "<f8").tobytes()}
+
+    def run(batches):
         import pyarrow as pa
-        import zstandard
-
-        names = [c.split()[0] for c in _TABLE.split(", ")]
-
-        def batch_of(found):
-            cols = [pa.array([found["bucket"]], pa.int32()), pa.array([found["docs"]], pa.binary()), pa.array([found["counts"]], pa.list_(pa.int64()))]
-            cols += [pa.array([_zipped(found[n]) if n in found else b""], pa.binary()) for n in names[3:]]
-            return pa.RecordBatch.from_arrays(cols, names=names)
-
-        def rows_of(found):
-            """The postings of a bucket in rows of bounded size. An entry cut by a
-            row's end goes on in the next row, its count negative."""
-            most = max(len(found.get("u_d", ())), len(found.get("b_d", ())))
-            for at in range(0, max(1, most), row_postings):
-                one = {"bucket": found["bucket"], "docs": found["docs"], "counts": found["counts"] if not at else []}
-                for kind, own in (("u", ("x",)), ("b", ("h", "w", "heavy"))):
-                    n = found.get(f"{kind}_n", np.empty(0, np.uint32)).astype(np.int64)
-                    ends = np.cumsum(n)
-                    low, high = np.maximum(ends - n, at), np.minimum(ends, at + row_postings)
-                    here = np.flatnonzero(high > low)
-                    if len(here):
-                        one |= {f"{kind}_{c}": found[f"{kind}_{c}"][here] for c in own}
-                        one[f"{kind}_c"] = np.where((ends - n)[here] >= at, 1, -1) * found[f"{kind}_c"][here]
-                        one[f"{kind}_n"] = (high - low)[here].astype(np.uint32)
-                        one |= {f"{kind}_{c}": found[f"{kind}_{c}"][at:at + row_postings] for c in ("d", "t")}
-                yield batch_of(one)
-
-        bucket, blocks = None, []
-        for batch in slices(batches, 16):
+
+        schema = pa.schema([(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in _MERGED.split(", ")])
+        bucket, rows = None, []
+        for batch in slices(batches, 64):
             for r in batch.to_pylist():
-                if r["bucket"] < 0:                     # what the documents are
-                    info = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.int64).reshape(-1, 4).copy()
-                    info[:, 0] += r["base"]
-                    yield batch_of(row(r["bucket"], [], info.tobytes()))
-                    continue
                 if r["bucket"] != bucket:
-                    if blocks:
-                        yield from rows_of(row(bucket, blocks, b""))
-                        hand_back()
-                    bucket, blocks = r["bucket"], []
-                blocks.append(_unpack(r["base"], r["sizes"], r["data"]))
-        if blocks:
-            yield from rows_of(row(bucket, blocks, b""))
+                    if rows:
+                        yield pa.RecordBatch.from_pylist([merged(bucket, rows)], schema=schema)
+                    bucket, rows = r["bucket"], []
+                rows.append(r)
+        if rows:
+            yield pa.RecordBatch.from_pylist([merged(bucket, rows)], schema=schema)
         hand_back()
 
-    return count
+    return run
 
 
-def _explode(names_and_types: list[tuple[str, str, str]]):
-    """A row per entry of the packed columns."""
-    def explode(batches):
+def _discounted(c: np.ndarray, d: dict[int, float]) -> np.ndarray:
+    out = c.astype(np.float64)
+    for r, x in d.items():
+        out[c == r] = r * x
+    return out
+
+
+def _answer(level: int, d: dict[int, float], value, spread: dict[int, tuple[float, float, float]]):
+    """A row of ``_MERGED`` to what it tells each chunk that asked: training counts of single tokens,
+    else log10 P(w | h). ``spread``: count, discounted count and lower-order mass of contexts in several buckets."""
+    xs = np.sort(np.array(list(spread), np.uint64))
+    sums = np.array([spread[int(x)] for x in xs], np.float64).reshape(-1, 3)
+
+    def told(r: dict) -> np.ndarray:
+        c = _unzipped(r["c"], "<i8")
+        if level == 1:
+            return c.astype(np.float64)
+        length, own, open_ = _parts(r["contexts"])
+        length, open_ = _unzipped(length, "<u4").astype(np.int64), _unzipped(open_, np.uint8) > 0
+        runs, p, dc = np.cumsum(length) - length, value(_unzipped(r["lower"], "<f8")), _discounted(c, d)
+        total, mass, covered = (np.add.reduceat(x, runs).astype(np.float64) for x in (c, dc, np.where(c > 0, p, 0.0)))
+        i = np.searchsorted(xs, np.frombuffer(own, "<u8"))
+        for k, x in enumerate((total, mass, covered)):
+            x[open_] = sums[i, k]
+        of = np.where(mass >= total * (1 - 1e-12), total + 1, total)
+        seen = total > 0
+        weight = np.ones(len(of))
+        weight[seen] = (1 - mass[seen] / of[seen]) / (1 - covered[seen])
+        weight, of = np.repeat(weight, length), np.repeat(of, length)
+        return np.log10(np.where(c > 0, dc / of, weight * p))
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, 1):
-            cols = [pa.array(_unzipped(batch.column(i)[0].as_py(), dtype).astype(to)) for i, (_, dtype, to) in enumerate(names_and_types)]
-            whole = pa.RecordBatch.from_arrays(cols, names=[n for n, _, _ in names_and_types])
-            yield from (whole.slice(at, 65_536) for at in range(0, max(1, whole.num_rows), 65_536))
-            cols = whole = None
+            r = batch.to_pylist()[0]
+            values, at = told(r), _unzipped(r["at"], "<u4")
+            chunks = np.frombuffer(r["chunks"], "<i8").reshape(-1, 2)
+            ends = np.cumsum(chunks[:, 1])
+            for k in range(0, len(chunks), 64):
+                data = [_zipped(values[at[ends[i] - chunks[i, 1]:ends[i]]]) for i in range(k, min(k + 64, len(chunks)))]
+                yield pa.RecordBatch.from_arrays([pa.array(chunks[k:k + 64, 0]), pa.array([level] * len(data), pa.int32()), pa.array([r["bucket"]] * len(data), pa.int32()),
+                                                  pa.array(data, pa.binary())], names=["chunk", "level", "bucket", "data"])
         hand_back()
 
-    return explode
+    return run
+
+
+def _sums(order: int, buckets: int, heavy: dict[int, dict[int, int]], first, every: float):
+    """Chunks, beside the answers of the first and last level, to a row for each document (or part of one)."""
+    def run(batches):
+        import pyarrow as pa
+
+        for row, answers in _grouped(batches):
+            chunk = _Chunk(row, order, buckets, heavy)
+            *_, place, bounds = chunk.asks(1)
+            c = _answers([a for a in answers if a["level"] == 1], bounds[-1], bounds)[place]
+            if order > 1:
+                *_, place, bounds = chunk.asks(order)
+                score = _answers([a for a in answers if a["level"] == order], bounds[-1], bounds)[place]
+            else:
+                score = np.log10(first(c))
+            info, starts = chunk.info, np.cumsum(chunk.info["n"]) - chunk.info["n"]
+            known, base, score = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - every, score))
+            yield pa.RecordBatch.from_arrays([pa.array(info["row"].copy()), pa.array(info["doc_id"].copy(), mask=info["flags"] & 2 > 0), pa.array(info["flags"] & 1 > 0),
+                                              pa.array(info["n"].copy()), pa.array(known), pa.array(base), pa.array(score)],
+                                             names=["row", "doc_id", "train", "n", "known", "base", "score"])
+        hand_back()
 
+    return run
 
-def _saved_by_bucket(df: DataFrame, parts: int) -> DataFrame:
-    """``df`` written below the shared checkpoint folder as a table bucketed on
-    ``bucket``, so that the second pass reads the postings where they lie and only
-    the much smaller model is shuffled to them. The catalog's entry goes at once;
-    the files, which the frame read back names, stay."""
-    spark = df.sparkSession
-    name = f"postings_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, "bucket").option("compression", "zstd").option("path", scratch_path(spark, "postings")).saveAsTable(name, format="parquet")
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return table
 
+def heavy_contexts(merged: DataFrame, buckets: int) -> dict[int, int]:
+    """N-grams of a level that hold more than an eighth of a bucket's share of all tokens, at most
+    ``8 * buckets`` of them, and over how many buckets the next level spreads what follows them."""
+    rows = merged.select("heavy_x", "heavy_t", "share").filter(F.length("heavy_x") > 0).collect()
+    found = {}
+    for r in rows:
+        for x, t in zip(np.frombuffer(r.heavy_x, "<u8").tolist(), np.frombuffer(r.heavy_t, "<i8").tolist(), strict=True):
+            found[x] = min(buckets, -(-t // r.share))
+    return found
 
-def _release(spark) -> None:
-    """Let the driver's cleaner drop the shuffle files of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+def _spread_totals(merged: DataFrame, d: dict[int, float]) -> dict[int, tuple[float, float, float]]:
+    """Count, discounted count and lower-order mass of the contexts in several buckets: at most
+    ``16 * buckets`` rows are read."""
+    totals: dict[int, np.ndarray] = {}
+    for r in merged.select("spread_x", "spread_sums").filter(F.length("spread_x") > 0).orderBy("bucket").collect():
+        for x, s in zip(np.frombuffer(r.spread_x, "<u8").tolist(), np.frombuffer(r.spread_sums, "<f8").reshape(-1, 2 + DISCOUNTED), strict=True):
+            totals[x] = totals.get(x, 0) + s
+    less = np.array([r * (1 - d[r]) for r in range(1, DISCOUNTED + 1)])
+    return {x: (s[0], s[0] - float(s[2:] @ less), s[1]) for x, s in totals.items()}
 
-def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, bucket_bytes: int = BUCKET_BYTES, row_postings: int = ROW_POSTINGS,
-                    least_bigram: int = LEAST_BIGRAM) -> DataFrame:
-    """Scores of every row's whole text, learnt from the rows whose crc32 of the id,
-    modulo ``modulus``, is not ``held_out``: ``doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score``.
 
-    Bigrams seen fewer than ``least_bigram`` times back off; with 1 every bigram of
-    the training rows is in the model, those seen once with Katz's d_1.
+def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, order: int = 2, chunk_bytes: int = CHUNK_BYTES,
+                    bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """Scores of every row's whole text under a model of ``order`` tokens, learnt from the rows
+    whose crc32 of the id, modulo ``modulus``, is not ``held_out``: ``doc_id, held_out,
+    n_tokens, n_known, train_tokens, base_score, score``. Every n-gram of the training rows
+    is in the model. A text begins with ``order - 1`` marks that are never predicted.
 
     Null, empty and blank texts are the end token alone; a null ``doc_id`` counts
     as the empty id and stays null; repeated rows are counted and scored each;
     other columns are not read; an empty table gives no rows. Without training
-    rows every token is unknown and has probability 1.
+    rows every token is unknown and has probability 1. Texts longer than a chunk
+    go on in the next one.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    buckets = max(12, -(-size // bucket_bytes))
-    heavy = heavy_contexts(docs, buckets)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = _saved_by_bucket(docs.select("doc_id", (doc_remainder(F.col("doc_id"), modulus) != held_out).alias("train"), "text").mapInArrow(_pack(buckets, heavy), _PACKED)
-                             .repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(heavy, row_postings, least_bigram), _TABLE), parts)
-    _release(spark)
-
-    info = (table.filter("bucket < 0").select(F.explode(F.expr("transform(sequence(0, cast(length(docs) / 32 as int) - 1), i -> substring(docs, 32 * i + 1, 32))")).alias("r"))
-            .mapInArrow(_doc_rows, "d long, doc_id long, n_tokens long"))
-    info = saved(info, "documents")
-    trained = info.filter("d % 2 = 1").count()
-    start, end = (int(np.uint64(m).astype(np.int64)) for m in marks())
-    heavy_s = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)), s) for x, s in heavy.items()], "x long, spread int")
-
-    # counts: only contexts that were spread over buckets have more than one row
-    packed = table.filter("bucket >= 0")
-    unigrams = packed.select("u_x", "u_c").mapInArrow(_explode([("x", "<u8", "int64"), ("c", "<i8", "int64")]), "x long, c long")
-    ends = spark.createDataFrame([(end, trained)], "x long, c long")
-    unigrams = saved(unigrams.filter(F.col("x") != start).unionByName(ends).filter("c > 0").groupBy("x").agg(F.sum("c").alias("c")), "unigrams")
-    pairs = packed.select("b_h", "b_w", "b_c", "b_heavy").mapInArrow(
-        _explode([("h", "<u8", "int64"), ("w", "<u8", "int64"), ("c", "<i8", "int64"), ("heavy", "u1", "int32")]), "h long, w long, c long, heavy int")
-    spread = pairs.filter("heavy = 1 and c > 0").groupBy("h", "w").agg(F.sum("c").alias("c"))
-    bigrams = saved(pairs.filter("heavy = 0 and c > 0").select("h", "w", "c", F.lit(False).alias("heavy")).unionByName(spread.withColumn("heavy", F.lit(True))), "bigrams")
-
-    total = unigrams.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = total.n or 0, total.v
-    few = unigrams.filter(F.col("c") <= DISCOUNTED + 1).groupBy("c").count().collect()
-    one = {r.c: r["count"] for r in few}
-    two = {r: 0 for r in range(1, DISCOUNTED + 2)}
-    for r in packed.select(F.posexplode("counts").alias("r", "m")).groupBy("r").agg(F.sum("m").alias("m")).collect():
-        two[r.r + 1] += r.m
-    for r in bigrams.filter("heavy").filter(F.col("c") <= DISCOUNTED + 1).groupBy("c").count().collect():
-        two[r.c] += r["count"]
-    d1, d2 = good_turing(one), good_turing(two)
-    lost = sum(one.get(r, 0) * r * (1 - x) for r, x in d1.items())
-    whole = n if lost > 0 else n + 1                     # the unknown token has mass in any case
-    unknown = (whole - n + lost) / whole if n else 1.0
-
-    # probabilities and back-off weights
-    p1 = unigrams.select("x", "c", (_discount(d1) / F.lit(float(whole or 1))).alias("p"))
-    held = bigrams.filter(F.col("c") >= least_bigram).withColumn("dc", _discount(d2))
-    held = held.join(p1.select(F.col("x").alias("w"), F.col("p").alias("p_w")), "w")
-    contexts = unigrams.filter(F.col("x") != end).unionByName(spark.createDataFrame([(start, trained)], "x long, c long"))
-    weights = (held.groupBy("h").agg(F.sum("dc").alias("mass"), F.sum("p_w").alias("covered"))
-               .join(contexts.select(F.col("x").alias("h"), F.col("c").alias("c_h")), "h")
-               .withColumn("of", F.when(F.col("mass") >= F.col("c_h") * (1 - 1e-12), F.col("c_h") + 1.0).otherwise(F.col("c_h").cast("double")))
-               .select("h", "of", F.log10((1 - F.col("mass") / F.col("of")) / (1 - F.col("covered"))).alias("a")))
-    weights = saved(weights, "weights")
-    _release(spark)
-    ratio = F.log10(F.col("dc") / F.col("of")) - F.col("a") - F.log10("p_w")
-    two_rows = held.join(weights, "h").select(F.col("h").alias("x"), "w", ratio.alias("v"), F.lit(None).cast("long").alias("c"))
-    # other words have their whole count beside their postings, and weight 1
-    spread_of = F.broadcast(heavy_s)                     # HEAVY_MOST rows at most
-    one_rows = (p1.join(weights.select(F.col("h").alias("x"), "a"), "x", "left").join(spread_of, "x", "left").filter("a is not null or spread is not null")
-                .select("x", F.lit(0).cast("long").alias("w"), (F.log10("p") + F.coalesce("a", F.lit(0.0))).alias("v"), "c"))
-    first = weights.filter(F.col("h") == start).select("h", "a").first()
-    last = p1.filter(F.col("x") == end).first()
-    top = F.expr(f"shiftrightunsigned(x, 32) * {buckets}L")
-    model = (two_rows.unionByName(one_rows).join(spread_of, "x", "left")
-             .withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)))
-             .withColumn("bucket", F.pmod(F.shiftrightunsigned(top, 32) + F.col("s"), F.lit(buckets)).cast("int")).select("bucket", "x", "w", "v", "c"))
-    model = saved(model, "model")
-    _release(spark)
-
-    posted = packed.select("bucket", *_POSTED)
-    partial = posted.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_look_up(start, math.log10(unknown), {r: r * x for r, x in d1.items()}, float(whole or 1)), _PARTIAL)
-    sums = partial.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_add_up, "d long, score double, base double, known long")
-    always = (first.a if first else 0.0) + math.log10(last.p if last else unknown)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (doc_remainder(F.col("doc_id").cast("long"), modulus) != held_out).alias("train"), "text")
+    chunks = saved(docs.mapInArrow(_chunks(order, chunk_bytes), _CHUNK), "chunks")
+    size = chunks.agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"), F.count("*").alias("chunks")).first()
+    tokens = size.tokens or 0
+    buckets = max(LEAST_BUCKETS, -(-tokens // bucket_tokens))
+    share = max(1, tokens // (8 * buckets))
+    parts, tasks = min(buckets, MOST_TASKS), min(max(LEAST_BUCKETS, size.chunks), MOST_TASKS)
+    rows = chunks.select("chunk", F.lit(0).alias("level"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), "docs", "words", "counts", "ids")
+
+    def with_answers(*answers: DataFrame) -> DataFrame:
+        told = rows
+        for a in answers:
+            told = told.unionByName(a, allowMissingColumns=True)
+        return told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "level") if answers else rows
+
+    heavy, told, value = {}, {}, None
+    for level in range(1, order + 1):
+        if level > 1:
+            starts = {start_context(level - 1): min(buckets, -(-(size.rows or 0) // share) or 1)}
+            heavy[level] = starts | heavy_contexts(merged, buckets)
+        asked = with_answers(*([told[level - 1]] if level > 1 else [])).mapInArrow(_ask(level, order, buckets, dict(heavy)), _ASKED)
+        by_bucket = asked.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "chunk")
+        merged = saved(by_bucket.mapInArrow(_merge(level, order, heavy.get(level, {}), share, value), _MERGED), f"level{level}").withColumn("share", F.lit(share))
+        stats = merged.select("counts", "tokens", "types").collect()              # a row a bucket
+        few = sum((np.frombuffer(r.counts, "<i8") for r in stats), np.zeros(DISCOUNTED + 1, np.int64))
+        d = good_turing({r: int(few[r - 1]) for r in range(1, DISCOUNTED + 2)})
+        spread = _spread_totals(merged, d) if level > 1 else {}
+        told[level] = merged.select("bucket", "chunks", "at", "contexts", "c", "lower").mapInArrow(_answer(level, d, value, spread), _ANSWER)
+        if level == 1:
+            n, v = sum(r.tokens for r in stats), sum(r.types for r in stats)
+            value = first = _unigram(n, {r: int(few[r - 1]) for r in d}, d)
+        else:
+            value = _power
     every = math.log10(n + 0.1 * (v + 1))
-    return (info.join(sums, "d", "left").select(
-        "doc_id", (F.col("d") % 2 == 0).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0)) + (1 if trained else 0)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce("base", F.lit(0.0)) + math.log10(trained + 0.1) - F.col("n_tokens") * every).alias("base_score"),
-        (F.coalesce("score", F.lit(0.0)) + always).alias("score")))
-
-
-def _doc_rows(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        info = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 4)
-        ids = pa.array(info[:, 1], pa.int64(), mask=info[:, 2] == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(info[:, 0]), ids, pa.array(info[:, 3])], names=["d", "doc_id", "n_tokens"])
-
-
-def _look_up(start: int, unknown: float, discounted: dict[int, float], whole: float):
-    """Per document of a bucket: sums over its postings of what the model says. A
-    word that the model does not name has its whole count beside its postings."""
-    def look_up(left, right):
-        if not left.num_rows:
-            return _packed_sums(np.empty(0, np.int64), [np.empty(0)] * 3)
-        x, w, v = (right.column(n).to_numpy() for n in ("x", "w", "v"))
-        x, w = x.view(np.uint64), w.view(np.uint64)
-        is_one = right.column("c").is_valid().to_numpy()
-        c = right.column("c").fill_null(0).to_numpy()
-        one, two = np.flatnonzero(is_one), np.flatnonzero(~is_one)
-        one = one[np.argsort(x[one])]
-        one_x, one_v, one_c = x[one], v[one], c[one]
-        two = two[np.lexsort((w[two], x[two]))]
-        two_x, two_w, two_v = x[two], w[two], v[two]
-        pieces = []
-        for k in range(left.num_rows):
-            r = {n: left.column(n)[k].as_py() for n in _POSTED}
-            ux, un, ud, ut = _unzipped(r["u_x"], "<u8"), _unzipped(r["u_n"], "<u4"), _unzipped(r["u_d"], "<i8"), _unzipped(r["u_t"], "<u4").astype(np.float64)
-            docs, sums = [], []
-            if len(ux):
-                count = np.abs(_unzipped(r["u_c"], "<i8")).astype(np.float64)
-                mass = count.copy()
-                for times, left_of in discounted.items():
-                    mass[count == times] = left_of
-                value = np.full(len(ux), unknown)
-                value[count > 0] = np.log10(mass[count > 0] / whole)
-                if len(one_x):
-                    i = np.minimum(np.searchsorted(one_x, ux), len(one_x) - 1)
-                    hit = one_x[i] == ux
-                    value[hit], count[hit] = one_v[i[hit]], one_c[i[hit]]
-                base, known = np.log10(count + 0.1), (count > 0).astype(np.float64)
-                opens = ux == np.uint64(start % (1 << 64))      # the start is a context, not a token
-                value[opens] = base[opens] = known[opens] = 0.0
-                docs.append(ud)
-                sums.append([np.repeat(a, un) * ut for a in (value, base, known)])
-            bh, bw, bn = _unzipped(r["b_h"], "<u8"), _unzipped(r["b_w"], "<u8"), _unzipped(r["b_n"], "<u4")
-            if len(bh) and len(two_x):
-                gain = np.zeros(len(bh))
-                # the model's pairs of the contexts at hand, ranked among ours
-                a, b = np.searchsorted(two_x, bh[0]), np.searchsorted(two_x, bh[-1], side="right")
-                h, ww = np.append(bh, two_x[a:b]), np.append(bw, two_w[a:b])
-                order = np.lexsort((ww, h))
-                h, ww = h[order], ww[order]
-                same = np.flatnonzero((h[1:] == h[:-1]) & (ww[1:] == ww[:-1]))
-                gain[order[same]] = two_v[a:b][order[same + 1] - len(bh)]
-                docs.append(_unzipped(r["b_d"], "<i8"))
-                score = np.repeat(gain, bn) * _unzipped(r["b_t"], "<u4")
-                sums.append([score, np.zeros(len(score)), np.zeros(len(score))])
-            if docs:
-                pieces.append(_by_document(np.concatenate(docs), [np.concatenate(s) for s in zip(*sums, strict=True)]))
-            if len(pieces) == 16:
-                pieces = [_merged(pieces)]
-        return _packed_sums(*_merged(pieces)) if pieces else _packed_sums(np.empty(0, np.int64), [np.empty(0)] * 3)
-
-    def group(left, right):
-        found = look_up(left, right)
-        hand_back()
-        return found
+    last = with_answers(*(told[k] for k in sorted({1, order}))).mapInArrow(_sums(order, buckets, dict(heavy), first, every), _SUMS)
+    return last.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "score")]).select(
+        "doc_id", (~F.col("train")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score")
 
-    return group
 
+def _unigram(n: int, few: dict[int, int], d: dict[int, float]):
+    """Training count of a token -> its probability; tokens never seen are one, with what the others lost."""
+    lost = sum(few[r] * r * (1 - x) for r, x in d.items())
+    whole = n if lost > 0 else n + 1                     # the unknown token has mass in any case
+    unknown = (whole - n + lost) / whole if n else 1.0
 
-def _packed_sums(d: np.ndarray, sums: list[np.ndarray]):
-    """A row for each group of neighbouring documents: steps from one document to
-    the next, sums as integers of 2 ** -FRACTION. ``d`` ascends."""
-    import pyarrow as pa
-    import zstandard
-
-    zip_ = zstandard.ZstdCompressor(level=1)
-    score, base, known = sums
-    whole = [np.rint(score * 2.0 ** FRACTION).astype(np.int64), np.rint(base * 2.0 ** FRACTION).astype(np.int64), np.rint(known).astype(np.int64)]
-    g = d >> GROUP_BITS
-    at = _starts(g)
-    rows = []
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(d)], strict=False):
-        inside = (d[a:b] & ((1 << GROUP_BITS) - 1)).astype(np.uint16)
-        rows.append(zip_.compress(b"".join(map(_planes, [np.diff(inside, prepend=np.uint16(0)), *(x[a:b] for x in whole)]))))
-    return pa.table({"g": pa.array(g[at], pa.int64()), "n": pa.array(_lengths(at, len(d)), pa.int64()), "data": pa.array(rows, pa.binary())})
-
-
-def _add_up(batches):
-    """Sums by document over rows of :func:`_packed_sums` that come sorted by group:
-    one array of a group's documents is held."""
-    import pyarrow as pa
-    import zstandard
+    def value(c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, _discounted(c, d) / max(whole, 1), unknown)
 
-    unzip = zstandard.ZstdDecompressor()
-    group, total, met = None, None, None
+    return value
 
-    def whole():
-        at = np.flatnonzero(met)
-        score, base, known = (total[k][at] for k in range(3))
-        cols = [at + (group << GROUP_BITS), score / 2.0 ** FRACTION, base / 2.0 ** FRACTION, known]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "score", "base", "known"])
 
-    for batch in slices(batches, 16):
-        for r in batch.to_pylist():
-            if r["g"] != group:
-                if group is not None:
-                    yield whole()
-                group, total, met = r["g"], np.zeros((3, 1 << GROUP_BITS), np.int64), np.zeros(1 << GROUP_BITS, bool)
-            n, raw = r["n"], memoryview(unzip.decompress(r["data"]))
-            at = np.cumsum(_array(raw[:2 * n], "<u2"), dtype=np.int64)
-            met[at] = True
-            for k in range(3):
-                total[k][at] += _array(raw[2 * n + 8 * n * k:2 * n + 8 * n * (k + 1)], "<i8")      # a document once a row
-    if group is not None:
-        yield whole()
-    hand_back()
-
-
-def _by_document(d: np.ndarray, sums: list[np.ndarray]):
-    one, at = np.unique(d, return_inverse=True)
-    return one, [np.bincount(at, weights=a, minlength=len(one)) for a in sums]
-
-
-def _merged(pieces):
-    return _by_document(np.concatenate([d for d, _ in pieces]), [np.concatenate(a) for a in zip(*(s for _, s in pieces), strict=True)])
+def _power(x: np.ndarray) -> np.ndarray:
+    return 10.0 ** x

@@ -1,6 +1,7 @@
 """Operators of parlance.llm against brute force on small tables that hold nulls,
 empty texts, ties, repeated rows and columns with clashing names."""
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -99,54 +100,54 @@ def test_least_squares():
     assert (used[1:] <= histogram[1:]).all() and all(need @ np.arange(65) == 64 for need, _ in packing.solve_repeats(histogram))
 
 
-def test_katz(docs, none, texts, monkeypatch):
-    spread = {katz.token_hash(b"the"): 3, katz.token_hash(b"absent"): 2}
-    monkeypatch.setattr(katz, "heavy_contexts", lambda d, b: spread)
-    rows = katz.score_documents(docs, bucket_bytes=4_000, row_postings=23).collect()
+@pytest.mark.parametrize(("order", "spread"), [(1, False), (2, False), (2, True), (3, True)])
+def test_katz(docs, none, texts, monkeypatch, order, spread):
+    if spread:
+        monkeypatch.setattr(katz, "heavy_contexts", lambda d, b: {katz.token_hash(b"the"): 3, katz.token_hash(b"absent"): 2})
+    rows = katz.score_documents(docs, order=order, chunk_bytes=4_000, bucket_tokens=23 if order == 3 else 500).collect()
     all_texts = [*enumerate(texts), (7, texts[7])]
-    words = [(i, [*(t or "").encode().lower().split(), b" e"]) for i, t in all_texts]
+    words = [(i, [b" s"] * (order - 1) + [*(t or "").encode().lower().split(), b" e"]) for i, t in all_texts]
     out = {i for i, _ in all_texts if zlib.crc32(str(i).encode()) % 10 == 0}
-    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+    seen = [collections.Counter() for _ in range(order + 1)]
     for i, w in words:
-        if i not in out:
-            before = [b" s", *w[:-1]]
-            one.update(w)
-            context.update(before)
-            two.update(zip(before, w, strict=True))
+        for k in range(1, order + 1):
+            if i not in out:
+                seen[k].update(tuple(w[j - k + 1:j + 1]) for j in range(order - 1, len(w)))
+    one = seen[1]
     n, v = sum(one.values()), len(one)
-    d1, d2 = katz.good_turing(collections.Counter(one.values())), katz.good_turing(collections.Counter(two.values()))
-    lost = sum(c * (1 - d1[c]) for c in one.values() if c in d1)
+    d = [katz.good_turing(collections.Counter(c.values())) for c in seen]
+    lost = sum(c * (1 - d[1][c]) for c in one.values() if c in d[1])
     whole = n if lost > 0 else n + 1
-    unknown = (whole - n + lost) / whole
-
-    def p1(w):
-        return d1.get(one[w], 1) * one[w] / whole if w in one else unknown
-
-    held = collections.defaultdict(list)
-    for (h, w), c in two.items():
-        if c >= 2:
-            held[h].append((w, c))
-    of, weight = {}, {}
-    for h, own in held.items():
-        mass = sum(d2.get(c, 1) * c for _, c in own)
-        of[h] = context[h] + (mass >= context[h] * (1 - 1e-12))
-        weight[h] = (1 - mass / of[h]) / (1 - sum(p1(w) for w, _ in own))
-
-    def p2(h, w):
-        c = two[h, w]
-        return d2.get(c, 1) * c / of[h] if c >= 2 else weight.get(h, 1.0) * p1(w)
-
-    for h in [b" s", b"the", b"of"]:
-        assert abs(sum(p2(h, w) for w in one) + weight.get(h, 1.0) * unknown - 1) < 1e-9
+    follow = collections.defaultdict(list)
+    for k in range(2, order + 1):
+        for g, c in seen[k].items():
+            follow[g[:-1]].append((g[-1], c))
+
+    @functools.cache
+    def back_off(h):
+        mass, total = sum(d[len(h) + 1].get(c, 1) * c for _, c in follow[h]), sum(c for _, c in follow[h])
+        of = total + (mass >= total * (1 - 1e-12))
+        return of, (1 - mass / of) / (1 - sum(p(h[1:], w) for w, _ in follow[h])) if total else 1.0
+
+    @functools.cache
+    def p(h, w):
+        if not h:
+            return d[1].get(one[w,], 1) * one[w,] / whole if one[w,] else (whole - n + lost) / whole
+        c = seen[len(h) + 1][(*h, w)]
+        return d[len(h) + 1].get(c, 1) * c / back_off(h)[0] if c else back_off(h)[1] * p(h[1:], w)
+
+    for h in [(b" s",) * (order - 1), (b"the", b"of")[:order - 1], (b"x", b"x")[:order - 1]]:
+        assert abs(sum(p(h, w) for w, in one) + p(h, b"never") - 1) < 1e-9
     want = collections.defaultdict(list)
     for i, w in words:
-        want[i].append((i in out, len(w), sum(t in one for t in w), n, sum(math.log10((one[t] + .1) / (n + .1 * (v + 1))) for t in w),
-                        sum(math.log10(p2(h, t)) for h, t in zip([b" s", *w[:-1]], w, strict=True))))
+        own = w[order - 1:]
+        want[i].append((i in out, len(own), sum(one[t,] > 0 for t in own), n, sum(math.log10((one[t,] + .1) / (n + .1 * (v + 1))) for t in own),
+                        sum(math.log10(p(tuple(w[j - order + 1:j]), w[j])) for j in range(order - 1, len(w)))))
     assert len(rows) == len(words)
     for r in rows:
         assert tuple(r)[1:5] == want[r.doc_id][0][:4]
         assert tuple(r)[5:] == pytest.approx(want[r.doc_id][0][4:], rel=1e-9)
-    assert katz.score_documents(none).count() == 0
+    assert katz.score_documents(none, order=order).count() == 0
 
 
 def distance(pattern, text):
