@@ -8,13 +8,14 @@ by bucket of the n-gram's context: context, token, times seen in training docume
 and what the level below says of the token, which that level has just answered. So a
 bucket holds all there is to know of its contexts. It adds up the counts of its
 n-grams, and writes them as a row of the level's table; the counts of counts of all
-rows (six numbers) give the Good-Turing discounts, and a pass over the rows gives
+rows (six numbers) give the Good-Turing discounts, and a pass over the rows tells the
+chunks that asked, in the order they asked in, the counts of their n-grams and the c(h)
+and a(h) of their contexts. With these a chunk evaluates, token by token,
 
     P(w | h) = d c(h w) / c(h)           where the training documents have (h, w)
              = a(h) P(w | shorter h)     else; a(h) makes the sum over all w one
 
-with a(h) = 1 where h was never seen, back to the chunks that asked, in the order
-they asked in. The last answers are summed by document. No join meets a single n-gram.
+with a(h) = 1 where h was never seen, and sums by document. No join meets a single n-gram.
 
 Contexts of more than their share of a bucket are spread over several by the hash of
 the token. They are known exactly from the level below, where they were counted, and what
@@ -290,15 +291,31 @@ class _Chunk:
         return h[order], w[order], seen[order], times[order], place[at], bounds
 
 
-def _answers(rows: list[dict], n: int, bounds: np.ndarray) -> np.ndarray:
-    out = np.empty(n)
-    for r in rows:
-        out[bounds[r["bucket"]]:bounds[r["bucket"] + 1]] = _unzipped(r["data"], "<f8")
-    return out
+    def told(self, answers: list[dict], levels: int, discounts: list[dict[int, float]], first) -> tuple[np.ndarray, np.ndarray]:
+        """(training count, probability under the model of ``levels`` tokens) of every token,
+        level by level from what the buckets answered."""
+        for level in range(1, levels + 1):
+            h, *_, place, bounds = self.asks(level)
+            mine = {r["bucket"]: _parts(r["data"]) for r in answers if r["level"] == level}
+            c, of, weight = (np.empty(len(h)) for _ in range(3))
+            for b, (times, totals, weights) in mine.items():
+                s = slice(int(bounds[b]), int(bounds[b + 1]))
+                c[s] = _unzipped(times, "<i8")
+                if level > 1:
+                    runs = _starts(h[s])
+                    n = _lengths(runs, s.stop - s.start)
+                    of[s], weight[s] = np.repeat(_unzipped(totals, "<f8"), n), np.repeat(_unzipped(weights, "<f8"), n)
+            if level == 1:
+                count = c[place]
+                p = first(count)
+            else:
+                p = np.where(c[place] > 0, (_discounted(c, discounts[level]) / np.maximum(of, 1))[place], weight[place] * p)
+        return count, p
 
 
-def _ask(level: int, order: int, buckets: int, heavy: dict[int, dict[int, int]]):
-    """Chunks, beside what the level below answered, to rows of ``_ASKED``."""
+def _ask(level: int, order: int, buckets: int, heavy: dict[int, dict[int, int]], discounts: list[dict[int, float]], first):
+    """Chunks, beside what the levels below answered, to rows of ``_ASKED``. The second
+    level tells the count of a token, which packs better than its probability."""
     def run(batches):
         import pyarrow as pa
 
@@ -306,17 +323,16 @@ def _ask(level: int, order: int, buckets: int, heavy: dict[int, dict[int, int]])
             chunk = _Chunk(row, order, buckets, heavy)
             lower = None
             if level > 1:
-                *_, below, bounds = chunk.asks(level - 1)
-                told = _answers(answers, bounds[-1], bounds)
+                told = chunk.told(answers, level - 1, discounts, first)[min(level - 2, 1)]
             h, w, seen, times, place, bounds = chunk.asks(level)
             if level > 1:
                 lower = np.empty(len(h))
-                lower[place] = told[below]          # one value an n-gram: the token and shorter context are its own
+                lower[place] = told                 # one value an n-gram: the token and shorter context are its own
             out = []
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 s = slice(int(bounds[b]), int(bounds[b + 1]))
-                first = _starts(h[s])
-                parts = [h[s][first], _lengths(first, s.stop - s.start).astype(np.uint32), w[s], seen[s].astype(np.uint32)]
+                runs = _starts(h[s])
+                parts = [h[s][runs], _lengths(runs, s.stop - s.start).astype(np.uint32), w[s], seen[s].astype(np.uint32)]
                 parts += [times[s].astype(np.uint32)] if level < order else [np.empty(0, np.uint32)]
                 parts += [lower[s]] if level > 1 else []
                 out.append((b, s.stop - s.start, _framed(*map(_zipped, parts))))
@@ -406,19 +422,17 @@ def _discounted(c: np.ndarray, d: dict[int, float]) -> np.ndarray:
 
 
 def _answer(level: int, d: dict[int, float], value, spread: dict[int, tuple[float, float, float]]):
-    """A row of ``_MERGED`` to what it tells each chunk that asked: training counts of single tokens,
-    else log10 P(w | h). ``spread``: count, discounted count and lower-order mass of contexts in several buckets."""
+    """A row of ``_MERGED`` to what it tells each chunk that asked: the training counts of its
+    n-grams, and for each of its contexts what discounted counts are divided by and the back-off weight.
+    ``spread``: count, discounted count and lower-order mass of contexts in several buckets."""
     xs = np.sort(np.array(list(spread), np.uint64))
     sums = np.array([spread[int(x)] for x in xs], np.float64).reshape(-1, 3)
 
-    def told(r: dict) -> np.ndarray:
-        c = _unzipped(r["c"], "<i8")
-        if level == 1:
-            return c.astype(np.float64)
+    def contexts(r: dict, c: np.ndarray):
         length, own, open_ = _parts(r["contexts"])
         length, open_ = _unzipped(length, "<u4").astype(np.int64), _unzipped(open_, np.uint8) > 0
-        runs, p, dc = np.cumsum(length) - length, value(_unzipped(r["lower"], "<f8")), _discounted(c, d)
-        total, mass, covered = (np.add.reduceat(x, runs).astype(np.float64) for x in (c, dc, np.where(c > 0, p, 0.0)))
+        runs, p = np.cumsum(length) - length, value(_unzipped(r["lower"], "<f8"))
+        total, mass, covered = (np.add.reduceat(x, runs).astype(np.float64) for x in (c, _discounted(c, d), np.where(c > 0, p, 0.0)))
         i = np.searchsorted(xs, np.frombuffer(own, "<u8"))
         for k, x in enumerate((total, mass, covered)):
             x[open_] = sums[i, k]
@@ -426,19 +440,24 @@ def _answer(level: int, d: dict[int, float], value, spread: dict[int, tuple[floa
         seen = total > 0
         weight = np.ones(len(of))
         weight[seen] = (1 - mass[seen] / of[seen]) / (1 - covered[seen])
-        weight, of = np.repeat(weight, length), np.repeat(of, length)
-        return np.log10(np.where(c > 0, dc / of, weight * p))
+        return np.repeat(np.arange(len(length)), length), of, weight
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, 1):
             r = batch.to_pylist()[0]
-            values, at = told(r), _unzipped(r["at"], "<u4")
+            c, at = _unzipped(r["c"], "<i8"), _unzipped(r["at"], "<u4")
+            context, of, weight = contexts(r, c) if level > 1 else (None, np.empty(0), np.empty(0))
             chunks = np.frombuffer(r["chunks"], "<i8").reshape(-1, 2)
             ends = np.cumsum(chunks[:, 1])
+
+            def told(i):
+                own = at[ends[i] - chunks[i, 1]:ends[i]]
+                mine = context[own][_starts(context[own])] if level > 1 else np.empty(0, np.int64)
+                return _framed(_zipped(c[own]), _zipped(of[mine]), _zipped(weight[mine]))
             for k in range(0, len(chunks), 64):
-                data = [_zipped(values[at[ends[i] - chunks[i, 1]:ends[i]]]) for i in range(k, min(k + 64, len(chunks)))]
+                data = [told(i) for i in range(k, min(k + 64, len(chunks)))]
                 yield pa.RecordBatch.from_arrays([pa.array(chunks[k:k + 64, 0]), pa.array([level] * len(data), pa.int32()), pa.array([r["bucket"]] * len(data), pa.int32()),
                                                   pa.array(data, pa.binary())], names=["chunk", "level", "bucket", "data"])
         hand_back()
@@ -446,22 +465,16 @@ def _answer(level: int, d: dict[int, float], value, spread: dict[int, tuple[floa
     return run
 
 
-def _sums(order: int, buckets: int, heavy: dict[int, dict[int, int]], first, every: float):
-    """Chunks, beside the answers of the first and last level, to a row for each document (or part of one)."""
+def _sums(order: int, buckets: int, heavy: dict[int, dict[int, int]], discounts: list[dict[int, float]], first, every: float):
+    """Chunks, beside the answers of all levels, to a row for each document (or part of one)."""
     def run(batches):
         import pyarrow as pa
 
         for row, answers in _grouped(batches):
             chunk = _Chunk(row, order, buckets, heavy)
-            *_, place, bounds = chunk.asks(1)
-            c = _answers([a for a in answers if a["level"] == 1], bounds[-1], bounds)[place]
-            if order > 1:
-                *_, place, bounds = chunk.asks(order)
-                score = _answers([a for a in answers if a["level"] == order], bounds[-1], bounds)[place]
-            else:
-                score = np.log10(first(c))
+            c, p = chunk.told(answers, order, discounts, first)
             info, starts = chunk.info, np.cumsum(chunk.info["n"]) - chunk.info["n"]
-            known, base, score = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - every, score))
+            known, base, score = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - every, np.log10(p)))
             yield pa.RecordBatch.from_arrays([pa.array(info["row"].copy()), pa.array(info["doc_id"].copy(), mask=info["flags"] & 2 > 0), pa.array(info["flags"] & 1 > 0),
                                               pa.array(info["n"].copy()), pa.array(known), pa.array(base), pa.array(score)],
                                              names=["row", "doc_id", "train", "n", "known", "base", "score"])
@@ -507,39 +520,42 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, order
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (doc_remainder(F.col("doc_id").cast("long"), modulus) != held_out).alias("train"), "text")
     chunks = saved(docs.mapInArrow(_chunks(order, chunk_bytes), _CHUNK), "chunks")
-    size = chunks.agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"), F.count("*").alias("chunks")).first()
+    size = chunks.agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"), F.count("*").alias("chunks"), F.max(F.col("chunk") % (1 << 40)).alias("most")).first()
     tokens = size.tokens or 0
     buckets = max(LEAST_BUCKETS, -(-tokens // bucket_tokens))
     share = max(1, tokens // (8 * buckets))
     parts, tasks = min(buckets, MOST_TASKS), min(max(LEAST_BUCKETS, size.chunks), MOST_TASKS)
     rows = chunks.select("chunk", F.lit(0).alias("level"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), "docs", "words", "counts", "ids")
 
-    def with_answers(*answers: DataFrame) -> DataFrame:
+    slot = ((F.shiftright("chunk", 40) * (size.most + 1) + F.col("chunk") % (1 << 40)) % tasks).cast("int") if size.chunks else F.lit(0)
+
+    def with_answers() -> DataFrame:
         told = rows
         for a in answers:
             told = told.unionByName(a, allowMissingColumns=True)
-        return told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "level") if answers else rows
+        return told.repartitionById(tasks, slot).sortWithinPartitions("chunk", "level") if answers else rows
 
-    heavy, told, value = {}, {}, None
+    heavy, answers, discounts, value, first = {}, [], [{}], None, None
     for level in range(1, order + 1):
         if level > 1:
             starts = {start_context(level - 1): min(buckets, -(-(size.rows or 0) // share) or 1)}
             heavy[level] = starts | heavy_contexts(merged, buckets)
-        asked = with_answers(*([told[level - 1]] if level > 1 else [])).mapInArrow(_ask(level, order, buckets, dict(heavy)), _ASKED)
+        asked = with_answers().mapInArrow(_ask(level, order, buckets, dict(heavy), list(discounts), first), _ASKED)
         by_bucket = asked.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "chunk")
         merged = saved(by_bucket.mapInArrow(_merge(level, order, heavy.get(level, {}), share, value), _MERGED), f"level{level}").withColumn("share", F.lit(share))
         stats = merged.select("counts", "tokens", "types").collect()              # a row a bucket
         few = sum((np.frombuffer(r.counts, "<i8") for r in stats), np.zeros(DISCOUNTED + 1, np.int64))
         d = good_turing({r: int(few[r - 1]) for r in range(1, DISCOUNTED + 2)})
         spread = _spread_totals(merged, d) if level > 1 else {}
-        told[level] = merged.select("bucket", "chunks", "at", "contexts", "c", "lower").mapInArrow(_answer(level, d, value, spread), _ANSWER)
+        answers.append(merged.select("bucket", "chunks", "at", "contexts", "c", "lower").mapInArrow(_answer(level, d, value, spread), _ANSWER))
+        discounts.append(d)
         if level == 1:
             n, v = sum(r.tokens for r in stats), sum(r.types for r in stats)
             value = first = _unigram(n, {r: int(few[r - 1]) for r in d}, d)
         else:
-            value = _power
+            value = _same
     every = math.log10(n + 0.1 * (v + 1))
-    last = with_answers(*(told[k] for k in sorted({1, order}))).mapInArrow(_sums(order, buckets, dict(heavy), first, every), _SUMS)
+    last = with_answers().mapInArrow(_sums(order, buckets, heavy, discounts, first, every), _SUMS)
     return last.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "score")]).select(
         "doc_id", (~F.col("train")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score")
@@ -557,5 +573,5 @@ def _unigram(n: int, few: dict[int, int], d: dict[int, float]):
     return value
 
 
-def _power(x: np.ndarray) -> np.ndarray:
-    return 10.0 ** x
+def _same(p: np.ndarray) -> np.ndarray:
+    return p
