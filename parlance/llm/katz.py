@@ -291,23 +291,32 @@ class _Chunk:
         return h[order], w[order], seen[order], times[order], place[at], bounds
 
 
+    def numbered(self, w: np.ndarray) -> np.ndarray:
+        """Tokens, given as hashes, by the numbers of the first level: a place in a bucket and
+        the bucket. One token, one number, of as many bits as the vocabulary needs."""
+        tokens, numbers = self.numbers
+        return numbers[np.searchsorted(tokens, w)]
+
     def told(self, answers: list[dict], levels: int, discounts: list[dict[int, float]], first) -> tuple[np.ndarray, np.ndarray]:
         """(training count, probability under the model of ``levels`` tokens) of every token,
         level by level from what the buckets answered."""
         for level in range(1, levels + 1):
-            h, *_, place, bounds = self.asks(level)
+            h, w, *_, place, bounds = self.asks(level)
             mine = {r["bucket"]: _parts(r["data"]) for r in answers if r["level"] == level}
             c, of, weight = (np.empty(len(h)) for _ in range(3))
             for b, (times, totals, weights) in mine.items():
                 s = slice(int(bounds[b]), int(bounds[b + 1]))
                 c[s] = _unzipped(times, "<i8")
-                if level > 1:
+                if level == 1:
+                    of[s] = _unzipped(totals, "<u4") * float(self.buckets) + b
+                else:
                     runs = _starts(h[s])
                     n = _lengths(runs, s.stop - s.start)
                     of[s], weight[s] = np.repeat(_unzipped(totals, "<f8"), n), np.repeat(_unzipped(weights, "<f8"), n)
             if level == 1:
                 count = c[place]
                 p = first(count)
+                self.numbers = w, of.astype(np.uint64)       # tokens come sorted by hash
             else:
                 p = np.where(c[place] > 0, (_discounted(c, discounts[level]) / np.maximum(of, 1))[place], weight[place] * p)
         return count, p
@@ -328,6 +337,8 @@ def _ask(level: int, order: int, buckets: int, heavy: dict[int, dict[int, int]],
             if level > 1:
                 lower = np.empty(len(h))
                 lower[place] = told                 # one value an n-gram: the token and shorter context are its own
+            if 1 < level == order:
+                w = chunk.numbered(w)               # lower levels need hashes to name longer contexts
             out = []
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 s = slice(int(bounds[b]), int(bounds[b + 1]))
@@ -423,7 +434,7 @@ def _discounted(c: np.ndarray, d: dict[int, float]) -> np.ndarray:
 
 def _answer(level: int, d: dict[int, float], value, spread: dict[int, tuple[float, float, float]]):
     """A row of ``_MERGED`` to what it tells each chunk that asked: the training counts of its
-    n-grams, and for each of its contexts what discounted counts are divided by and the back-off weight.
+    n-grams; of single tokens also their places in the bucket, and of longer ones for each of its contexts what discounted counts are divided by and the back-off weight.
     ``spread``: count, discounted count and lower-order mass of contexts in several buckets."""
     xs = np.sort(np.array(list(spread), np.uint64))
     sums = np.array([spread[int(x)] for x in xs], np.float64).reshape(-1, 3)
@@ -455,6 +466,8 @@ def _answer(level: int, d: dict[int, float], value, spread: dict[int, tuple[floa
             def told(i):
                 own = at[ends[i] - chunks[i, 1]:ends[i]]
                 mine = context[own][_starts(context[own])] if level > 1 else np.empty(0, np.int64)
+                if level == 1:
+                    return _framed(_zipped(c[own]), _zipped(own), b"")
                 return _framed(_zipped(c[own]), _zipped(of[mine]), _zipped(weight[mine]))
             for k in range(0, len(chunks), 64):
                 data = [told(i) for i in range(k, min(k + 64, len(chunks)))]
