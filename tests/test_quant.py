@@ -91,3 +91,23 @@ def test_matmul_paths_agree(spark):
     for (b, row), y in fast.items():
         for got in (y, wside[(b, row)], blocks[(b, row)]):
             assert abs(got - ref[b, row]) < 1e-9
+
+
+def test_mse_grid_runs_in_batches_and_keeps_odd_rows(spark):
+    rows = [(0, [0.5, -1.0, 0.25]), (1, [0.1, 2.0, -0.3]), (2, None), (3, [1.0, None, 0.5]), (4, [0.0, 0.0, 0.0]), (5, [])]
+    df = spark.createDataFrame(rows, "row long, vec array<double>")
+    q = Q.mse_params(df, 3, False)
+    assert "ArrowEvalPython" in q._jdf.queryExecution().executedPlan().toString()
+    got = {r["row"]: r for r in q.collect()}
+    for r, vec in rows[:2]:
+        lo, hi = min(min(vec), 0.0), max(max(vec), 0.0)
+        errs = []
+        for i in range(80):
+            p = 1.0 - i / 100.0
+            s = (p * hi - p * lo) / 7
+            z = round(-(p * lo) / s)
+            errs.append((sum(abs(s * (min(max(round(x / s) + z, 0), 7) - z) - x) ** 2.4 for x in vec), i))
+        assert got[r]["best_i"] == min(errs)[1]
+        assert abs(got[r]["err"] - min(errs)[0]) < 1e-12
+    assert got[2]["err"] is None and got[3]["err"] is None
+    assert got[4]["best_i"] == 0 and got[4]["err"] == 0.0 and got[5]["err"] == 0.0
