@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 
+SHORT_GROUP = 32        # rows of a group up to which groups are added up side by side
 _PART, _ROW, _OPEN = "_range", "_row", "_open"
 
 
@@ -35,6 +36,30 @@ def _changes(batch, keys: list[int]):
     return out
 
 
+def _sums_by_group(x, starts, ends, carry):
+    """Sums up to each row and before it within the groups [start, end), the first group's
+    on top of ``carry``. Short groups are added up side by side, row after row in each."""
+    import numpy as np
+
+    total = x.copy()
+    size = ends - starts
+    short = starts[size <= SHORT_GROUP]
+    long = size[size <= SHORT_GROUP]
+    for k in range(1, SHORT_GROUP):
+        short, long = short[long > k], long[long > k]
+        if not len(short):
+            break
+        total[short + k] += total[short + k - 1]
+    for g in np.flatnonzero(size > SHORT_GROUP):
+        np.cumsum(x[starts[g]:ends[g]], out=total[starts[g]:ends[g]])
+    total[:ends[0]] += np.asarray(carry, x.dtype)
+    before = np.empty_like(total)
+    before[1:] = total[:-1]
+    before[starts] = 0
+    before[0] = carry
+    return total, before
+
+
 def _scan(keys: list[int], values: list[int], inclusive: bool):
     """A mapInArrow function: local running sums, the row's number in its range, and
     whether its key is the one that its range begins with."""
@@ -48,22 +73,15 @@ def _scan(keys: list[int], values: list[int], inclusive: bool):
             if not n:
                 continue
             first = tuple(batch.column(k)[0].as_py() for k in keys)
-            cuts = (np.flatnonzero(_changes(batch, keys)) + 1).tolist()
+            cuts = np.flatnonzero(_changes(batch, keys)) + 1
             if last is not None and first != last:
                 carry, opening = None, False
-            starts, ends = [0, *cuts], [*cuts, n]
+            starts, ends = np.r_[0, cuts], np.r_[cuts, n]
             carry = carry or [0] * len(values)
             sums = []
             for i, v in enumerate(values):
                 x = batch.column(v).to_numpy(zero_copy_only=False)
-                total, before = np.empty(n, x.dtype), np.empty(n, x.dtype)
-                for a, b in zip(starts, ends, strict=True):
-                    np.cumsum(x[a:b], out=total[a:b])
-                    before[a] = 0
-                    if a == 0:
-                        before[0] = carry[i]
-                        total[:b] += before[0]
-                    before[a + 1:b] = total[a:b - 1]
+                total, before = _sums_by_group(x, starts, ends, carry[i])
                 sums.append(total if inclusive else before)
                 carry[i] = total[-1].item()
             opened = np.zeros(n, bool)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import drop_end_marker, ends_with_any, trim_stop
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .scan import running_sums
 from .sizing import broadcast_if_small
 
@@ -41,13 +41,17 @@ def bigram_model(train_docs: DataFrame, part=("dataset",), tokens: str = "tokens
 
     unigrams: part, token, cnt; bigrams: part, prev, next, cnt;
     contexts: part, prev, ctx_cnt; stats: part, total (tokens), v (distinct
-    tokens). All are partial (map-side combined) aggregations.
+    tokens). All are partial (map-side combined) aggregations. A token is a context
+    wherever it does not end its document, so one pass over the tokens, written once,
+    counts unigrams and contexts, and the bigrams are counted for ``big`` alone.
     """
     part = list(part)
-    uni = (train_docs.select(*part, F.explode(tokens).alias("token"))
-           .groupBy(*part, "token").agg(F.count(F.lit(1)).alias("cnt")))
+    seen = (train_docs.select(*part, F.size(tokens).alias("_n"), F.posexplode(tokens).alias("_i", "token"))
+            .groupBy(*part, "token").agg(F.count(F.lit(1)).alias("cnt"), F.count(F.when(F.col("_i") < F.col("_n") - 1, 1)).alias("ctx_cnt")))
+    seen = stored(seen, "unigrams")
+    uni = seen.select(*part, "token", "cnt")
     big = doc_bigrams(train_docs, part, tokens).groupBy(*part, "prev", "next").agg(F.count(F.lit(1)).alias("cnt"))
-    ctx = big.groupBy(*part, "prev").agg(F.sum("cnt").alias("ctx_cnt"))
+    ctx = seen.filter(F.col("ctx_cnt") > 0).select(*part, F.col("token").alias("prev"), "ctx_cnt")
     stats = uni.groupBy(*part).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("v"))
     return uni, big, ctx, stats
 
@@ -124,11 +128,11 @@ def top_p_filter(cands: DataFrame, top_p: float, part=("dataset",)) -> DataFrame
 
 
 def temperature_scale(cands: DataFrame, T: float, part=("dataset",)) -> DataFrame:
-    """q = p^(1/T) renormalised per context (per-context sums by partial agg)."""
+    """q = p^(1/T) renormalised per context, by a window over the keys that the candidates
+    are joined by; rows without a key have no context."""
     part = list(part) + ["ctx"]
-    c = cands.withColumn("_w", F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T)))
-    sums = c.groupBy(*part).agg(F.sum("_w").alias("_z"))
-    return c.join(sums, on=part).withColumn("q", F.col("_w") / F.col("_z")).drop("_w", "_z")
+    c = cands.dropna(subset=part).withColumn("_w", F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T)))
+    return c.withColumn("q", F.col("_w") / F.sum("_w").over(Window.partitionBy(*part))).drop("_w")
 
 
 def argmax_next(cands: DataFrame, part=()) -> DataFrame:

@@ -93,8 +93,9 @@ def fx_stream(spark, sf_dir) -> DataFrame:
 
 
 def fx_evalseg(spark, sf_dir) -> DataFrame:
-    from ..operators.corpus import eval_segments
-    ev = fx_stream(spark, sf_dir).filter(F.col("split") == "eval").drop("split")
+    from ..operators.corpus import eval_segments, token_stream
+    ev = fx_tokens(spark, sf_dir).filter(F.col("split") == "eval")          # the streams of the splits are apart
+    ev = token_stream(ev, part=("dataset", "split")).drop("split")
     return eval_segments(ev, L_WINDOW, part=("dataset",))
 
 

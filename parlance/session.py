@@ -79,6 +79,13 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+def stored(df, name: str):
+    """The table written once below the shared folder, in place of the plan that makes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 
