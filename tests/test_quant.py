@@ -111,3 +111,19 @@ def test_mse_grid_runs_in_batches_and_keeps_odd_rows(spark):
         assert abs(got[r]["err"] - min(errs)[0]) < 1e-12
     assert got[2]["err"] is None and got[3]["err"] is None
     assert got[4]["best_i"] == 0 and got[4]["err"] == 0.0 and got[5]["err"] == 0.0
+
+
+def test_matmul_blocks_and_slices_meet_once(spark, monkeypatch):
+    import numpy as np
+    for name, n in (("MAX_BROADCAST_X", 1), ("X_BLOCK", 8), ("W_BLOCK", 16), ("MATMUL_BLOCK", 5), ("X_SLICE", 3)):
+        monkeypatch.setattr(Q, name, n)
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(40, 32))
+    m = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "row long, vec array<double>")
+    packed = Q.pack_words(Q.rtn_quantize(Q.group_params(m, 4, False, 16, d=32), 4, 16), 4, 32)
+    deq = {r["row"]: r["deq"] for r in packed.select("row", "deq").collect()}
+    xs = m.select(m["row"].alias("b"), m["vec"].alias("x"))
+    rows = Q.dequant_matmul(xs, packed, 4, 32, 16).collect()
+    got = {(r["b"], r["row"]): r["y"] for r in rows}
+    assert len(rows) == len(got) == 1600
+    assert all(abs(y - float(np.dot(vecs[b], deq[w]))) < 1e-9 for (b, w), y in got.items())
