@@ -127,3 +127,20 @@ def test_matmul_blocks_and_slices_meet_once(spark, monkeypatch):
     got = {(r["b"], r["row"]): r["y"] for r in rows}
     assert len(rows) == len(got) == 1600
     assert all(abs(y - float(np.dot(vecs[b], deq[w]))) < 1e-9 for (b, w), y in got.items())
+
+
+def test_matmul_blocks_copy_no_row(spark, monkeypatch):
+    for name, n in (("MAX_BROADCAST_X", 1), ("X_BLOCK", 8), ("W_BLOCK", 16), ("MATMUL_BLOCK", 5), ("X_SLICE", 3)):
+        monkeypatch.setattr(Q, name, n)
+    rng = np.random.default_rng(6)
+    ids = [None, *range(39)]
+    vecs = {i: rng.normal(size=32) for i in ids}
+    m = spark.createDataFrame([(i, vecs[i].tolist()) for i in ids], "row long, vec array<double>")
+    packed = Q.pack_words(Q.rtn_quantize(Q.group_params(m, 4, False, 16, d=32), 4, 16), 4, 32)
+    deq = {r["row"]: r["deq"] for r in packed.select("row", "deq").collect()}
+    y = Q.dequant_matmul(m.select(m["row"].alias("b"), m["vec"].alias("x")), packed, 4, 32, 16)
+    plan = y._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan      # copies of rows were shuffled, one for each block they met
+    rows = y.collect()
+    assert len(rows) == len({(r["b"], r["row"]) for r in rows}) == 1600
+    assert all(abs(r["y"] - float(np.dot(vecs[r["b"]], deq[r["row"]]))) < 1e-9 for r in rows)
