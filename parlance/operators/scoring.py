@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Sequence
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.text import drop_end_marker, ends_with_any, trim_stop
 from ..session import checkpointed, stored
-from .scan import running_sums
+from .packed import SCHEMA, bucket, buckets, codes, pack_rows, pair_counts, per_bucket, read_block, rows_of
+from .scan import _sums_by_group, running_sums
 from .sizing import broadcast_if_small
 
 NANO = 1_000_000_000  # nll is summed as integer nano-nats: exact and order-free
@@ -36,21 +38,24 @@ def doc_bigrams(docs: DataFrame, part=("dataset",), tokens: str = "tokens") -> D
             .select(*part, F.col("_p.0").alias("prev"), F.col("_p.1").alias("next")))
 
 
-def bigram_model(train_docs: DataFrame, part=("dataset",), tokens: str = "tokens"):
+def bigram_model(train_docs: DataFrame, part=("dataset",), tokens: str = "tokens", totals: bool = False):
     """Counts for an interpolated bigram model: (unigrams, bigrams, contexts, stats).
 
     unigrams: part, token, cnt; bigrams: part, prev, next, cnt;
     contexts: part, prev, ctx_cnt; stats: part, total (tokens), v (distinct
     tokens). All are partial (map-side combined) aggregations. A token is a context
     wherever it does not end its document, so one pass over the tokens, written once,
-    counts unigrams and contexts, and the bigrams are counted for ``big`` alone.
+    counts unigrams and contexts, and the bigrams are counted for ``big`` alone. With
+    ``totals`` they travel packed by ``prev`` and have its count beside them, ``ctx_cnt``,
+    so that ``candidates`` needs no join.
     """
     part = list(part)
     seen = (train_docs.select(*part, F.size(tokens).alias("_n"), F.posexplode(tokens).alias("_i", "token"))
             .groupBy(*part, "token").agg(F.count(F.lit(1)).alias("cnt"), F.count(F.when(F.col("_i") < F.col("_n") - 1, 1)).alias("ctx_cnt")))
     seen = stored(seen, "unigrams")
     uni = seen.select(*part, "token", "cnt")
-    big = doc_bigrams(train_docs, part, tokens).groupBy(*part, "prev", "next").agg(F.count(F.lit(1)).alias("cnt"))
+    big = (pair_counts(train_docs, part, tokens) if totals else
+           doc_bigrams(train_docs, part, tokens).groupBy(*part, "prev", "next").agg(F.count(F.lit(1)).alias("cnt")))
     ctx = seen.filter(F.col("ctx_cnt") > 0).select(*part, F.col("token").alias("prev"), "ctx_cnt")
     stats = uni.groupBy(*part).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("v"))
     return uni, big, ctx, stats
@@ -111,7 +116,8 @@ def running_perplexity(nll: DataFrame, part=("dataset",), order: str = "pos") ->
 def candidates(big: DataFrame, ctx: DataFrame, part=("dataset",)) -> DataFrame:
     """Next-token candidate table: part, ctx, token, cnt, total (per ctx)."""
     part = list(part)
-    return (big.join(ctx, on=part + ["prev"])
+    counted = big.dropna(subset=part + ["prev"]) if "ctx_cnt" in big.columns else big.join(ctx, on=part + ["prev"])
+    return (counted
             .select(*part, F.col("prev").alias("ctx"), F.col("next").alias("token"), "cnt",
                     F.col("ctx_cnt").alias("total")))
 
@@ -269,7 +275,7 @@ def latency_summary(timings: DataFrame, run: str = "run", seconds: str = "second
             .select(run, "n_steps", "median_s", "mean_s", "max_s", "peak_mem"))
 
 
-MAX_LEVEL = 20   # a context is cut into 2^level slices; level ~ log2(candidates / 4)
+MAX_PROBES = 500_000   # prompts that draw at once: what they ask for is broadcast at every step
 
 
 def sampling_cdf(cands: DataFrame, top_p: float, T: float) -> DataFrame:
@@ -278,33 +284,64 @@ def sampling_cdf(cands: DataFrame, top_p: float, T: float) -> DataFrame:
     Weights are temperature-scaled ``(cnt/total)^(1/T)``; candidates in order
     (count desc, token) are kept while the scaled mass before them is below
     ``top_p`` of the context's scaled total (``top_p >= 1`` keeps all); each
-    kept candidate owns ``[lo, lo + w)`` of ``[0, z)``.
+    kept candidate owns ``[lo, lo + w)`` of ``[0, z)``. Rows travel once, packed by
+    context, and a bucket of contexts is added up in one task.
     Output: ctx, token, lo, w, z."""
-    c = cands.withColumn("w", F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T)))
-    c = running_sums(c, ["ctx"], [F.col("cnt").desc(), F.col("token").asc()], {"lo": "w"}, inclusive=False)
-    zall = c.groupBy("ctx").agg(F.sum("w").alias("_zall"))
-    c = c.join(zall, on="ctx")
-    if top_p < 1:
-        c = c.filter(F.col("lo") < F.lit(top_p) * F.col("_zall"))
-    z = c.groupBy("ctx").agg(F.sum("w").alias("z"))
-    return c.join(z, on="ctx").select("ctx", "token", "lo", "w", "z")
-
-
-def sampling_table(cdf: DataFrame) -> DataFrame:
-    """The distribution cut into slices for equi-join lookups: a context with n
-    kept candidates is cut into ``2^level`` equal slices (level ≈ log2(n/4))
-    and each candidate is listed under the slices it overlaps, so the table
-    stays about the size of the candidate list and a draw finds its candidate
-    among a handful of rows even for a context with millions of them.
-    Output: ctx, level, bkt, token, lo, z."""
-    n = cdf.groupBy("ctx").agg(F.count(F.lit(1)).alias("_n"))
-    c = cdf.join(n, on="ctx")
-    level = F.least(F.greatest(F.ceil(F.log2(F.col("_n") / 4.0)), F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
-    c = c.withColumn("level", level).withColumn("_nb", F.pow(F.lit(2.0), F.col("level")))
-    top = (F.col("_nb") - 1).cast("int")
-    b0 = F.least(F.floor(F.col("lo") * F.col("_nb") / F.col("z")).cast("int"), top)
-    b1 = F.least(F.floor((F.col("lo") + F.col("w")) * F.col("_nb") / F.col("z")).cast("int"), top)
-    return c.select("ctx", "level", F.explode(F.sequence(b0, b1)).alias("bkt"), "token", "lo", "z")
+    def added(table):
+        import numpy as np
+        import pyarrow as pa
+
+        code, token = codes(table.column("ctx"))[0], codes(table.column("token"))[0]
+        table = table.take(np.lexsort([token, -table.column("cnt").to_numpy(), code]))
+        code, w = codes(table.column("ctx"))[0], np.nan_to_num(table.column("w").to_numpy())
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        ends = np.r_[starts[1:], len(code)]
+        total, lo = _sums_by_group(w, starts, ends, 0)
+        size = ends - starts
+        keep = lo < top_p * np.repeat(total[ends - 1], size) if top_p < 1 else np.ones(len(lo), bool)
+        kept = np.add.reduceat(keep.astype(np.int64), starts)
+        z = np.repeat(total[starts + np.maximum(kept, 1) - 1], size)
+        out = pa.table([table.column("ctx"), table.column("token"), pa.array(lo), table.column("w"), pa.array(z)], names=["ctx", "token", "lo", "w", "z"])
+        return out.filter(pa.array(keep))
+
+    n = buckets(cands.sparkSession)
+    w = F.pow(F.col("cnt").cast("double") / F.col("total").cast("double"), F.lit(1.0 / T))
+    c = cands.filter(F.col("ctx").isNotNull()).select("ctx", "token", F.col("cnt").cast("long").alias("cnt"), w.alias("w"), bucket("ctx", n).alias("_b"))
+    c = c.mapInArrow(pack_rows(["ctx", "token"], ["ctx", "cnt", "token"], down=["cnt"]), SCHEMA)
+    return per_bucket(c, added, "ctx string, token string, lo double, w double, z double")
+
+
+def sampling_table(cdf: DataFrame, n: int) -> DataFrame:
+    """The distribution packed into blocks of the ``n`` buckets of its contexts, in which
+    a draw is a search: sorted by (ctx, lo), a few bytes a candidate. Written once; a
+    bucket may have several blocks.
+    Output: _b, n (candidates), block."""
+    c = cdf.filter(F.col("ctx").isNotNull()).select("ctx", "token", "lo", "z", bucket("ctx", n).alias("_b"))
+    return stored(c.mapInArrow(pack_rows(["ctx", "token"], ["ctx", "lo"]), SCHEMA), "sampling")
+
+
+def _draw(batches):
+    """A mapInArrow function over (block, asked): for each asked (i, last, u) whose context is
+    in the block, the last candidate that starts at or before ``u * z``: i, token, lo."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        for block, asked in zip(batch.column(0), batch.column(1), strict=True):
+            rows, asked = read_block(block), asked.values
+            i, last, u = (asked.field(k) for k in ("i", "last", "u"))
+            code = rows.column("ctx").indices.to_numpy()
+            lo, z = rows.column("lo").to_numpy(), rows.column("z").to_numpy()
+            at = pc.index_in(last, rows.column("ctx").dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+            here = np.flatnonzero(at >= 0)
+            first, end = np.searchsorted(code, at[here], "left"), np.searchsorted(code, at[here], "right")
+            x = u.to_numpy()[here] * z[first]
+            found = np.array([a + np.searchsorted(lo[a:e], v, "right") - 1 for a, e, v in zip(first, end, x, strict=True)], np.int64)
+            hit = found >= first
+            found = found[hit]
+            yield pa.RecordBatch.from_arrays([i.take(pa.array(here[hit])), rows.column("token").take(pa.array(found)).dictionary_decode(),
+                                              pa.array(lo[found])], names=["_i", "token", "lo"])
 
 
 def uniform(seed, *parts) -> Column:
@@ -321,47 +358,40 @@ def batch_generate_sampled(prompts: DataFrame, cdf: DataFrame, fallback: Column,
     ``u * z`` (the last candidate starting at or before it). Contexts never
     seen continue with ``fallback``.
 
-    Under the checked broadcast bound the distribution is broadcast as sorted
-    arrays and all steps run inside one ``mapInPandas`` pass over the
-    Spark-partitioned prompts (a ``searchsorted`` per draw). Beyond it, each
-    step probes the slice table (equi-join on ctx, level, slice) with the
-    narrow prompt state, reduces with a per-prompt ``max_by`` and checkpoints;
-    the slice table is hash-partitioned by its lookup key once. Both paths
+    The distribution is written once, packed into buckets of contexts. Under the
+    checked broadcast bound it is broadcast as sorted arrays and all steps run inside
+    one ``mapInPandas`` pass over the Spark-partitioned prompts (a ``searchsorted``
+    per draw). Beyond it, each step broadcasts what the prompts ask for, at most
+    ``MAX_PROBES`` of them at a time, to the blocks of the packed table, which
+    are never shuffled again: only the prompts' state is. Both paths
     pick the same tokens. Stop sequences are applied at the end as in greedy
     decoding."""
-    keys = list(keys)
+    keys, spark = list(keys), prompts.sparkSession
     from .sizing import MAX_BROADCAST_ROWS
-    cdf = checkpointed(cdf.select("ctx", "token", "lo", "w", "z"))
-    if cdf.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        gen_df = _sample_in_tasks(prompts, cdf, fallback, max_new, seed, keys, tokens)
+    n = buckets(spark)
+    table = sampling_table(cdf, n)
+    if (table.agg(F.sum("n")).first()[0] or 0) <= MAX_BROADCAST_ROWS:
+        small = rows_of(table, "ctx string, token string, lo double, z double")
+        gen_df = _sample_in_tasks(prompts, small, fallback, max_new, seed, keys, tokens)
         return _finish_generation(_beside(prompts.select(*keys, tokens), gen_df, keys), tokens, stops)
-    state = prompts.select(*keys, F.try_element_at(tokens, F.lit(-1)).alias("_last"),
-                           F.array().cast("array<string>").alias("generated"))
-    tab = (sampling_table(cdf).select(F.col("ctx").alias("_last"), F.col("level").alias("_lv"), F.col("bkt").alias("_bkt"),
-                        "token", "lo", "z")
-           .repartition("_last", "_lv", "_bkt"))
-    tab = checkpointed(tab)
-    # probe only the slice levels the table uses (one small aggregate)
-    top_level = tab.agg(F.max("_lv")).first()[0]
-    top_level = MAX_LEVEL if top_level is None else int(top_level)
-    for t in range(max_new):
-        u = uniform(seed, *[F.col(k) for k in keys], t)
-        probe = (state.withColumn("_u", u)
-                 .withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(top_level))))
-                 .withColumn("_bkt", F.least(F.floor(F.col("_u") * F.pow(F.lit(2.0), F.col("_lv"))),
-                                             F.pow(F.lit(2.0), F.col("_lv")) - 1).cast("int")))
-        j = probe.join(tab, on=["_last", "_lv", "_bkt"], how="left")
-        j = j.filter(F.col("lo").isNull() | (F.col("lo") <= F.col("_u") * F.col("z")))
-        g = j.groupBy(*keys).agg(F.first("generated").alias("generated"), F.first("_last").alias("_last"),
-                                 F.max_by("token", "lo").alias("_tok"))
-        nxt = F.when(F.col("_last").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_tok"), fallback))
-        state = (g.withColumn("_nxt", nxt)
-                 .withColumn("generated", F.when(F.col("_nxt").isNull(), F.col("generated"))
-                             .otherwise(F.concat("generated", F.array(F.col("_nxt")))))
-                 .withColumn("_last", F.coalesce(F.col("_nxt"), F.col("_last"))).drop("_tok", "_nxt"))
-        if t % 4 == 3:
-            state = checkpointed(state)
-    return _finish_generation(_beside(prompts.select(*keys, tokens), state.select(*[F.col(k).cast("string").alias(k) for k in keys], "generated"), keys), tokens, stops)
+    else_ = F.lit(spark.range(1).select(fallback.alias("f")).first()["f"])
+    start = stored(prompts.select(F.monotonically_increasing_id().alias("_i"), *keys, F.try_element_at(tokens, F.lit(-1)).alias("_last"),
+                                  F.array().cast("array<string>").alias("generated")), "prompts")
+    turns, done = max(1, -(-start.count() // MAX_PROBES)), []
+    for turn in range(turns):
+        state = start.filter(F.pmod(F.xxhash64("_i"), F.lit(turns)) == turn)
+        for t in range(max_new):
+            u = uniform(seed, *[F.col(k) for k in keys], t)
+            asked = (state.filter(F.col("_last").isNotNull()).groupBy(bucket("_last", n).alias("_b"))
+                     .agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_last").alias("last"), u.alias("u"))).alias("asked")))
+            drawn = (table.join(F.broadcast(asked), "_b").select("block", "asked").mapInArrow(_draw, "_i long, token string, lo double")
+                     .groupBy("_i").agg(F.max_by("token", "lo").alias("_tok")))
+            nxt = F.when(F.col("_last").isNotNull(), F.coalesce(F.col("_tok"), else_))
+            state = stored(state.join(drawn, "_i", "left").withColumn("_nxt", nxt).select(
+                "_i", *keys, F.coalesce("_nxt", "_last").alias("_last"),
+                F.when(F.col("_nxt").isNull(), F.col("generated")).otherwise(F.concat("generated", F.array("_nxt"))).alias("generated")), "state")
+        done.append(state.select(*[F.col(k).cast("string").alias(k) for k in keys], "generated"))
+    return _finish_generation(_beside(prompts.select(*keys, tokens), functools.reduce(DataFrame.unionByName, done), keys), tokens, stops)
 
 
 def _beside(prompts: DataFrame, generated: DataFrame, keys) -> DataFrame:

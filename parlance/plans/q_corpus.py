@@ -360,7 +360,7 @@ SELECT conv_id, turn, CAST(len(gen) AS INTEGER) AS n_new, array_to_string(gen, '
 FROM (SELECT conv_id, turn, CASE WHEN hit > 0 THEN list_slice(seq, 1, hit - 1) ELSE seq END AS gen FROM cut)""")
 def q_batch_generate_sampled(spark, sf_dir):
     train = X.fx_train_docs(spark, sf_dir)
-    uni, big, ctx, _ = S.bigram_model(train.withColumn("dataset", F.lit("all")), ("dataset",))
+    uni, big, ctx, _ = S.bigram_model(train.withColumn("dataset", F.lit("all")), ("dataset",), totals=True)
     cands = S.candidates(big, ctx, ("dataset",)).drop("dataset")
     cdf = S.sampling_cdf(cands, _SAMPLE_P, _SAMPLE_T)
     fallback = uni.agg(F.min_by("token", F.struct((-F.col("cnt")).alias("n"), F.col("token").alias("t")))).scalar()
