@@ -144,3 +144,15 @@ def test_matmul_blocks_copy_no_row(spark, monkeypatch):
     rows = y.collect()
     assert len(rows) == len({(r["b"], r["row"]) for r in rows}) == 1600
     assert all(abs(r["y"] - float(np.dot(vecs[r["b"]], deq[r["row"]]))) < 1e-9 for r in rows)
+
+
+def test_matmul_yields_slices_on_every_path(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    ids, x, rows, w, plus = np.arange(10), rng.normal(size=(10, 4)), np.arange(100, 111), rng.normal(size=(11, 4)), rng.normal(size=11)
+    for name, n in (("MATMUL_BLOCK", 5), ("X_SLICE", 3)):
+        monkeypatch.setattr(Q, name, n)
+    parts = list(Q._products(ids, x, rows, w, plus))
+    assert max(map(len, parts)) == 15                                # the whole product was one frame
+    got = {(b, r): y for p in parts for b, r, y in zip(p["b"], p["row"], p["y"], strict=True)}
+    assert len(got) == sum(map(len, parts)) == 110
+    assert all(abs(y - (x[b] @ w[r - 100] + plus[r - 100])) < 1e-12 for (b, r), y in got.items())
